@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import op8_token_file as op8, op9_packing as op9, op10_decontamination as op10
+from . import op3_ngram_join as op3, op8_token_file as op8, op9_packing as op9, op10_decontamination as op10
 
 
 def queries() -> dict[str, Callable]:
-    return {"op8_token_file": op8.query, "op9_packing": op9.query, "op10_decontamination": op10.query}
+    return {"op3_ngram_join": op3.query, "op8_token_file": op8.query, "op9_packing": op9.query, "op10_decontamination": op10.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": op10.SQL}
+    return {"op3_ngram_join": op3.SQL, "op10_decontamination": op10.SQL}

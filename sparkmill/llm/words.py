@@ -103,8 +103,8 @@ def runs(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(total[a : b - k + 1])
         elif b > a:
-            short = (words[a:b] * _COEF[1 : b - a + 1]).sum(dtype=np.uint64) + _COEF[63] * np.uint64(b - a)
-            out.append(mix(np.array([short], dtype=np.uint64)))
+            short = (words[a:b] * _COEF[1 : b - a + 1]).sum(dtype=np.uint64, keepdims=True)
+            out.append(mix(short + _COEF[63] * np.full(1, b - a, dtype=np.uint64)))
         else:
             out.append(total[:0])
     return out
