@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import op1_url_filter as op1, op3_ngram_join as op3, op8_token_file as op8, op9_packing as op9, op10_decontamination as op10
+from . import op1_url_filter as op1, op3_ngram_join as op3, op4_language as op4, op8_token_file as op8, op9_packing as op9, op10_decontamination as op10
 
 
 def queries() -> dict[str, Callable]:
-    return {"op1_url_filter": op1.query, "op3_ngram_join": op3.query, "op8_token_file": op8.query, "op9_packing": op9.query, "op10_decontamination": op10.query}
+    return {"op1_url_filter": op1.query, "op3_ngram_join": op3.query, "op4_language": op4.query, "op8_token_file": op8.query, "op9_packing": op9.query, "op10_decontamination": op10.query}
 
 
 def oracle_sql() -> dict[str, str]:
