@@ -1,0 +1,66 @@
+"""A corpus from raw documents: language, repeated lines, near duplicates, benchmark passages, packing.
+
+Each stage works on all that the stage before it kept, written as Parquet and read again; all but the last return the
+columns of documents. They handle null and empty texts, repeated rows and empty tables as their operators do.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sparkmill.llm import op3_ngram_join, op4_language, op7_line_dedup, op9_packing, op10_decontamination, scratch
+
+#: SQL cannot express the first and the last stage.
+ORACLE_SQL = None
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned; those without a letter, or unlike every prototype, go."""
+    return op4_language.identified(docs).where("lang_pred != 'und' and score > 0").drop("lang_pred", "score")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without chunks that stand earlier; a document of which nothing is left goes."""
+    cut = op7_line_dedup.without_repeats(docs).where("n_removed = 0 or trim(translate(text, '\\n', ' ')) != ''").drop("n_removed")
+    return _recounted(cut)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates; of rows with one doc_id all of those that lead a group."""
+    groups = op3_ngram_join.near_duplicates(docs)
+    leads = groups.where("doc_id is null or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("lead")).distinct()
+    return docs.join(leads, F.col("doc_id").eqNullSafe(F.col("lead")), "left_semi")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of the benchmark; a document of which nothing is left goes."""
+    clean = op10_decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), clean=True)
+    return _recounted(clean.where("text is null or text rlike '[0-9a-zA-Z\\\\x{80}-\\\\x{10FFFF}]' or n_chars = length(text)"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of 2048."""
+    return op9_packing.digest(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after another, on the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return docs

@@ -4,12 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import op1_url_filter as op1, op2_license as op2, op3_ngram_join as op3, op4_language as op4, op5_quality as op5, op6_nn_descent as op6, op7_line_dedup as op7, op8_token_file as op8, op9_packing as op9, op10_decontamination as op10
+import corpus_pipeline
+
+from . import (
+    op1_url_filter as op1,
+    op2_license as op2,
+    op3_ngram_join as op3,
+    op4_language as op4,
+    op5_quality as op5,
+    op6_nn_descent as op6,
+    op7_line_dedup as op7,
+    op8_token_file as op8,
+    op9_packing as op9,
+    op10_decontamination as op10,
+)
+
+_OPERATORS = {
+    "op1_url_filter": op1,
+    "op2_license": op2,
+    "op3_ngram_join": op3,
+    "op4_language": op4,
+    "op5_quality": op5,
+    "op6_nn_descent": op6,
+    "op7_line_dedup": op7,
+    "op8_token_file": op8,
+    "op9_packing": op9,
+    "op10_decontamination": op10,
+}
 
 
 def queries() -> dict[str, Callable]:
-    return {"op1_url_filter": op1.query, "op2_license": op2.query, "op3_ngram_join": op3.query, "op4_language": op4.query, "op5_quality": op5.query, "op6_nn_descent": op6.query, "op7_line_dedup": op7.query, "op8_token_file": op8.query, "op9_packing": op9.query, "op10_decontamination": op10.query}
+    return {name: op.query for name, op in _OPERATORS.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": op1.SQL, "op2_license": op2.SQL, "op3_ngram_join": op3.SQL, "op6_nn_descent": op6.SQL, "op7_line_dedup": op7.SQL, "op10_decontamination": op10.SQL}
+    return {name: op.SQL for name, op in _OPERATORS.items() if getattr(op, "SQL", None)}
