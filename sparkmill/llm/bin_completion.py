@@ -5,8 +5,11 @@ Its input has at most one entry for each length up to the capacity, however many
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
+
 #: A filling of one sequence (lengths, longest first) and how many sequences are filled so.
 Pattern = tuple[tuple[int, ...], int]
 
@@ -48,16 +51,17 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
 
 def bound(counts: dict[int, int], capacity: int) -> int:
     """No packing has fewer sequences: total length, and pieces over half a sequence with those that fit beside none."""
-    total = sum(k * n for k, n in counts.items())
-    best = -(-total // capacity)
-    longest = sorted(counts)
-    for cut in [0, *(k for k in longest if 2 * k <= capacity)][:400]:
-        big = sum(n for k, n in counts.items() if k > capacity - cut)
-        mid = [(k, n) for k, n in counts.items() if capacity - cut >= k and 2 * k > capacity]
-        free = sum(n for _, n in mid) * capacity - sum(k * n for k, n in mid)
-        small = sum(k * n for k, n in counts.items() if cut <= k and 2 * k <= capacity)
-        best = max(best, big + sum(n for _, n in mid) + max(0, -(-(small - free) // capacity)))
-    return best
+    n = np.zeros(capacity + 1, dtype=np.int64)
+    for k, m in counts.items():
+        n[k] = m
+    many, long = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    half = capacity // 2
+    cut = np.arange(half + 1)  # pieces shorter than cut are left out of account
+    big = many[-1] - many[capacity - cut]
+    mid, mid_long = many[capacity - cut] - many[half], long[capacity - cut] - long[half]
+    small = long[half] - np.where(cut > 0, long[np.maximum(cut - 1, 0)], 0)
+    more = np.maximum(0, -(-(small - (mid * capacity - mid_long)) // capacity))
+    return max(-(-int(long[-1]) // capacity), int((big + mid + more).max()))
 
 
 def fillings(counts: dict[int, int], left: int, most: int) -> list[tuple[int, ...]]:
@@ -67,17 +71,17 @@ def fillings(counts: dict[int, int], left: int, most: int) -> list[tuple[int, ..
     leave less waste.
     """
     sizes = sorted((k for k in counts if k <= left and counts[k]), reverse=True)
-    out: list[tuple[int, ...]] = []
+    rising = sizes[::-1]
 
     def dominated(filling: tuple[int, ...], waste: int) -> bool:
-        have = dict(counts)
-        for k in filling:
-            have[k] -= 1
-        spare = [k for k in sizes if have[k] > 0]
-        if any(k <= waste for k in spare):
-            return True
-        sums = {a for a in filling} | {a + b for i, a in enumerate(filling) for b in filling[i + 1 :]}
-        return any(s < k <= s + waste for k in spare for s in sums)
+        spare = lambda k: counts[k] > filling.count(k)
+        for s in {0} | {a for a in filling} | {a + b for i, a in enumerate(filling) for b in filling[i + 1 :]}:
+            i = bisect_right(rising, s)
+            while i < len(rising) and rising[i] <= s + waste:
+                if spare(rising[i]):
+                    return True
+                i += 1
+        return False
 
     def descend(i: int, filling: tuple[int, ...], left: int) -> Iterator[tuple[int, tuple[int, ...]]]:
         while i < len(sizes) and sizes[i] > left:
@@ -89,6 +93,7 @@ def fillings(counts: dict[int, int], left: int, most: int) -> list[tuple[int, ..
         for n in range(min(counts[size], left // size), -1, -1):
             yield from descend(i + 1, filling + (size,) * n, left - n * size)
 
+    out: list[tuple[int, ...]] = []
     for seen, (waste, filling) in enumerate(descend(0, (), left)):
         if seen >= 20 * most or len(out) >= most:
             break
@@ -99,41 +104,46 @@ def fillings(counts: dict[int, int], left: int, most: int) -> list[tuple[int, ..
     return sorted(out, key=lambda f: (left - sum(f), f))
 
 
-def pack(counts: dict[int, int], capacity: int, nodes: int = 20_000, width: int = 12) -> list[Pattern]:
+def pack(counts: dict[int, int], capacity: int, nodes: int = 4_000, width: int = 6) -> list[Pattern]:
     """Fewest sequences found for ``counts[length]`` pieces of each length.
 
     Depth first: around the longest open piece come the undominated fillings, each applied to as many sequences as
-    the counts allow. A branch ends when its waste leaves no packing better than the incumbent, which at first is the
-    best-fit one. ``nodes`` bounds the search; the incumbent is returned then.
+    the counts allow, or to one. A branch ends when its waste leaves no packing better than the incumbent, which at
+    first is the best-fit one. ``nodes`` bounds the search; the incumbent is returned then.
     """
     counts = {k: n for k, n in counts.items() if n}
     incumbent = best_fit(counts, capacity)
     fewest, least = sum(n for _, n in incumbent), bound(counts, capacity)
     total = sum(k * n for k, n in counts.items())
-    budget = nodes
-    stack: list[tuple[dict[int, int], list[Pattern], int, int]] = [(counts, [], 0, 0)] if fewest > least else []
-    while stack and budget and fewest > least:
-        budget -= 1
-        open_, taken, used, waste = stack.pop()
+    # (counts before, what is filled next and how often, sequences and waste after it, all patterns before as a chain)
+    stack: list = [(counts, (), 0, 0, 0, None)] if fewest > least else []
+    while stack and nodes and fewest > least:
+        nodes -= 1
+        before, whole, times, used, waste, chain = stack.pop()
+        if waste > (fewest - 1) * capacity - total:
+            continue
+        open_ = dict(before)
+        for k in whole:
+            open_[k] -= times
+            if not open_[k]:
+                del open_[k]
+        chain = (whole, times, chain) if times else chain
         if not open_:
             if used < fewest:
-                incumbent, fewest = taken, used
-            continue
-        if waste > (fewest - 1) * capacity - total or used + bound(open_, capacity) >= fewest:
+                fewest, incumbent = used, []
+                while chain:
+                    incumbent.append(chain[:2])
+                    chain = chain[2]
             continue
         longest = max(open_)
-        rest = dict(open_)
-        rest[longest] -= 1
+        open_[longest] -= 1
+        found = fillings(open_, capacity - longest, width) or [()]
+        open_[longest] += 1
         choices = []
-        for filling in fillings({k: n for k, n in rest.items() if n}, capacity - longest, width) or [()]:
+        for filling in found:
             whole = (longest, *filling)
-            need = {k: whole.count(k) for k in whole}
-            for times in dict.fromkeys((min(open_[k] // n for k, n in need.items()), 1)):
-                left = {k: m for k, n in open_.items() if (m := n - times * need.get(k, 0))}
-                choices.append((left, [*taken, (whole, times)], used + times, waste + times * (capacity - sum(whole))))
+            most = min(open_[k] // whole.count(k) for k in set(whole))
+            for times in dict.fromkeys((most, 1)):
+                choices.append((open_, whole, times, used + times, waste + times * (capacity - sum(whole)), chain))
         stack += reversed(choices)
-        if len(taken) > 900:  # a long tail of single sequences: best fit closes it
-            tail = best_fit(open_, capacity)
-            if used + sum(n for _, n in tail) < fewest:
-                incumbent, fewest = taken + tail, used + sum(n for _, n in tail)
     return incumbent

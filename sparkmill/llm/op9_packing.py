@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer: str, byte_level: bool = False, end_id: in
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
-def assign(cut: DataFrame, capacity: int = CAPACITY, nodes: int = 20_000) -> DataFrame:
+def assign(cut: DataFrame, capacity: int = CAPACITY, nodes: int = 4_000) -> DataFrame:
     """Give every piece (length, task, rank and more columns) its sequence_id and its offset there.
 
     An empty table gives an empty table.
