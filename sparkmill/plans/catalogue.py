@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import retrieval, usage
+from . import documents, retrieval, usage
 
-_ALL = retrieval.QUERIES | usage.QUERIES
+_ALL = retrieval.QUERIES | usage.QUERIES | documents.QUERIES
 
 
 def queries() -> dict[str, Callable]:
