@@ -1,0 +1,292 @@
+"""Operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from sparkmill.llm import op1_url_filter as op1, op2_license as op2, op3_ngram_join as op3, op4_language as op4, op5_quality as op5, op6_nn_descent as op6, op7_line_dedup as op7, op8_token_file as op8, op9_packing as op9, op10_decontamination as op10
+from sparkmill.llm.components import components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, texts, lang="en"):
+    return spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def groups(nodes, linked):
+    head = {n: n for n in nodes}
+
+    def find(n):
+        while head[n] != n:
+            n = head[n]
+        return n
+
+    for a in nodes:
+        for b in nodes:
+            if a < b and linked(a, b):
+                x, y = find(a), find(b)
+                head[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(7, 7), (100, 99), (99, 100)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 99: 99, 100: 99}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_url_filter(spark):
+    urls = ["https://a.com/x", "http://www.example.com/en/1", "http://blog.Example.COM/en/1?x", "http://q.net/fr/a", "http://q.net", None, "nothing", "ftp://h.org#a/b", "http://acom/en/", "http://good.org/1", "http://bad.org/1"]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    labelled = spark.createDataFrame([("http://bad.org/9", False)] * 60 + [("http://good.org/9", True)] * 60 + [("http://bad.org/9", None), (None, True)], "url string, good boolean")
+    got = {r["page_id"]: tuple(r)[1:] for r in op1.judged(pages, labelled).collect()}
+    assert got[0] == ("a.com", "/x", "com/", "allow")
+    assert got[1] == ("www.example.com", "/en/1", "www.example.com/en/", "allow")
+    assert got[2] == ("blog.example.com", "/en/1", "example.com/en/", "block")
+    assert got[3] == ("q.net", "/fr/a", "net/fr/", "block")
+    assert got[4] == ("q.net", "", None, "allow")
+    assert got[5] == got[6] == ("", "", None, "allow")
+    assert got[7] == ("h.org", "", None, "allow")
+    assert got[8][2] is None
+    assert (got[9][3], got[10][3]) == ("allow", "block")
+    nothing = spark.createDataFrame([], "url string, good boolean")
+    assert {r["verdict"] for r in op1.judged(pages, nothing).collect()} == {"allow", "block"}
+    assert op1.judged(pages.limit(0), labelled).count() == 0
+
+
+def test_license(spark):
+    files = [
+        (1, "r", "LICENSE", "Licensed under the Apache License, Version 2.0.\nmore"),
+        (2, "r", "a/b/x.txt", "nothing here"),
+        (3, "r", "a/COPYING", "Released under the MIT License"),
+        (4, "r", "a/b/c/y.txt", None),
+        (5, "q", "a/b/x.txt", ""),
+        (6, "r", "z.txt", "x\nLicensed under CC BY-NC 4.0"),
+        (7, None, None, "MIT License"),
+        (8, "r", "w.txt", "the license"),
+    ]
+    table = spark.createDataFrame([(*f, "clash") for f in files], "file_id long, repo string, path string, text string, licence string")
+    got = {r["file_id"]: (r["own"], r["inherited"], r["licence"]) for r in op2.licensed(table).collect()}
+    assert got[1] == ("Apache-2.0", "Apache-2.0", "Apache-2.0")
+    assert got[2] == (None, "MIT", "MIT")
+    assert got[4] == (None, "MIT", "MIT")
+    assert got[5] == (None, None, None)
+    assert got[6] == ("CC-BY-NC-4.0", "Apache-2.0", "CC-BY-NC-4.0")
+    assert got[8] == (None, "Apache-2.0", "Apache-2.0")
+    assert op2.licensed(table.limit(0)).count() == 0
+
+
+def test_ngram_join_against_all_pairs(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(300)]
+    line = " ".join(vocabulary[:14])
+    texts = [None, "", " \n", "one two", "One  two", "x", "shared " * 50]
+    for _ in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(8, 90))]
+        for _ in range(rng.randint(1, 9)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append((line + " " if rng.random() < 0.5 else "") + " ".join(copy))
+    texts += texts[-3:]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, key long")
+    sets = [shingles(t) for t in texts]
+    want = groups(range(len(texts)), lambda a, b: sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op3.near_duplicates(docs).collect()}
+    assert got == {i: (len(sets[i]), want[i]) for i in range(len(texts))}
+
+
+def test_ngram_join_of_a_mesh_of_copies(spark):
+    """Copies of one text that are less alike to each other than to it: larger buckets, pairs left open by the stars."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(w if rng.random() > 0.025 else f"e{rng.random()}" for w in base) for _ in range(60)]
+    docs = documents(spark, texts)
+    sets = [shingles(t) for t in texts]
+    want = groups(range(60), lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    got = {r["doc_id"]: r["component_id"] for r in op3.near_duplicates(docs).collect()}
+    assert got == want
+
+
+def test_ngram_join_of_nothing(spark):
+    assert op3.near_duplicates(documents(spark, []).limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (None, "a b c d e f"), (2, "A B C D E F")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in op3.near_duplicates(odd).collect())
+    assert got == [(0, 1), (1, 1), (1, 1), (2, 1)]
+
+
+def test_language(spark):
+    rng = random.Random(6)
+    make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(30))
+    rows = [(i, make(["th", "he", "ing"]), "en") for i in range(60)] + [(100 + i, make(["çé", "eau", "oi"]), "fr") for i in range(60)]
+    rows += [(300, None, "en"), (301, "", "en"), (302, "12 %% 3", "fr"), (303, "the ing", None), (304, "THE HEING THHE " * 4000, "en")]
+    docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
+    got = {r["doc_id"]: r for r in op4.identified(docs).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:120])
+    assert {got[i]["lang_pred"] for i in (300, 301, 302)} == {"und"} and got[302]["score"] == 0
+    assert got[304]["lang_pred"] == "en" and 0 < got[304]["score"] <= 1
+    held = {r["doc_id"]: r["h"] for r in docs.select("doc_id", op4.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in held.items())
+    empty = op4.identified(docs.limit(0))
+    assert empty.count() == 0 and op4.predicted(docs.limit(3), ([], np.zeros((0, op4.DIMENSIONS)))).head()["lang_pred"] == "und"
+
+
+def test_quality(spark):
+    rng = random.Random(9)
+    good = lambda: " ".join(rng.choice(["the", "there", "other", "then"]) for _ in range(20))
+    texts = [good() for _ in range(40)] + ["%%$$ ###!! " * 9, None, ""]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(3, 1), (40, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in op5.classified(docs, labels).collect()}
+    assert sum(got[i]["kept"] for i in range(40)) >= 37
+    assert not got[40]["kept"] and got[40]["perplexity"] > 10 * got[0]["perplexity"]
+    assert got[41]["perplexity"] is None and not got[42]["kept"]
+    nobody = op5.classified(docs, labels.limit(0)).where("perplexity is not null").select(F.round("perplexity", 3).alias("p")).distinct().collect()
+    assert [r["p"] for r in nobody] == [64.0]
+    assert op5.classified(docs.limit(0), labels).count() == 0
+
+
+def test_nn_descent_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 16))
+    x = np.concatenate([centres, centres[rng.integers(0, 6, 160)] + 0.12 * rng.standard_normal((160, 16)), centres[:5], 2 * centres[:3]])
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0, None] + [0.0] * 14), (904, []), (905, [1.0, 2.0])]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, n int")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    link = unit @ unit.T >= 0.95
+    want = groups(range(len(x)), lambda a, b: link[a, b])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in op6.near_duplicates(table).collect()}
+    for i in range(len(x)):
+        assert got[i] == (int(link[i].sum()) - 1, want[i], want[i] == i)
+    assert all(got[i] == (0, i, True) for i in range(900, 906))
+    assert op6.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_line_dedup(spark):
+    passage = "\n".join(f"line {i} of a passage that many documents share" for i in range(60))
+    texts = [f"a\nb\n{passage}\nc", f"x {1}\n{passage}\ny", f"q\nr\ns\n{passage}", "alone\nhere", None, "", "\n\n", "\n\n", "w " * 60, "w " * 60]
+    docs = documents(spark, texts).withColumn("n_removed", F.lit("clash"))
+    got = {r["doc_id"]: r for r in op7.without_repeats(docs).collect()}
+    assert got[0]["text"] == texts[0] and got[0]["n_removed"] == 0
+    for i in (1, 2):
+        assert got[i]["n_removed"] > 5 and sum(f"line {k} " in got[i]["text"] for k in range(60)) < 20  # the edges of a passage may stay
+        assert got[i]["text"].split("\n")[0] == texts[i].split("\n")[0]
+    assert [got[i]["text"] for i in (3, 4, 5, 6, 7, 8, 9)] == ["alone\nhere", None, "", "\n\n", "\n\n", "w " * 60, ""]
+    assert op7.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_token_file(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["It's  a test.\n\nOf <|endoftext|> spaces ", None, "", "Über façade naïve 漢字 " * 300, "a" * 5000, " x", "same", "same"]
+    docs = spark.createDataFrame([(7 * ((5 * i) % 8), t, 1) for i, t in enumerate(texts)] + [(None, "none", 1)], "doc_id long, text string, start int")
+    op8.write(docs, f"file://{tmp_path}/f", path)
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: -1 if r[0] is None else r[0])
+    start = 0
+    found = {r["doc_id"]: r for r in op8.read(spark, f"file://{tmp_path}/f").collect()}
+    short = {r["doc_id"]: r["ids_crc32"] for r in op8.read(spark, f"file://{tmp_path}/f", digest=True).collect()}
+    assert len(found) == len(rows)
+    for doc_id, text in rows:
+        ids = [*model.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (found[doc_id]["start"], found[doc_id]["n_tokens"], found[doc_id]["ids"]) == (start, len(ids), ids)
+        assert short[doc_id] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+    op8.write(docs.limit(0), f"file://{tmp_path}/e", path)
+    assert op8.read(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_packing(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [None, "", "A b\tc\n d", "word " * 5000, "x y z " * 300, "Ünï <|endoftext|> 'll", "x y z " * 300]
+    docs = spark.createDataFrame([(i // 2, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, length int")
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    got = op9.packed(docs, path, with_ids=True).collect()
+    want = []
+    for i, t in enumerate(texts):
+        ids = [*model.encode(t or "", add_special_tokens=False).ids, 0]
+        want += [(i // 2, a // 2048, a, ids[a : a + 2048]) for a in range(0, len(ids), 2048)]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["ids"]) for r in got) == sorted(want)
+    by: dict = {}
+    for r in got:
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert len(by) == -(-sum(len(w[3]) for w in want) // 2048)
+    assert op9.packed(docs.limit(0), path).count() == 0
+
+
+def test_decontamination(spark):
+    items = [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "only three words"), (3, None), (4, "..."), (10, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "only three words"), (None, "a b c d e f g h i j")]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    eleven = "x ALPHA, beta gamma delta epsilon-zeta eta theta iota kappa lambda y"
+    texts = [eleven, "only three", "Only, three: WORDS! and only three words", None, "", "alpha beta gamma delta epsilon zeta eta theta iota", "only\nthree words"]
+    docs = documents(spark, texts).withColumn("items", F.lit("clash"))
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in op10.contamination(docs, bench).collect()}
+    assert got[0] == (13, 11, ["1", "10"])
+    assert got[1] == (2, 0, [])
+    assert got[2] == (7, 6, ["2"])
+    assert got[3] == got[4] == (0, 0, [])
+    assert got[5][1] == 0
+    assert got[6] == (3, 3, ["2"])
+    clean = {r["doc_id"]: r["text"] for r in op10.contamination(docs, bench, clean=True).collect()}
+    assert clean[0] == "x  y" and clean[2] == "! and " and clean[3] is None and clean[5] == texts[5]
+    assert {r["n_hit"] for r in op10.contamination(docs, bench.limit(0)).collect()} == {0}
+    assert op10.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_decontamination_in_blocks_of_items(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"one two three four five six seven eight nine ten item{i}") for i in range(40)], "item_id int, text string")
+    docs = documents(spark, ["one two three four five six seven eight nine ten"])
+    whole = op10.contamination(docs, bench).head()
+    monkeypatch.setattr(op10, "ITEM_BYTES", 300)
+    assert op10.contamination(docs, bench).head() == whole and len(whole["items"]) == 40
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("tables"))
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+def test_pipeline_stages(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, spark.createDataFrame(stage(spark, docs, folder).toPandas())
+        if name != "packing":
+            assert docs.columns == before.columns
+            assert docs.count() <= before.count()
+        if name == "language_id":
+            assert docs.count() == before.where("text rlike '[A-Za-zÀ-ÿ]'").count()
+        if name == "near_dedup":
+            texts = {r["doc_id"]: shingles(r["text"]) for r in before.collect()}
+            want = groups(list(texts), lambda a, b: texts[a] and 100 * len(texts[a] & texts[b]) >= 75 * len(texts[a] | texts[b]))
+            assert {r["doc_id"] for r in docs.collect()} == {i for i, c in want.items() if i == c}
+        if name == "decontamination":
+            assert {r["n_hit"] for r in op10.contamination(docs, bench).collect()} == {0}
+            assert docs.where("n_chars != length(text)").count() == 0
+    assert docs.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert corpus_pipeline.run(spark, folder).count() == docs.count()
