@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import documents, retrieval, usage
+from . import documents, indexing, retrieval, usage
 
-_ALL = retrieval.QUERIES | usage.QUERIES | documents.QUERIES
+_ALL = retrieval.QUERIES | usage.QUERIES | documents.QUERIES | indexing.QUERIES
 
 
 def queries() -> dict[str, Callable]:
