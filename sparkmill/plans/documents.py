@@ -273,7 +273,11 @@ QUERIES = {
         f"select qid, {_CLAMP.format('max(score)')} faithfulness, {_CLAMP.format('avg(greatest(score - 0.2, score / 2, score - 0.1))')} context_precision, {_CLAMP.format('avg(score - 0.1)')} context_relevancy from r group by 1",
     ),
     "column_diagnostics": (lambda s, d: E.diagnostics(_t(s, d, "labels")).select("column", "filled"), "select 'doc_id' as \"column\", count(doc_id) filled from labels union all select 'quality', count(quality) from labels union all select 'toxic', count(toxic) from labels"),
-    "html_titles": (page_titles, None),
+    "html_titles": (
+        page_titles,
+        r"""with t as (select page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g') t, len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1))::bigint links from pages)
+        select page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')), '') title, links from t""",
+    ),
     "html_links": (
         page_links,
         r"""with l as (select page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) h from pages), x as (select page_id, url, (i - 1)::int as "at", h[i] link from (select *, unnest(generate_series(1, len(h))) i from l))
