@@ -35,6 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates; of rows with one doc_id all of those that lead a group."""
     groups = op3_ngram_join.near_duplicates(docs)
     leads = groups.where("doc_id is null or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("lead")).distinct()
+    leads = scratch.keep(leads, "leads")
+    if leads.count() <= op3_ngram_join.BROADCAST_ROWS:  # else both sides are shuffled
+        leads = F.broadcast(leads)
     return docs.join(leads, F.col("doc_id").eqNullSafe(F.col("lead")), "left_semi")
 
 
