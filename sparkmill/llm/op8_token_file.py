@@ -36,9 +36,9 @@ def _tokenized(docs: DataFrame, tokenizer: str, byte_level: bool, end_id: int, e
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, press = coder(tokenizer, byte_level), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for lo, hi, _, _ in slices(batch.column(1)):
+            for lo, hi, data, offsets in slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
-                flat, count = model.encode([t or "" for t in part.column(1).to_pylist()], end_id)
+                flat, count = model.encode(data, offsets, end_id)
                 raw, end = flat.astype("<u4" if model.model.get_vocab_size() > 1 << 16 else "<u2"), np.cumsum(count)
                 doc = part.column(0).cast(pa.int64())
                 where = np.searchsorted(np.array(edges, dtype=np.int64), doc.fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="left")

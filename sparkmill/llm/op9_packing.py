@@ -39,9 +39,9 @@ def pieces(docs: DataFrame, tokenizer: str, byte_level: bool = False, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, task, ranks = coder(tokenizer, byte_level), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for lo, hi, _, _ in slices(batch.column(1)):
+            for lo, hi, data, offsets in slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
-                ids, count = model.encode([t or "" for t in part.column(1).to_pylist()], end_id)
+                ids, count = model.encode(data, offsets, end_id)
                 n = -(-count // capacity)
                 row = np.repeat(np.arange(len(n)), n)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)

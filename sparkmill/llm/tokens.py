@@ -1,25 +1,39 @@
 """Ids of whole texts from a public tokenizer file, in tasks that Spark partitions.
 
 A text is cut where the tokenizer never joins the two sides, so each distinct piece is encoded once by the
-tokenizers library and then looked up. The look-up table of a worker is emptied when it holds ``PIECES`` pieces.
+tokenizers library and then looked up by a 64-bit hash of its bytes (two pieces share one with probability 2**-64). The
+look-up table of a worker is emptied when it holds ``PIECES`` pieces.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from itertools import chain
 
 import numpy as np
 
+from . import words
+
 #: Pieces that a worker remembers at most.
 PIECES = 1_500_000
 
-_INNER = re.compile(r"(?<=\S)(?= \S)")
 _coders: dict[tuple[str, bool], Coder] = {}
 
 
+def _other_spaces(data: np.ndarray) -> np.ndarray:
+    """Places of white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000."""
+    found = []
+    at = np.flatnonzero(data[:-1] == 0xC2)
+    found.append(at[np.isin(data[at + 1], (0x85, 0xA0))])
+    at = np.flatnonzero((data[:-2] >= 0xE1) & (data[:-2] <= 0xE3)) if len(data) > 2 else at[:0]
+    a, b, c = data[at], data[at + 1], data[at + 2] if len(at) else data[:0]
+    wide = (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | np.isin(c, (0xA8, 0xA9, 0xAF)))
+    found.append(at[wide | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))])
+    return np.concatenate(found)
+
+
 class Coder:
-    """``byte_level``: white space belongs to the pieces; else the tokenizer drops it."""
+    """``byte_level``: white space belongs to the pieces, each a run of it and what follows; else the tokenizer lowers and drops it."""
 
     def __init__(self, path: str, byte_level: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -31,71 +45,70 @@ class Coder:
         self._forget()
 
     def _forget(self) -> None:
-        self.at: dict[str, int] = {"": 0}
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.place = np.zeros(0, dtype=np.int64)
+        self.begin, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
-        self.begin = np.zeros(1 << 16, dtype=np.int64)
-        self.size = np.zeros(1 << 16, dtype=np.int64)
-        self.whole = np.ones(1 << 16, dtype=bool)
-        self.whole[0] = not self.byte_level
         self.used = 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        space = " " if self.byte_level else ""
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """New pieces with their sorted keys."""
+        n = len(self.keys)
         for lo in range(0, len(pieces), 20_000):
-            part = pieces[lo : lo + 20_000]
-            ids = [e.ids for e in self.model.encode_batch_fast([space + p for p in part], add_special_tokens=False)]
+            ids = [e.ids for e in self.model.encode_batch_fast(pieces[lo : lo + 20_000], add_special_tokens=False)]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
-            n, end = len(self.at), self.used + int(size.sum())
+            a, b, end = n + lo, n + lo + len(ids), self.used + int(size.sum())
             while end > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + len(part) > len(self.begin):
+            while b > len(self.begin):
                 self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-                self.whole = np.concatenate([self.whole, np.ones_like(self.whole)])
-            self.flat[self.used : end] = np.fromiter((i for x in ids for i in x), np.uint32, end - self.used)
-            self.size[n : n + len(part)] = size
-            self.begin[n : n + len(part)] = self.used + np.cumsum(size) - size
-            if self.byte_level:
-                self.whole[n : n + len(part)] = [not (p[0].isspace() or p[-1].isspace()) for p in part]
-            self.at.update(zip(part, range(n, n + len(part)), strict=True))
+            self.flat[self.used : end] = np.fromiter(chain.from_iterable(ids), np.uint32, end - self.used)
+            self.size[a:b] = size
+            self.begin[a:b] = self.used + np.cumsum(size) - size
             self.used = end
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.place = np.insert(self.place, at, np.arange(n, n + len(keys)))
 
-    def _plain(self, text: str) -> list[int]:
-        return [i for e in self.model.encode_batch_fast(_INNER.split(text) if self.byte_level else [text], add_special_tokens=False) for i in e.ids]
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each followed by ``end_id``, and how many each has."""
-        if len(self.at) > PIECES:
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a slice (see :func:`.words.slices`), each followed by ``end_id``, and how many each has."""
+        if len(self.keys) > PIECES:
             self._forget()
-        parts: list[str] = []
-        n = np.empty(len(texts), dtype=np.int64)
-        for k, t in enumerate(texts):
-            own = (t if self.byte_level else t.replace("\n", " ")).split(" ")
-            n[k] = len(own)
-            parts += own
-        if new := list(set(parts) - self.at.keys()):
-            self._learn(new)
-        index = np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
-        first = np.cumsum(n) - n
-        odd: dict[int, list[int]] = {}
-        if self.byte_level:  # a text's first piece has no space before it; white space beside a space is cut otherwise
-            whole = np.logical_and.reduceat(self.whole[index], first) if len(index) else np.zeros(0, bool)
-            heads = self.model.encode_batch_fast([parts[i] for i in first], add_special_tokens=False)
-            odd = {k: (heads[k].ids if whole[k] else self._plain(texts[k])) for k in range(len(texts))}
-        size = self.size[index]
         if self.byte_level:
-            size[first] = 0
-            for k in np.flatnonzero(~whole):
-                size[first[k] : first[k] + n[k]] = 0
-        body = np.add.reduceat(size, first) if len(first) else np.zeros(0, np.int64)
-        extra = np.array([len(odd.get(k, ())) for k in range(len(texts))], dtype=np.int64)
-        count = body + extra + 1
+            space = ~words.KINDS["spaced"][data]
+            begins = space.copy()
+            begins[1:] &= ~space[:-1]
+            begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+            starts = np.flatnonzero(begins)
+            ends = np.append(starts[1:], len(data)) if len(starts) else starts
+            first = np.searchsorted(starts, offsets)
+        else:
+            starts, ends, first = words.bounds(data, offsets, "spaced")
+        h, index, back = np.unique(words.hashes(data, starts, ends, lower=not self.byte_level), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[at] != h) if len(self.keys) else np.arange(len(h))
+        if len(new):
+            raw = data.tobytes()
+            self._learn(h[new], [raw[a:b].decode() for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, h)
+        piece = self.place[at][back] if len(h) else np.zeros(0, dtype=np.int64)
+        size = self.size[piece]
+        odd: dict[int, list[int]] = {}
+        if self.byte_level and len(data) > 1 and len(strange := _other_spaces(data)):  # spaces of both kinds can be one piece
+            for row in np.unique(np.searchsorted(offsets, strange, side="right") - 1).tolist():
+                odd[row] = self.model.encode(data[offsets[row] : offsets[row + 1]].tobytes().decode(), add_special_tokens=False).ids
+                size[first[row] : first[row + 1]] = 0
+        total = np.concatenate([[0], np.cumsum(size)])
+        body = total[first[1:]] - total[first[:-1]]
+        count = body + 1
+        for row, ids in odd.items():
+            count[row] += len(ids)
         out = np.empty(int(count.sum()), dtype=np.uint32)
         start = np.cumsum(count) - count
-        gather = np.repeat(self.begin[index] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        place = np.repeat(start + extra - (np.cumsum(body) - body), body) + np.arange(len(gather))
-        out[place] = self.flat[gather]
-        for k, ids in odd.items():
-            out[start[k] : start[k] + len(ids)] = ids
+        gather = np.repeat(self.begin[piece] - total[:-1], size) + np.arange(int(total[-1]))
+        out[np.repeat(start - (np.cumsum(body) - body), body) + np.arange(len(gather))] = self.flat[gather]
+        for row, ids in odd.items():
+            out[start[row] : start[row] + len(ids)] = ids
         out[start + count - 1] = end_id
         return out, count
 

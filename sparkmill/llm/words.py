@@ -83,10 +83,10 @@ def bounds(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word, of its bytes with A-Z lowered."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A hash of each word, of its bytes, by default with A-Z lowered."""
     rising = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * _power(_BASE, len(data)), out=rising[1:])
+    np.cumsum(_BYTE[_LOWER[data] if lower else data] * _power(_BASE, len(data)), out=rising[1:])
     own = (rising[ends] - rising[starts]) * _power(_INVERSE, len(data) + 1)[starts]
     return mix(own + (ends - starts).astype(np.uint64) * _COEF[0])
 
