@@ -1,8 +1,8 @@
 """License scans [native]: TF-IDF cosine of notices to templates, then inheritance from the nearest directory.
 
 Every line of every whole text is a possible notice. A line reaches the threshold with a template only if it holds one
-of the template's weightier terms (the others alone cannot give that cosine), so one expression without a shuffle
-passes on the few lines that hold such a term; their terms are counted, weighted and summed as a sparse table. Licence
+of the template's weightier terms, and terms with enough weight together (no others can give that cosine), so one
+expression without a shuffle passes on the few lines that do; their terms are counted, weighted and summed as a sparse table. Licence
 files declare their best licence for their directory, and every directory takes the nearest one above it: its
 ancestors are joined with the declaring directories by path.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,6 +29,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 THRESHOLD = 0.7
+#: Words on which the filter of lines does not depend where it can do without them. Fixed values.
+COMMON = ("a", "and", "are", "be", "by", "for", "in", "is", "of", "or", "that", "the", "this", "to", "under", "use", "v", "with", "without", "work")
 #: Names of files that declare a licence for their directory.
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[^/]*)?$"
 #: Directories up to which the table of their licences is broadcast; larger ones are shuffled.
@@ -51,10 +54,11 @@ def _model(templates: dict[str, str], threshold: float) -> tuple[list[str], dict
         value = {t: bag.count(t) * weight[t] for t in bag}
         norm = math.sqrt(sum(x * x for x in value.values()))
         light = 0.0
-        for t, x in sorted(value.items(), key=lambda p: (p[1], p[0])):
+        for t, x in sorted(value.items(), key=lambda p: (p[0] not in COMMON, p[1], p[0])):
             share[t][i] = x / norm
-            light += (x / norm) ** 2
-            if math.sqrt(light) >= threshold - 1e-9:
+            if math.sqrt(light + (x / norm) ** 2) < threshold - 1e-9:
+                light += (x / norm) ** 2  # these together do not reach the threshold
+            else:
                 needed.add(t)
     return names, {t: (weight[t], share[t]) for t in weight}, math.log(1 + len(bags)) + 1, sorted(needed)
 
@@ -68,7 +72,10 @@ def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
     spark = files.sparkSession
     lines = files.where("text is not null").select("file_id", "repo", "path", F.explode(F.split("text", "\n", -1)).alias("line"))
     lines = lines.withColumn("line", F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    lines = lines.where(F.col("line").rlike(f"(^|[^a-z0-9])({'|'.join(needed)})([^a-z0-9]|$)")).withColumn("uid", F.monotonically_increasing_id())
+    lines = lines.where(F.col("line").rlike(f"(^|[^a-z0-9])({'|'.join(needed)})([^a-z0-9]|$)"))
+    # a line's cosine to a template is at most the root of the squared shares of the terms that both hold
+    held = [sum(F.when(F.contains("line", F.lit(t)), s[i] ** 2).otherwise(0.0) for t, (_, s) in terms.items() if s[i]) for i in range(len(names))]
+    lines = lines.where(reduce(lambda a, b: a | b, (h >= threshold**2 - 1e-9 for h in held))).withColumn("uid", F.monotonically_increasing_id())
     lines = scratch.keep(lines, "licence-lines")
     table = spark.createDataFrame([(t, w, s) for t, (w, s) in terms.items()], "term string, weight double, share array<double>")  # as large as the templates
     bag = lines.select("uid", F.explode(F.regexp_extract_all("line", F.lit(f"({_TERM})"), 1)).alias("term")).groupBy("uid", "term").agg(F.count(F.lit(1)).alias("n"))
