@@ -7,11 +7,15 @@ Method:
     other; the most frequent of them go to the end of the first order (an order may be any, so this loses nothing).
 2.  First order: two sets with Jaccard at least t share one of their first n - ceil(t n) + 1 tokens. The tokens of
     these prefixes are dealt to Spark partitions and sorted. Of up to ``SMALL`` classes that share a token all pairs
-    are candidates, of more only those with the bucket's least key; size and position filters apply.
-3.  Candidates are held against the prefixes of further orders (the hashes mixed anew) and only those that share a
-    token in each are verified on whole sets. Verified links give components.
-4.  What step 2 left open: in larger buckets, pairs of classes that are not in one component yet. Usually few; all of
-    them are verified as in step 3, and the components joined. No link between two components is lost, and links
+    are candidates, of more only those with the bucket's leader; size and position filters apply. The leader is the
+    class in whose order the token stands first: it has the fewest rarer tokens, as the middle of a group of copies
+    has. Ties go by one of LEADERS random orders, which the token chooses.
+3.  Every class has a bitmap: bit h(token) flipped for each token. Two bitmaps differ in no more bits than the sets in
+    tokens, so a pair that differs in too many is not alike. Candidates that pass are held against the prefixes of
+    further orders (the hashes mixed anew), and only those that share a token in each are verified on whole sets.
+    Verified links give components.
+4.  What step 2 left open: in larger buckets, pairs of classes that are not in one component yet. All of them that
+    pass the size, position and bitmap filters are verified as in step 3, and the components joined. No link between two components is lost, and links
     inside a component do not change it.
 """
 
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import scratch, words
@@ -31,10 +35,14 @@ from .components import components
 SHINGLE, THRESHOLD = 5, 75
 #: Classes that share a token up to which all their pairs are candidates at once.
 SMALL = 4
+#: Random orders among classes that could lead a larger bucket.
+LEADERS = 8
 #: Shingles that a task holds at once to see which are frequent.
 COUNTED = 1 << 22
 #: Frequent shingles that go to the end of the first order.
 FREQUENT = 100_000
+#: 64-bit words of a bitmap.
+BITMAP = 16
 #: Orders beside the first.
 ORDERS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 #: Rows of ids up to which a table is broadcast (16 bytes a row); larger ones are shuffled.
@@ -55,25 +63,43 @@ def _key(s: np.ndarray) -> int:
     return int(value.view(np.int64)[0])
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """Parities of how many tokens fall on each bit."""
+    at = (words.mix(s ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(64 * BITMAP - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * BITMAP) & 1).astype(np.uint8)).view(np.int64)
+
+
+_BITS = [f"s{i}" for i in range(BITMAP)]
+_SETS = "counted boolean, doc_id long, key long, n long, " + ", ".join(f"{c} long" for c in _BITS)
+
+
+def _may_match(x: str, y: str) -> str:
+    """SQL: whether the bitmaps of x and y allow the threshold."""
+    differ = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in _BITS)
+    return f"{100 + THRESHOLD} * ({differ}) <= {100 - THRESHOLD} * ({x}.n + {y}.n)"
+
+
 def _prefix(n: int) -> int:
     return n - -(-THRESHOLD * n // 100) + 1
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (false, doc_id, key, n) of documents and (true, null, token, count) of shingles that a task met more than twice at once."""
+    """Rows (false, doc_id, key, n, bitmap) of documents and (true, null, token, count) of shingles that a task met more than twice at once."""
     held: list[np.ndarray] = []
     size = 0
 
     def frequent() -> pa.RecordBatch:
         token, n = np.unique(np.concatenate(held), return_counts=True)
         token, n = token[n > 2], n[n > 2]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), bool)), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["counted", "doc_id", "key", "n"])
+        none = pa.nulls(len(token), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), bool)), none, pa.array(token.view(np.int64)), pa.array(n.astype(np.int64)), *[none] * BITMAP], names=["counted", "doc_id", "key", "n", *_BITS])
 
     for batch in batches:
         for lo, sets in _sets(batch.column(1)):
             n = np.array([len(s) for s in sets], dtype=np.int64)
             keys = np.array([_key(s) for s in sets], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), bool)), batch.column(0).slice(lo, len(sets)), pa.array(keys), pa.array(n)], names=["counted", "doc_id", "key", "n"])
+            bits = np.array([_bitmap(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), bool)), batch.column(0).slice(lo, len(sets)), pa.array(keys), pa.array(n), *(pa.array(b) for b in bits.T)], names=["counted", "doc_id", "key", "n", *_BITS])
             held += sets
             size += int(n.sum())
             if size >= COUNTED:
@@ -122,7 +148,7 @@ def _alike(n1, n2, at1, at2):
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token and key to candidates (a, b), and the rows of larger buckets for later (b null)."""
+    """Rows sorted by token, and each bucket's by class with its leader first, to candidates (a, b), and the rows of larger buckets for later (b null)."""
     cut: list[np.ndarray] | None = None
     parted: int | None = None  # the token of a bucket that was too large to hold
 
@@ -148,7 +174,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
         fit = _alike(n[a], n[b], at[a], at[b])
         a, b = a[fit], b[fit]
-        seen = np.unique(np.stack([key[a], key[b]]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        seen = np.unique(np.stack([np.minimum(key[a], key[b]), np.maximum(key[a], key[b])]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
         none = pa.nulls(seen.shape[1], pa.int64())
         names = ["a", "b", "token", "n", "at"]
         yield pa.RecordBatch.from_arrays([pa.array(seen[0]), pa.array(seen[1]), none, none.cast(pa.int32()), none.cast(pa.int32())], names=names)
@@ -184,28 +210,44 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return 100 * both >= THRESHOLD * (len(x) + len(y) - both)
 
     memory: dict[int, np.ndarray] = {}
+    plain = zstandard.ZstdDecompressor()
+    text = lambda c: pa.array([plain.decompress(x) for x in c.to_pylist()], pa.binary()).cast(pa.string())
     for batch in batches:
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         fit = []
-        for lo, right in _sets(batch.column(3)):
+        for lo, right in _sets(text(batch.column(3))):
             for i, y in enumerate(right, lo):
                 x = memory.get(a[i])
                 if x is None:
-                    x = next(_sets(batch.column(2).slice(i, 1)))[1][0]
+                    x = next(_sets(text(batch.column(2).slice(i, 1))))[1][0]
                     memory = {a[i]: x} if len(memory) > 64 else memory | {a[i]: x}
                 if len(x) and len(y) and _key(x) == a[i] and _key(y) == b[i] and similar(x, y):
                     fit.append(i)
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fit, pa.int64())), batch.column(1).take(pa.array(fit, pa.int64()))], names=["u", "v"])
 
 
+def _fitting(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidate pairs whose bitmaps allow the threshold."""
+    x, y = (classes.select(F.col("key").alias(c), F.struct("n", *_BITS).alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where(F.expr(_may_match("x", "y"))).select("a", "b")
+
+
+def _sized(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["key", "text"])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (u, v) among candidate pairs of class keys; the text of each class is that of its least document."""
-    spark = docs.sparkSession
     involved = scratch.keep(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select("key", "rep"), "involved")
-    if involved.count() <= BROADCAST_ROWS:
-        involved = F.broadcast(involved)
-    texts = scratch.keep(docs.select(F.col("doc_id").alias("rep"), "text").join(involved, "rep").select("key", "text"), "texts")
-    left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(_sized(involved), "rep").select("key", "text")
+    texts = scratch.keep(texts.mapInArrow(_pressed, "key long, text binary"), "texts")
+    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")).join(_sized(pairs), "a")
     both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     return scratch.keep(both.mapInArrow(_verify, "u long, v long"), "verified")
 
@@ -220,36 +262,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
-    seen = scratch.keep(docs.mapInArrow(_first_pass, "counted boolean, doc_id long, key long, n long"), "sets")
+    seen = scratch.keep(docs.mapInArrow(_first_pass, _SETS), "sets")
     meta = seen.where("not counted")
     tops = seen.where("counted").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
     late = np.array([r["key"] for r in tops], dtype=np.int64).view(np.uint64)
     by = np.argsort(late)
     late, place = late[by], -by
-    classes = scratch.keep(meta.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.keep(meta.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *(F.min(c).alias(c) for c in _BITS)), "classes")
 
     shared = spark.sparkContext.broadcast((late, place))
     prefixes = docs.where("doc_id is not null").mapInArrow(lambda it: _prefixes(*shared.value)(it), "token long, key long, n int, at int")
-    found = scratch.keep(prefixes.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_buckets, "a long, b long, token long, n int, at int"), "candidates")
-    links = _verified(found.where("b is not null").select("a", "b").distinct(), docs, classes)
+    found = scratch.keep(prefixes.repartition("token").sortWithinPartitions("token", "at", F.xxhash64("key", F.pmod("token", F.lit(LEADERS)))).mapInArrow(_buckets, "a long, b long, token long, n int, at int"), "candidates")
+    stars = scratch.keep(_fitting(found.where("b is not null").select("a", "b").distinct(), classes), "pairs")
+    links = _verified(stars, docs, classes)
     groups = scratch.keep(components(links), "groups")
 
     rest = found.where("token is not null").select(F.col("a").alias("key"), "token", "n", "at")
     rest = scratch.keep(rest.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "token", "n", "at", F.coalesce("component", "key").alias("group")), "rest")
     size = rest.groupBy("token", "group").agg(F.count(F.lit(1)).alias("n"))
     mixed = scratch.keep(size.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "group"))["group"].alias("main")).where("groups > 1").select("token", "main"), "mixed")
-    bucket = scratch.keep(rest.join(mixed, "token"), "mixed-rows")
+    bucket = scratch.keep(rest.join(mixed, "token").join(classes.select("key", *_BITS), "key"), "mixed-rows")
     few = bucket.where("group != main")
     x, y = few.alias("x"), bucket.alias("y")
     fits = F.expr(
         f"x.token = y.token and x.group != y.group and (y.group = y.main or x.key < y.key) and 100 * least(x.n, y.n) >= {THRESHOLD} * greatest(x.n, y.n)"
         f" and ({100 + THRESHOLD}) * (1 + least(x.n - x.at - 1, y.n - y.at - 1)) >= {THRESHOLD} * (x.n + y.n)"
+        f" and {_may_match('x', 'y')}"
     )
     more = scratch.keep(x.join(y, fits).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")), ["a", "b"], "left_anti"), "open")
     if not more.isEmpty():
         groups = scratch.keep(components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_verified(more, docs, classes))), "groups")
 
-    named = classes.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("group"))
+    named = classes.select("key", "rep").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("group"))
     least = named.groupBy("group").agg(F.min("rep").alias("component_id"))
     named = scratch.keep(named.join(scratch.keep(least, "least"), "group").select("key", "component_id"), "named")
     out = meta.join(named, "key", "left")
