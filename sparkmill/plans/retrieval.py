@@ -73,7 +73,7 @@ QUERIES = {
     "topk_cosine": (topk_cosine, _HITS + "select qid, id, round(score, 6) score, ranking from r where ranking <= 20"),
     "topk_threshold_fallback": (
         topk_threshold_fallback,
-        _HITS + ", t as (select * from r where ranking <= 20), a as (select qid, max(score) > 0.5 some from t group by qid) select qid, id, round(score, 6) score, ranking from t join a using (qid) where score > 0.5 or not some",
+        _HITS + ", t as (select * from r where ranking <= 20), a as (select qid, max(score) > 0.5 as above from t group by qid) select qid, id, round(score, 6) score, ranking from t join a using (qid) where score > 0.5 or not above",
     ),
     "topk_filter_relax": (
         topk_filter_relax,
