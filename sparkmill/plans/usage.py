@@ -117,7 +117,11 @@ QUERIES = {
         lambda s, d: U.timings(_log(s, d), "model").select("stage", "n", *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p95"))),
         "select event_type stage, count(*) n, round(avg(value), 6) mean, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95 from events group by 1",
     ),
-    "history_page": (history_page, f"select event_id, user_id, ts from {_LOG} where ts >= '2024-01-05' and ts < '2024-01-06' and device = 'CPU' order by ts desc, event_id desc limit 20 offset 20"),
+    "history_page": (
+        history_page,
+        "select event_id, user_id, ts from (select event_id, user_id, ts, row_number() over (order by ts desc, event_id desc) p, count(*) over () c"
+        f" from {_LOG} where ts >= '2024-01-05' and ts < '2024-01-06' and device = 'CPU') where ceil(p / 20) = least(2, greatest(1, ceil(c / 20)))",
+    ),
     "query_donut": (lambda s, d: U.donut(_log(s, d), 1), "select count(*) filter (user_id = 1) mine, count(*) filter (user_id != 1) others from events"),
     "latest_match_left_join": (
         latest_match_left_join,
