@@ -4,6 +4,7 @@ Method: each task indexes its shards of whole texts (:mod:`.fm_index`), finds th
 search, locates the occurrences by sampled suffix positions and merges them into spans. Words that no item holds
 cannot be part of an occurrence, so the index keeps only runs of item words that are long enough for the shortest
 window; this changes no result. Documents are not shuffled; the items travel to the tasks in blocks of a checked size.
+Each block is searched in the whole texts; the hit words are carried from block to block and counted or cut at the end.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from . import words
+from . import scratch, words
 from .fm_index import FMIndex
 
 #: Words of a window.
@@ -23,6 +24,8 @@ WINDOW = 10
 SHARD_BYTES = 1 << 22
 #: Bytes of item texts that go to the tasks at once; more items take further passes over the documents.
 ITEM_BYTES = 32 << 20
+#: Column of the hit words of earlier blocks of items.
+SPANS = "__hit_spans"
 
 
 class _Items:
@@ -93,13 +96,14 @@ def _shard(items: _Items, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     return np.diff(first), np.cumsum(change)[:-1] > 0, inside, (starts, ends, first)
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[str, str]]]:
-    """Items by blocks of at most ``ITEM_BYTES`` of text each."""
+def _blocks(items: DataFrame) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """``(items, whether more follow)``, a block of about ``ITEM_BYTES`` of text at a time; at least one block."""
     known = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = known.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n = 1 + int(total) // ITEM_BYTES
-    parts = [known] if n == 1 else [known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
-    return [[(r[0], r[1]) for r in part.toLocalIterator()] for part in parts]
+    for i in range(n):
+        part = known if n == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
+        yield [(r[0], r[1]) for r in part.toLocalIterator()], i + 1 < n
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, clean: bool = False) -> DataFrame:
@@ -118,34 +122,62 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, clean
     """
     source = docs if clean else docs.select("doc_id", "text", F.lit(0).alias("n_words"), F.lit(0).alias("n_hit"), F.array().cast("array<string>").alias("items"))
     names = source.columns
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     out = source
-    for block in _blocks(items):
-        shared = spark.sparkContext.broadcast(_Items(block, window))
+    for block, more in _blocks(items):
+        shared = context.broadcast(_Items(block, window))
+        held = list(out.columns)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, more=more, held=held) -> Iterator[pa.RecordBatch]:
             known = shared.value
             for batch in batches:
-                column = batch.column(names.index("text"))
+                column = batch.column(held.index("text"))
                 for lo, hi, data, offsets in words.slices(column, SHARD_BYTES):
                     part = batch.slice(lo, hi - lo)
                     n, hit, inside, (starts, ends, first) = _shard(known, data, offsets)
-                    if clean:
-                        fields = {"text": _cut(part.column(names.index("text")), data, offsets, hit, starts, ends, first)}
+                    if SPANS in held:
+                        hit = hit | _hits(part.column(held.index(SPANS)), first)
+                    fields = {}
+                    if more:
+                        fields[SPANS] = _spans(hit, first)
+                    elif clean:
+                        fields["text"] = _cut(part.column(held.index("text")), data, offsets, hit, starts, ends, first)
                     else:
                         before = np.concatenate([[0], np.cumsum(hit)])
-                        had = part.column(names.index("items")).to_pylist()
-                        fields = {
-                            "n_words": pa.array(n, pa.int32()),
-                            "n_hit": pa.array(before[first[1:]] - before[first[:-1]], pa.int32()),
-                            "items": pa.array([sorted({*(a or ()), *(known.ids[i] for i in b)}) for a, b in zip(had, inside, strict=True)], pa.list_(pa.string())),
-                        }
-                    yield pa.RecordBatch.from_arrays([fields.get(c, part.column(i)) for i, c in enumerate(names)], names=names)
-
-        out = out.mapInArrow(search, source.schema)
+                        fields["n_words"] = pa.array(n, pa.int32())
+                        fields["n_hit"] = pa.array(before[first[1:]] - before[first[:-1]], pa.int32())
+                    if not clean:
+                        had = part.column(held.index("items")).to_pylist()
+                        fields["items"] = pa.array([sorted({*(a or ()), *(known.ids[i] for i in b)}) for a, b in zip(had, inside, strict=True)], pa.list_(pa.string()))
+                    to = [*names, SPANS] if more else names
+                    yield pa.RecordBatch.from_arrays([fields[c] if c in fields else part.column(held.index(c)) for c in to], names=to)
+
+        schema = T.StructType([*source.schema.fields, T.StructField(SPANS, T.ArrayType(T.IntegerType()))]) if more else source.schema
+        out = out.mapInArrow(search, schema)
+        if more:  # the block's work is done before the next one is loaded
+            out = scratch.keep(out, "hit-spans")
+            shared.destroy()
     return out if clean else out.drop("text")
 
 
+def _spans(hit: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Per row the numbers, within the row, of the words at which runs of hit words begin and end, in turn."""
+    out = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        inside = np.concatenate([[False], hit[a:b], [False]])
+        out.append(np.flatnonzero(inside[1:] != inside[:-1]))
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def _hits(spans: pa.Array, first: np.ndarray) -> np.ndarray:
+    """What :func:`_spans` has written, as one flag a word."""
+    change = np.zeros(int(first[-1]) + 1, dtype=np.int64)
+    for a, edges in zip(first[:-1], spans.to_pylist(), strict=True):
+        np.add.at(change, a + np.array(edges[::2], dtype=np.int64), 1)
+        np.add.at(change, a + np.array(edges[1::2], dtype=np.int64), -1)
+    return np.cumsum(change)[:-1] > 0
+
+
 def _cut(column: pa.Array, data: np.ndarray, offsets: np.ndarray, hit: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> pa.Array:
     before = np.concatenate([[0], np.cumsum(hit)])
     touched = np.flatnonzero(before[first[1:]] > before[first[:-1]])

@@ -263,6 +263,22 @@ def test_decontamination_in_blocks_of_items(spark, monkeypatch):
     assert op10.contamination(docs, bench).head() == whole and len(whole["items"]) == 40
 
 
+def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    text = [f"w{i}" for i in range(400)]
+    bench = [(i, " ".join(text[a : a + 14])) for i, a in enumerate(rng.sample(range(380), 30))]  # most overlap with others
+    bench += [(100 + i, " ".join([*text[a - 5 : a], *text[a + 10 : a + 15]])) for i, a in enumerate((50, 150))]  # not there until words are cut
+    bench = spark.createDataFrame(bench, "item_id int, text string")
+    docs = documents(spark, [" ".join(text), " ".join(text[:60]), "own words " * 20 + " ".join(text[200:260]), None, "", "w1 w2", " ".join(text)])
+    whole = sorted(op10.contamination(docs, bench).collect())
+    cut = sorted(op10.contamination(docs, bench, clean=True).select("doc_id", F.coalesce("text", F.lit("-"))).collect())
+    for size in (2000, 700):
+        monkeypatch.setattr(op10, "ITEM_BYTES", size)
+        assert len(list(op10._blocks(bench))) > 1
+        assert sorted(op10.contamination(docs, bench).collect()) == whole
+        assert sorted(op10.contamination(docs, bench, clean=True).select("doc_id", F.coalesce("text", F.lit("-"))).collect()) == cut
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
