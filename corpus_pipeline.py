@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without chunks that stand earlier; a document of which nothing is left goes."""
-    cut = op7_line_dedup.without_repeats(docs).where("n_removed = 0 or trim(translate(text, '\\n', ' ')) != ''").drop("n_removed")
+    """Texts without chunks and passages that stand earlier; a document of which nothing is left goes."""
+    cut = op7_line_dedup.without_repeats(docs, passages=True).where("n_removed = 0 or trim(translate(text, '\\n', ' ')) != ''").drop("n_removed")
     return _recounted(cut)
 
 

@@ -4,6 +4,9 @@ A rolling hash over the hashes of the last ``SPAN`` lines ends a chunk where it
 passage is cut alike wherever it stands. Of every chunk of at least two lines (or ``LONG_WORDS`` words in one) that
 occurs more than once, the first occurrence by (doc_id, place) stays and the others are removed.
 
+A passage's own lines do not fix the boundaries beside it, so a repeated passage can be glued to its neighbours and
+stay. ``passages`` finds those as well, by windows of lines; the pipeline asks for it, the query gives the rows of its SQL.
+
 Only SQL functions run here. Texts are cut twice: first only chunk hashes are counted (16 bytes a chunk, partial
 aggregates), then the chunks with repeated hashes are compared byte by byte, by grouping on the chunk itself. What
 leaves the second step is one (document, chunk number) for each removed chunk; texts are joined with those by doc_id.
@@ -11,7 +14,7 @@ leaves the second step is one (document, chunk number) for each removed chunk; t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import scratch
 
@@ -19,6 +22,8 @@ from . import scratch
 SPAN, CUT, LONG_WORDS = 2, 3, 50
 #: Rows up to which a table of ids is broadcast (some 24 bytes a row); larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Repeated runs of a document, in order: their first line, the lines since the run before, and their own.
+_RUNS = "array<struct<first:int,before:int,lines:int>>"
 
 
 def _line_hash(line: Column) -> Column:
@@ -56,16 +61,66 @@ def _exploded(docs: DataFrame) -> DataFrame:
     return cut.where((F.col("several") & (F.trim(F.translate("chunk", "\n", "")) != "")) | (words >= LONG_WORDS)).drop("several")
 
 
+def _windows(docs: DataFrame, digest) -> DataFrame:
+    """The least windows of ``LONG_WORDS`` words, from each line on and up to each line: doc_id, row, first, last line (from 0), h.
+
+    Blank lines have no words and make no difference to a window. A window depends on its own lines alone, so a run of
+    so many words has the same windows wherever it stands, and these cover all of it.
+    """
+    lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.trim("line") != "")
+    lines = lines.select("doc_id", "row", "at", F.size(F.split(F.trim("line"), " +")).cast("long").alias("words"), digest(F.col("line")).alias("d"))
+    lines = lines.repartition("doc_id", "row").dropDuplicates(["doc_id", "row", "at"])  # equal rows are one document
+    text = Window.partitionBy("doc_id", "row")
+    lines = lines.withColumn("upto", F.sum("words").over(text.orderBy("at"))).withColumn("before", F.col("upto") - F.col("words"))
+    up = text.orderBy("upto").rangeBetween(1 - LONG_WORDS, 0)
+    on = text.orderBy("before").rangeBetween(0, LONG_WORDS - 1)
+    # the hashes of lines are collected in the order of the lines; a frame has at most LONG_WORDS of them
+    lines = lines.withColumns({"up": F.collect_list("d").over(up), "up_at": F.min("at").over(up), "up_words": F.sum("words").over(up)})
+    lines = lines.withColumns({"on": F.collect_list("d").over(on), "on_at": F.max("at").over(on), "on_words": F.sum("words").over(on)})
+    found = F.array(
+        F.when(F.col("up_words") >= LONG_WORDS, F.struct(F.col("up_at").alias("first"), F.col("at").alias("last"), digest(F.concat_ws(",", F.col("up").cast("array<string>"))).alias("h"))),
+        F.when(F.col("on_words") >= LONG_WORDS, F.struct(F.col("at").alias("first"), F.col("on_at").alias("last"), digest(F.concat_ws(",", F.col("on").cast("array<string>"))).alias("h"))),
+    )
+    return lines.select("doc_id", "row", F.explode(F.array_distinct(found)).alias("w")).where("w is not null").select("doc_id", "row", "w.*")
+
+
+def _repeated_runs(docs: DataFrame) -> DataFrame:
+    """Per document the runs of lines that stand earlier: doc_id, row, runs.
+
+    Hashes of 64 bits choose the documents in which SHA-256 of the windows' lines is then compared. The first
+    occurrence of a line is in no later occurrence of a window, so every line stays somewhere.
+    """
+    quick = scratch.keep(_windows(docs, F.xxhash64), "windows")
+    often = scratch.keep(quick.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often-windows")
+    rows = scratch.keep(quick.join(_sized(often), "h", "left_semi").select(F.col("row").alias("__with")).distinct(), "with-repeats")
+    exact = scratch.keep(_windows(docs.join(_sized(rows), F.col("row") == F.col("__with"), "left_semi"), lambda c: F.sha2(c, 256)), "exact-windows")
+    place = F.struct("doc_id", "row", "first", "last")
+    least = exact.groupBy("h").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "p")
+    later = exact.join(scratch.keep(least, "first-windows"), "h").where(place != F.col("p")).select("doc_id", "row", "first", "last")
+    text = Window.partitionBy("doc_id", "row")
+    order = text.orderBy("first", "last")
+    reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    later = later.withColumn("fresh", F.coalesce((F.col("first") > reached + 1).cast("int"), F.lit(1)))
+    later = later.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = later.groupBy("doc_id", "row", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    runs = runs.withColumn("before", F.col("first") - F.coalesce(F.lag("last").over(text.orderBy("first")), F.lit(-1)) - 1)
+    runs = runs.select("doc_id", "row", F.struct("first", "before", (F.col("last") - F.col("first") + 1).alias("lines")).alias("r"))
+    return runs.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list("r")).cast(_RUNS).alias("runs"))
+
+
 def _sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, passages: bool = False) -> DataFrame:
     """The columns of docs (doc_id, text and more) with repeated chunks cut out of ``text``, and ``n_removed`` chunks.
 
     Null text stays null, an empty one empty; blank chunks stay. Documents are ordered by doc_id (null first), those of
     one doc_id by a hash of their text; rows equal in both count as one document and all keep what is first in it. A
     column of docs named n_removed is replaced, other columns pass through.
+
+    With ``passages`` every run of lines of at least ``LONG_WORDS`` words together that stands earlier is cut out too,
+    wherever the chunks end; runs that meet are one and count as one in ``n_removed``, with the repeated chunks.
     """
     docs = docs.drop("n_removed").withColumn("__row", F.xxhash64("doc_id", "text"))
     keyed = docs.select("doc_id", "text", F.col("__row").alias("row"))
@@ -82,14 +137,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         odd = first.where("n > 1").join(several, "h", "left_semi").select("h", "chunk", "p")
         later = later.union(found.join(odd, ["h", "chunk"]).where(place != F.col("p")).select("doc_id", "row", "at"))
     gone = scratch.keep(later.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone")), "gone")
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__gone_row"), F.col("gone").alias("__gone"))
+    gone = gone.withColumn("runs", F.array().cast(_RUNS))
+    if passages:
+        runs = scratch.keep(_repeated_runs(keyed).withColumn("gone", F.array().cast("array<int>")), "runs")
+        gone = gone.unionByName(runs).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.flatten(F.collect_list("runs")).alias("runs"))
+        gone = scratch.keep(gone, "gone-lines")
+    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__gone_row"), F.col("gone").alias("__gone"), F.col("runs").alias("__runs"))
     both = docs.join(_sized(gone), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__gone_row")), "left")
     plain, cut = both.where("__gone is null"), both.where("__gone is not null")
     names = [f"`{c}`" for c in docs.columns if c != "__row"]
-    kept = _chunks(cut.select("__gone", "text", F.struct(*names).alias("__rest")))
+    kept = _chunks(cut.select("__gone", "__runs", "text", F.struct(*names).alias("__rest")))
     kept = kept.withColumn("out", F.flatten(F.transform("chunks", lambda c, i: F.array_repeat(F.array_contains("__gone", i), c["last"] - c["first"] + 1))))
+    if passages:
+        run = F.flatten(F.transform("__runs", lambda r: F.concat(F.array_repeat(F.lit(False), r["before"]), F.array_repeat(F.lit(True), r["lines"]))))
+        kept = kept.withColumn("out", F.zip_with("out", run, lambda a, b: a | F.coalesce(b, F.lit(False))))
     kept = kept.withColumn("text", F.array_join(F.filter(F.zip_with("lines", "out", lambda line, out: F.when(~out, line)), lambda line: line.isNotNull()), "\n"))
-    kept = kept.select(*(F.col("text") if c == "`text`" else F.col(f"__rest.{c}") for c in names), F.size("__gone").cast("long").alias("n_removed"))
+    kept = kept.select(*(F.col("text") if c == "`text`" else F.col(f"__rest.{c}") for c in names), (F.size("__gone") + F.size("__runs")).cast("long").alias("n_removed"))
     return plain.select(*names, F.lit(0).cast("long").alias("n_removed")).union(kept)
 
 

@@ -189,6 +189,25 @@ def test_line_dedup(spark):
     assert op7.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_passages_between_own_lines(spark):
+    rng = random.Random(3)
+    texts, shared = [], {n: "\n".join(" ".join(f"p{n}x{i}y{k}" for k in range(-(-60 // n))) for i in range(n)) for n in (1, 2, 3, 6)}
+    shared[4] = "\n".join(["a4 " * 30, "", "short", "b4 " * 30])  # its middle is in no window of its own
+    for copy in range(6):
+        for passage in shared.values():
+            texts.append(f"own {rng.random()}\nline {rng.random()}\n{passage}\nnext {rng.random()}\nlast {rng.random()}")
+    texts += [None, "", "\n\n", "few words\ntwice", "y " * 30 + "\n" + "z " * 10, "other\n" + "y " * 30]
+    docs = documents(spark, texts)
+    got = {r["doc_id"]: r for r in op7.without_repeats(docs.union(docs.where("doc_id = 7")), passages=True).collect()}
+    want = {i: t for i, t in enumerate(texts)}
+    for i in range(len(shared), 6 * len(shared)):
+        lines = texts[i].split("\n")
+        want[i] = "\n".join(lines[:2] + lines[-2:])
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all((got[i]["n_removed"] > 0) == (want[i] != texts[i]) for i in want)
+    assert op7.without_repeats(docs.limit(0), passages=True).count() == 0
+
+
 def test_token_file(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = ["It's  a test.\n\nOf <|endoftext|> spaces ", None, "", "Über façade naïve 漢字 " * 300, "a" * 5000, " x", "same", "same"]
