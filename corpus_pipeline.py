@@ -21,8 +21,8 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without a letter, or unlike every prototype, go."""
-    return op4_language.identified(docs).where("lang_pred != 'und' and score > 0").drop("lang_pred", "score")
+    """Documents in a language that was learned; those without a letter, or no more like a prototype than unrelated texts, go."""
+    return op4_language.recognised(docs).drop("lang_pred", "score")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

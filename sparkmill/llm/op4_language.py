@@ -16,12 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import words
+from . import scratch, words
 
 #: Components of a vector, letters of an n-gram, and the scale at which unit vectors become integers.
 DIMENSIONS, GRAM, SCALE = 1024, 3, 1 << 20
 #: Documents whose crc32(doc_id) leaves this remainder by 3 are held out of training.
 HELD_OUT = 1
+#: Five standard deviations of the cosine of unrelated vectors; the quantile of training scores taken where these are lower.
+NOISE, LOWEST = 5 / DIMENSIONS**0.5, 0.001
 #: Vectors of trigrams that a worker remembers.
 REMEMBERED = 30_000
 
@@ -158,6 +160,22 @@ def identified(docs: DataFrame) -> DataFrame:
     return predicted(docs, prototypes(docs.where(~held_out(F.col("doc_id")))))
 
 
+def recognised(docs: DataFrame) -> DataFrame:
+    """The rows of :func:`identified` whose text is like what was learned, with lang_pred and score.
+
+    A cosine under ``NOISE`` says no more than that of unrelated texts, so such a text goes, unless training documents
+    about as long, predicted rightly, score as low: then their ``LOWEST`` quantile is the limit. So a long text in an
+    unlearned script or of random letters goes, and a clean one of a few letters stays if such were learned.
+    """
+    found = scratch.keep(identified(docs).where("lang_pred != 'und' and score > 0"), "identified")
+    about = F.floor(F.log2(F.length("text"))).cast("int")
+    learned = found.where(~held_out(F.col("doc_id")) & (F.col("lang") == F.col("lang_pred")))
+    limits = learned.groupBy(about.alias("__about")).agg(F.percentile_approx("score", LOWEST, 10000).alias("__limit"))
+    limits = F.broadcast(scratch.keep(limits, "limits"))  # a row a power of two
+    judged = found.join(limits, about == F.col("__about"), "left").where(F.col("score") >= F.least("__limit", F.lit(NOISE)))
+    return judged.drop("__about", "__limit")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """``op4_language``: all documents, trained on those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

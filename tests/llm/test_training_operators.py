@@ -306,6 +306,19 @@ def folder(spark, tmp_path_factory):
     return path
 
 
+def test_pipeline_language_rejects_what_was_not_learned(spark, folder):
+    rng = random.Random(9)
+    alphabets = ["".join(map(chr, range(a, b))) for a, b in ((0x3B1, 0x3CA), (0x430, 0x450), (0x4E00, 0x5200))] + ["abcdefghijklmnopqrstuvwxyz"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = docs.where("text rlike '[A-Za-zÀ-ÿ]'")
+    made = [(10**6 + i, " ".join("".join(rng.choices(alphabets[i % 4], k=rng.randint(2, 9))) for _ in range(120))) for i in range(80)]
+    made = [i for i in made if zlib.crc32(str(i[0]).encode()) % 3 == op4.HELD_OUT]  # not learned from
+    other = spark.createDataFrame(made, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text")})
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(other.select(*(F.col(c).cast(docs.schema[c].dataType) for c in docs.columns))), folder)
+    assert len(made) > 15 and kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in clean.collect()}
+
+
 def test_pipeline_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
