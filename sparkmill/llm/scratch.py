@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_open = threading.local()
+#: Tables that results still read when the outermost :func:`steps` ended.
+_left: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder where that is unset and all tasks run on this machine, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="sparkmill-"))
     return _LOCAL[0]
@@ -25,13 +34,34 @@ def fresh(spark: SparkSession, what: str) -> str:
     return f"{root(spark)}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def keep(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
+def _stack() -> list[list[str]]:
+    if not hasattr(_open, "stack"):
+        _open.stack = []
+    return _open.stack
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """Tables kept inside are removed at the end; those kept with ``stay`` are left to the steps around these, or to :func:`clear`."""
+    stack = _stack()
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            drop(spark, path)
+
+
+def keep(df: DataFrame, what: str, codec: str = "snappy", stay: bool = False) -> DataFrame:
     """Write ``df`` and read it back: later jobs read the table, so a lost executor costs no recomputation of what came before.
 
-    The readers need no lineage, and a second use of the result does not run the plan again.
+    The readers need no lineage, and a second use of the result does not run the plan again. ``stay``: the result of
+    the :func:`steps` reads it.
     """
     spark = df.sparkSession
     path = fresh(spark, what)
+    stack = _stack()[: -1 if stay else None]
+    (stack[-1] if stack else _left).append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -41,3 +71,9 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that results still read: call it when these have been written or collected."""
+    while _left:
+        drop(spark, _left.pop())
