@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without chunks and passages that stand earlier; a document of which nothing is left goes."""
-    cut = op7_line_dedup.without_repeats(docs, passages=True).where("n_removed = 0 or trim(translate(text, '\\n', ' ')) != ''").drop("n_removed")
+    cut = op7_line_dedup.without_repeats(docs).where("n_removed = 0 or trim(translate(text, '\\n', ' ')) != ''").drop("n_removed")
     return _recounted(cut)
 
 
@@ -64,6 +64,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, on the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    with scratch.steps(spark):
+        for name, stage in STAGES:
+            with scratch.steps(spark):  # what a stage's result reads goes when the result is written
+                docs = scratch.keep(stage(spark, docs, sf_dir), name, stay=True)
     return docs
