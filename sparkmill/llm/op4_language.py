@@ -24,12 +24,12 @@ DIMENSIONS, GRAM, SCALE = 1024, 3, 1 << 20
 HELD_OUT = 1
 #: Five standard deviations of the cosine of unrelated vectors; the quantile of training scores taken where these are lower.
 NOISE, LOWEST = 5 / DIMENSIONS**0.5, 0.001
-#: Vectors of trigrams that a worker remembers.
-REMEMBERED = 30_000
+#: Vectors of trigrams that a worker remembers (1 KB each), trigrams and texts that are multiplied at once, and characters of a text.
+REMEMBERED, GRAMS, ROWS, CHARACTERS = 16_384, 4096, 256, 1 << 19
 
 _LETTER = np.zeros(0x110000, dtype=np.uint32)
 _memory: dict[int, int] = {}
-_vectors = np.zeros((0, DIMENSIONS), dtype=np.float32)
+_vectors = np.zeros((0, DIMENSIONS), dtype=np.int8)
 
 
 def _letters() -> np.ndarray:
@@ -49,25 +49,51 @@ def _letter_vector(c: int, place: int) -> np.ndarray:
 
 
 def _gram_vectors(grams: np.ndarray) -> np.ndarray:
+    """The vectors of at most ``GRAMS`` trigrams."""
     global _vectors
-    if len(_memory) + len(grams) > REMEMBERED and len(_memory):
+    if not len(_vectors):
+        _vectors = np.empty((REMEMBERED, DIMENSIONS), dtype=np.int8)
+    new = [g for g in grams.tolist() if g not in _memory]
+    if len(_memory) + len(new) > REMEMBERED:
         _memory.clear()
-    new = [int(g) for g in grams if int(g) not in _memory]
-    if new:
-        letters: dict[tuple[int, int], np.ndarray] = {}
-        made = np.empty((len(new), DIMENSIONS), dtype=np.float32)
-        for i, g in enumerate(new):
-            v = np.ones(DIMENSIONS, dtype=np.int8)
-            for place in range(GRAM):
-                k = ((g >> (21 * place)) & 0x1FFFFF, place)
-                if k not in letters:
-                    letters[k] = _letter_vector(*k)
-                v = v * letters[k]
-            made[i] = v
-        held = len(_memory)
-        _vectors = np.concatenate([_vectors[:held], made])
-        _memory.update(zip(new, range(held, held + len(new)), strict=True))
-    return _vectors[[_memory[int(g)] for g in grams]]
+        new = grams.tolist()
+    letters: dict[tuple[int, int], np.ndarray] = {}
+    for i, g in enumerate(new, len(_memory)):
+        _vectors[i] = 1
+        for place in range(GRAM):
+            k = ((g >> (21 * place)) & 0x1FFFFF, place)
+            if k not in letters:
+                letters[k] = _letter_vector(*k)
+            _vectors[i] *= letters[k]
+    _memory.update(zip(new, range(len(_memory), len(_memory) + len(new)), strict=True))
+    return _vectors[[_memory[g] for g in grams.tolist()]].astype(np.float32)
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about ``CHARACTERS``, cut at what is no letter: no trigram has that in its middle."""
+    at = 0
+    while len(text) - at > CHARACTERS:
+        end = at + CHARACTERS
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different trigrams of the texts, and for each occurrence its number among these and its text."""
+    texts = [f" {t} " for t in texts]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    letters = _letters()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    use = np.ones(len(letters), dtype=bool)
+    use[1:] = (letters[1:] > 0) | (letters[:-1] > 0) | (row[1:] != row[:-1])
+    letters, row = letters[use].astype(np.int64), row[use]
+    gram = letters[:-2] | letters[1:-1] << 21 | letters[2:] << 42
+    fit = (row[:-2] == row[2:]) & (letters[1:-1] > 0) if len(letters) > 2 else np.zeros(0, dtype=bool)
+    kinds, at = np.unique(gram[fit], return_inverse=True)
+    return kinds, at, row[:-2][fit]
 
 
 def bundles(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -75,27 +101,16 @@ def bundles(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
     Letters are lowered; between them, and at both ends, whatever is no letter is one space.
     """
-    table = _letters()
-    for lo, hi, _, _ in words.slices(column, 1 << 19):
-        texts = [" " + (t or "") + " " for t in column.slice(lo, hi - lo).to_pylist()]
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        letters = table[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        row = np.repeat(np.arange(len(texts)), size)
-        use = np.ones(len(letters), dtype=bool)
-        use[1:] = (letters[1:] > 0) | (letters[:-1] > 0) | (row[1:] != row[:-1])
-        letters, row = letters[use].astype(np.int64), row[use]
-        gram = letters[:-2] | letters[1:-1] << 21 | letters[2:] << 42
-        fit = (row[:-2] == row[2:]) & (letters[1:-1] > 0) if len(letters) > 2 else np.zeros(0, dtype=bool)
-        kinds, at = np.unique(gram[fit], return_inverse=True)
+    for lo, hi, _, _ in words.slices(column, CHARACTERS, ROWS):
+        texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
         out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
-        for a in range(0, len(kinds), 4096):  # so many vectors at once
-            inside = (at >= a) & (at < a + 4096)
-            width = min(4096, len(kinds) - a)
-            for b in range(0, len(texts), 256):
-                own = inside & (row[:-2][fit] >= b) & (row[:-2][fit] < b + 256)
-                rows = min(256, len(texts) - b)
-                counts = np.bincount((row[:-2][fit][own] - b) * width + at[own] - a, minlength=rows * width)
-                out[b : b + rows] += counts.reshape(rows, width).astype(np.float32) @ _gram_vectors(kinds[a : a + width])
+        for part in [texts] if len(texts) > 1 else ([p] for p in _parts(texts[0])):
+            kinds, at, row = _counted(part)
+            for a in range(0, len(kinds), GRAMS):
+                width = min(GRAMS, len(kinds) - a)
+                own = (at >= a) & (at < a + GRAMS)
+                counts = np.bincount(row[own] * width + at[own] - a, minlength=len(texts) * width)
+                out += counts.reshape(len(texts), width).astype(np.float32) @ _gram_vectors(kinds[a : a + width])
         yield lo, out
 
 
@@ -114,8 +129,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and their unit prototypes, from (text, lang); a null or empty lang teaches nothing."""
-    parts = docs.where("lang is not null and lang != ''").select("text", "lang").mapInArrow(_train, "lang string, v array<bigint>")
+    """Languages, sorted, and their unit prototypes, from (text, lang); a null lang teaches nothing."""
+    parts = docs.where("lang is not null").select("text", "lang").mapInArrow(_train, "lang string, v array<bigint>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("v"))
     rows = sorted((r["lang"], r["v"]) for r in sums.collect())  # a row a language
     vectors = np.array([v for _, v in rows], dtype=np.float64).reshape(len(rows), DIMENSIONS)

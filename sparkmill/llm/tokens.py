@@ -2,7 +2,8 @@
 
 A text is cut where the tokenizer never joins the two sides, so each distinct piece is encoded once by the
 tokenizers library and then looked up by a 64-bit hash of its bytes (two pieces share one with probability 2**-64). The
-look-up table of a worker is emptied when it holds ``PIECES`` pieces.
+look-up table of a worker is emptied when it holds ``PIECES`` pieces. Texts that hold a special token of the tokenizer
+as text, in any case, or rare white space are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -32,6 +33,17 @@ def _other_spaces(data: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
+def _spelled(data: np.ndarray, token: bytes) -> np.ndarray:
+    """Places of a lower-case token, A-Z lowered."""
+    n = len(token)
+    if len(data) < n:
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(words.lowered(data[: len(data) - n + 1]) == token[0])
+    for i in range(1, n):
+        at = at[words.lowered(data[at + i]) == token[i]]
+    return at
+
+
 class Coder:
     """``byte_level``: white space belongs to the pieces, each a run of it and what follows; else the tokenizer lowers and drops it."""
 
@@ -40,7 +52,7 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.special = [t.content.lower().encode() for t in self.model.get_added_tokens_decoder().values()]
         self.byte_level = byte_level
         self._forget()
 
@@ -94,7 +106,10 @@ class Coder:
         piece = self.place[at][back] if len(h) else np.zeros(0, dtype=np.int64)
         size = self.size[piece]
         odd: dict[int, list[int]] = {}
-        if self.byte_level and len(data) > 1 and len(strange := _other_spaces(data)):  # spaces of both kinds can be one piece
+        strange = [_spelled(data, t) for t in self.special]
+        if self.byte_level and len(data) > 1:  # spaces of both kinds can be one piece
+            strange.append(_other_spaces(data))
+        if len(strange := np.concatenate(strange)):
             for row in np.unique(np.searchsorted(offsets, strange, side="right") - 1).tolist():
                 odd[row] = self.model.encode(data[offsets[row] : offsets[row + 1]].tobytes().decode(), add_special_tokens=False).ids
                 size[first[row] : first[row + 1]] = 0

@@ -43,17 +43,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lowered."""
+    return _LOWER[data]
+
+
 def _power(base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        out = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
+    """The first ``n`` powers, at most ``SLICE_BYTES`` + 1."""
+    if int(base) not in _powers:
+        out = np.full(SLICE_BYTES + 1, base, dtype=np.uint64)
         out[0] = 1
-        have = _powers[int(base)] = np.multiply.accumulate(out)
-    return have[:n]
+        _powers[int(base)] = np.multiply.accumulate(out)
+    return _powers[int(base)][:n]
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first row, end row, bytes, offsets)`` of consecutive rows holding about ``most`` bytes; null counts as empty."""
+def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(first row, end row, bytes, offsets)`` of at most ``rows`` consecutive rows holding about ``most`` bytes; null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     if not len(column):
         return
@@ -63,7 +68,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
     row = 0
     while row < len(column):
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
-        end = min(end, len(column))
+        end = min(end, len(column), row + rows)
         yield row, end, raw[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
 
@@ -84,11 +89,29 @@ def bounds(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A hash of each word, of its bytes, by default with A-Z lowered."""
-    rising = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[data] if lower else data] * _power(_BASE, len(data)), out=rising[1:])
-    own = (rising[ends] - rising[starts]) * _power(_INVERSE, len(data) + 1)[starts]
-    return mix(own + (ends - starts).astype(np.uint64) * _COEF[0])
+    """A hash of each word, of its bytes, by default with A-Z lowered. Words are ranges in rising order that do not overlap.
+
+    About ``SLICE_BYTES`` are handled at once, however long the text, and so are the parts of a longer word.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, side="right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        if hi - lo > SLICE_BYTES:
+            total = np.zeros(1, dtype=np.uint64)
+            for at in range(lo, hi, SLICE_BYTES):
+                part = data[at : min(hi, at + SLICE_BYTES)]
+                value = (_BYTE[_LOWER[part] if lower else part] * _power(_BASE, len(part))).sum(dtype=np.uint64, keepdims=True)
+                total += value * np.uint64(pow(int(_BASE), at - lo, 1 << 64))
+            out[i] = total[0]
+        else:
+            part, s, e = data[lo:hi], starts[i:j] - lo, ends[i:j] - lo
+            rising = np.zeros(hi - lo + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[_LOWER[part] if lower else part] * _power(_BASE, hi - lo), out=rising[1:])
+            out[i:j] = (rising[e] - rising[s]) * _power(_INVERSE, hi - lo + 1)[s]
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64) * _COEF[0])
 
 
 def runs(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:

@@ -6,12 +6,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkmill.llm import op1_url_filter as op1, op2_license as op2, op3_ngram_join as op3, op4_language as op4, op5_quality as op5, op6_nn_descent as op6, op7_line_dedup as op7, op8_token_file as op8, op9_packing as op9, op10_decontamination as op10
+from sparkmill.llm import op1_url_filter as op1, op2_license as op2, op3_ngram_join as op3, op4_language as op4, op5_quality as op5, op6_nn_descent as op6, op7_line_dedup as op7, op8_token_file as op8, op9_packing as op9, op10_decontamination as op10, scratch, words
 from sparkmill.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -224,13 +225,57 @@ def test_line_dedup_of_lines_with_one_hash(spark, monkeypatch):
     assert plain == {1, 3} and (1 not in left or all(first + lines <= 2 for first, _, lines in left[1])) and 3 in left
 
 
+def test_long_words_and_texts_in_parts(monkeypatch):
+    data = np.frombuffer(("aB " * 50 + "x" * 300 + " yz").encode(), dtype=np.uint8)
+    starts, ends, _ = words.bounds(data, np.array([0, len(data)]), "spaced")
+    whole = words.hashes(data, starts, ends)
+    monkeypatch.setattr(words, "SLICE_BYTES", 64)
+    assert (words.hashes(data, starts, ends) == whole).all() and len(set(whole.tolist())) == 3
+    text = "Über straße, " * 200 + "z" * 90
+    one = next(op4.bundles(pa.array([text])))[1]
+    monkeypatch.setattr(op4, "CHARACTERS", 50)
+    assert (next(op4.bundles(pa.array([text])))[1] == one).all()
+
+
+def test_language_against_plain_bundles(spark, monkeypatch):
+    """Bind, permute, bundle and cosine, written out."""
+    monkeypatch.setattr(op4, "REMEMBERED", 8)
+    monkeypatch.setattr(op4, "GRAMS", 4)
+    texts = {i: t for i, t in enumerate(["the cat sat", "le chat noir", "the  Dog!", "un chien", "", None, "12 34", "the", "chat", "the cat sat", "ça va", "x"])}
+    langs = ["en", "fr", "en", "fr", "en", "fr", None, "en", "fr", "en", "", "en"]
+
+    def vector(text):
+        out = np.zeros(op4.DIMENSIONS)
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            word = f" {word} "
+            for i in range(len(word) - 2):
+                bound = np.ones(op4.DIMENSIONS)
+                for place, c in enumerate(word[i : i + 3]):
+                    bound = bound * np.roll(op4._letter_vector(0 if c == " " else ord(c), 0), place)
+                out += bound
+        return out
+
+    docs = spark.createDataFrame([(i, texts[i], langs[i]) for i in texts] * 2, "doc_id long, text string, lang string")
+    sums: dict = {}
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 3 != 1 and langs[i] is not None and (v := vector(t)).any():
+            sums[langs[i]] = sums.get(langs[i], 0) + v / np.linalg.norm(v)
+    for r in op4.identified(docs).collect():
+        v = vector(r["text"])
+        if not v.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        cosine = {k: v @ s / np.linalg.norm(v) / np.linalg.norm(s) for k, s in sums.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert r["lang_pred"] == best and abs(r["score"] - max(0, cosine[best])) < 1e-5
+
+
 def test_token_file(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    texts = ["It's  a test.\n\nOf <|endoftext|> spaces ", None, "", "Über façade naïve 漢字 " * 300, "a" * 5000, " x", "same", "same"]
-    docs = spark.createDataFrame([(7 * ((5 * i) % 8), t, 1) for i, t in enumerate(texts)] + [(None, "none", 1)], "doc_id long, text string, start int")
+    texts = ["It's  a test.\n\nOf <|endoftext|> spaces ", "<|endoftext|>at the  <|endoftext|>\n ends<|endoftext|>", "in<|endoftext|>side <|ENDOFTEXT|> <|endoftext|><|endoftext|>", None, "", "Über façade naïve 漢字 " * 300, "a" * 5000, " x", "same", "same"]
+    docs = spark.createDataFrame([(7 * ((5 * i) % 12), t, 1) for i, t in enumerate(texts)] + [(None, "none", 1)], "doc_id long, text string, start int")
     op8.write(docs, f"file://{tmp_path}/f", path)
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: -1 if r[0] is None else r[0])
     start = 0
     found = {r["doc_id"]: r for r in op8.read(spark, f"file://{tmp_path}/f").collect()}
@@ -247,10 +292,9 @@ def test_token_file(spark, tmp_path):
 
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
-    texts = [None, "", "A b\tc\n d", "word " * 5000, "x y z " * 300, "Ünï <|endoftext|> 'll", "x y z " * 300]
+    texts = [None, "", "A b\tc\n d", "word " * 5000, "x y z " * 300, "Ünï <|endoftext|> 'll", "<|startoftext|>a<|ENDOFTEXT|> <|endoftext|>", "<|ENDOFTEXT|> <|Startoftext|>", "x y z " * 300]
     docs = spark.createDataFrame([(i // 2, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, length int")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     got = op9.packed(docs, path, with_ids=True).collect()
     want = []
     for i, t in enumerate(texts):
