@@ -1,10 +1,12 @@
 """License scans [native]: TF-IDF cosine of notices to templates, then inheritance from the nearest directory.
 
-Every line of every whole text is a possible notice. A line reaches the threshold with a template only if it holds one
-of the template's weightier terms, and terms with enough weight together (no others can give that cosine), so one
-expression without a shuffle passes on the few lines that do; their terms are counted, weighted and summed as a sparse table. Licence
-files declare their best licence for their directory, and every directory takes the nearest one above it: its
-ancestors are joined with the declaring directories by path.
+A text is a sequence of terms, whatever its lines. Every run of as many terms as a template has is a possible notice,
+so a header or licence file is found however it is wrapped and whatever stands before and after it. A run reaches the
+threshold with a template only if its text holds one of the template's longer terms, and terms with enough weight
+together (no others can give that cosine): two filters without a shuffle pass on the few texts that do. Their terms
+are weighted, summed along the text, and the runs with enough weight get their exact cosine. Licence files declare
+their best licence for their directory, and every directory takes the nearest one above it: its ancestors are joined
+with the declaring directories by path.
 
 Only SQL functions run here.
 """
@@ -15,7 +17,7 @@ import math
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import scratch
 
@@ -29,8 +31,6 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 THRESHOLD = 0.7
-#: Words on which the filter of lines does not depend where it can do without them. Fixed values.
-COMMON = ("a", "and", "are", "be", "by", "for", "in", "is", "of", "or", "that", "the", "this", "to", "under", "use", "v", "with", "without", "work")
 #: Names of files that declare a licence for their directory.
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[^/]*)?$"
 #: Directories up to which the table of their licences is broadcast; larger ones are shuffled.
@@ -43,48 +43,81 @@ def _terms(text: str) -> list[str]:
     return re.findall(_TERM, text.lower())
 
 
-def _model(templates: dict[str, str], threshold: float) -> tuple[list[str], dict[str, tuple[float, list[float]]], float, list[str]]:
-    """Licences; for each term its weight and its share in each unit template; the weight of any other term; and the terms of which a line needs one."""
-    names = sorted(templates)
-    bags = [_terms(templates[n]) for n in names]
-    weight = {t: math.log((1 + len(bags)) / (1 + sum(t in b for b in bags))) + 1 for b in bags for t in b}
-    share: dict[str, list[float]] = {t: [0.0] * len(bags) for t in weight}
-    needed: set[str] = set()
-    for i, bag in enumerate(bags):
-        value = {t: bag.count(t) * weight[t] for t in bag}
-        norm = math.sqrt(sum(x * x for x in value.values()))
-        light = 0.0
-        for t, x in sorted(value.items(), key=lambda p: (p[0] not in COMMON, p[1], p[0])):
-            share[t][i] = x / norm
-            if math.sqrt(light + (x / norm) ** 2) < threshold - 1e-9:
-                light += (x / norm) ** 2  # these together do not reach the threshold
-            else:
-                needed.add(t)
-    return names, {t: (weight[t], share[t]) for t in weight}, math.log(1 + len(bags)) + 1, sorted(needed)
+class Model:
+    """Templates as weighted terms.
+
+    names, lengths: of the templates; shares: for each term its weight and its share in each unit template; other: the
+    weight of any other term; needed: terms of which every run at the threshold holds one.
+    """
+
+    def __init__(self, templates: dict[str, str], threshold: float) -> None:
+        self.names = sorted(templates)
+        bags = [_terms(templates[n]) for n in self.names]
+        self.lengths = [len(b) for b in bags]
+        weight = {t: math.log((1 + len(bags)) / (1 + sum(t in b for b in bags))) + 1 for b in bags for t in b}
+        self.shares: dict[str, tuple[float, list[float]]] = {t: (w, [0.0] * len(bags)) for t, w in weight.items()}
+        self.other = math.log(1 + len(bags)) + 1
+        needed: set[str] = set()
+        for i, bag in enumerate(bags):
+            value = {t: bag.count(t) * weight[t] for t in bag}
+            norm = math.sqrt(sum(x * x for x in value.values()))
+            light = 0.0
+            for t, x in sorted(value.items(), key=lambda p: (len(p[0]), p[0])):  # short terms stand in most texts
+                self.shares[t][1][i] = x / norm
+                if math.sqrt(light + (x / norm) ** 2) < threshold - 1e-9:
+                    light += (x / norm) ** 2  # these together do not reach the threshold
+                else:
+                    needed.add(t)
+        self.needed = sorted(needed)
+
+
+def _noticed(files: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The files of which a run may reach the threshold, with a number (uid)."""
+    low = F.lower("text")  # of a text in A-Z and other letters, a superset
+    texts = files.where(reduce(lambda a, b: a | b, (F.contains(low, F.lit(t)) for t in model.needed)))
+    texts = scratch.keep(texts.select("file_id", "repo", "path", "text"), "licence-words")
+    # a run's cosine to a template is at most the root of the squared shares of the terms that both hold
+    held = [sum(F.when(F.contains(low, F.lit(t)), s[i] ** 2).otherwise(0.0) for t, (_, s) in model.shares.items() if s[i]) for i in range(len(model.names))]
+    texts = texts.where(reduce(lambda a, b: a | b, (h >= threshold**2 - 1e-9 for h in held)))
+    return scratch.keep(texts.withColumn("uid", F.monotonically_increasing_id()), "licence-texts")
 
 
 def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Lines of files (file_id, repo, path, text) whose cosine to a template reaches the threshold: file_id, repo, path, licence, score.
+    """Files (file_id, repo, path, text) with a run of terms whose cosine to a template reaches the threshold: file_id, repo, path, licence, score.
 
-    Of equally near templates the first by name is taken. Null texts have no lines.
+    A run has as many terms as the template; a text of fewer is one run. Of equally near templates the first by name
+    is taken. Null texts have no terms.
     """
-    names, terms, other, needed = _model(templates, threshold)
+    model = Model(templates, threshold)
     spark = files.sparkSession
-    lines = files.where("text is not null").select("file_id", "repo", "path", F.explode(F.split("text", "\n", -1)).alias("line"))
-    lines = lines.withColumn("line", F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    lines = lines.where(F.col("line").rlike(f"(^|[^a-z0-9])({'|'.join(needed)})([^a-z0-9]|$)"))
-    # a line's cosine to a template is at most the root of the squared shares of the terms that both hold
-    held = [sum(F.when(F.contains("line", F.lit(t)), s[i] ** 2).otherwise(0.0) for t, (_, s) in terms.items() if s[i]) for i in range(len(names))]
-    lines = lines.where(reduce(lambda a, b: a | b, (h >= threshold**2 - 1e-9 for h in held))).withColumn("uid", F.monotonically_increasing_id())
-    lines = scratch.keep(lines, "licence-lines")
-    table = spark.createDataFrame([(t, w, s) for t, (w, s) in terms.items()], "term string, weight double, share array<double>")  # as large as the templates
-    bag = lines.select("uid", F.explode(F.regexp_extract_all("line", F.lit(f"({_TERM})"), 1)).alias("term")).groupBy("uid", "term").agg(F.count(F.lit(1)).alias("n"))
-    bag = bag.join(F.broadcast(table), "term", "left").withColumn("value", F.col("n") * F.coalesce("weight", F.lit(other)))
-    sums = [F.sum(F.col("value") * F.coalesce(F.col("share")[i], F.lit(0.0))).alias(f"dot{i}") for i in range(len(names))]
-    scored = bag.groupBy("uid").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), *sums)
-    best = F.greatest(*(F.struct((F.col(f"dot{i}") / F.col("norm")).alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("licence")) for i, n in enumerate(names)))
-    scored = scored.select("uid", best.alias("best")).where(F.col("best.score") >= threshold)
-    return lines.join(scored, "uid").select("file_id", "repo", "path", F.col("best.licence").alias("licence"), F.col("best.score").alias("score"))
+    texts = _noticed(files, model, threshold)
+    table = spark.createDataFrame([(t, w, s) for t, (w, s) in model.shares.items()], "term string, weight double, share array<double>")  # as large as the templates
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    terms = texts.select("uid", F.posexplode(F.regexp_extract_all(lowered, F.lit(f"({_TERM})"), 1)).alias("at", "term"))
+    terms = scratch.keep(terms.join(F.broadcast(table), "term", "left").select("uid", "at", "term", F.coalesce("weight", F.lit(model.other)).alias("weight"), "share"), "licence-terms")
+    text = Window.partitionBy("uid")
+    sums = {"all": F.count(F.lit(1)).over(text)}
+    for i, length in enumerate(model.lengths):
+        run = text.orderBy("at").rowsBetween(0, length - 1)
+        sums[f"n{i}"] = F.count(F.lit(1)).over(run)
+        sums[f"dot{i}"] = F.sum(F.col("weight") * F.coalesce(F.get("share", F.lit(i)), F.lit(0.0))).over(run)
+        sums[f"squares{i}"] = F.sum(F.col("weight") * F.col("weight")).over(run)
+    found = terms.select("uid", "at", "weight", "share").withColumns(sums)
+    runs = []
+    for i, length in enumerate(model.lengths):
+        whole = (F.col(f"n{i}") == length) | ((F.col("at") == 0) & (F.col("all") < length))
+        # repeated terms make a run longer than its squares say
+        near = F.pow(f"dot{i}", F.lit(2)) >= (threshold**2 - 1e-9) * F.col(f"squares{i}")
+        runs.append(F.when(whole & near, F.struct(F.lit(i).alias("template"), F.col(f"n{i}").alias("length"), F.col(f"dot{i}").alias("dot"))))
+    runs = found.select("uid", F.col("at").alias("start"), F.explode(F.array(*runs)).alias("r")).where("r is not null").select("uid", "start", "r.*")
+    runs = scratch.keep(runs, "licence-runs")
+    places = runs.select("uid", "start", "template", "dot", F.explode(F.sequence(F.col("start"), (F.col("start") + F.col("length") - 1).cast("int"))).alias("at"))
+    bag = places.join(terms.select("uid", "at", "term", "weight"), ["uid", "at"]).groupBy("uid", "start", "template", "dot", "term").agg((F.count(F.lit(1)) * F.first("weight")).alias("value"))
+    scored = bag.groupBy("uid", "start", "template", "dot").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    scored = scored.select("uid", "template", (F.col("dot") / F.col("norm")).alias("score")).where(F.col("score") >= threshold)
+    best = scored.groupBy("uid").agg(F.min(F.struct((-F.round("score", 9)).alias("far"), "template")).alias("best"))
+    licence = F.element_at(F.array(*map(F.lit, model.names)), F.col("best.template") + 1)
+    return texts.join(best, "uid").select("file_id", "repo", "path", licence.alias("licence"), (-F.col("best.far")).alias("score"))
 
 
 def _best() -> Column:
@@ -105,27 +138,28 @@ def licensed(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
     are kept: a null text has no own licence, a null path or repo inherits none. Repeated rows each get the same
     result. Of several licence files in a directory the nearest to a template counts, then the first by name.
     """
-    files = files.select("file_id", "repo", "path", "text")
-    found = scratch.keep(notices(files, templates, threshold), "notices")
-    own = scratch.keep(found.groupBy("file_id", "repo", "path").agg(_best().alias("best")), "own-licences")
-    declared = own.where(F.col("path").rlike(LICENCE_FILE)).select("repo", _directory(F.col("path")).alias("ancestor"), "best.score", "best.licence")
-    declared = scratch.keep(declared.groupBy("repo", "ancestor").agg(_best()["licence"].alias("inherited")), "declared")
-    if declared.count() <= BROADCAST_ROWS:
-        declared = F.broadcast(declared)
-    parts = F.filter(F.split("directory", "/"), lambda p: p != "")
-    places = files.where("repo is not null and path is not null").select("repo", _directory(F.col("path")).alias("directory")).distinct().withColumn("parts", parts)
-    above = places.select("repo", "directory", "parts", F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("depth"))
-    above = above.withColumn("ancestor", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/"))
-    nearest = above.join(declared, ["repo", "ancestor"]).groupBy("repo", "directory").agg(F.max(F.struct("depth", "inherited"))["inherited"].alias("inherited"))
-    nearest = scratch.keep(nearest, "inherited")
-    if nearest.count() <= BROADCAST_ROWS:
-        nearest = F.broadcast(nearest)
-    own = own.select(*(F.col(c).alias(f"own_{c}") for c in ("file_id", "repo", "path")), "best")
-    same = F.lit(True)
-    for c in ("file_id", "repo", "path"):
-        same = same & F.col(c).eqNullSafe(F.col(f"own_{c}"))
-    out = files.drop("text").withColumn("directory", _directory(F.col("path"))).join(own, same, "left").join(nearest, ["repo", "directory"], "left")
-    return out.select("file_id", "repo", "path", F.col("best.licence").alias("own"), F.col("best.score").alias("score"), "inherited", F.coalesce("best.licence", "inherited").alias("licence"))
+    with scratch.steps(files.sparkSession):
+        files = files.select("file_id", "repo", "path", "text")
+        found = scratch.keep(notices(files, templates, threshold), "notices")
+        own = scratch.keep(found.groupBy("file_id", "repo", "path").agg(_best().alias("best")), "own-licences", stay=True)
+        declared = own.where(F.col("path").rlike(LICENCE_FILE)).select("repo", _directory(F.col("path")).alias("ancestor"), "best.score", "best.licence")
+        declared = scratch.keep(declared.groupBy("repo", "ancestor").agg(_best()["licence"].alias("inherited")), "declared")
+        if declared.count() <= BROADCAST_ROWS:
+            declared = F.broadcast(declared)
+        parts = F.filter(F.split("directory", "/"), lambda p: p != "")
+        places = files.where("repo is not null and path is not null").select("repo", _directory(F.col("path")).alias("directory")).distinct().withColumn("parts", parts)
+        above = places.select("repo", "directory", "parts", F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("depth"))
+        above = above.withColumn("ancestor", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/"))
+        nearest = above.join(declared, ["repo", "ancestor"]).groupBy("repo", "directory").agg(F.max(F.struct("depth", "inherited"))["inherited"].alias("inherited"))
+        nearest = scratch.keep(nearest, "inherited", stay=True)
+        if nearest.count() <= BROADCAST_ROWS:
+            nearest = F.broadcast(nearest)
+        own = own.select(*(F.col(c).alias(f"own_{c}") for c in ("file_id", "repo", "path")), "best")
+        same = F.lit(True)
+        for c in ("file_id", "repo", "path"):
+            same = same & F.col(c).eqNullSafe(F.col(f"own_{c}"))
+        out = files.drop("text").withColumn("directory", _directory(F.col("path"))).join(own, same, "left").join(nearest, ["repo", "directory"], "left")
+        return out.select("file_id", "repo", "path", F.col("best.licence").alias("own"), F.col("best.score").alias("score"), "inherited", F.coalesce("best.licence", "inherited").alias("licence"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,20 +172,30 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    names, terms, other, _ = _model(TEMPLATES, THRESHOLD)
-    values = ", ".join(f"('{t}', {w!r}::double, {i}, {s[i]!r}::double)" for t, (w, s) in terms.items() for i in range(len(names)))
-    licences = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
+    model = Model(TEMPLATES, THRESHOLD)
+    k = range(len(model.names))
+    values = ", ".join(f"('{t}', {w!r}::double, {', '.join(f'{x!r}::double' for x in s)})" for t, (w, s) in model.shares.items())
+    licences = ", ".join(f"({i}, '{n}')" for i, n in enumerate(model.names))
+    over = [f"over (partition by doc_id order by pos rows between current row and {n - 1} following)" for n in model.lengths]
+    sums = ", ".join(f"count(*) {over[i]} n{i}, sum(w * coalesce(s{i}, 0)) {over[i]} dot{i}, sum(w * w) {over[i]} squares{i}" for i in k)
+    runs = " union all ".join(
+        f"select doc_id, pos start, {i} i, n{i} n, dot{i} dot from sums where (n{i} = {n} or (pos = 1 and whole < {n})) and dot{i} * dot{i} >= {THRESHOLD**2 - 1e-9!r} * squares{i}"
+        for i, n in enumerate(model.lengths)
+    )
     return rf"""
 with f as (
     select doc_id, source repo, concat_ws('/', lang, floor(doc_id / 1024)::bigint, floor(doc_id / 32)::bigint, case when n_chars <= 400 then 'LICENSE.' || doc_id else doc_id || '.txt' end) path, text from documents
-), t(term, weight, i, share) as (values {values}), names(i, licence) as (values {licences})
-, l as (select doc_id, row_number() over () uid, line from (select doc_id, unnest(string_split(text, chr(10))) line from f))
-, b as (select uid, term, count(*) n from (select uid, unnest(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) term from l) group by uid, term)
-, norm as (select uid, sqrt(sum(pow(n * coalesce(weight, {other!r}), 2))) norm from b left join (select distinct term, weight from t) using (term) group by uid)
-, dot as (select uid, i, sum(n * weight * share) / any_value(norm) score from b join t using (term) join norm using (uid) group by uid, i)
+), t(term, weight, {', '.join(f's{i}' for i in k)}) as (values {values}), names(i, licence) as (values {licences})
+, b as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') terms from f)
+, e as (select doc_id, unnest(generate_series(1, len(terms))) pos, unnest(terms) term from b)
+, w as (select e.*, coalesce(weight, {model.other!r}) w, {', '.join(f's{i}' for i in k)} from e left join t using (term))
+, sums as (select doc_id, pos, count(*) over (partition by doc_id) whole, {sums} from w)
+, runs as ({runs})
+, bag as (select runs.doc_id, start, i, dot, term, count(*) * any_value(w) value from runs join w on w.doc_id = runs.doc_id and pos between start and start + n - 1 group by runs.doc_id, start, i, dot, term)
+, scored as (select doc_id, i, dot / sqrt(sum(value * value)) score from bag group by doc_id, start, i, dot)
 , own as (
     select doc_id, repo, path, licence, score from (
-        select f.*, licence, score, row_number() over (partition by f.doc_id order by round(score, 9) desc, licence) r from dot join names using (i) join l using (uid) join f using (doc_id) where score >= {THRESHOLD})
+        select f.*, licence, score, row_number() over (partition by f.doc_id order by round(score, 9) desc, licence) r from scored join names using (i) join f using (doc_id) where score >= {THRESHOLD})
     where r = 1
 ), declared as (
     select repo, d ancestor, licence from (

@@ -91,6 +91,42 @@ def test_license(spark):
     assert op2.licensed(table.limit(0)).count() == 0
 
 
+def test_license_headers_wrapped_and_inside_lines(spark):
+    bsd = op2.TEMPLATES["BSD-3-Clause"].split()
+    texts = [
+        "# Copyright\n# The ASF licenses this file to You under the Apache\n# License, Version 2.0 (the\n# licence)\ncode",
+        "\n".join(" * " + " ".join(bsd[i : i + 6]) for i in range(0, len(bsd), 6)),
+        "We are glad to say it is now Released under the MIT License and everyone may use it",
+        "A source form of public version terms, code",
+        "word " * 50_000 + "Licensed under CC BY-NC 4.0 " + "word " * 50_000,
+        "MIT MIT MIT MIT MIT",
+        "released under the\nMIT\nlicense released under the MIT license",
+    ]
+    table = spark.createDataFrame([(i, None, None, t) for i, t in enumerate(texts)], "file_id long, repo string, path string, text string")
+    table = table.union(table.where("file_id = 1"))
+    rows = op2.licensed(table).collect()
+    got = {r["file_id"]: r["own"] for r in rows}
+    assert len(rows) == 8
+    assert [got[i] for i in range(7)] == ["Apache-2.0", "BSD-3-Clause", "MIT", None, "CC-BY-NC-4.0", None, "MIT"]
+
+    def plain(text):
+        model = op2.Model(op2.TEMPLATES, op2.THRESHOLD)
+        terms = re.findall("[a-z0-9]+", text.lower())
+        best = 0
+        for i, n in enumerate(model.lengths):
+            for a in range(max(1, len(terms) - n + 1)):
+                run = terms[a : a + n]
+                value = {t: run.count(t) * model.shares.get(t, (model.other,))[0] for t in run}
+                norm = sum(x * x for x in value.values()) ** 0.5
+                best = max(best, sum(x * model.shares[t][1][i] for t, x in value.items() if t in model.shares) / norm)
+        return best
+
+    for r in rows:
+        if r["file_id"] != 4:
+            best = plain(texts[r["file_id"]])
+            assert (r["own"] is None and best < op2.THRESHOLD) or abs(r["score"] - best) < 1e-8
+
+
 def test_ngram_join_against_all_pairs(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(300)]
