@@ -22,8 +22,8 @@ from . import scratch
 
 #: Lines in the rolling hash, its divisor at a boundary, and words that make a passage of any lines.
 SPAN, CUT, LONG_WORDS = 2, 3, 50
-#: Rows up to which a table of ids is broadcast (some 24 bytes a row); larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a table of ids is broadcast (some 100 bytes a row); larger ones are shuffled.
+BROADCAST_ROWS = 250_000
 _LOW = (1 << 32) - 1
 
 

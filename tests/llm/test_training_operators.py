@@ -9,6 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from test_words_and_codes import brute_kneser_ney, brute_perplexity
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -193,10 +194,40 @@ def test_quality(spark):
     assert not got[40]["kept"] and got[40]["perplexity"] > 10 * got[0]["perplexity"]
     assert got[41]["perplexity"] is None and not got[42]["kept"]
     nobody = op5.classified(docs, labels.limit(0)).where("perplexity is not null").select(F.round("perplexity", 3).alias("p")).distinct().collect()
-    assert [r["p"] for r in nobody] == [64.0]
+    assert [r["p"] for r in nobody] == [float(0x110000)]
     assert op5.classified(docs.limit(0), labels).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    """Perplexity, thresholds from trusted documents that did not teach, and the verdict; foreign scripts are told from a repeated letter."""
+    rng = random.Random(4)
+    text = lambda syllables: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(3, 12)))
+    rows = [(i, text(["ba", "na", "to"]), "x") for i in range(60)] + [(100 + i, text(["ru", "ki"]), "y") for i in range(40)] + [(200 + i, text(["ξε", "ρα", "ф"]), "x") for i in range(6)] + [(300, "a" * 60, "x"), (301, "ba na", None), (302, None, "x"), (303, "", "z"), (304, "some text", "z")]
+    rows += rows[:3]
+    docs = spark.createDataFrame([(*r, 1.5) for r in rows], "doc_id long, text string, lang string, perplexity double")
+    trusted = {i for i in range(50)} | {100 + i for i in range(30)}
+    labels = spark.createDataFrame([(i, 1) for i in trusted] + [(60, 0), (None, 1), (7, 1)], "doc_id long, quality int")
+    got = op5.classified(docs, labels, 0.9).collect()
+    assert len(got) == len(rows)
+    teaches = lambda i: i in trusted and zlib.crc32(str(i).encode()) % 5 != 0
+    prob = brute_kneser_ney([t for i, t, _ in rows if teaches(i)])
+    value = {i: brute_perplexity(prob, t) if t else None for i, t, _ in rows}
+    limit = {}
+    for lang in {r[2] for r in rows}:
+        for pool in (lambda i: i in trusted and not teaches(i), lambda i: i in trusted, lambda i: True):
+            known = sorted(value[i] for i, _, k in rows if k == lang and pool(i) and value[i] is not None)
+            if known:
+                limit[lang] = known[-(-9 * len(known) // 10) - 1]
+                break
+    for r in got:
+        i = r["doc_id"]
+        assert r["perplexity"] == (value[i] if value[i] is None else pytest.approx(value[i], rel=1e-9))
+        assert r["threshold"] == pytest.approx(limit[r["lang"]], rel=1e-9)
+        assert r["kept"] == (value[i] is not None and value[i] <= limit[r["lang"]] * (1 + 1e-12))
+    assert not any(r["kept"] for r in got if 200 <= r["doc_id"] <= 300)
+    assert len({round(r["perplexity"]) for r in got if 200 <= r["doc_id"] <= 300}) == 7
+
+
 def test_nn_descent_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((40, 16))

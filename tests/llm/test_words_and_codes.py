@@ -125,19 +125,11 @@ def test_bitmap_never_excludes_a_link():
             assert 175 * differ <= 25 * (len(base) + len(other))
 
 
-def test_kneser_ney_sums_to_one(spark):
-    rng = random.Random(2)
-    docs = spark.createDataFrame([("".join(rng.choice("abc de") for _ in range(rng.randint(0, 60))),) for _ in range(40)] + [(None,)], "text string")
-    _, tables = op5.trained(docs)
-    p = np.exp(op5._dense(tables).astype(np.float64)).reshape(-1, 64)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-
-
-def brute_kneser_ney(texts: list[str], alphabet: dict[str, int]):
+def brute_kneser_ney(texts: list[str]):
     """Interpolated modified Kneser-Ney over tuples, straight from its definition."""
     top = Counter()
     for t in texts:
-        s = [0, 0, 0] + [alphabet.get(c, 63) for c in t]
+        s = [0, 0, 0] + [ord(c) for c in t]
         top.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
     levels = {4: top}
     for k in (3, 2, 1):
@@ -145,7 +137,7 @@ def brute_kneser_ney(texts: list[str], alphabet: dict[str, int]):
 
     def prob(g: tuple) -> float:
         if not g:
-            return 1 / 64
+            return 1 / 0x110000
         c = levels[len(g)]
         n = [sum(v == i for v in c.values()) for i in range(5)]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
@@ -162,16 +154,37 @@ def brute_kneser_ney(texts: list[str], alphabet: dict[str, int]):
     return prob
 
 
-def test_kneser_ney_against_its_definition(spark):
-    texts = ["abra cadabra", "abra abra", "cad bra", "a", "ac dc"]
-    model = op5.trained(spark.createDataFrame([(t,) for t in texts], "text string"))
-    order = sorted(Counter("".join(texts)).items(), key=lambda p: (-p[1], ord(p[0])))
-    alphabet = {c: i for i, (c, _) in enumerate(order, 1)}
-    prob = brute_kneser_ney(texts, alphabet)
-    for text in ("abra", "bad cab", "zzz a"):
-        s = [0, 0, 0] + [alphabet.get(c, 63) for c in text]
-        want = np.exp(-np.mean([np.log(prob(tuple(s[i : i + 4]))) for i in range(len(s) - 3)]))
-        got = op5.perplexities(spark.createDataFrame([(text,)], "text string"), model).head()
-        assert got["perplexity"] == pytest.approx(want, rel=1e-4) and got["n_symbols"] == len(text)
+def brute_perplexity(prob, text: str) -> float:
+    s = [0, 0, 0] + [ord(c) for c in text]
+    return float(np.exp(-np.mean([np.log(prob(tuple(s[i : i + 4]))) for i in range(len(s) - 3)])))
+
 
+@pytest.mark.parametrize("small", [False, True])
+def test_kneser_ney_against_its_definition(spark, monkeypatch, small):
+    taught, others = ["abra cadabra", "abra abra", "cad bra", "a", "ac dc", "Ωμέγα 漢"], ["abra", "bad cab", "zzz a", "漢字 καὶ", "", None]
+    if small:  # no broadcast; runs are passed on at once
+        monkeypatch.setattr(op5, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(op5, "HELD_RUNS", 1)
+    texts = spark.createDataFrame([(i, t, i < len(taught)) for i, t in enumerate(taught + others)], "row long, text string, taught boolean")
+    runs = op5.gathered(texts).cache()
+    got = {r["row"]: r for r in op5.perplexities(texts, op5.kneser_ney(runs)).collect()}
+    prob = brute_kneser_ney([t.lower() for t in taught])
+    for i, text in enumerate(taught + others):
+        if text:
+            assert got[i]["perplexity"] == pytest.approx(brute_perplexity(prob, text.lower()), rel=1e-9) and got[i]["n"] == len(text)
+        else:
+            assert i not in got
+
+
+def test_counted_runs_with_many_symbols_and_long_texts():
+    rng = np.random.default_rng(1)
+    c = rng.integers(1, 0x110000, 3000).astype(np.uint32)
+    row = np.repeat(np.arange(3, dtype=np.int32), 1000)
+    for values in (c, c % 5 + 97, np.full(3000, 97, np.uint32)):
+        at, runs, n = op5._counted(values, row, np.arange(3))
+        want = Counter()
+        for r in range(3):
+            s = [0, 0, 0, *values[row == r].tolist()]
+            want.update((r, *s[i : i + 4]) for i in range(1000))
+        assert Counter({(int(a), *map(int, x)): int(k) for a, x, k in zip(at, runs.T, n, strict=True)}) == want
 
