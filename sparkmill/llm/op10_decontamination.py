@@ -22,35 +22,52 @@ from .fm_index import FMIndex
 WINDOW = 10
 #: Bytes of text in one index.
 SHARD_BYTES = 1 << 22
-#: Bytes of item texts that go to the tasks at once; more items take further passes over the documents.
-ITEM_BYTES = 32 << 20
+#: Bytes of item texts that go to the tasks at once (their windows some 12 times that); more items take further passes over the documents.
+ITEM_BYTES = 8 << 20
 #: Column of the hit words of earlier blocks of items.
 SPANS = "__hit_spans"
 
 
 class _Items:
-    """The windows of a block of items, as symbols of their own words."""
+    """The windows of a block of items, as symbols of their own words.
+
+    For each window length: ``windows``, one a row, and their items, those of window w from ``begins[w]`` to
+    ``begins[w + 1]`` in ``owners``. Arrays throughout: a block takes some 12 times the bytes of its texts.
+    """
 
     def __init__(self, rows: list[tuple[str, str]], k: int) -> None:
         column = pa.array([t for _, t in rows], pa.large_string())
-        found: dict[tuple[int, ...], set[int]] = {}
         self.ids = [i for i, _ in rows]
-        every: list[np.ndarray] = []
-        for lo, _, data, offsets in words.slices(column):
+        every, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, _, data, offsets in words.slices(column):
             starts, ends, first = words.bounds(data, offsets, "alnum")
-            h = words.hashes(data, starts, ends)
-            every += [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        self.vocabulary = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
-        for item, h in enumerate(every):
-            s = np.searchsorted(self.vocabulary, h) + 2
-            for a in range(max(1, len(s) - k + 1) if len(s) else 0):
-                found.setdefault(tuple(s[a : a + k].tolist()), set()).add(item)
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for w in found:
-            by_length.setdefault(len(w), []).append(w)
-        self.windows = {n: np.array(w, dtype=np.int64) for n, w in by_length.items()}
-        self.owners = {n: [sorted(found[x]) for x in w] for n, w in by_length.items()}
-        self.shortest = min(by_length, default=0)
+            every.append(words.hashes(data, starts, ends))
+            size.append(np.diff(first))
+        h, size = np.concatenate(every), np.concatenate(size)
+        self.vocabulary, symbols = np.unique(h, return_inverse=True)
+        symbols = (symbols + 2).astype(np.int32)
+        begin = np.cumsum(size) - size
+        self.windows, self.begins, self.owners = {}, {}, {}
+        for length in np.unique(np.minimum(size, k)):
+            if not length:
+                continue
+            items = np.flatnonzero(np.minimum(size, k) == length)
+            n = size[items] - length + 1
+            item = np.repeat(items, n)
+            at = np.repeat(begin[items] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            key = np.zeros(len(at), dtype=np.uint64)
+            for j in range(length):
+                key = words.mix(key + h[at + j])
+            _, first, window = np.unique(key, return_index=True, return_inverse=True)
+            pairs = np.unique(window * len(rows) + item)
+            self.windows[int(length)] = symbols[at[first][:, None] + np.arange(length)]
+            self.begins[int(length)] = np.searchsorted(pairs, np.arange(len(first) + 1) * len(rows))
+            self.owners[int(length)] = (pairs % len(rows)).astype(np.int32)
+        self.shortest = min(self.windows, default=0)
+
+    def owned(self, length: int, window: int) -> list[int]:
+        begins = self.begins[length]
+        return self.owners[length][begins[window] : begins[window + 1]].tolist()
 
 
 def _occurrences(items: _Items, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -92,7 +109,7 @@ def _shard(items: _Items, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
         np.add.at(change, at, 1)
         np.add.at(change, at + length, -1)
         for row in np.unique(np.searchsorted(first, at, side="right") - 1):
-            inside[row].update(items.owners[length][w])
+            inside[row].update(items.owned(length, w))
     return np.diff(first), np.cumsum(change)[:-1] > 0, inside, (starts, ends, first)
 
 
@@ -155,7 +172,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, clean
         schema = T.StructType([*source.schema.fields, T.StructField(SPANS, T.ArrayType(T.IntegerType()))]) if more else source.schema
         out = out.mapInArrow(search, schema)
         if more:  # the block's work is done before the next one is loaded
-            out = scratch.keep(out, "hit-spans")
+            out = scratch.keep(out, "hit-spans", stay=True)
             shared.destroy()
     return out if clean else out.drop("text")
 

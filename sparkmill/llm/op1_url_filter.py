@@ -2,8 +2,9 @@
 
 Labelled page outcomes (good or not) give every host a beta posterior. Its prior is centred on the registered
 domain's shrunk rate, the domain's on its suffix's, the suffix's on the overall rate; how much weight each prior has
-is estimated from how far the rates at this level spread beyond chance (the beta-binomial's moments). A page is
-blocked if the posterior's upper bound says that its host is mostly bad, otherwise allowed.
+is estimated from how far the rates at this level spread beyond chance (the beta-binomial's moments). A host without
+outcomes has its prior: what its domain, else its suffix, else all pages say. A page is blocked if the posterior's
+upper bound says that its host is mostly bad, otherwise allowed.
 
 Only SQL functions run here. Pages meet the host table through a join that Spark can split where one host is hot;
 the counts are partial aggregates.
@@ -68,21 +69,24 @@ def _weight(level: DataFrame) -> Column:
     return F.when(rho * (high + 1) <= 1, high).otherwise(F.greatest(F.lit(low), 1 / rho - 1))
 
 
-def reputation(labelled: DataFrame) -> DataFrame:
-    """Posterior of every labelled host: (host, n, k, mean, upper, bad) from rows (host, good).
+def reputation(labelled: DataFrame, judged: DataFrame) -> DataFrame:
+    """Posterior of every host of labelled (host, good) and judged (host): (host, n, k, mean, upper, bad).
 
-    Rows with a null outcome do not count; an empty table gives an empty table.
+    A host without outcomes has n = 0. Rows with a null outcome do not count, a null host is left out; without any
+    outcomes the posterior is null.
     """
     suffix, domain = _domain(F.col("host"))
-    hosts = labelled.where("good is not null and host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("long")).alias("k")).withColumns({"suffix": suffix, "domain": domain})
+    outcome = F.col("good").cast("long")
+    rows = labelled.where("good is not null").select("host", F.lit(1).alias("n"), outcome.alias("k")).unionByName(judged.select("host", F.lit(0).alias("n"), F.lit(0).cast("long").alias("k")))
+    hosts = rows.where("host is not null").groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumns({"suffix": suffix, "domain": domain})
     hosts = scratch.keep(hosts, "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    overall = suffixes.agg((F.sum("k") / F.sum("n")).alias("p"))
+    overall = suffixes.agg(F.try_divide(F.sum("k"), F.sum("n")).alias("p"))
 
     def shrunk(level: DataFrame) -> DataFrame:
         """Rows with p0 get the weight of their prior, m, and the rate after it, p."""
-        m = level.agg(_weight(level).alias("m")).scalar()
+        m = level.where("n > 0").agg(_weight(level).alias("m")).scalar()
         return level.withColumn("m", m).withColumn("p", (F.col("k") + F.col("m") * F.col("p0")) / (F.col("n") + F.col("m")))
 
     suffixes = shrunk(suffixes.withColumn("p0", overall.scalar()))
@@ -96,12 +100,18 @@ def judged(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str],
     """Verdict for every row of ``pages`` (page_id, url; other columns do not matter): page_id, host, path, rule, verdict.
 
     labelled: (url, good) outcomes of pages. A rule decides where one fits (the longest; of equally long ones the
-    later by name), else the host's posterior; a host without outcomes is allowed. Null urls have an empty host and
+    later by name), else the host's posterior; without any outcomes pages are allowed. Null urls have an empty host and
     are judged like any other host; repeated rows are judged each for itself.
     """
+    with scratch.steps(pages.sparkSession):
+        return _judged(pages, labelled, rules)
+
+
+def _judged(pages: DataFrame, labelled: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
     pages = with_host_and_path(pages.select("page_id", "url")).select("page_id", "host", "path")
     found = pages.withColumn("found", _rule(rules, F.col("host"), F.col("path")))
-    known = scratch.keep(reputation(with_host_and_path(labelled.select("url", "good")).select("host", "good")).where("bad").select("host", "bad"), "bad-hosts")
+    outcomes = with_host_and_path(labelled.select("url", "good")).select("host", "good")
+    known = scratch.keep(reputation(outcomes, pages.select("host")).where("bad").select("host", "bad"), "bad-hosts", stay=True)
     out = found.join(known, "host", "left")
     verdict = F.coalesce("found.verdict", F.when(F.col("bad"), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
@@ -127,21 +137,21 @@ with u as (
     select distinct host, path, arg_max(rule, length(rule)) rule, arg_max(verdict, length(rule)) verdict
     from (select distinct host, path from u) x join rules on (host = name or ends_with(host, '.' || name)) and starts_with(path, start) group by host, path
 ), split as (
-    select host, count(*) n, count(*) filter (quality = 1) k, string_split(host, '.') part,
+    select host, count(quality) n, count(*) filter (quality = 1) k, string_split(host, '.') part,
         case when array_to_string(part[-2:], '.') in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in') then 2 else 1 end tail
-    from u join labels on page_id = doc_id where quality is not null group by host
+    from u left join labels on page_id = doc_id group by host
 ), h as (
     select host, n, k, array_to_string(part[-tail:], '.') suffix, array_to_string(part[-(tail + 1):], '.') domain from split
 ), d0 as (select suffix, domain, sum(n) n, sum(k) k from h group by suffix, domain)
 , s0 as (select suffix, sum(n) n, sum(k) k from d0 group by suffix)
 , s1 as (select *, (select sum(k) / sum(n) from s0) p0 from s0)
-, sm as (select case when rho * 1001 <= 1 then 1000.0 else greatest(1.0, 1 / rho - 1) end m from (select case when sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) > 0 then (sum(case when p0 * (1 - p0) > 0 then n * pow(k / n - p0, 2) / (p0 * (1 - p0)) else 0 end) - sum(case when p0 * (1 - p0) > 0 then 1 else 0 end)) / sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) else 0 end rho from s1))
+, sm as (select case when rho * 1001 <= 1 then 1000.0 else greatest(1.0, 1 / rho - 1) end m from (select case when sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) > 0 then (sum(case when p0 * (1 - p0) > 0 then n * pow(k / n - p0, 2) / (p0 * (1 - p0)) else 0 end) - sum(case when p0 * (1 - p0) > 0 then 1 else 0 end)) / sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) else 0 end rho from s1 where n > 0))
 , s as (select suffix, (k + m * p0) / (n + m) p from s1, sm)
 , d1 as (select domain, n, k, p p0 from d0 join s using (suffix))
-, dm as (select case when rho * 1001 <= 1 then 1000.0 else greatest(1.0, 1 / rho - 1) end m from (select case when sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) > 0 then (sum(case when p0 * (1 - p0) > 0 then n * pow(k / n - p0, 2) / (p0 * (1 - p0)) else 0 end) - sum(case when p0 * (1 - p0) > 0 then 1 else 0 end)) / sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) else 0 end rho from d1))
+, dm as (select case when rho * 1001 <= 1 then 1000.0 else greatest(1.0, 1 / rho - 1) end m from (select case when sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) > 0 then (sum(case when p0 * (1 - p0) > 0 then n * pow(k / n - p0, 2) / (p0 * (1 - p0)) else 0 end) - sum(case when p0 * (1 - p0) > 0 then 1 else 0 end)) / sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) else 0 end rho from d1 where n > 0))
 , d as (select domain, (k + m * p0) / (n + m) p from d1, dm)
 , h1 as (select host, n, k, p p0 from h join d using (domain))
-, hm as (select case when rho * 1001 <= 1 then 1000.0 else greatest(1.0, 1 / rho - 1) end m from (select case when sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) > 0 then (sum(case when p0 * (1 - p0) > 0 then n * pow(k / n - p0, 2) / (p0 * (1 - p0)) else 0 end) - sum(case when p0 * (1 - p0) > 0 then 1 else 0 end)) / sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) else 0 end rho from h1))
+, hm as (select case when rho * 1001 <= 1 then 1000.0 else greatest(1.0, 1 / rho - 1) end m from (select case when sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) > 0 then (sum(case when p0 * (1 - p0) > 0 then n * pow(k / n - p0, 2) / (p0 * (1 - p0)) else 0 end) - sum(case when p0 * (1 - p0) > 0 then 1 else 0 end)) / sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) else 0 end rho from h1 where n > 0))
 , post as (select host, (k + m * p0) / (n + m) p, n + m + 1 w from h1, hm)
 select page_id, u.host, u.path, rule, coalesce(verdict, case when p + 1.645 * sqrt(p * (1 - p) / w) < 0.5 then 'block' else 'allow' end) verdict
 from u left join hit on u.host = hit.host and u.path = hit.path left join post on u.host = post.host

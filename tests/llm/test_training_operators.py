@@ -70,6 +70,19 @@ def test_url_filter(spark):
     assert op1.judged(pages.limit(0), labelled).count() == 0
 
 
+def test_url_filter_of_hosts_without_outcomes(spark):
+    """A new host of a bad domain is blocked, one of a good or an unknown domain is not; equally long rules and repeated rows."""
+    labelled = [(f"http://h{i % 40}.bad.org/{i}", False) for i in range(400)] + [(f"http://h{i % 40}.good.org/{i}", True) for i in range(400)] + [(f"http://x{i}.com.au/", i % 2 == 0) for i in range(40)]
+    urls = ["http://new.bad.org/x", "http://new.good.org/x", "http://new.other.org/", "http://nobody.zz/", "http://h1.bad.org/", "http://new.bad.org/x", "http://" + "a" * 100_000 + ".bad.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id long, url string")
+    table = spark.createDataFrame(labelled, "url string, good boolean")
+    got = [(r["page_id"], r["verdict"]) for r in op1.judged(pages, table).collect()]
+    assert sorted(got) == [(0, "block"), (0, "block"), (1, "allow"), (2, "allow"), (3, "allow"), (4, "block"), (5, "block"), (6, "block")]
+    tied = (("bad.org/a", "allow"), ("bad.org/b", "block"), ("bad.org/", "block"))
+    rule = {r["path"]: r["rule"] for r in op1.judged(spark.createDataFrame([(1, "http://q.bad.org/a"), (2, "http://q.bad.org/c")], "page_id long, url string"), table, tied).collect()}
+    assert rule == {"/a": "bad.org/a", "/c": "bad.org/"}
+
+
 def test_license(spark):
     files = [
         (1, "r", "LICENSE", "Licensed under the Apache License, Version 2.0.\nmore"),
