@@ -26,13 +26,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     gives an empty table. Every step is written to the shared folder, so lineage does not grow; a node with very many
     links is a skewed join that Spark splits, and its least neighbour a partial aggregate.
     """
-    links = scratch.keep(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    links = scratch.keep(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", stay=True)
     for _ in range(rounds):
         n, nodes = links.agg(F.count(F.lit(1)), F.countDistinct("u")).head()
         # done if every node points to one other and none of those points on; v is below u throughout
         if n == nodes and links.join(links.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        links = scratch.keep(_star(_star(links, True), False), "links")
+        with scratch.steps(links.sparkSession):
+            links = scratch.keep(_star(_star(links, True), False), "links", stay=True)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,13 +5,14 @@ Method:
 1.  Equal vectors are one class. The first graph joins what lies near each other when sorted by the sign pattern and
     the value of random projections, ``TREES`` times over.
 2.  Each round, the neighbours of every node, and those that have it as neighbour, are compared with each other, and
-    every node keeps its nearest. A node whose list is full of links (cosine at least THRESHOLD) is saturated; its list
-    doubles in length for the next round. Edges further than twice the threshold's angle lead to no link that a
+    every node keeps its nearest, until a round adds few edges. A node whose list is full of links (cosine at least
+    THRESHOLD) is saturated; its list doubles in length for the next round. Edges further than twice the threshold's angle lead to no link that a
     closer path does not, so they are not followed.
 3.  The threshold edges give components. Inside a component every class is then compared with every other in tiles of a
     bounded size, so a saturated node's links are complete however many they are.
 4.  A bounded sample of vectors is held against all vectors by brute force. While its recall is below ``RECALL``,
-    new projections and rounds are added.
+    new projections and rounds are added, with longer lists; the recall is logged, and a search that stays below
+    ``LEAST_RECALL`` ends in an error.
 
 Cosines are computed in double precision from the stored components.
 """
@@ -19,7 +20,7 @@ Cosines are computed in double precision from the stored components.
 from __future__ import annotations
 
 import hashlib
-import math
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +31,18 @@ from . import scratch
 from .components import components
 
 THRESHOLD = 0.95
-#: Length of a neighbour list at first; projections in the first graph; rounds before the audit; rows compared at once.
-NEIGHBOURS, TREES, ROUNDS, BLOCK = 8, 6, 2, 192
-#: Classes in a tile.
-TILE = 1024
-#: Vectors in the audit, the recall it asks for, and how often the search goes on until it is reached.
-AUDITED, RECALL, EXTRA = 200, 0.98, 4
+#: Length of a neighbour list at first; projections in the first graph; rows compared at once.
+NEIGHBOURS, TREES, BLOCK = 8, 6, 192
+#: A round that adds no more than this share of new edges is the last before the audit; at most so many rounds.
+FEW, ROUNDS = 0.01, 6
+#: Classes in a tile, and rows of it that are multiplied at once.
+TILE, STRIPE = 8192, 1024
+#: Vectors in the audit, the recall it asks for, the least it accepts, and how often the search goes on until it is reached.
+AUDITED, RECALL, LEAST_RECALL, EXTRA = 200, 0.98, 0.9, 6
+#: Parts into which the edges of a node are dealt before its nearest are chosen.
+PARTS = 64
+
+_log = logging.getLogger(__name__)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -47,19 +54,25 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, size, k1, k2): its number of components and a 128-bit key of them, null for a vector that links with nothing."""
-    for batch in batches:
-        out = []
-        for v in batch.column(1):
-            x = None if not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-            if x is None or not len(x) or not np.isfinite(x).all() or not 0 < np.linalg.norm(x) < np.inf:
-                out.append((None, None, None))
-            else:
-                key = hashlib.md5(x.tobytes(), usedforsecurity=False).digest()
-                out.append((len(x), *np.frombuffer(key, dtype=np.int64).tolist()))
-        size, k1, k2 = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["vec_id", "size", "k1", "k2"])
+def _prepare(with_vectors: bool):
+    """(vec_id, size, k1, k2): its number of components and a 128-bit key of them, null for a vector that links with nothing; and the vector itself."""
+    names = ["vec_id", "size", "k1", "k2"] + ["v"] * with_vectors
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for v in batch.column(1):
+                x = None if not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
+                if x is None or not len(x) or not np.isfinite(x).all() or not 0 < np.linalg.norm(x) < np.inf:
+                    out.append((None, None, None))
+                else:
+                    key = hashlib.md5(x.tobytes(), usedforsecurity=False).digest()
+                    out.append((len(x), *np.frombuffer(key, dtype=np.int64).tolist()))
+            size, k1, k2 = zip(*out, strict=True) if out else ((), (), ())
+            columns = [batch.column(0), pa.array(size, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column(1)] * with_vectors, names=names)
+
+    return prepare
 
 
 def _projected(trees: int, seed: int):
@@ -172,14 +185,19 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(cut, np.append(cut[1:], len(ids)), strict=True):
             y, i, j = _unit(_matrix(x.slice(a, b - a))), key[a, 1], key[a, 2]
             left, right = np.flatnonzero(tile[a:b] == i), np.flatnonzero(tile[a:b] == j)
-            linked = (y[left] @ y[right].T) >= THRESHOLD
-            if i == j:
-                np.fill_diagonal(linked, False)
-            else:
+            back = np.zeros(len(right), dtype=np.int64)
+            for at in range(0, len(left), STRIPE):
+                some = left[at : at + STRIPE]
+                linked = (y[some] @ y[right].T) >= THRESHOLD
+                if i == j:
+                    linked[np.arange(len(some)), np.arange(at, at + len(some))] = False
+                else:
+                    back += n[a:b][some] @ linked
+                out_ids.append(ids[a:b][some])
+                out_n.append(linked @ n[a:b][right])
+            if i != j:
                 out_ids.append(ids[a:b][right])
-                out_n.append(linked.T @ n[a:b][left])
-            out_ids.append(ids[a:b][left])
-            out_n.append(linked @ n[a:b][right])
+                out_n.append(back)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids)), pa.array(np.concatenate(out_n).astype(np.int64))], names=["id", "linked"])
 
     for batch in batches:
@@ -197,12 +215,18 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _best(edges: DataFrame, lengths: DataFrame | None, length: int) -> DataFrame:
-    """Each node's nearest neighbours: ``length`` of them, or as many as ``lengths`` (u, length) says."""
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("cosine"), "v"))
+    """Each node's nearest neighbours: ``length`` of them, or as many as ``lengths`` (u, length) says.
+
+    They are chosen within ``PARTS`` parts of a node's edges first, so that a node with very many is no single task.
+    """
     edges = edges.groupBy("u", "v").agg(F.max("cosine").alias("cosine"))
-    if lengths is None:
-        return edges.withColumn("rank", rank).where(F.col("rank") <= length).drop("rank")
-    return edges.withColumn("rank", rank).join(lengths, "u", "left").where(F.col("rank") <= F.coalesce("length", F.lit(length))).drop("rank", "length")
+    if lengths is not None:
+        edges = edges.join(lengths, "u", "left")
+    most = F.lit(length) if lengths is None else F.coalesce("length", F.lit(length))
+    edges = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+    for keys in (["u", "part"], ["u"]):
+        edges = edges.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cosine"), "v"))).where(F.col("rank") <= most)
+    return edges.select("u", "v", "cosine")
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -248,43 +272,61 @@ def _recall(vectors: DataFrame, classes: DataFrame, found: DataFrame) -> float:
                     yield pa.RecordBatch.from_arrays([pa.array(mine[mine != other]), pa.array(other[mine != other])], names=["id", "other"])
 
     truth = vectors.select("id", "size", "v").mapInArrow(compare, "id long, other long")
-    truth = truth.join(classes.select(F.col("rep").alias("other"), "n"), "other").groupBy("id").agg(F.sum("n").alias("all"))
+    truth = truth.join(classes.select(F.col("id").alias("other"), "n"), "other").groupBy("id").agg(F.sum("n").alias("all"))
     both = truth.join(found, "id", "left").agg(F.sum("all"), F.sum(F.least("all", F.coalesce("linked", F.lit(0))))).head()
     return both[1] / both[0] if both[0] else 1.0
 
 
-def near_duplicates(rows: DataFrame) -> DataFrame:
+def near_duplicates(rows: DataFrame, report: dict[str, float] | None = None) -> DataFrame:
     """Link rows (vec_id, embedding; other columns do not matter) with a cosine of at least THRESHOLD.
 
     Returns per row: vec_id, n_links (other rows it links with directly), component_id (the least vec_id that links
     reach, its own included), kept (vec_id = component_id). A vector that is null, empty, zero or holds null or
     non-finite components links with nothing; vectors of different lengths do not link. Equal vectors always link.
-    Rows of a repeated vec_id are vectors of their own. An empty table gives an empty table.
+    Rows of a repeated vec_id are vectors of their own. An empty table gives an empty table. ``report`` gets the
+    audited recall and the number of searches.
     """
-    spark = rows.sparkSession
+    with scratch.steps(rows.sparkSession):
+        return _linked(rows, {} if report is None else report)
+
+
+def _linked(rows: DataFrame, report: dict[str, float]) -> DataFrame:
     floor = 2 * THRESHOLD**2 - 1
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    keys = scratch.keep(rows.mapInArrow(_prepare, "vec_id long, size int, k1 long, k2 long"), "vector-keys")
-    classes = scratch.keep(keys.where("size is not null and vec_id is not null").groupBy("size", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vector-classes")
-    firsts = keys.join(classes.drop("n"), ["size", "k1", "k2"]).where("vec_id = rep").select("rep", "size").distinct()
-    valid = rows.join(firsts, F.col("vec_id") == F.col("rep")).where(F.size("embedding") == F.col("size"))
-    vectors = scratch.keep(valid.select(F.col("rep").alias("id"), "size", F.col("embedding").alias("v")).dropDuplicates(["id"]), "vectors")
+    fields = "vec_id long, size int, k1 long, k2 long"
+    keys = scratch.keep(rows.mapInArrow(_prepare(False), fields), "vector-keys", stay=True)
+    classes = keys.where("size is not null and vec_id is not null").groupBy("size", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")  # numbers that stay, once written
+    kind = rows.schema["embedding"].dataType.simpleString()
+    valid = rows.mapInArrow(_prepare(True), f"{fields}, v {kind}").withColumnRenamed("vec_id", "rep")
+    valid = valid.join(classes.drop("n"), ["size", "k1", "k2", "rep"]).select("id", "size", "v")
+    vectors = scratch.keep(valid.dropDuplicates(["id"]), "vectors")
     graph, lengths, length = None, None, NEIGHBOURS
     for attempt in range(1 + EXTRA):
         fresh = _first_graph(vectors, attempt, floor)
         graph = scratch.keep(_best(_both(fresh if graph is None else graph.unionByName(fresh)), lengths, length), "graph")
         for _ in range(ROUNDS):
+            before = graph
             full = graph.where(F.col("cosine") >= THRESHOLD).groupBy("u").agg(F.count(F.lit(1)).alias("links")).where(F.col("links") >= length)
             lengths = scratch.keep(full.select("u", F.lit(2 * length).alias("length")), "saturated")
             graph = scratch.keep(_best(_both(_round(vectors, graph, floor, length)), lengths, length), "graph")
+            if graph.join(before, ["u", "v"], "left_anti").count() <= FEW * before.count():
+                break
         links = graph.where(F.col("cosine") >= THRESHOLD).select("u", "v")
         groups = scratch.keep(components(links), "vector-groups")
         found = scratch.keep(_counted(vectors, classes, groups), "linked")
-        if _recall(vectors, classes, found) >= RECALL:
+        report |= {"recall": _recall(vectors, classes, found), "searches": attempt + 1}
+        _log.info("recall %(recall).4f after %(searches)d searches", report)
+        if report["recall"] >= RECALL:
             break
-        length = min(4 * NEIGHBOURS, 2 * length)
-    known = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    known = scratch.keep(known.select("size", "k1", "k2", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "known")
+        length = min(8 * NEIGHBOURS, 2 * length)
+    if report["recall"] < LEAST_RECALL:
+        raise RuntimeError(f"recall {report['recall']:.3f} after {report['searches']} searches")
+    known = classes.join(found, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
+    known = scratch.keep(known.withColumn("component", F.coalesce("component", "id")), "known")
+    least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = known.join(least, "component").select("size", "k1", "k2", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
+    known = scratch.keep(known, "vector-components", stay=True)
     out = keys.join(known, ["size", "k1", "k2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
@@ -294,7 +336,7 @@ def _counted(vectors: DataFrame, classes: DataFrame, groups: DataFrame) -> DataF
     """(id, linked): rows of other classes that a class of a component links with."""
     sizes = scratch.keep(groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "group-sizes")
     member = scratch.keep(groups.join(sizes, "component"), "members")
-    member = member.join(classes.select(F.col("rep").alias("node"), "n"), "node").join(vectors.select(F.col("id").alias("node"), "v"), "node")
+    member = member.join(classes.select(F.col("id").alias("node"), "n"), "node").join(vectors.select(F.col("id").alias("node"), "v"), "node")
     member = member.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     member = member.select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", F.col("node").alias("id"), "n", "v")
     rows = member.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")

@@ -257,6 +257,35 @@ def test_nn_descent_against_all_pairs(spark):
     assert op6.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_nn_descent_of_a_hub_and_a_chain(spark, monkeypatch):
+    """A vector with very many links that do not link with each other, vectors linked one to the next only, a repeated id, ties."""
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(64))
+    away = rng.standard_normal((300, 64))
+    spokes = 0.956 * centre + np.sqrt(1 - 0.956**2) * unit(away - (away @ centre)[:, None] * centre)
+    chain = [unit(rng.standard_normal(64))]
+    for _ in range(150):
+        new = rng.standard_normal(64)
+        chain.append(0.966 * chain[-1] + np.sqrt(1 - 0.966**2) * unit(new - (new @ chain[-1]) * chain[-1]))
+    x = np.concatenate([[centre], spokes, chain, chain[:2], unit(rng.standard_normal((200, 64)))])
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows + [(5, rows[7][1])], "vec_id long, embedding array<double>")
+    link = x @ x.T >= 0.95
+    want = groups(range(len(x)), lambda a, b: link[a, b])
+    report = {}
+    monkeypatch.setattr(op6, "TILE", 64)
+    monkeypatch.setattr(op6, "STRIPE", 10)
+    got = [(r["vec_id"], r["n_links"], r["component_id"]) for r in op6.near_duplicates(table, report).collect()]
+    counts = link.sum(axis=1) - 1 + link[:, 7]
+    assert sorted(got) == sorted([(i, int(counts[i]), want[i]) for i in range(len(x))] + [(5, int(counts[7]), want[7])])
+    assert report["recall"] >= 0.98 and counts[0] >= 300
+    monkeypatch.setattr(op6, "_recall", lambda *_: 0.1)
+    monkeypatch.setattr(op6, "EXTRA", 0)
+    with pytest.raises(RuntimeError, match="recall"):
+        op6.near_duplicates(table)
+
+
 def test_line_dedup(spark):
     passage = "\n".join(f"line {i} of a passage that many documents share" for i in range(60))
     texts = [f"a\nb\n{passage}\nc", f"x {1}\n{passage}\ny", f"q\nr\ns\n{passage}", "alone\nhere", None, "", "\n\n", "\n\n", "w " * 60, "w " * 60]
