@@ -3,7 +3,7 @@
 A text is a sequence of terms, whatever its lines. Every run of as many terms as a template has is a possible notice,
 so a header or licence file is found however it is wrapped and whatever stands before and after it. A run reaches the
 threshold with a template only if its text holds one of the template's longer terms, and terms with enough weight
-together (no others can give that cosine): two filters without a shuffle pass on the few texts that do. Their terms
+together (no others can give that cosine): two filters of words, without a shuffle, pass on the few texts that do. Their terms
 are weighted, summed along the text, and the runs with enough weight get their exact cosine. Licence files declare
 their best licence for their directory, and every directory takes the nearest one above it: its ancestors are joined
 with the declaring directories by path.
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -74,12 +73,12 @@ class Model:
 def _noticed(files: DataFrame, model: Model, threshold: float) -> DataFrame:
     """The files of which a run may reach the threshold, with a number (uid)."""
     low = F.lower("text")  # of a text in A-Z and other letters, a superset
-    texts = files.where(reduce(lambda a, b: a | b, (F.contains(low, F.lit(t)) for t in model.needed)))
-    texts = scratch.keep(texts.select("file_id", "repo", "path", "text"), "licence-words")
     # a run's cosine to a template is at most the root of the squared shares of the terms that both hold
-    held = [sum(F.when(F.contains(low, F.lit(t)), s[i] ** 2).otherwise(0.0) for t, (_, s) in model.shares.items() if s[i]) for i in range(len(model.names))]
-    texts = texts.where(reduce(lambda a, b: a | b, (h >= threshold**2 - 1e-9 for h in held)))
-    return scratch.keep(texts.withColumn("uid", F.monotonically_increasing_id()), "licence-texts")
+    squares = [F.create_map(*(F.lit(x) for t, (_, s) in model.shares.items() if s[i] for x in (t, s[i] ** 2))) for i in range(len(model.names))]
+    known = F.array_intersect(F.regexp_extract_all(low, F.lit(f"({_TERM})"), 1), F.array(*map(F.lit, model.shares)))
+    weighty = F.exists(F.array(*squares), lambda m: F.aggregate(known, F.lit(0.0), lambda a, t: a + F.coalesce(m[t], F.lit(0.0))) >= threshold**2 - 1e-9)
+    texts = files.where(low.rlike(f"(?<![a-z0-9])(?:{'|'.join(model.needed)})(?![a-z0-9])")).where(weighty)
+    return scratch.keep(texts.select("file_id", "repo", "path", "text").withColumn("uid", F.monotonically_increasing_id()), "licence-texts")
 
 
 def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
