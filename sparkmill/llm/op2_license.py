@@ -30,6 +30,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 THRESHOLD = 0.7
+#: Words on which the filter of texts does not depend where it can do without them. Fixed values.
+COMMON = ("a", "and", "are", "be", "by", "for", "in", "is", "of", "or", "that", "the", "this", "to", "under", "use", "v", "with", "without", "work")
 #: Names of files that declare a licence for their directory.
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[^/]*)?$"
 #: Directories up to which the table of their licences is broadcast; larger ones are shuffled.
@@ -61,7 +63,7 @@ class Model:
             value = {t: bag.count(t) * weight[t] for t in bag}
             norm = math.sqrt(sum(x * x for x in value.values()))
             light = 0.0
-            for t, x in sorted(value.items(), key=lambda p: (len(p[0]), p[0])):  # short terms stand in most texts
+            for t, x in sorted(value.items(), key=lambda p: (p[0] not in COMMON, len(p[0]), p[0])):  # these and short ones stand in most texts
                 self.shares[t][1][i] = x / norm
                 if math.sqrt(light + (x / norm) ** 2) < threshold - 1e-9:
                     light += (x / norm) ** 2  # these together do not reach the threshold
@@ -81,6 +83,14 @@ def _noticed(files: DataFrame, model: Model, threshold: float) -> DataFrame:
     return scratch.keep(texts.select("file_id", "repo", "path", "text").withColumn("uid", F.monotonically_increasing_id()), "licence-texts")
 
 
+def _weighted(texts: DataFrame, model: Model) -> DataFrame:
+    """The terms of texts: uid, at, term, weight, share (in each template; null where it is in none)."""
+    table = texts.sparkSession.createDataFrame([(t, w, s) for t, (w, s) in model.shares.items()], "term string, weight double, share array<double>")  # as large as the templates
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    terms = texts.select("uid", F.posexplode(F.regexp_extract_all(lowered, F.lit(f"({_TERM})"), 1)).alias("at", "term"))
+    return terms.join(F.broadcast(table), "term", "left").select("uid", "at", "term", F.coalesce("weight", F.lit(model.other)).alias("weight"), "share")
+
+
 def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Files (file_id, repo, path, text) with a run of terms whose cosine to a template reaches the threshold: file_id, repo, path, licence, score.
 
@@ -88,12 +98,8 @@ def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
     is taken. Null texts have no terms.
     """
     model = Model(templates, threshold)
-    spark = files.sparkSession
     texts = _noticed(files, model, threshold)
-    table = spark.createDataFrame([(t, w, s) for t, (w, s) in model.shares.items()], "term string, weight double, share array<double>")  # as large as the templates
-    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    terms = texts.select("uid", F.posexplode(F.regexp_extract_all(lowered, F.lit(f"({_TERM})"), 1)).alias("at", "term"))
-    terms = scratch.keep(terms.join(F.broadcast(table), "term", "left").select("uid", "at", "term", F.coalesce("weight", F.lit(model.other)).alias("weight"), "share"), "licence-terms")
+    terms = _weighted(texts.select("uid", "text").repartition("uid"), model)  # texts move, not their terms
     text = Window.partitionBy("uid")
     sums = {"all": F.count(F.lit(1)).over(text)}
     for i, length in enumerate(model.lengths):
@@ -111,7 +117,8 @@ def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
     runs = found.select("uid", F.col("at").alias("start"), F.explode(F.array(*runs)).alias("r")).where("r is not null").select("uid", "start", "r.*")
     runs = scratch.keep(runs, "licence-runs")
     places = runs.select("uid", "start", "template", "dot", F.explode(F.sequence(F.col("start"), (F.col("start") + F.col("length") - 1).cast("int"))).alias("at"))
-    bag = places.join(terms.select("uid", "at", "term", "weight"), ["uid", "at"]).groupBy("uid", "start", "template", "dot", "term").agg((F.count(F.lit(1)) * F.first("weight")).alias("value"))
+    own = _weighted(texts.join(runs.select("uid").distinct(), "uid", "left_semi"), model)
+    bag = places.join(own.select("uid", "at", "term", "weight"), ["uid", "at"]).groupBy("uid", "start", "template", "dot", "term").agg((F.count(F.lit(1)) * F.first("weight")).alias("value"))
     scored = bag.groupBy("uid", "start", "template", "dot").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     scored = scored.select("uid", "template", (F.col("dot") / F.col("norm")).alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("uid").agg(F.min(F.struct((-F.round("score", 9)).alias("far"), "template")).alias("best"))

@@ -38,7 +38,7 @@ SMALL = 4
 #: Random orders among classes that could lead a larger bucket.
 LEADERS = 8
 #: Shingles that a task holds at once to see which are frequent.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 #: Frequent shingles that go to the end of the first order.
 FREQUENT = 100_000
 #: 64-bit words of a bitmap.

@@ -16,7 +16,7 @@ import numpy as np
 from . import words
 
 #: Pieces that a worker remembers at most.
-PIECES = 1_500_000
+PIECES = 500_000
 
 _coders: dict[tuple[str, bool], Coder] = {}
 
