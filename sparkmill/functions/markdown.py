@@ -8,7 +8,8 @@ from .text import strip
 
 
 def lines(c: Column) -> Column:
-    return F.split(F.coalesce(c, F.lit("")), r"\R", -1)
+    """Lines; a line break at the end ends the last one, it begins no other."""
+    return F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\R\z", ""), r"\R", -1)
 
 
 def clean_lines(c: Column) -> Column:
@@ -41,18 +42,22 @@ def is_upper(line: Column) -> Column:
 
 
 def with_headings(c: Column) -> Column:
-    """MD02: numbered titles become headings by the depth of their number; other marked or indented lines stay."""
+    """MD02: numbered titles become headings by the depth of their number.
+
+    A marker ends with a dot and white space follows it: one number (its title mostly upper case), two, three, each of
+    one or two digits, or a capital letter with any numbers. Indented lines, lists, quotes, tables and headings stay.
+    """
 
     def one(line: Column) -> Column:
-        skip = line.rlike(r"^\s") | line.rlike(r"^([#>|<]|[-*+]\s)") | (strip(line) == "")
         text = strip(line)
-        return (
-            F.when(skip, line)
-            .when(text.rlike(r"^[A-Z]\.\d+\.\d+\.?\s+\S") | text.rlike(r"^\d+\.\d+\.\d+\.?\s+\S"), F.concat(F.lit("### "), text))
-            .when(text.rlike(r"^\d+\.\d+\.?\s+\S"), F.concat(F.lit("## "), text))
-            .when(text.rlike(r"^\d+\.\s+\S") & is_upper(F.regexp_replace(text, r"^\d+\.\s+", "")), F.concat(F.lit("# "), text))
-            .otherwise(line)
+        marker, title = (F.regexp_extract(text, r"^(\S+)\s+(\S.*)$", i) for i in (1, 2))
+        marks = (
+            F.when(marker.rlike(r"^\d{1,2}\.$") & is_upper(title), "# ")
+            .when(marker.rlike(r"^(\d{1,2}\.){2}$"), "## ")
+            .when(marker.rlike(r"^(\d{1,2}\.){3}$") | marker.rlike(r"^\p{Lu}\.(\d+\.)+$"), "### ")
         )
+        stays = line.rlike(r"^[ \t\-*>|<]") | text.startswith("#") | (text == "")
+        return F.when(stays | marks.isNull(), line).otherwise(F.concat(marks, marker, F.lit(" "), title))
 
     return F.array_join(F.transform(lines(c), one), "\n")
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .retrieval import clamped
+from .retrieval import clamped, similarity
 
 #: Names of the metrics. Fixed values.
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall", "context_relevancy", "answer_correctness")
@@ -49,14 +49,37 @@ def source_counts(rows: DataFrame) -> DataFrame:
 
 
 def diagnostics(rows: DataFrame) -> DataFrame:
-    """AGG24: (column, filled) with the number of values that are there."""
-    return rows.agg(*(F.count(c).alias(c) for c in rows.columns)).unpivot([], rows.columns, "column", "filled")
-
-
-def context_metrics(pairs: DataFrame) -> DataFrame:
-    """EVA01, EVA04, EVA06, MTH05: per qid from rows (qid, answer_sim, truth_sim, evidence_sim, question_sim) of its contexts."""
-    nearest = F.greatest("truth_sim", "evidence_sim", "question_sim")
-    return pairs.groupBy("qid").agg(clamped(F.max("answer_sim")).alias("faithfulness"), clamped(F.avg(nearest)).alias("context_precision"), clamped(F.avg("question_sim")).alias("context_relevancy"))
+    """AGG24: (column, filled, issue): how many values are there, and what is wrong where some or all are missing."""
+    counts = rows.agg(F.count(F.lit(1)).alias("__all"), *(F.count(c).alias(c) for c in rows.columns)).unpivot(["__all"], rows.columns, "column", "filled")
+    issue = F.when(F.col("__all") == 0, "no rows").when(F.col("filled") == 0, "all null").when(F.col("filled") < F.col("__all"), "some null")
+    return counts.select("column", "filled", issue.alias("issue"))
+
+
+def _mean(values: Column) -> Column:
+    """Of an array; 0 for an empty one."""
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(values) > 0, total / F.size(values)).otherwise(0.0)
+
+
+def cosine_metrics(rows: DataFrame) -> DataFrame:
+    """EVA01 to EVA06, MTH05: per row (qid, question, answer, truth, evidence, contexts, joined) its six cosine metrics.
+
+    All but qid are vectors, contexts an array of them and joined that of the joined contexts; truth and evidence may be
+    null. Every cosine is brought within 0 and 1 before it is averaged. Without contexts their metrics are 0; without
+    a truth the answer has no correctness and the evidence stands for it.
+    """
+    contexts = F.coalesce("contexts", F.array().cast("array<array<double>>"))
+    near = lambda a: lambda c: similarity(F.col(a), c)
+    other = lambda a, c: F.when(F.col(a).isNotNull(), similarity(F.col(a), c)).otherwise(0.0)
+    return rows.select(
+        "qid",
+        F.coalesce(F.array_max(F.transform(contexts, near("answer"))), F.lit(0.0)).alias("faithfulness"),
+        similarity(F.col("question"), F.col("answer")).alias("answer_relevancy"),
+        F.when(F.col("truth").isNotNull(), similarity(F.col("answer"), F.col("truth"))).alias("answer_correctness"),
+        _mean(F.transform(contexts, lambda c: F.greatest(other("truth", c), other("evidence", c), similarity(F.col("question"), c)))).alias("context_precision"),
+        F.when(F.size(contexts) > 0, similarity(F.col("joined"), F.coalesce("truth", "evidence"))).otherwise(0.0).alias("context_recall"),
+        _mean(F.transform(contexts, near("question"))).alias("context_relevancy"),
+    )
 
 
 def chosen(metrics: Column) -> Column:

@@ -41,12 +41,12 @@ def payloads(table: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def home_metrics(log: DataFrame) -> DataFrame:
-    """AGG14: each user's questions, models, active days, mean seconds and last day."""
+    """AGG14: each user's questions, models, active days, mean seconds (null as 0) and last day."""
     return log.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total"),
         F.countDistinct(F.nullif(F.trim("model"), F.lit(""))).alias("models"),
         F.countDistinct(F.to_date("ts")).alias("active_days"),
-        F.round(F.avg("seconds"), 2).alias("avg_seconds"),
+        F.round(F.avg(F.coalesce("seconds", F.lit(0.0))), 2).alias("avg_seconds"),
         F.max(F.to_date("ts")).alias("last_day"),
     )
 

@@ -12,8 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Queries compared with the corpus at once.
-BLOCK = 1024
+from sparkmill.functions.text import kind as kind_of
+
+#: Queries that go to the corpus at once, and rows of it compared with them at once.
+BLOCK, ROWS = 16_384, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,9 +41,10 @@ def similarity(a: Column, b: Column) -> Column:
 def search(queries: DataFrame, corpus: DataFrame, k: int, same_tag: bool = False) -> DataFrame:
     """SRT01, JOI10: the k nearest rows (id, v) of the corpus to each query (qid, q): qid, id, score.
 
-    The queries go to the corpus in blocks of ``BLOCK``, so what is broadcast has a bound however many there are. Each
-    task keeps its own k best of each query; Spark ranks those. With ``same_tag`` both tables have a ``tag`` and only
-    rows of the query's tag count. Zero and null vectors are found by nothing; ties go to the lower id.
+    The queries go to the corpus in blocks of ``BLOCK``, so what is broadcast has a bound however many there are, and
+    the corpus is read once a block. Each task keeps its own k best of each query; Spark ranks those. With ``same_tag``
+    both tables have a ``tag`` and only rows of the query's tag count. Zero and null vectors are found by nothing, nor
+    are vectors of another length; ties go to the lower id.
     """
     spark = corpus.sparkSession
     tag = F.col("tag").cast("string") if same_tag else F.lit("")
@@ -56,28 +59,40 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, same_tag: bool = False
 
         def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             qid, q, tags = shared.value
-            best = pd.DataFrame({"qid": [], "id": [], "score": []}).astype({"qid": "int64", "id": "int64", "score": "float64"})
+            ids, scores = np.full((len(qid), k), np.iinfo(np.int64).max), np.full((len(qid), k), -np.inf)
             for batch in batches:
-                if not len(qid) or not len(batch):
-                    continue
-                score = _unit(batch["v"]) @ q.T
-                if same_tag:
-                    score = np.where(batch["tag"].to_numpy()[:, None] == tags[None, :], score, np.nan)
-                row, col = np.nonzero(~np.isnan(score))
-                new = pd.DataFrame({"qid": qid[col], "id": batch["id"].to_numpy()[row], "score": score[row, col]})
-                best = pd.concat([best, new]).sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid").head(k)
-            yield best
+                for at in range(0, len(batch) if len(qid) else 0, ROWS):
+                    part = batch.iloc[at : at + ROWS]
+                    part = part[part["v"].map(len) == q.shape[1]]
+                    if len(part):
+                        score = np.nan_to_num(q @ _unit(part["v"]).T, nan=-np.inf)
+                        if same_tag:
+                            score[tags[:, None] != part["tag"].to_numpy()[None, :]] = -np.inf
+                        _better(ids, scores, part["id"].to_numpy(), score)
+            row, col = np.nonzero(scores > -np.inf)
+            yield pd.DataFrame({"qid": qid[row], "id": ids[row, col], "score": scores[row, col]})
 
         part = rows.mapInPandas(nearest, "qid long, id long, score double")
         found = part if found is None else found.unionByName(part)
     return top_k(found, k).drop("ranking")
 
 
+def _better(ids: np.ndarray, scores: np.ndarray, new_ids: np.ndarray, new: np.ndarray) -> None:
+    """Take the new scores (a row a query) that are among its best into ``scores``, best first, and their ids into ``ids``."""
+    some = np.flatnonzero((new >= scores[:, -1:]).any(axis=1) & (new > -np.inf).any(axis=1))
+    if len(some):
+        both = np.concatenate([scores[some], new[some]], axis=1)
+        names = np.concatenate([ids[some], np.broadcast_to(new_ids, (len(some), len(new_ids)))], axis=1)
+        order = np.lexsort((names, -both), axis=1)[:, : ids.shape[1]]
+        scores[some], ids[some] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
-    """Unit rows in double precision; NaN for a zero vector."""
-    x = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
-    if not len(x):
-        return x.reshape(0, 0)
+    """Unit rows in double precision, as long as the first; NaN for a zero vector and for one of another length."""
+    x = [np.asarray(v, dtype=np.float64) for v in vectors]
+    if not x:
+        return np.zeros((0, 0))
+    x = np.stack([v if len(v) == len(x[0]) else np.zeros(len(x[0])) for v in x])
     norm = np.linalg.norm(x, axis=1)
     return x / np.where(norm > 0, norm, np.nan)[:, None]
 
@@ -124,8 +139,58 @@ def finite(score: Column) -> Column:
     return F.when(score.isNull() | F.isnan(score) | (F.abs(score) == float("inf")), 0.0).otherwise(score)
 
 
+def history_order(name: str) -> list[Column]:
+    """SRT04: the columns of one of four orders; any other name is the latest first."""
+    orders = {"date_asc": [F.asc("ts")], "time_desc": [F.desc("seconds")], "time_asc": [F.asc("seconds")]}
+    return orders.get(name, [F.desc("ts")])
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """SRT05: a page's rows; numbers outside 1 to the last page are brought inside."""
     n = df.count()
     number = min(max(1, number), max(1, -(-n // size)))
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def page_as_asked(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+    """SRT06: a page's rows; pages below 1 are the first, one after the last is empty."""
+    return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
+
+
+def scrolled(df: DataFrame, order: list[Column], total: int, batch: int) -> DataFrame:
+    """SRC13: the first rows in whole batches: it ends with the batch that reaches ``total``."""
+    return df.orderBy(*order).limit(-(-total // batch) * batch)
+
+
+def guided(df: DataFrame, number: str | None, kind: str | None, document: int | None) -> DataFrame:
+    """FLT02: chunks (numero_expediente, document_id, tipo_documento) of a file number and a document, and of a kind in any of its spellings.
+
+    An empty number and a blank kind do not filter; a kind is brought to its canonical form first.
+    """
+    if number:
+        df = df.where(F.col("numero_expediente") == number)
+    if document is not None:
+        df = df.where(F.col("document_id") == document)
+    if kind and kind.strip():
+        canonical = kind_of(F.lit(kind))
+        df = df.where((F.col("tipo_documento") == canonical) | ((canonical == "tecnico") & (F.col("tipo_documento") == "técnico")))
+    return df
+
+
+def found_chunks(items: DataFrame, chunks: DataFrame) -> DataFrame:
+    """JOI04: for each item (item, point_id, document_id, sha, segment) the chunk of its point id, else that of its document, hash and segment.
+
+    chunks: chunk, point_id, document_id, sha, segment. A blank point id or an empty hash finds nothing; of several
+    chunks the lowest is taken; items without one stay with null.
+    """
+    points = chunks.groupBy(F.col("point_id").alias("__p")).agg(F.min("chunk").alias("__by_point"))
+    places = chunks.groupBy(F.col("document_id").alias("__d"), F.col("sha").alias("__s"), F.col("segment").alias("__n")).agg(F.min("chunk").alias("__by_place"))
+    wanted = F.nullif(F.trim("point_id"), F.lit(""))
+    out = items.join(points, wanted == F.col("__p"), "left")
+    out = out.join(places, (F.col("document_id") == F.col("__d")) & (F.nullif("sha", F.lit("")) == F.col("__s")) & (F.col("segment") == F.col("__n")), "left")
+    return out.select("item", F.coalesce("__by_point", "__by_place").alias("chunk"))
+
+
+def item(hit: dict[str, Column]) -> list[Column]:
+    """PRJ01: segment, text and score of a retrieved item with their defaults: -1, empty, 0 for what is not finite."""
+    return [F.coalesce(hit["segment"], F.lit(-1)).alias("segment"), F.coalesce(hit["text"], F.lit("")).alias("text"), finite(hit["score"]).alias("score")]

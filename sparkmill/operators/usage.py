@@ -83,12 +83,17 @@ def calendar(log: DataFrame) -> DataFrame:
     return out.select("day", "n", F.when(most > 0, F.round(F.col("n") / most, 2)).otherwise(0.0).alias("intensity"), (F.col("day") == F.col("today")).alias("is_today"), F.weekday("day").alias("weekday"), F.floor((F.dayofmonth("day") - 1 + blank) / 7).cast("int").alias("week"))
 
 
-def streaks(active: DataFrame) -> DataFrame:
-    """WIN02: for each user_id the length of the run of consecutive days up to their last active one; rows (user_id, day)."""
-    days = active.distinct()
+def streaks(active: DataFrame, users: DataFrame) -> DataFrame:
+    """WIN02: for each user (user_id, last_login) the length of the run of consecutive days up to their last active one.
+
+    active: (user_id, day). A last login counts as an active day; users without any day have 0.
+    """
+    logins = users.where("last_login is not null").select("user_id", F.to_date("last_login").alias("day"))
+    days = active.select("user_id", "day").unionByName(logins).distinct()
     run = F.date_sub("day", F.row_number().over(Window.partitionBy("user_id").orderBy("day")))
     runs = days.withColumn("run", run).groupBy("user_id", "run").agg(F.count(F.lit(1)).alias("days"), F.max("day").alias("last"))
-    return runs.groupBy("user_id").agg(F.max_by("days", "last").alias("streak"), F.max("last").alias("last_day"))
+    last = runs.groupBy("user_id").agg(F.max_by("days", "last").alias("streak"), F.max("last").alias("last_day"))
+    return users.select("user_id").join(last, "user_id", "left").select("user_id", F.coalesce("streak", F.lit(0)).alias("streak"), "last_day")
 
 
 def models(log: DataFrame) -> DataFrame:
@@ -105,10 +110,13 @@ def models(log: DataFrame) -> DataFrame:
     )
 
 
-def model_months(log: DataFrame, months: list[str]) -> DataFrame:
-    """AGG17: uses of each model in the given months (``2024-01``), a column a month; rows without any are dropped."""
-    own = log.withColumn("month", F.date_format("ts", "yyyy-MM")).where(F.col("month").isin(*months))
-    return own.groupBy("model").pivot("month", months).count().fillna(0)
+def model_months(log: DataFrame, months: int = 12) -> DataFrame:
+    """AGG17: uses of each model in the last months up to the log's last, a column a month (m01 the oldest); older rows are dropped."""
+    month = F.year("ts") * 12 + F.month("ts")
+    last = log.agg(F.max(month).alias("last")).scalar()
+    own = log.withColumn("nth", month - last + months).where(F.col("nth") > 0)
+    counts = own.groupBy("model").pivot("nth", list(range(1, months + 1))).count().fillna(0)
+    return counts.withColumnsRenamed({str(i): f"m{i:02}" for i in range(1, months + 1)})
 
 
 def weekly(log: DataFrame) -> DataFrame:
@@ -122,8 +130,16 @@ def timings(log: DataFrame, stage: str) -> DataFrame:
     return log.groupBy(F.col(stage).alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.avg("seconds").alias("mean"), F.percentile("seconds", 0.5).alias("p50"), F.percentile("seconds", 0.95).alias("p95"))
 
 
-def history(log: DataFrame, user_id: int | None = None, day: str | None = None, device: str | None = None) -> DataFrame:
-    """FLT08, FLT10: a user's rows of one day on one device; what is not given does not filter."""
+def used_model(log: DataFrame, jobs: DataFrame, model: str) -> DataFrame:
+    """JOI01: rows of the log (user_id, question) for which a finished job (user_id, question, status, model) used the model."""
+    done = jobs.where((F.col("status") == "done") & (F.col("model") == model)).select("user_id", "question").distinct()
+    return log.join(done, ["user_id", "question"], "left_semi")
+
+
+def history(log: DataFrame, user_id: int | None = None, day: str | None = None, device: str | None = None, jobs: DataFrame | None = None, model: str | None = None) -> DataFrame:
+    """FLT08, FLT10: a user's rows of one day on one device, answered by one model; what is not given does not filter."""
+    if jobs is not None and model:
+        log = used_model(log, jobs, model)
     if user_id is not None:
         log = log.where(F.col("user_id") == user_id)
     if day is not None:

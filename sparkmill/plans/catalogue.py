@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import documents, indexing, records, retrieval, usage
+from . import documents, indexing, lifecycle, records, retrieval, usage
 
-_ALL = retrieval.QUERIES | usage.QUERIES | documents.QUERIES | indexing.QUERIES | records.QUERIES
+_ALL = retrieval.QUERIES | usage.QUERIES | documents.QUERIES | indexing.QUERIES | records.QUERIES | lifecycle.QUERIES
 
 
 def queries() -> dict[str, Callable]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkmill.functions import markdown as M, text as T
 from sparkmill.operators import catalog as C, chunking, evaluation as E, retrieval as R
+from sparkmill.plans.lifecycle import packed_sql
 from sparkmill.sources import html as H
 
 
@@ -54,16 +55,23 @@ def token_estimate(s: SparkSession, d: str) -> DataFrame:
 def names(s: SparkSession, d: str) -> DataFrame:
     """STR10, STR11, STR13 to STR15 over pages."""
     p = _t(s, d, "pages")
-    return p.select("page_id", T.safe_name(F.col("url")).alias("safe"), T.first_url(F.concat("url", F.lit(" | http://b"))).alias("first"), T.fitted(F.substring("html", 1, 400)).alias("fit"), T.bytes_shown(F.length("html") * 1000).alias("size"))
+    return p.select("page_id", T.safe_name(F.col("url")).alias("safe"), T.first_url(F.concat("url", F.lit(" | http://b"))).alias("first"), T.fitted(F.col("html")).alias("fit"), T.bytes_shown(F.length("html") * 1000).alias("size"))
 
 
 def index_dots(s: SparkSession, d: str) -> DataFrame:
-    c = F.concat(F.lit("1. OBJETO............. 3\n.....\n"), "text")
+    c = F.concat(F.lit("1. OBJETO............. 3\n.....\n"), "text", F.lit("\n"))
     return _t(s, d, "documents").select("doc_id", F.md5(M.without_dot_leaders(c)).alias("h"))
 
 
+#: Lines that tell the rule of headings from others, and what they become.
+_LINES = {
+    "1. OBJETO DEL CONTRATO": "# 1. OBJETO DEL CONTRATO", "1. Objeto": "1. Objeto", "1.1.  Alcance ": "## 1.1. Alcance", "1.1 Alcance": "1.1 Alcance", "2024.10 informe": "2024.10 informe",
+    "1.1.1. Detalle": "### 1.1.1. Detalle", "A.1. Texto": "### A.1. Texto", "G.2.2. Codigo": "### G.2.2. Codigo", "a.1. Texto": "a.1. Texto", "- 1. LISTA": "- 1. LISTA", " 1.1. Sangrado": " 1.1. Sangrado", "123. LARGO": "123. LARGO", "1.": "1.",
+}
+
+
 def headings(s: SparkSession, d: str) -> DataFrame:
-    c = F.concat(F.lit("1. OBJETO DEL CONTRATO\n1.1. Alcance\n1.1.1. Detalle\nG.2.2. Codigo\n- 1. Lista\n"), "text")
+    c = F.concat(F.lit("\n".join(_LINES) + "\n"), "text", F.lit("\n"))
     return _t(s, d, "documents").select("doc_id", F.md5(M.with_headings(c)).alias("h"))
 
 
@@ -123,7 +131,7 @@ def document_filter(s: SparkSession, d: str) -> DataFrame:
 
 def qa_gate(s: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
-    out = _t(s, d, "documents").select("doc_id", E.good_chunk(text).alias("chunk_ok"), E.good_question(F.substring(text, 1, 40), F.col("lang"), F.substring(text, 5, 20), text).alias("qa_ok"), E.asked_well(text).alias("question_ok"))
+    out = _t(s, d, "documents").select("doc_id", E.good_chunk(text).alias("chunk_ok"), E.good_question(F.split(text, "\n")[0], F.col("lang"), F.element_at(F.split(text, "\n"), -1), text).alias("qa_ok"), E.asked_well(text).alias("question_ok"))
     return out
 
 
@@ -155,12 +163,14 @@ def metric_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def cosine_metrics(s: SparkSession, d: str) -> DataFrame:
-    """EVA01, EVA04, EVA06 with the five nearest vectors as contexts; the label stands for the other sides."""
-    from sparkmill.plans.retrieval import _tables
-
-    hits = R.top_k(R.search(*_tables(s, d), 5), 5)
-    sims = hits.select("qid", F.col("score").alias("answer_sim"), (F.col("score") - 0.2).alias("truth_sim"), (F.col("score") / 2).alias("evidence_sim"), (F.col("score") - 0.1).alias("question_sim"))
-    return E.context_metrics(sims)
+    """EVA01 to EVA06: of every 20 vectors the first is the question, the next its answer, truth, evidence, three contexts and the joined ones."""
+    e = _t(s, d, "embeddings").select((F.floor(F.col("vec_id") / 20) * 20).alias("qid"), (F.col("vec_id") % 20).alias("i"), F.col("embedding").cast("array<double>").alias("v")).where("i < 8 and forall(v, x -> x is not null and not isnan(x))")
+    of = e.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m")).where("size(m) = 8")
+    v = lambda i: F.col("m")[F.lit(i).cast("long")]
+    odd = F.col("qid") % 40 != 0
+    contexts = F.when(F.col("qid") % 60 != 0, F.filter(F.array(v(4), v(5), v(6)), lambda c: c.isNotNull())).otherwise(F.array().cast("array<array<double>>"))
+    rows = of.select("qid", v(0).alias("question"), v(1).alias("answer"), F.when(odd, v(2)).alias("truth"), v(3).alias("evidence"), contexts.alias("contexts"), v(7).alias("joined"))
+    return E.cosine_metrics(rows).select("qid", *(F.round(c, 5).alias(c) for c in E.METRICS))
 
 
 def page_titles(s: SparkSession, d: str) -> DataFrame:
@@ -212,10 +222,8 @@ QUERIES = {
     ),
     "headings": (
         headings,
-        r"""with l as (select doc_id, string_split('1. OBJETO DEL CONTRATO' || chr(10) || '1.1. Alcance' || chr(10) || '1.1.1. Detalle' || chr(10) || 'G.2.2. Codigo' || chr(10) || '- 1. Lista' || chr(10) || text, chr(10)) w from documents)
-        select doc_id, md5(array_to_string(list_transform(w, lambda x: case when regexp_matches(x, '^\s') or regexp_matches(x, '^([#>|<]|[-*+]\s)') or trim(x) = '' then x
-            when regexp_matches(x, '^([A-Z]\.\d+\.\d+|\d+\.\d+\.\d+)\.?\s+\S') then '### ' || trim(x) when regexp_matches(x, '^\d+\.\d+\.?\s+\S') then '## ' || trim(x)
-            when regexp_matches(x, '^\d+\.\s+\S') and len(regexp_replace(x, '[^\p{Lu}]', '', 'g')) >= 0.7 * len(regexp_replace(x, '[^\p{L}]', '', 'g')) and len(regexp_replace(x, '[^\p{L}]', '', 'g')) > 0 then '# ' || trim(x) else x end), chr(10))) h from l""",
+        # the texts have no marked lines, so only the lines before them change
+        "select doc_id, md5('" + "' || chr(10) || '".join(_LINES.values()) + "' || chr(10) || text) h from documents",
     ),
     "upper_ratio": (
         upper_ratio,
@@ -223,7 +231,7 @@ QUERIES = {
         select doc_id, "at", round(ratio, 6) ratio, ratio >= 0.7 "upper" from r""",
     ),
     "clean_lines": (clean_lines, "with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x != '') w from documents) select doc_id, len(w)::bigint as lines, md5(array_to_string(w, chr(10))) h from l"),
-    "chunk_documents": (chunk_documents, None),
+    "chunk_documents": (chunk_documents, f"with {packed_sql(409, 40)} select doc_id, segment, length(chunk) n_chars, md5(chunk) h from cut"),
     "chunk_windows": (
         chunk_windows,
         r"""with w as (select doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') w from documents), i as (select doc_id, w, unnest(generate_series(0, greatest(len(w) - 21, 0), 180)) i from w)
@@ -255,7 +263,7 @@ QUERIES = {
     "qa_quality_gate": (
         qa_gate,
         r"""select doc_id, length(text) between 500 and 4000 and (length(text) - length(replace(text, 'Pagina', ''))) / 6 <= 5 and (length(text) - length(replace(text, 'Pág', ''))) / 3 <= 5 chunk_ok,
-        trim(substr(text, 1, 40)) != '' and lang != '' and trim(substr(text, 5, 20)) != '' and len(regexp_split_to_array(trim(substr(text, 1, 40)), '\s+')) >= 6 qa_ok, length(trim(text)) between 1 and 2000 question_ok from documents""",
+        trim(string_split(text, chr(10))[1]) != '' and lang != '' and trim(string_split(text, chr(10))[-1]) != '' and len(regexp_split_to_array(trim(string_split(text, chr(10))[1]), '\s+')) >= 6 qa_ok, length(trim(text)) between 1 and 2000 question_ok from documents""",
     ),
     "dedup_questions": (dedup_questions, "select min(conv_id * 1000 + turn) seq from conversations where role = 'user' group by lower(trim(text))"),
     "combine_scores": (
@@ -269,10 +277,15 @@ QUERIES = {
     "metric_summary": (metric_summary, f"select 'judge' metric, count(j) n, {_CLAMP.format('avg(j)')} mean from {_SCORES} union all select 'cosine', count(c), {_CLAMP.format('avg(c)')} from {_SCORES}"),
     "cosine_metrics": (
         cosine_metrics,
-        "with s as (select q.vec_id qid, e.vec_id id, list_cosine_similarity(q.embedding::double[], e.embedding::double[]) score from embeddings q, embeddings e where q.vec_id % 20 = 0), r as (select * from s qualify row_number() over (partition by qid order by score desc, id) <= 5) "
-        f"select qid, {_CLAMP.format('max(score)')} faithfulness, {_CLAMP.format('avg(greatest(score - 0.2, score / 2, score - 0.1))')} context_precision, {_CLAMP.format('avg(score - 0.1)')} context_relevancy from r group by 1",
+        """with e as (select vec_id // 20 * 20 qid, vec_id % 20 i, embedding::double[] v from embeddings where vec_id % 20 < 8 and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0),
+        m as (select qid, any_value(v) filter (i = 0) q, any_value(v) filter (i = 1) a, case when qid % 40 != 0 then any_value(v) filter (i = 2) end t, any_value(v) filter (i = 3) e, any_value(v) filter (i = 7) j,
+            case when qid % 60 != 0 then list(v order by i) filter (i in (4, 5, 6)) else [] end c from e group by 1 having count(*) = 8),
+        s as (select *, list_transform(c, lambda x: greatest(0, least(1, list_cosine_similarity(q, x)))) cq, list_transform(c, lambda x: greatest(0, least(1, list_cosine_similarity(a, x)))) ca,
+            list_transform(c, lambda x: greatest(0, case when t is null then 0 else list_cosine_similarity(coalesce(t, q), x) end, list_cosine_similarity(e, x), list_cosine_similarity(q, x))) cr from m)
+        select qid, round(coalesce(list_max(ca), 0.0), 5) faithfulness, round(greatest(0, list_cosine_similarity(q, a)), 5) answer_relevancy, case when t is not null then round(greatest(0, list_cosine_similarity(a, coalesce(t, q))), 5) end answer_correctness,
+            round(coalesce(list_avg(cr), 0.0), 5) context_precision, case when len(c) = 0 then 0.0 else round(greatest(0, list_cosine_similarity(j, coalesce(t, e))), 5) end context_recall, round(coalesce(list_avg(cq), 0.0), 5) context_relevancy from s""",
     ),
-    "column_diagnostics": (lambda s, d: E.diagnostics(_t(s, d, "labels")).select("column", "filled"), "select 'doc_id' as \"column\", count(doc_id) filled from labels union all select 'quality', count(quality) from labels union all select 'toxic', count(toxic) from labels"),
+    "column_diagnostics": (lambda s, d: E.diagnostics(_t(s, d, "labels").withColumns({"quality": F.when(F.col("doc_id") % 2 == 0, F.col("quality")), "toxic": F.lit(None).cast("int")})), "select 'doc_id' as \"column\", count(doc_id) filled, null issue from labels union all select 'quality', count(quality) filter (doc_id % 2 = 0), 'some null' from labels union all select 'toxic', count(*) filter (doc_id is null and doc_id is not null), 'all null' from labels"),
     "html_titles": (
         page_titles,
         r"""with t as (select page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g') t, len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1))::bigint links from pages)

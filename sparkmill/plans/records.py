@@ -106,7 +106,7 @@ QUERIES = {
     "json_numbers": (json_numbers, "select l_orderkey, l_linenumber, case when l_linenumber > 2 then l_tax end tax from lineitem"),
     "merged_by_question": (merged_by_question, "with l as (select trim(text) q, arg_max(conv_id % 7, conv_id * 1000 + turn) score from conversations group by 1) select conv_id, turn, score from conversations join l on trim(text) = q"),
     "payload_fetch": (payload_fetch, "select doc_id::varchar id, lang from documents where doc_id in (select doc_id from labels where quality = 1)"),
-    "home_metrics": (lambda s, d: _dated(X.home_metrics(_log(s, d))), "select user_id, count(*) total, count(distinct event_type) models, count(distinct ts::date) active_days, round(avg(value), 2) avg_seconds, max(ts::date)::varchar last_day from events group by 1"),
+    "home_metrics": (lambda s, d: _dated(X.home_metrics(_log(s, d).withColumn("seconds", F.when(F.col("event_id") % 3 != 0, F.col("seconds"))))), "select user_id, count(*) total, count(distinct event_type) models, count(distinct ts::date) active_days, round(avg(case when event_id % 3 = 0 then 0.0 else value end), 2) avg_seconds, max(ts::date)::varchar last_day from events group by 1"),
     "evaluation_rows": (
         evaluation_rows,
         "with x as (select conv_id, list(text order by turn) filter (turn % 2 = 0 and trim(text) != '') c from conversations group by 1) select conv_id, case conv_id % 2 when 0 then 'truth' else 'e' end reference, len(coalesce(c, [])[1:3])::int n, md5(array_to_string(coalesce(c, [])[1:3], '|')) h from x",

@@ -42,11 +42,34 @@ def latest_match_left_join(spark: SparkSession, d: str) -> DataFrame:
     return _users(spark, d).join(last, "id", "left").select("id", F.coalesce("model", F.lit("-")).alias("model"))
 
 
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Question jobs of the log: a purchase is a finished one, the device its model."""
+    status = F.when(F.col("model") == "purchase", "done").otherwise("running")
+    return _log(spark, d).select("user_id", (F.col("tokens") % 10).alias("question"), status.alias("status"), F.upper("device").alias("model"))
+
+
 def semi_join_exists_model(spark: SparkSession, d: str) -> DataFrame:
-    """JOI01: views of users that purchased at the same hour of some day."""
-    log = _log(spark, d)
-    done = log.where("model = 'purchase'").select("user_id", F.hour("ts").alias("h"))
-    return log.where("model = 'view'").withColumn("h", F.hour("ts")).join(done, ["user_id", "h"], "left_semi").select("event_id", "user_id")
+    """JOI01: views for which a finished job of the same user and question used a model."""
+    views = _log(spark, d).where("model = 'view'").withColumn("question", F.col("tokens") % 10)
+    return U.used_model(views, _jobs(spark, d), "GPU").select("event_id", "user_id")
+
+
+def history_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """FLT08, FLT10: all filters of the history at once."""
+    rows = _log(spark, d).withColumn("question", F.col("tokens") % 10)
+    return U.history(rows, user_id=1, device="GPU", jobs=_jobs(spark, d), model="CPU").select("event_id")
+
+
+def history_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """SRT04: each user's place of a row in the four orders of the history; an unknown order is the first."""
+    places = {name: F.row_number().over(Window.partitionBy("user_id").orderBy(*R.history_order(name), "event_id")) for name in ("date_desc", "date_asc", "time_desc", "time_asc", "unknown")}
+    return _log(spark, d).withColumns(places).select("event_id", *places)
+
+
+def activity_streak(spark: SparkSession, d: str) -> DataFrame:
+    logins = spark.read.parquet(f"{d}/events.parquet").where("event_type = 'signup'").groupBy(F.col("user_id").alias("id")).agg((F.max("ts") + F.expr("interval 1 day")).alias("last_login"))
+    users = _users(spark, d).join(logins, "id", "left").select(F.col("id").alias("user_id"), "last_login")
+    return _dated(U.streaks(_log(spark, d).select("user_id", F.to_date("ts").alias("day")), users))
 
 
 def summary_by_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -61,10 +84,6 @@ def shares(spark: SparkSession, d: str) -> DataFrame:
     return own.select("model", "n", F.round(F.col("n") / F.sum("n").over(every), 4).alias("share"), F.round(F.col("n") / F.max("n").over(every), 4).alias("heat"))
 
 
-def model_month_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return U.model_months(_orders(spark, d), ["2001-05", "2001-06", "2001-07"]).select("model", F.col("2001-05").alias("m05"), F.col("2001-06").alias("m06"), F.col("2001-07").alias("m07"))
-
-
 _JSON = "(props->>'k')::bigint"
 _LOG = f"(select event_id, user_id, ts, value as seconds, event_type as model, case {_JSON} % 3 when 0 then 'CPU' when 1 then 'GPU' end device, {_JSON} tokens from events)"
 _DAYS = "(select unnest(generate_series((select min(ts)::date from events), (select max(ts)::date from events), interval 1 day))::date as day)"
@@ -96,8 +115,13 @@ QUERIES = {
         "with t as (select max(ts)::date today from events), m as (select today, unnest(generate_series(date_trunc('month', today), last_day(today), interval 1 day))::date as day from t), c as (select day, today, coalesce(n, 0) n from m left join (select ts::date as day, count(*) n from events group by 1) using (day)) select day::varchar as day, n, round(n / max(n) over (), 2) intensity, day = today is_today, (isodow(day) - 1)::int as weekday, ((day(day) - 1 + isodow(date_trunc('month', day)) - 1) // 7)::int as week from c",
     ),
     "activity_streak": (
-        lambda s, d: _dated(U.streaks(_log(s, d).select("user_id", F.to_date("ts").alias("day")))),
-        "with x as (select distinct user_id, ts::date as day from events), g as (select *, day - (row_number() over (partition by user_id order by day))::int run from x), r as (select user_id, run, count(*) as days, max(day) l from g group by 1, 2) select user_id, arg_max(days, l) streak, max(l)::varchar last_day from r group by 1",
+        activity_streak,
+        """with l as (select user_id, max(ts) + interval 1 day seen from events where event_type = 'signup' group by 1),
+        x as (select user_id, ts::date as day from events union select user_id, seen::date from l),
+        g as (select *, day - (row_number() over (partition by user_id order by day))::int run from x),
+        r as (select user_id, run, count(*) as days, max(day) l from g group by 1, 2),
+        s as (select user_id, arg_max(days, l) streak, max(l) last_day from r group by 1)
+        select c_custkey user_id, coalesce(streak, 0) streak, last_day::varchar last_day from customer left join s on c_custkey = user_id""",
     ),
     "model_comparison": (
         lambda s, d: U.models(_log(s, d)),
@@ -106,8 +130,10 @@ QUERIES = {
     "model_summary_rollup": (summary_by_rollup, "select coalesce(event_type, '(all)') model, count(*) uses, round(avg(value), 2) avg_seconds from events group by rollup (event_type)"),
     "model_shares": (shares, "select event_type model, count(*) n, round(count(*) / sum(count(*)) over (), 4) share, round(count(*) / max(count(*)) over (), 4) heat from events group by 1"),
     "model_month_pivot": (
-        model_month_pivot,
-        "select o_orderpriority model, count(*) filter (strftime(o_orderdate, '%Y-%m') = '2001-05') m05, count(*) filter (strftime(o_orderdate, '%Y-%m') = '2001-06') m06, count(*) filter (strftime(o_orderdate, '%Y-%m') = '2001-07') m07 from orders where strftime(o_orderdate, '%Y-%m') in ('2001-05', '2001-06', '2001-07') group by 1",
+        lambda s, d: U.model_months(_orders(s, d)),
+        "with t as (select max(date_trunc('month', o_orderdate)) last from orders), o as (select o_orderpriority model, 12 - date_diff('month', o_orderdate, last) nth from orders, t) select model, "
+        + ", ".join(f"count(*) filter (nth = {i}) m{i:02}" for i in range(1, 13))
+        + " from o where nth > 0 group by 1",
     ),
     "weekly_weighted_avg": (
         lambda s, d: _dated(U.weekly(_log(s, d))),
@@ -122,12 +148,25 @@ QUERIES = {
         "select event_id, user_id, ts from (select event_id, user_id, ts, row_number() over (order by ts desc, event_id desc) p, count(*) over () c"
         f" from {_LOG} where ts >= '2024-01-05' and ts < '2024-01-06' and device = 'CPU') where ceil(p / 20) = least(2, greatest(1, ceil(c / 20)))",
     ),
+    "history_filtered": (
+        history_filtered,
+        f"select event_id from {_LOG} v where user_id = 1 and device = 'GPU' and exists (select 1 from {_LOG} p where p.user_id = v.user_id and p.tokens % 10 = v.tokens % 10 and p.model = 'purchase' and p.device = 'CPU')",
+    ),
+    "history_sorted": (
+        history_sorted,
+        f"""select event_id, (row_number() over (partition by user_id order by ts desc, event_id))::int date_desc, (row_number() over (partition by user_id order by ts, event_id))::int date_asc,
+        (row_number() over (partition by user_id order by seconds desc, event_id))::int time_desc, (row_number() over (partition by user_id order by seconds, event_id))::int time_asc,
+        (row_number() over (partition by user_id order by ts desc, event_id))::int as "unknown" from {_LOG}""",
+    ),
     "query_donut": (lambda s, d: U.donut(_log(s, d), 1), "select count(*) filter (user_id = 1) mine, count(*) filter (user_id != 1) others from events"),
     "latest_match_left_join": (
         latest_match_left_join,
         "select c_custkey id, coalesce(event_type, '-') model from customer left join (select user_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) on c_custkey = user_id",
     ),
-    "semi_join_exists_model": (semi_join_exists_model, "select event_id, user_id from events v where event_type = 'view' and exists (select 1 from events p where p.event_type = 'purchase' and p.user_id = v.user_id and hour(p.ts) = hour(v.ts))"),
+    "semi_join_exists_model": (
+        semi_join_exists_model,
+        f"select event_id, user_id from {_LOG} v where model = 'view' and exists (select 1 from {_LOG} p where p.user_id = v.user_id and p.tokens % 10 = v.tokens % 10 and p.model = 'purchase' and p.device = 'GPU')",
+    ),
     "job_progress": (
         lambda s, d: U.progress(_log(s, d), "user_id", "event_id").select("event_id", "percent"),
         "select event_id, floor(100 * row_number() over (partition by user_id order by event_id) / count(*) over (partition by user_id))::int percent from events",
