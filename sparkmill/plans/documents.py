@@ -170,7 +170,7 @@ def cosine_metrics(s: SparkSession, d: str) -> DataFrame:
     odd = F.col("qid") % 40 != 0
     contexts = F.when(F.col("qid") % 60 != 0, F.filter(F.array(v(4), v(5), v(6)), lambda c: c.isNotNull())).otherwise(F.array().cast("array<array<double>>"))
     rows = of.select("qid", v(0).alias("question"), v(1).alias("answer"), F.when(odd, v(2)).alias("truth"), v(3).alias("evidence"), contexts.alias("contexts"), v(7).alias("joined"))
-    return E.cosine_metrics(rows).select("qid", *(F.round(c, 5).alias(c) for c in E.METRICS))
+    return E.cosine_metrics(rows).select("qid", *(F.round(c, 6).alias(c) for c in E.METRICS))
 
 
 def page_titles(s: SparkSession, d: str) -> DataFrame:
@@ -280,10 +280,10 @@ QUERIES = {
         """with e as (select vec_id // 20 * 20 qid, vec_id % 20 i, embedding::double[] v from embeddings where vec_id % 20 < 8 and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0),
         m as (select qid, any_value(v) filter (i = 0) q, any_value(v) filter (i = 1) a, any_value(v) filter (i = 2) t0, qid % 40 != 0 has, any_value(v) filter (i = 3) e, any_value(v) filter (i = 7) j,
             case when qid % 60 != 0 then list(v order by i) filter (i in (4, 5, 6)) else [] end c from e group by 1 having count(*) = 8),
-        s as (select *, list_transform(c, lambda x: greatest(0, least(1, list_cosine_similarity(q, x)))) cq, list_transform(c, lambda x: greatest(0, least(1, list_cosine_similarity(a, x)))) ca,
-            list_transform(c, lambda x: greatest(0, case when has then list_cosine_similarity(t0, x) else 0 end, list_cosine_similarity(e, x), list_cosine_similarity(q, x))) cr from m)
-        select qid, round(coalesce(list_max(ca), 0.0), 5) faithfulness, round(greatest(0, list_cosine_similarity(q, a)), 5) answer_relevancy, case when has then round(greatest(0, list_cosine_similarity(a, t0)), 5) end answer_correctness,
-            round(coalesce(list_avg(cr), 0.0), 5) context_precision, case when len(c) = 0 then 0.0 else round(greatest(0, list_cosine_similarity(j, case when has then t0 else e end)), 5) end context_recall, round(coalesce(list_avg(cq), 0.0), 5) context_relevancy from s""",
+        s as (select *, list_transform(c, lambda x: round(greatest(0, list_cosine_similarity(q, x)), 6)) cq, list_transform(c, lambda x: round(greatest(0, list_cosine_similarity(a, x)), 6)) ca,
+            list_transform(c, lambda x: round(greatest(0, case when has then list_cosine_similarity(t0, x) else 0 end, list_cosine_similarity(e, x), list_cosine_similarity(q, x)), 6)) cr from m)
+        select qid, coalesce(list_max(ca), 0.0) faithfulness, round(greatest(0, list_cosine_similarity(q, a)), 6) answer_relevancy, case when has then round(greatest(0, list_cosine_similarity(a, t0)), 6) end answer_correctness,
+            round(coalesce(list_avg(cr), 0.0), 6) context_precision, case when len(c) = 0 then 0.0 else round(greatest(0, list_cosine_similarity(j, case when has then t0 else e end)), 6) end context_recall, round(coalesce(list_avg(cq), 0.0), 6) context_relevancy from s""",
     ),
     "column_diagnostics": (lambda s, d: E.diagnostics(_t(s, d, "labels").withColumns({"quality": F.when(F.col("doc_id") % 2 == 0, F.col("quality")), "toxic": F.lit(None).cast("int")})), "select 'doc_id' as \"column\", count(doc_id) filled, null issue from labels union all select 'quality', count(quality) filter (doc_id % 2 = 0), 'some null' from labels union all select 'toxic', count(*) filter (doc_id is null and doc_id is not null), 'all null' from labels"),
     "html_titles": (
