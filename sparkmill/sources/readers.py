@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
@@ -46,5 +48,30 @@ def sink_tsv(df: DataFrame, path: str) -> None:
 
 
 def sink_json(df: DataFrame, path: str, mode: str = "error") -> None:
-    """SNK03, SNK04, SNK06, SNK10: JSON lines; ``mode`` ``ignore`` leaves what is there."""
+    """SNK03, SNK04, SNK10: JSON lines; ``mode`` ``ignore`` leaves what is there."""
     df.write.mode(mode).json(path)
+
+
+def sink_artefacts(folder: str, rows: DataFrame, summary: DataFrame, diagnostics: DataFrame) -> None:
+    """SNK06: the three results of an evaluation, side by side."""
+    for name, table in (("rows", rows), ("summary", summary), ("diagnostics", diagnostics)):
+        sink_json(table, f"{folder}/{name}")
+
+
+def artefact_folder(root: str, now: datetime) -> str:
+    """SNK09: the folder of an evaluation at a time."""
+    return f"{root.rstrip('/')}/evaluations/{now:%Y%m%d_%H%M%S}"
+
+
+def created(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """SNK02: the table at a path, made empty where there is none yet."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def sink_markdown(docs: DataFrame, path: str, key: str = "doc_id", text: str = "markdown") -> None:
+    """SNK07: each document's text in a folder of its own; null and empty ones have none."""
+    kept = docs.where(F.coalesce(F.col(text), F.lit("")) != "").select(F.col(key).cast("string").alias("document"), F.col(text).alias("value"))
+    kept.write.partitionBy("document").text(path)

@@ -8,34 +8,60 @@ from pyspark.sql.streaming import StreamingQuery
 from sparkmill.operators import catalog
 
 
-def indexed(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "name", order: str = "seq") -> StreamingQuery:
-    """Keep ``target``/current at the last state of each key of the Parquet files that arrive in ``source``.
+#: Parts of the state; a batch rewrites only those that it touches.
+BUCKETS = 64
 
-    A batch is written beside the state it replaces, under its own number, so a batch that runs twice leaves the same
-    state; the folder of the newest batch is the state.
+
+def indexed(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "name", order: str = "seq", buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep ``target`` at the last state of each key of the Parquet files that arrive in ``source``.
+
+    The state lies in buckets by the hash of the key. A batch reads the buckets of its own keys and writes them anew
+    under its number, so a batch that runs twice leaves the same state; the newest version of each bucket is the state,
+    the one before it is kept for a batch that runs again, older ones are removed.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = state(batch.sparkSession, target, number)
-        after = batch if before is None else catalog.upserted(before, batch, key, order)
-        if before is None:
-            after = catalog.upserted(batch.limit(0), batch, key, order)
-        after.write.mode("overwrite").parquet(f"{target}/batch={number:012d}")
+        session = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(buckets)).cast("int")
+        batch = batch.persist()
+        touched = {str(r["bucket"]) for r in batch.select(bucket.alias("bucket")).distinct().collect()}  # at most `buckets`
+        paths = [v[-1][1] for b, v in _versions(session, target, number).items() if b in touched]
+        before = session.read.schema(batch.schema).parquet(*paths) if paths else batch.limit(0)
+        catalog.upserted(before, batch, key, order).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={number:012d}")
+        batch.unpersist()
+        for b, versions in _versions(session, target, number + 1).items():
+            for _, path in versions[:-2] if b in touched else ():
+                _fs(session, path).delete(_path(session, path), True)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, target: str, before: int | None = None) -> dict[str, list[tuple[str, str]]]:
+    """For each bucket the folders that hold it, oldest first, of finished batches (below a number)."""
+    fs, found = _fs(spark, target), {}
+    if fs.exists(_path(spark, target)):
+        for batch in sorted(str(f.getPath().getName()) for f in fs.listStatus(_path(spark, target))):
+            if batch.startswith("batch=") and (before is None or int(batch[6:]) < before) and fs.exists(_path(spark, f"{target}/{batch}/_SUCCESS")):
+                for part in fs.listStatus(_path(spark, f"{target}/{batch}")):
+                    name = str(part.getPath().getName())
+                    if name.startswith("bucket="):
+                        found.setdefault(name[7:], []).append((batch, f"{target}/{batch}/{name}"))
+    return found
+
+
 def state(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
     """The state after the last batch, or after the last one before a number; None before the first."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(target)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    names = sorted(str(f.getPath().getName()) for f in fs.listStatus(root) if str(f.getPath().getName()).startswith("batch="))
-    done = [n for n in names if before is None or int(n.split("=")[1]) < before]
-    return spark.read.parquet(f"{target}/{done[-1]}") if done else None
+    paths = [versions[-1][1] for versions in _versions(spark, target, before).values()]
+    return spark.read.parquet(*paths) if paths else None
 
 
 def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

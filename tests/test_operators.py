@@ -1,12 +1,13 @@
 """Golden values of single operators."""
 
 import math
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparkmill.functions import markdown as M, text as T
-from sparkmill.operators import catalog as C, chunking, evaluation as E, retrieval as R, usage as U
+from sparkmill.operators import catalog as C, chunking, evaluation as E, lifecycle as L, retrieval as R, usage as U
 from sparkmill.sources import html as H, readers
 from sparkmill.streaming import incremental
 
@@ -40,6 +41,8 @@ def value(spark, expression, **columns):
         (M.without_dot_leaders, "1. OBJETO............. 3\n.....\nTexto normal", "1. OBJETO 3\nTexto normal"),
         (M.with_headings, "1. OBJETO DEL CONTRATO", "# 1. OBJETO DEL CONTRATO"),
         (M.with_headings, "1.1. Alcance", "## 1.1. Alcance"),
+        (M.with_headings, "1.1 Alcance", "1.1 Alcance"),
+        (M.with_headings, "A.1. Texto\n", "### A.1. Texto"),
         (M.with_headings, "1.1.1. Detalle", "### 1.1.1. Detalle"),
         (M.with_headings, "G.2.2. Codigo", "### G.2.2. Codigo"),
         (M.with_headings, "- 1. Lista", "- 1. Lista"),
@@ -161,3 +164,75 @@ def test_incremental_index(spark, tmp_path):
     spark.createDataFrame([("a", "2", 2), ("c", "1", 2)], schema).write.mode("append").parquet(source)
     incremental.indexed(spark, source, schema, target, mark).awaitTermination()
     assert sorted((r["name"], r["hash"]) for r in incremental.state(spark, target).collect()) == [("a", "2"), ("b", "1"), ("c", "1")]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("expediente número: EXP/1 de obras", "EXP/1 de obras"),
+        ("expediente nº 12-A y pliego", "12-A"),
+        ("Expediente # A1 B2 C3 D4 E5 F6 G7", "A1 B2 C3 D4 E5 F6"),
+        ("expediente EXP-1, que trata", "EXP-1"),
+        ("expediente EXP.1.", "EXP.1"),
+        ("expediente del pliego", None),
+        ("expediente “A B C”", "A B C"),
+        ("el expediente", None),
+    ],
+)
+def test_file_numbers(spark, text, want):
+    assert value(spark, T.file_number(F.col("c")), c=text) == want
+
+
+def test_sinks_and_json_arrays(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a\tb"), (2, None)], "id int, text string")
+    readers.sink_tsv(rows, str(tmp_path / "tsv"))
+    back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "tsv"))
+    assert sorted((r["id"], r["text"] or "") for r in back.collect()) == [("1", "a\tb"), ("2", "")]
+    readers.sink_json(rows, str(tmp_path / "json"))
+    readers.sink_json(rows.limit(0), str(tmp_path / "json"), "ignore")
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    folder = readers.artefact_folder(f"{tmp_path}/", datetime(2026, 1, 2, 3, 4, 5))
+    assert folder == f"{tmp_path}/evaluations/20260102_030405"
+    readers.sink_artefacts(folder, rows, rows.limit(1), E.diagnostics(rows))
+    assert [spark.read.json(f"{folder}/{n}").count() for n in ("rows", "summary", "diagnostics")] == [2, 1, 2]
+    for _ in range(2):
+        assert readers.created(spark, str(tmp_path / "made"), "id int").count() == 0
+    readers.sink_markdown(rows.withColumn("id", F.lit("x/y")), str(tmp_path / "md"), "id", "text")
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "md")).collect()] == ["a\tb"]
+    (tmp_path / "a.json").write_text('[{"q": "one", "n": 1}, {"q": "two", "n": "x"}]')
+    got = readers.json_array(spark, str(tmp_path / "a.json"), spark.createDataFrame([], "q string, n int").schema)
+    assert [(r["q"], r["n"]) for r in got.collect()] == [("one", 1)]
+
+
+def test_sentences(spark):
+    one, two = "Una frase de prueba con palabras. " * 20, "Otra más larga que sigue aquí. " * 30
+    docs = spark.createDataFrame([(1, one + two), (2, "corta."), (3, None), (4, "x" * 2000 + ". " + "y" * 900 + ".")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["segment"], r["chunk"]) for r in L.packed_sentences(docs).collect())
+    first = [c for i, _, c in got if i == 1]
+    assert " ".join(first) in " ".join((one + two).split()) and all(800 <= len(c) <= 1200 for c in first)
+    assert [len(c) for i, _, c in got if i == 4] == [2001, 901] and not any(i in (2, 3) for i, *_ in got)
+
+
+def test_prompt_embedding_and_choice(spark):
+    from sparkmill.operators import indexing as X
+
+    row = spark.range(1).select(X.prompt("Q: {question} C: {context}", F.lit("why {context}?"), F.lit("text")).alias("p"), E.chosen(F.array(F.lit("faithfulness"), F.lit("nonsense"))).alias("c"), E.chosen(F.lit(None).cast("array<string>")).alias("all")).head()
+    assert row["c"] == ["faithfulness"] and len(row["all"]) == 6 and row["p"].startswith("Q: why")
+    texts = spark.createDataFrame([(1, "ab"), (2, " "), (3, None)], "id int, text string")
+    seen = X.embedded(texts, lambda batch: [[float(len(t))] for t in batch], batch=2)
+    assert sorted((r["id"], r["vector"]) for r in seen.collect()) == [(1, [2.0]), (2, [1.0]), (3, [1.0])]
+
+
+def test_points_fail_as_a_whole(spark):
+    docs = spark.createDataFrame([(1, "s", "a\nb"), (2, "s", "a\nzzz"), (3, "s", None)], "doc_id long, sha string, text string")
+    got = L.points(docs, lambda c: F.when(~F.contains(c, F.lit("zzz")), F.array(F.length(c))), 1)
+    assert sorted((r["document_id"], r["segment"]) for r in got.collect()) == [(1, 0), (1, 1)]
+
+
+def test_incremental_buckets(spark, tmp_path):
+    source, target, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    for i in range(4):
+        spark.createDataFrame([("a", str(i), i), (f"k{i}", "1", i)], "name string, hash string, seq int").write.mode("append").parquet(source)
+        incremental.indexed(spark, source, "name string, hash string, seq int", target, mark, buckets=4).awaitTermination()
+    assert sorted((r["name"], r["hash"]) for r in incremental.state(spark, target).collect()) == [("a", "3"), *((f"k{i}", "1") for i in range(4))]
+    assert all(len(v) <= 2 for v in incremental._versions(spark, target).values())
