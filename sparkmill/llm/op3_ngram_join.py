@@ -11,12 +11,12 @@ Method:
     class in whose order the token stands first: it has the fewest rarer tokens, as the middle of a group of copies
     has. Ties go by one of LEADERS random orders, which the token chooses.
 3.  Every class has a bitmap: bit h(token) flipped for each token. Two bitmaps differ in no more bits than the sets in
-    tokens, so a pair that differs in too many is not alike. Candidates that pass are held against the prefixes of
-    further orders (the hashes mixed anew), and only those that share a token in each are verified on whole sets.
-    Verified links give components.
+    tokens, so a pair that differs in too many is not alike. For the classes in candidates that pass, the prefixes under
+    further orders (the hashes mixed anew) are taken, as 16 bits of each token; only pairs that share a token in every
+    order go on, before any text moves. Those are verified on whole sets; verified links give components.
 4.  What step 2 left open: in larger buckets, pairs of classes that are not in one component yet. All of them that
-    pass the size, position and bitmap filters are verified as in step 3, and the components joined. No link between two components is lost, and links
-    inside a component do not change it.
+    pass the size, position and bitmap filters go on as in step 3, and the components are joined. No link between two
+    components is lost, and links inside a component do not change it.
 """
 
 from __future__ import annotations
@@ -47,6 +47,7 @@ BITMAP = 16
 ORDERS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 #: Rows of ids up to which a table is broadcast (16 bytes a row); larger ones are shuffled.
 BROADCAST_ROWS = 2_000_000
+_PREFIXES = [f"o{i}" for i in range(len(ORDERS))]
 
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -196,16 +197,9 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of those rows (a, b, text_a, text_b) whose sets have these keys, share a token in every order's prefix and reach the threshold."""
+    """(a, b) of those rows (a, b, text_a, text_b) whose sets have these keys and reach the threshold."""
 
     def similar(x: np.ndarray, y: np.ndarray) -> bool:
-        for seed in ORDERS:
-            heads = []
-            for s in (x, y):
-                m, p = words.mix(s ^ np.uint64(seed)), _prefix(len(s))
-                heads.append(np.partition(m, p - 1)[:p] if p < len(m) else m)
-            if not len(np.intersect1d(*heads, assume_unique=True)):
-                return False
         both = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * both >= THRESHOLD * (len(x) + len(y) - both)
 
@@ -237,19 +231,39 @@ def _sized(table: DataFrame) -> DataFrame:
 
 
 def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, text) that belong together: key, the text compressed, and of each further order the prefix, 16 bits a token."""
     press = zstandard.ZstdCompressor(level=3)
+    names = ["key", "text", *_PREFIXES]
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["key", "text"])
+        keys = batch.column(0).to_pylist()
+        for lo, sets in _sets(batch.column(1)):
+            own = [(lo + i, s) for i, s in enumerate(sets) if len(s) and _key(s) == keys[lo + i]]
+            heads = []
+            for seed in ORDERS:
+                of_order = []
+                for _, s in own:
+                    m, p = words.mix(s ^ np.uint64(seed)), _prefix(len(s))
+                    of_order.append(np.unique((np.partition(m, p - 1)[:p] if p < len(m) else m).view(np.uint16)[::4].view(np.int16)))
+                heads.append(pa.array(of_order, pa.list_(pa.int16())))
+            rows = pa.array([i for i, _ in own], pa.int64())
+            texts = [press.compress(t.encode()) for t in batch.column(1).take(rows).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(texts, pa.binary()), *heads], names=names)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (u, v) among candidate pairs of class keys; the text of each class is that of its least document."""
-    involved = scratch.keep(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select("key", "rep"), "involved")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(_sized(involved), "rep").select("key", "text")
-    texts = scratch.keep(texts.mapInArrow(_pressed, "key long, text binary"), "texts")
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")).join(_sized(pairs), "a")
-    both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return scratch.keep(both.mapInArrow(_verify, "u long, v long"), "verified")
+    with scratch.steps(docs.sparkSession):
+        involved = scratch.keep(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select("key", "rep"), "involved")
+        texts = docs.select(F.col("doc_id").alias("rep"), "text").join(_sized(involved), "rep").select("key", "text")
+        texts = scratch.keep(texts.mapInArrow(_pressed, "key long, text binary, " + ", ".join(f"{c} array<smallint>" for c in _PREFIXES)), "texts")
+        x, y = (texts.select(F.col("key").alias(c), F.struct(*_PREFIXES).alias(s)) for c, s in (("a", "x"), ("b", "y")))
+        shared = F.lit(True)
+        for c in _PREFIXES:
+            shared = shared & F.arrays_overlap(f"x.{c}", f"y.{c}")
+        near = scratch.keep(pairs.join(x, "a").join(y, "b").where(shared).select("a", "b").distinct(), "pairs-by-orders")
+        left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")).join(_sized(near), "a")
+        both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+        return scratch.keep(both.mapInArrow(_verify, "u long, v long"), "verified", stay=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -260,9 +274,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text, empty text and text without words: n_shingles 0, linked with nothing. Equal texts always link. Rows with a
     repeated doc_id each keep their own set; a null doc_id gets the least id of its group, or null.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with scratch.steps(docs.sparkSession):
+        return _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    seen = scratch.keep(docs.mapInArrow(_first_pass, _SETS), "sets")
+    seen = scratch.keep(docs.mapInArrow(_first_pass, _SETS), "sets", stay=True)
     meta = seen.where("not counted")
     tops = seen.where("counted").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
     late = np.array([r["key"] for r in tops], dtype=np.int64).view(np.uint64)
@@ -295,7 +313,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     named = classes.select("key", "rep").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("group"))
     least = named.groupBy("group").agg(F.min("rep").alias("component_id"))
-    named = scratch.keep(named.join(scratch.keep(least, "least"), "group").select("key", "component_id"), "named")
+    named = scratch.keep(named.join(scratch.keep(least, "least"), "group").select("key", "component_id"), "named", stay=True)
     out = meta.join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -182,11 +182,11 @@ def recognised(docs: DataFrame) -> DataFrame:
     about as long, predicted rightly, score as low: then their ``LOWEST`` quantile is the limit. So a long text in an
     unlearned script or of random letters goes, and a clean one of a few letters stays if such were learned.
     """
-    found = scratch.keep(identified(docs).where("lang_pred != 'und' and score > 0"), "identified")
+    found = scratch.keep(identified(docs).where("lang_pred != 'und' and score > 0"), "identified", stay=True)
     about = F.floor(F.log2(F.length("text"))).cast("int")
     learned = found.where(~held_out(F.col("doc_id")) & (F.col("lang") == F.col("lang_pred")))
     limits = learned.groupBy(about.alias("__about")).agg(F.percentile_approx("score", LOWEST, 10000).alias("__limit"))
-    limits = F.broadcast(scratch.keep(limits, "limits"))  # a row a power of two
+    limits = F.broadcast(scratch.keep(limits, "limits", stay=True))  # a row a power of two
     judged = found.join(limits, about == F.col("__about"), "left").where(F.col("score") >= F.least("__limit", F.lit(NOISE)))
     return judged.drop("__about", "__limit")
 

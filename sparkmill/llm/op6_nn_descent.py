@@ -35,8 +35,8 @@ THRESHOLD = 0.95
 NEIGHBOURS, TREES, BLOCK = 8, 6, 192
 #: A round that adds no more than this share of new edges is the last before the audit; at most so many rounds.
 FEW, ROUNDS = 0.01, 6
-#: Classes in a tile, and rows of it that are multiplied at once.
-TILE, STRIPE = 8192, 1024
+#: Classes in a tile at least and at most, between them 4 times the root of the component's, and rows that are multiplied at once.
+LEAST_TILE, TILE, STRIPE = 64, 8192, 1024
 #: Vectors in the audit, the recall it asks for, the least it accepts, and how often the search goes on until it is reached.
 AUDITED, RECALL, LEAST_RECALL, EXTRA = 200, 0.98, 0.9, 6
 #: Parts into which the edges of a node are dealt before its nearest are chosen.
@@ -215,17 +215,16 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _best(edges: DataFrame, lengths: DataFrame | None, length: int) -> DataFrame:
-    """Each node's nearest neighbours: ``length`` of them, or as many as ``lengths`` (u, length) says.
+    """Each node's nearest neighbours: ``length`` of them, or as many as ``lengths`` (u, length) says, at most twice as many.
 
     They are chosen within ``PARTS`` parts of a node's edges first, so that a node with very many is no single task.
     """
-    edges = edges.groupBy("u", "v").agg(F.max("cosine").alias("cosine"))
-    if lengths is not None:
-        edges = edges.join(lengths, "u", "left")
-    most = F.lit(length) if lengths is None else F.coalesce("length", F.lit(length))
-    edges = edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+    edges = edges.groupBy("u", "v").agg(F.max("cosine").alias("cosine")).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
     for keys in (["u", "part"], ["u"]):
-        edges = edges.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cosine"), "v"))).where(F.col("rank") <= most)
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cosine"), "v"))
+        edges = edges.withColumn("rank", rank).where(F.col("rank") <= (length if lengths is None else 2 * length))
+    if lengths is not None:
+        edges = edges.join(lengths, "u", "left").where(F.col("rank") <= F.coalesce("length", F.lit(length)))
     return edges.select("u", "v", "cosine")
 
 
@@ -334,7 +333,9 @@ def _linked(rows: DataFrame, report: dict[str, float]) -> DataFrame:
 
 def _counted(vectors: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
     """(id, linked): rows of other classes that a class of a component links with."""
-    sizes = scratch.keep(groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "group-sizes")
+    n = F.count(F.lit(1))
+    tile = F.least(F.lit(TILE), F.greatest(F.lit(LEAST_TILE), 4 * F.sqrt(n)))
+    sizes = scratch.keep(groups.groupBy("component").agg(F.ceil(n / tile).cast("int").alias("tiles")), "group-sizes")
     member = scratch.keep(groups.join(sizes, "component"), "members")
     member = member.join(classes.select(F.col("id").alias("node"), "n"), "node").join(vectors.select(F.col("id").alias("node"), "v"), "node")
     member = member.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))

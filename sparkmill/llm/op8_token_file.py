@@ -161,5 +161,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = scratch.fresh(spark, "token-file")
+    scratch.leave(path)
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read(spark, path, digest=True)

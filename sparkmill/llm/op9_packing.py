@@ -105,7 +105,7 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, nodes: int = 4_000) -> Data
 
 def packed(docs: DataFrame, tokenizer: str, byte_level: bool = False, end_id: int = END, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pack whole documents (doc_id, text): see :func:`pieces` and :func:`assign`. Other columns do not matter."""
-    return assign(scratch.keep(pieces(docs, tokenizer, byte_level, end_id, capacity, with_ids), "pieces"), capacity)
+    return assign(scratch.keep(pieces(docs, tokenizer, byte_level, end_id, capacity, with_ids), "pieces", stay=True), capacity)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -60,12 +60,17 @@ def keep(df: DataFrame, what: str, codec: str = "snappy", stay: bool = False) ->
     """
     spark = df.sparkSession
     path = fresh(spark, what)
-    stack = _stack()[: -1 if stay else None]
-    (stack[-1] if stack else _left).append(path)
+    leave(path, stay)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def leave(path: str, stay: bool = False) -> None:
+    """Have a path of :func:`fresh` removed as one of :func:`keep` is."""
+    stack = _stack()[: -1 if stay else None]
+    (stack[-1] if stack else _left).append(path)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a table of :func:`fresh` that nothing reads any more."""
     jvm = spark.sparkContext._jvm
