@@ -28,6 +28,12 @@ def json_number(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
+def json_text(nested: Column) -> Column:
+    """PRJ03: a map of arrays of numbers as JSON text: its keys are text, NaN and infinite numbers null."""
+    safe = F.transform_values(nested, lambda _, v: F.transform(v, json_number))
+    return F.to_json(F.transform_keys(safe, lambda k, _: k.cast("string")))
+
+
 def merged_by_question(rows: DataFrame, judged: DataFrame) -> DataFrame:
     """JOI03: rows (question) with the score of the judged row (question, seq, score) of the same trimmed text, the last by seq."""
     last = judged.groupBy(F.trim("question").alias("__q")).agg(F.max_by("score", "seq").alias("score"))

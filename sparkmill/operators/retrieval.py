@@ -157,6 +157,11 @@ def page_as_asked(df: DataFrame, order: list[Column], number: int, size: int) ->
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 
+def after(df: DataFrame, key: str, last: object, size: int) -> DataFrame:
+    """SRC12, WIN10: the next ``size`` rows by key after the last one seen; None begins. The key's filter reaches the scan."""
+    return (df if last is None else df.where(F.col(key) > last)).orderBy(key).limit(size)
+
+
 def scrolled(df: DataFrame, order: list[Column], total: int, batch: int) -> DataFrame:
     """SRC13: the first rows in whole batches: it ends with the batch that reaches ``total``."""
     return df.orderBy(*order).limit(-(-total // batch) * batch)

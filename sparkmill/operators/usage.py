@@ -36,6 +36,14 @@ def by_day(log: DataFrame) -> DataFrame:
     return day_spine(log).join(own, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.round("s", 2), F.lit(0.0)).alias("avg_seconds"))
 
 
+def by_day_12m(log: DataFrame) -> DataFrame:
+    """AGG05, AGG06: questions and mean seconds of every day of the twelve months up to the log's last, days without any too."""
+    last = log.agg(F.to_date(F.max("ts")).alias("b")).where("b is not null")
+    days = last.select(F.explode(F.sequence(F.add_months(F.trunc("b", "month"), -11), F.last_day("b"))).alias("day"))
+    own = log.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.avg("seconds").alias("s"))
+    return days.join(own, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.round("s", 2), F.lit(0.0)).alias("avg_seconds"))
+
+
 def by_day_and_hour(log: DataFrame) -> DataFrame:
     """AGG07: questions of every hour of every day."""
     own = log.groupBy(F.to_date("ts").alias("day"), F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
