@@ -167,6 +167,12 @@ def scrolled(df: DataFrame, order: list[Column], total: int, batch: int) -> Data
     return df.orderBy(*order).limit(-(-total // batch) * batch)
 
 
+def asked_k(k: int | None, profile: str = "general") -> int:
+    """SRT02, SRT03: how many chunks to retrieve when k are asked for: at least 5, 20 if none is given, at most 20 but for a summary."""
+    least = max(5, k or 20)
+    return least if profile == "summary" else min(least, 20)
+
+
 def guided(df: DataFrame, number: str | None, kind: str | None, document: int | None) -> DataFrame:
     """FLT02: chunks (numero_expediente, document_id, tipo_documento) of a file number and a document, and of a kind in any of its spellings.
 

@@ -33,7 +33,7 @@ def topk_filter_relax(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topk_best(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(R.best(R.search(*_tables(spark, d), 5)))
+    return _shown(R.best(R.search(*_tables(spark, d), R.asked_k(1))))  # one is asked for, five are retrieved
 
 
 def context_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,8 @@ def retrieved_items(spark: SparkSession, d: str) -> DataFrame:
     """PRJ01: shown scores of raw values that may not be finite."""
     rows = spark.read.parquet(f"{d}/lineitem.parquet")
     raw = F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).when(F.col("l_linenumber") == 2, F.lit(float("inf"))).when(F.col("l_linenumber") == 3, F.lit(None).cast("double")).otherwise(F.col("l_discount"))
-    return rows.select("l_orderkey", "l_linenumber", R.finite(raw).alias("score"))
+    hit = {"segment": F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey")), "text": F.when(F.col("l_linenumber") % 3 == 0, F.col("l_returnflag")), "score": raw}
+    return rows.select("l_orderkey", "l_linenumber", *R.item(hit))
 
 
 _HITS = """with s as (
@@ -89,5 +90,5 @@ QUERIES = {
         "select vec_id, label, page, min(vec_id) over (partition by label, page) \"cursor\" from (select vec_id, label, ((row_number() over (partition by label order by vec_id) - 1) // 10)::bigint page from embeddings)",
     ),
     "metadata_filter": (metadata_filter, "select doc_id, n_chars from documents where lang = 'en' and source = 'src0'"),
-    "retrieved_items": (retrieved_items, "select l_orderkey, l_linenumber, case when l_linenumber <= 3 then 0.0 else l_discount end::double score from lineitem"),
+    "retrieved_items": (retrieved_items, "select l_orderkey, l_linenumber, case l_linenumber % 2 when 0 then l_suppkey else -1 end::bigint segment, case l_linenumber % 3 when 0 then l_returnflag else '' end \"text\", case when l_linenumber <= 3 then 0.0 else l_discount end::double score from lineitem"),
 }
