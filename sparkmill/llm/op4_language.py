@@ -143,7 +143,8 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     """The columns of docs, lang_pred and score: the nearest prototype and its cosine, not below 0.
 
     ``und`` and 0 where text is null or has no letter, and everywhere if nothing was learned. Of equal cosines the
-    first language by name is taken. Columns of docs that have these names are replaced.
+    first language by name is taken. Repeated rows each get the same result. Columns of docs that have these names are
+    replaced.
     """
     docs = docs.drop("lang_pred", "score")
     names = docs.columns

@@ -530,3 +530,23 @@ def test_pipeline_stages(spark, folder):
             assert docs.where("n_chars != length(text)").count() == 0
     assert docs.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
+
+
+def test_pipeline_stages_on_odd_rows(spark, folder, tmp_path):
+    """Nulls in every column, empty and repeated rows, clashing extra columns, and tables without rows."""
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ("n_removed", "component_id", "score", "text_md5", "length", "items")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 40").withColumns({c: F.lit("clash") for c in names})
+    odd = [(None, None, None, None, None), (900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, " \n\n ", None, "s", 4), (903, "12 34", "en", None, 5), (None, docs.head()["text"], "en", "s", None)]
+    rows = spark.createDataFrame(odd, DOCS).withColumns({c: F.lit(None).cast("string") for c in names})
+    docs = docs.unionByName(docs.where("doc_id < 5")).unionByName(rows.select(*(F.col(c).cast(docs.schema[c].dataType) for c in docs.columns)))
+    whole = docs
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, whole.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        docs = scratch.keep(stage(spark, docs, str(tmp_path)), "stage", stay=True)
+        if name != "packing":
+            assert docs.columns == whole.columns
+            assert docs.where("doc_id < 40 and score != 'clash'").count() == 0
+    assert 0 < docs.select("doc_id").distinct().count() <= 41
+    scratch.clear(spark)
