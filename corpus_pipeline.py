@@ -21,18 +21,28 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without a letter, or no more like a prototype than unrelated texts, go."""
+    """Documents in a language that was learned; those without a letter, or no more like a prototype than unrelated texts, go.
+
+    So null and empty texts go; repeated rows stay or go together; an empty table stays empty.
+    """
     return op4_language.recognised(docs).drop("lang_pred", "score")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without chunks and passages that stand earlier; a document of which nothing is left goes."""
+    """Texts without chunks and passages that stand earlier; a document of which nothing is left goes.
+
+    Null and empty texts stay; rows equal in doc_id and text are one document and keep what is first in it; null ids
+    come before all others.
+    """
     cut = op7_line_dedup.without_repeats(docs).where("n_removed = 0 or trim(translate(text, '\\n', ' ')) != ''").drop("n_removed")
     return _recounted(cut)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates; of rows with one doc_id all of those that lead a group."""
+    """The first document of each group of near duplicates; of rows with one doc_id all of those that lead a group.
+
+    Rows with a null doc_id stay, as do texts without words.
+    """
     groups = op3_ngram_join.near_duplicates(docs)
     leads = groups.where("doc_id is null or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("lead")).distinct()
     leads = scratch.keep(leads, "leads")
@@ -42,13 +52,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of the benchmark; a document of which nothing is left goes."""
+    """Texts without the passages of the benchmark; a document of which nothing is left goes.
+
+    Null texts and texts that had no words before stay; repeated rows are cut alike.
+    """
     clean = op10_decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), clean=True)
     return _recounted(clean.where("text is null or text rlike '[0-9a-zA-Z\\\\x{80}-\\\\x{10FFFF}]' or n_chars = length(text)"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of 2048."""
+    """Token pieces in sequences of 2048; a null or empty text is a piece of the end id, repeated rows are packed each."""
     return op9_packing.digest(docs)
 
 
