@@ -125,7 +125,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(pages, pages.select("page_id", "url").join(good, "page_id").select("url", "good"))
 
 
-SQL = """
+def _weight_sql(level: str) -> str:
+    """:func:`_weight` of a table (n, k, p0)."""
+    inside = "p0 * (1 - p0) > 0"
+    return f"""
+    select case when rho * 1001 <= 1 then 1000.0 else greatest(1.0, 1 / rho - 1) end m from (
+        select case when extra > 0 then (chi - hosts) / extra else 0 end rho from (
+            select sum(case when {inside} then n * pow(k / n - p0, 2) / (p0 * (1 - p0)) else 0 end) chi, sum(case when {inside} then n - 1 else 0 end) extra, sum(case when {inside} then 1 else 0 end) hosts
+            from {level} where n > 0
+        )
+    )"""
+
+
+SQL = f"""
 with u as (
     select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
         regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) path
@@ -145,13 +157,13 @@ with u as (
 ), d0 as (select suffix, domain, sum(n) n, sum(k) k from h group by suffix, domain)
 , s0 as (select suffix, sum(n) n, sum(k) k from d0 group by suffix)
 , s1 as (select *, (select sum(k) / sum(n) from s0) p0 from s0)
-, sm as (select case when rho * 1001 <= 1 then 1000.0 else greatest(1.0, 1 / rho - 1) end m from (select case when sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) > 0 then (sum(case when p0 * (1 - p0) > 0 then n * pow(k / n - p0, 2) / (p0 * (1 - p0)) else 0 end) - sum(case when p0 * (1 - p0) > 0 then 1 else 0 end)) / sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) else 0 end rho from s1 where n > 0))
+, sm as ({_weight_sql('s1')})
 , s as (select suffix, (k + m * p0) / (n + m) p from s1, sm)
 , d1 as (select domain, n, k, p p0 from d0 join s using (suffix))
-, dm as (select case when rho * 1001 <= 1 then 1000.0 else greatest(1.0, 1 / rho - 1) end m from (select case when sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) > 0 then (sum(case when p0 * (1 - p0) > 0 then n * pow(k / n - p0, 2) / (p0 * (1 - p0)) else 0 end) - sum(case when p0 * (1 - p0) > 0 then 1 else 0 end)) / sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) else 0 end rho from d1 where n > 0))
+, dm as ({_weight_sql('d1')})
 , d as (select domain, (k + m * p0) / (n + m) p from d1, dm)
 , h1 as (select host, n, k, p p0 from h join d using (domain))
-, hm as (select case when rho * 1001 <= 1 then 1000.0 else greatest(1.0, 1 / rho - 1) end m from (select case when sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) > 0 then (sum(case when p0 * (1 - p0) > 0 then n * pow(k / n - p0, 2) / (p0 * (1 - p0)) else 0 end) - sum(case when p0 * (1 - p0) > 0 then 1 else 0 end)) / sum(case when p0 * (1 - p0) > 0 then n - 1 else 0 end) else 0 end rho from h1 where n > 0))
+, hm as ({_weight_sql('h1')})
 , post as (select host, (k + m * p0) / (n + m) p, n + m + 1 w from h1, hm)
 select page_id, u.host, u.path, rule, coalesce(verdict, case when p + 1.645 * sqrt(p * (1 - p) / w) < 0.5 then 'block' else 'allow' end) verdict
 from u left join hit on u.host = hit.host and u.path = hit.path left join post on u.host = post.host
