@@ -23,7 +23,11 @@ def tipo_canonical(s: SparkSession, d: str) -> DataFrame:
     return _t(s, d, "documents").select("doc_id", T.kind(label).alias("kind"))
 
 
-_ASK = "case when item_id % 4 = 0 then 'Resume el Pliego  Administrativo: ' when item_id % 4 = 1 then '¿Qué prescripciones TÉCNICAS y qué importes hay? ' when item_id % 4 = 2 then 'Pliego técnico y cláusulas administrativas; garantías definitivas ' else 'Criterios de adjudicación ' end"
+_ASK = (
+    "case when item_id % 4 = 0 then 'Resume el Pliego  Administrativo: ' when item_id % 4 = 1 then '¿Qué prescripciones TÉCNICAS y qué "
+    "importes hay? ' when item_id % 4 = 2 then 'Pliego técnico y cláusulas administrativas; garantías definitivas ' else 'Criterios de "
+    "adjudicación ' end"
+)
 
 
 def tipo_detect(s: SparkSession, d: str) -> DataFrame:
@@ -206,7 +210,10 @@ QUERIES = {
     "expediente_extract": (expediente_extract, "select item_id, case when item_id % 2 = 0 then 'EXP/' || item_id else 'EXP-' || item_id end number from benchmark"),
     "expediente_resolve": (
         expediente_resolve,
-        "select o_orderkey, case when p_partkey is not null then 'EXP/' || p_partkey || '-A' when o_orderkey % 2 = 0 then 'exp ' || o_custkey || '.a' else 'EXP/' || o_custkey || '-a' end resolved from orders left join part on o_custkey = p_partkey",
+        (
+            "select o_orderkey, case when p_partkey is not null then 'EXP/' || p_partkey || '-A' when o_orderkey % 2 = 0 then 'exp ' || "
+            "o_custkey || '.a' else 'EXP/' || o_custkey || '-a' end resolved from orders left join part on o_custkey = p_partkey"
+        ),
     ),
     "kind_marker": (marker, "select item_id, 'tecnico' kind, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) h from benchmark"),
     "token_estimate": (token_estimate, r"select doc_id, round(1.33 * len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')))::bigint tokens from documents"),
@@ -230,7 +237,10 @@ QUERIES = {
         r"""with l as (select doc_id, (i - 1)::int as "at", w[i] line from (select doc_id, string_split(text, chr(10)) w, unnest(generate_series(1, len(string_split(text, chr(10))))) i from documents)), r as (select doc_id, "at", case when length(regexp_replace(line, '[^\p{L}]', '', 'g')) > 0 then length(regexp_replace(line, '[^\p{Lu}]', '', 'g')) / length(regexp_replace(line, '[^\p{L}]', '', 'g')) else 0.0 end ratio from l)
         select doc_id, "at", round(ratio, 6) ratio, ratio >= 0.7 "upper" from r""",
     ),
-    "clean_lines": (clean_lines, "with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x != '') w from documents) select doc_id, len(w)::bigint as lines, md5(array_to_string(w, chr(10))) h from l"),
+    "clean_lines": (clean_lines, (
+        "with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x != '') w from "
+        "documents) select doc_id, len(w)::bigint as lines, md5(array_to_string(w, chr(10))) h from l"
+    )),
     "chunk_documents": (chunk_documents, f"with {packed_sql(409, 40)} select doc_id, segment, length(chunk) n_chars, md5(chunk) h from cut"),
     "chunk_windows": (
         chunk_windows,
@@ -240,15 +250,27 @@ QUERIES = {
     "exists_probe": (exists_probe, "select distinct doc_id, doc_id in (select doc_id from labels) as found from documents"),
     "delete_by_key": (lambda s, d: C.without(_t(s, d, "documents"), _t(s, d, "labels"), "doc_id").select("doc_id", "lang"), "select doc_id, lang from documents where doc_id not in (select doc_id from labels)"),
     "purge_missing": (lambda s, d: C.purged(_t(s, d, "labels"), _t(s, d, "documents").where("lang = 'en'"), "doc_id").select("doc_id", "quality"), "select doc_id, quality from labels where doc_id in (select doc_id from documents where lang = 'en')"),
-    "catalog_diff": (catalog_diff, "select doc_id as name, case lang when 'es' then 'new' when 'fr' then 'gone' when 'de' then 'changed' else 'unchanged' end state from documents"),
-    "catalog_tally": (lambda s, d: C.tally(catalog_diff(s, d)), "select case lang when 'es' then 'new' when 'fr' then 'gone' when 'de' then 'changed' else 'unchanged' end state, count(*) n from documents group by 1"),
+    "catalog_diff": (catalog_diff, (
+        "select doc_id as name, case lang when 'es' then 'new' when 'fr' then 'gone' when 'de' then 'changed' else 'unchanged' end state "
+        "from documents"
+    )),
+    "catalog_tally": (lambda s, d: C.tally(catalog_diff(s, d)), (
+        "select case lang when 'es' then 'new' when 'fr' then 'gone' when 'de' then 'changed' else 'unchanged' end state, count(*) n from "
+        "documents group by 1"
+    )),
     "upsert_last_wins": (
         upsert,
-        "with k as (select event_id, case when event_type != 'error' then event_type || '/' || user_id end as key from events) select event_id, key from k where key is null union all select max(event_id), key from k where key is not null group by key",
+        (
+            "with k as (select event_id, case when event_type != 'error' then event_type || '/' || user_id end as key from events) select "
+            "event_id, key from k where key is null union all select max(event_id), key from k where key is not null group by key"
+        ),
     ),
     "status_machine": (
         statuses,
-        f"select event_id, case when {_K} % 2 = 0 and {_K} % 3 != 0 then 'con markdown' when {_K} % 3 = 0 then 'indexado' else 'cargado' end status, {_K} % 5 < 2 and ts < '2024-01-15' stale from events",
+        (
+            f"select event_id, case when {_K} % 2 = 0 and {_K} % 3 != 0 then 'con markdown' when {_K} % 3 = 0 then 'indexado' else 'cargado' "
+            f"end status, {_K} % 5 < 2 and ts < '2024-01-15' stale from events"
+        ),
     ),
     "types_per_expediente": (
         lambda s, d: C.kinds_per_file(_t(s, d, "documents").select(F.col("source").alias("number"), F.upper("lang").alias("kind"))).select("number", F.array_join("kinds", ",").alias("kinds")),
@@ -256,7 +278,10 @@ QUERIES = {
     ),
     "expediente_choices": (
         file_choices,
-        "select source number, array_to_string(list_sort(list(distinct lang)), ',') kinds, first(name order by length(name), name) as name from (select source, lang, lang || '-' || doc_id as name from documents) group by 1",
+        (
+            "select source number, array_to_string(list_sort(list(distinct lang)), ',') kinds, first(name order by length(name), name) as name "
+            "from (select source, lang, lang || '-' || doc_id as name from documents) group by 1"
+        ),
     ),
     "distinct_options": (lambda s, d: C.options(_t(s, d, "documents"), "source"), "select distinct source as option from documents"),
     "document_filter": (document_filter, "select doc_id, 'Doc ' || source as name from documents where source like 'src1%' and lang = 'es' and text != ''"),
@@ -268,13 +293,25 @@ QUERIES = {
     "dedup_questions": (dedup_questions, "select min(conv_id * 1000 + turn) seq from conversations where role = 'user' group by lower(trim(text))"),
     "combine_scores": (
         combine_scores,
-        f"select l_orderkey, l_linenumber, case when j is not null and c is not null then {_CLAMP.format('((j * 0.7 + c * 0.3) / 1.0)')} when j is not null then {_CLAMP.format('j')} else {_CLAMP.format('c')} end score, case when j is not null and c is not null then 'weighted' when j is not null then 'ragas' else 'coseno' end source from {_SCORES}",
+        (
+            f"select l_orderkey, l_linenumber, case when j is not null and c is not null then {_CLAMP.format('((j * 0.7 + c * 0.3) / 1.0)')} "
+            f"when j is not null then {_CLAMP.format('j')} else {_CLAMP.format('c')} end score, case when j is not null and c is not null then "
+            f"'weighted' when j is not null then 'ragas' else 'coseno' end source from {_SCORES}"
+        ),
     ),
     "source_counts": (
         source_counts,
-        f"with x as (select metric, case when l_linenumber = 7 then 'other' when j is not null and c is not null then 'weighted' when j is not null then 'ragas' else 'coseno' end source from {_SCORES}) select metric, count(*) filter (source = 'weighted') weighted, count(*) filter (source = 'ragas') ragas, count(*) filter (source = 'coseno') coseno, count(*) filter (source = 'other') missing from x group by 1",
+        (
+            f"with x as (select metric, case when l_linenumber = 7 then 'other' when j is not null and c is not null then 'weighted' when j is "
+            f"not null then 'ragas' else 'coseno' end source from {_SCORES}) select metric, count(*) filter (source = 'weighted') weighted, "
+            f"count(*) filter (source = 'ragas') ragas, count(*) filter (source = 'coseno') coseno, count(*) filter (source = 'other') missing "
+            f"from x group by 1"
+        ),
     ),
-    "metric_summary": (metric_summary, f"select 'judge' metric, count(j) n, {_CLAMP.format('avg(j)')} mean from {_SCORES} union all select 'cosine', count(c), {_CLAMP.format('avg(c)')} from {_SCORES}"),
+    "metric_summary": (metric_summary, (
+        f"select 'judge' metric, count(j) n, {_CLAMP.format('avg(j)')} mean from {_SCORES} union all select 'cosine', count(c), "
+        f"{_CLAMP.format('avg(c)')} from {_SCORES}"
+    )),
     "cosine_metrics": (
         cosine_metrics,
         """with e as (select vec_id // 20 * 20 qid, vec_id % 20 i, embedding::double[] v from embeddings where vec_id % 20 < 8 and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0),
@@ -285,7 +322,11 @@ QUERIES = {
         select qid, coalesce(list_max(ca), 0.0) faithfulness, round(greatest(0, list_cosine_similarity(q, a)), 6) answer_relevancy, case when has then round(greatest(0, list_cosine_similarity(a, t0)), 6) end answer_correctness,
             round(coalesce(list_avg(cr), 0.0), 6) context_precision, case when len(c) = 0 then 0.0 else round(greatest(0, list_cosine_similarity(j, case when has then t0 else e end)), 6) end context_recall, round(coalesce(list_avg(cq), 0.0), 6) context_relevancy from s""",
     ),
-    "column_diagnostics": (lambda s, d: E.diagnostics(_t(s, d, "labels").withColumns({"quality": F.when(F.col("doc_id") % 2 == 0, F.col("quality")), "toxic": F.lit(None).cast("int")})), "select 'doc_id' as \"column\", count(doc_id) filled, null issue from labels union all select 'quality', count(quality) filter (doc_id % 2 = 0), 'some null' from labels union all select 'toxic', count(*) filter (doc_id is null and doc_id is not null), 'all null' from labels"),
+    "column_diagnostics": (lambda s, d: E.diagnostics(_t(s, d, "labels").withColumns({"quality": F.when(F.col("doc_id") % 2 == 0, F.col("quality")), "toxic": F.lit(None).cast("int")})), (
+        "select 'doc_id' as \"column\", count(doc_id) filled, null issue from labels union all select 'quality', count(quality) filter "
+        "(doc_id % 2 = 0), 'some null' from labels union all select 'toxic', count(*) filter (doc_id is null and doc_id is not null), 'all "
+        "null' from labels"
+    )),
     "html_titles": (
         page_titles,
         r"""with t as (select page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g') t, len(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1))::bigint links from pages)
@@ -296,5 +337,8 @@ QUERIES = {
         r"""with l as (select page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) h from pages), x as (select page_id, url, (i - 1)::int as "at", h[i] link from (select *, unnest(generate_series(1, len(h))) i from l))
         select page_id, "at", case when regexp_matches(link, '^[a-z]+://') then link when link like '/%' then regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || link else regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || link end link from x""",
     ),
-    "events_by_hour": (events_by_hour, "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2"),
+    "events_by_hour": (events_by_hour, (
+        "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) n, round(sum(value), 4) total from "
+        "events group by 1, 2"
+    )),
 }

@@ -103,39 +103,79 @@ def owned(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "tender_files": (
         tender_files,
-        "select p_brand number, 'Pliego ' || p_name as name, 'http://a/' || p_partkey url, (row_number() over (partition by p_brand order by p_partkey))::int nth from part where p_size % 2 = 0 and p_size % 3 != 0 union all select p_brand, p_name, 'http://a/' || p_partkey, 0 from part where p_size % 2 != 0 and p_size % 3 != 0 and lower(p_name) like '%pliego%'",
+        (
+            "select p_brand number, 'Pliego ' || p_name as name, 'http://a/' || p_partkey url, (row_number() over (partition by p_brand order "
+            "by p_partkey))::int nth from part where p_size % 2 = 0 and p_size % 3 != 0 union all select p_brand, p_name, 'http://a/' || "
+            "p_partkey, 0 from part where p_size % 2 != 0 and p_size % 3 != 0 and lower(p_name) like '%pliego%'"
+        ),
     ),
     "chunk_metadata": (
         chunk_metadata,
-        "select l_partkey document_id, l_returnflag sha256, (l_linenumber - 2)::int segment, max(l_orderkey * 10 + l_linenumber) seq from lineitem where l_returnflag != 'R' and l_linenumber >= 2 group by 1, 2, 3",
+        (
+            "select l_partkey document_id, l_returnflag sha256, (l_linenumber - 2)::int segment, max(l_orderkey * 10 + l_linenumber) seq from "
+            "lineitem where l_returnflag != 'R' and l_linenumber >= 2 group by 1, 2, 3"
+        ),
     ),
     "synced_documents": (
         synced_documents,
-        "select doc_id path, case lang when 'de' then 'new' else source end hash, case when lang in ('en', 'fr') then lang end markdown, case when lang in ('es', 'de') then 'cargado' else 'indexado' end status from documents",
+        (
+            "select doc_id path, case lang when 'de' then 'new' else source end hash, case when lang in ('en', 'fr') then lang end markdown, "
+            "case when lang in ('es', 'de') then 'cargado' else 'indexado' end status from documents"
+        ),
     ),
     "job_states": (
         job_states,
-        "with l as (select user_id job, ts, case event_type when 'click' then 'running' when 'purchase' then 'done' when 'error' then 'failed' else 'queued' end e from events) select job, arg_max(e, ts) status, min(ts) filter (e = 'running') started_at, max(ts) filter (e in ('done', 'failed')) finished_at from l group by 1",
+        (
+            "with l as (select user_id job, ts, case event_type when 'click' then 'running' when 'purchase' then 'done' when 'error' then "
+            "'failed' else 'queued' end e from events) select job, arg_max(e, ts) status, min(ts) filter (e = 'running') started_at, max(ts) "
+            "filter (e in ('done', 'failed')) finished_at from l group by 1"
+        ),
     ),
     "response_times": (
         response_times,
-        "select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then l_quantity else greatest(0.0, epoch_us(l_shipdate) - epoch_us(case when l_linenumber % 2 = 0 then l_shipdate else o_orderdate end)) / 1e6 end as seconds from orders join lineitem on o_orderkey = l_orderkey",
+        (
+            "select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then l_quantity else greatest(0.0, epoch_us(l_shipdate) - "
+            "epoch_us(case when l_linenumber % 2 = 0 then l_shipdate else o_orderdate end)) / 1e6 end as seconds from orders join lineitem on "
+            "o_orderkey = l_orderkey"
+        ),
     ),
     "best_fragment": (
         best_fragment,
-        "with f as (select l_orderkey id, 'f' || l_partkey chunk from lineitem where l_returnflag = 'R' qualify row_number() over (partition by l_orderkey order by case when l_linenumber = 2 then 0 else l_linenumber end, 'f' || l_partkey) = 1), b as (select l_orderkey id, 'b' || l_partkey chunk from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber, 'b' || l_partkey) = 1) select o_orderkey id, coalesce(f.chunk, b.chunk) chunk from orders left join f on f.id = o_orderkey left join b on b.id = o_orderkey",
+        (
+            "with f as (select l_orderkey id, 'f' || l_partkey chunk from lineitem where l_returnflag = 'R' qualify row_number() over "
+            "(partition by l_orderkey order by case when l_linenumber = 2 then 0 else l_linenumber end, 'f' || l_partkey) = 1), b as (select "
+            "l_orderkey id, 'b' || l_partkey chunk from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber, 'b' "
+            "|| l_partkey) = 1) select o_orderkey id, coalesce(f.chunk, b.chunk) chunk from orders left join f on f.id = o_orderkey left join "
+            "b on b.id = o_orderkey"
+        ),
     ),
     "merged_metadata": (merged_metadata, "select c_custkey, c_name as name, case c_custkey % 2 when 0 then c_mktsegment else 'own' end kind, 2::int keys from customer"),
-    "country_lookup": (country_lookup, "select s_suppkey, case when s_suppkey % 7 = 0 then 'SPAIN' else n_name end country from supplier join nation on s_nationkey = n_nationkey"),
-    "active_days": (active_days, "select user_id, (ts::date)::varchar as day from events union select user_id, ((ts + interval 1 day)::date)::varchar from events where event_type = 'signup'"),
+    "country_lookup": (country_lookup, (
+        "select s_suppkey, case when s_suppkey % 7 = 0 then 'SPAIN' else n_name end country from supplier join nation on s_nationkey = "
+        "n_nationkey"
+    )),
+    "active_days": (active_days, (
+        "select user_id, (ts::date)::varchar as day from events union select user_id, ((ts + interval 1 day)::date)::varchar from events "
+        "where event_type = 'signup'"
+    )),
     "display_names": (
         display_names,
-        "with x as (select c_custkey, case when c_custkey % 3 != 0 then c_name when c_custkey % 2 = 0 then lower(c_name) || '@example.com' else 'Usuario ' || c_custkey end shown from customer) select c_custkey, shown, upper(substr(shown, 1, 1)) initial from x",
+        (
+            "with x as (select c_custkey, case when c_custkey % 3 != 0 then c_name when c_custkey % 2 = 0 then lower(c_name) || '@example.com' "
+            "else 'Usuario ' || c_custkey end shown from customer) select c_custkey, shown, upper(substr(shown, 1, 1)) initial from x"
+        ),
     ),
     "ordered_options": (
         ordered_options,
-        "with x as (select l_suppkey, ['A', 'R'] || list_sort(list_filter(list(distinct l_returnflag), lambda v: v not in ('A', 'R'))) || list_sort(list_filter(list(distinct l_linestatus), lambda v: v not in ('A', 'R', 'N'))) n from lineitem group by 1) select l_suppkey, array_to_string(n, ',') as names, array_to_string(list_filter(n, lambda v: v in ('O', 'R')), ',') known from x",
+        (
+            "with x as (select l_suppkey, ['A', 'R'] || list_sort(list_filter(list(distinct l_returnflag), lambda v: v not in ('A', 'R'))) || "
+            "list_sort(list_filter(list(distinct l_linestatus), lambda v: v not in ('A', 'R', 'N'))) n from lineitem group by 1) select "
+            "l_suppkey, array_to_string(n, ',') as names, array_to_string(list_filter(n, lambda v: v in ('O', 'R')), ',') known from x"
+        ),
     ),
     "latest_done": (latest_done, "select event_type, arg_max(event_id, ts) event_id from events where event_type in ('purchase', 'error') group by 1"),
-    "ownership": (owned, "select c_custkey, count(o_orderkey) n, count(o_orderkey) > 0 and count(o_orderkey) = count(*) filter (o_orderstatus = 'O') all_open from customer left join orders on c_custkey = o_custkey group by 1"),
+    "ownership": (owned, (
+        "select c_custkey, count(o_orderkey) n, count(o_orderkey) > 0 and count(o_orderkey) = count(*) filter (o_orderstatus = 'O') "
+        "all_open from customer left join orders on c_custkey = o_custkey group by 1"
+    )),
 }

@@ -111,7 +111,11 @@ _KIND = "case p_size % 3 when 0 then 'tecnico' when 1 then 'administrativo' end"
 QUERIES = {
     "tender_heads": (
         tender_heads,
-        "select p_partkey page_id, p_partkey::varchar organ_id, null::varchar unit, 'EXP & ' || p_brand \"number\", p_name as \"object\", 'https://h.org/a/organ?id=' || p_partkey organ_url, case p_size % 3 when 1 then 'https://h.org/lic/' || p_partkey when 2 then 'https://x.org/' || p_partkey end link from part",
+        (
+            "select p_partkey page_id, p_partkey::varchar organ_id, null::varchar unit, 'EXP & ' || p_brand \"number\", p_name as \"object\", "
+            "'https://h.org/a/organ?id=' || p_partkey organ_url, case p_size % 3 when 1 then 'https://h.org/lic/' || p_partkey when 2 then "
+            "'https://x.org/' || p_partkey end link from part"
+        ),
     ),
     "tender_documents": (
         tender_documents,
@@ -124,13 +128,22 @@ QUERIES = {
         r"""with l as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^(#+ |\d)', '-\1', 'g'), chr(10)), lambda x: trim(x)), lambda x: x != '') w from documents)
         select doc_id, 0::bigint section, 'Preámbulo' title, md5('antes') h from l union all select doc_id, 1, '# Uno', md5('x') from l union all select doc_id, 2, '2.1 Dos', md5(array_to_string(w, chr(10))) from l""",
     ),
-    "question_lists": (question_lists, "select 'q' || conv_id question, null::varchar ground_truth, case conv_id % 3 when 0 then 'e' || turn end evidence from conversations"),
+    "question_lists": (question_lists, (
+        "select 'q' || conv_id question, null::varchar ground_truth, case conv_id % 3 when 0 then 'e' || turn end evidence from "
+        "conversations"
+    )),
     "streamed_answers": (streamed_answers, "select conv_id id, string_agg('t' || turn, '' order by turn) answer from conversations where turn <= 3 group by 1"),
     "prompts": (
         prompts,
-        "select item_id, 'C:ctx|Q:{context}' || item_id prompt, case item_id % 3 when 0 then 'context_recall,faithfulness' else 'faithfulness,answer_relevancy,context_precision,context_recall,context_relevancy,answer_correctness' end metrics from benchmark",
+        (
+            "select item_id, 'C:ctx|Q:{context}' || item_id prompt, case item_id % 3 when 0 then 'context_recall,faithfulness' else "
+            "'faithfulness,answer_relevancy,context_precision,context_recall,context_relevancy,answer_correctness' end metrics from benchmark"
+        ),
     ),
-    "embedded_texts": (embedded, "with x as (select doc_id, case when doc_id % 4 in (0, 1) or trim(coalesce(text, '')) = '' then ' ' else text end t from documents) select doc_id, length(t)::bigint length, len(string_split(t, ' '))::bigint words from x"),
+    "embedded_texts": (embedded, (
+        "with x as (select doc_id, case when doc_id % 4 in (0, 1) or trim(coalesce(text, '')) = '' then ' ' else text end t from "
+        "documents) select doc_id, length(t)::bigint length, len(string_split(t, ' '))::bigint words from x"
+    )),
     "sampled_rows": (sampled, "select c_mktsegment, least(3, count(*)) n, true own from customer group by 1"),
     "daily_counts_12m": (
         daily_12m,

@@ -281,7 +281,11 @@ def packed_sql(budget: int, overlap: int) -> str:
 QUERIES = {
     "guided_filter": (
         guided_filter,
-        "select 'tecnico' asked, p_partkey from part where p_brand = 'Brand#11' and p_size % 3 in (0, 1) union all select 'administrativo', p_partkey from part where p_size = 20 and p_size % 3 = 2 union all select '', p_partkey from part where p_size = 3",
+        (
+            "select 'tecnico' asked, p_partkey from part where p_brand = 'Brand#11' and p_size % 3 in (0, 1) union all select "
+            "'administrativo', p_partkey from part where p_size = 20 and p_size % 3 = 2 union all select '', p_partkey from part where p_size "
+            "= 3"
+        ),
     ),
     "chunk_matches": (
         chunk_matches,
@@ -296,15 +300,28 @@ QUERIES = {
     ),
     "bounded_scroll": (scrolled, "select l_orderkey, l_linenumber from lineitem order by 1, 2 limit 300"),
     "pages_as_asked": (pages_as_asked, "select c_custkey from customer order by 1 desc limit 7"),
-    "sorted_by_pages": (by_pages_and_name, "select doc_id, (row_number() over (partition by source order by case when n_chars % 5 != 0 then n_chars // 1000 end nulls last, lang, doc_id))::int place from documents"),
-    "country_choices": (countries, "select case n_nationkey % 2 when 0 then lower(n_name) else n_name end as name, (row_number() over (partition by n_regionkey order by lower(n_name)))::int place from nation"),
+    "sorted_by_pages": (by_pages_and_name, (
+        "select doc_id, (row_number() over (partition by source order by case when n_chars % 5 != 0 then n_chars // 1000 end nulls last, "
+        "lang, doc_id))::int place from documents"
+    )),
+    "country_choices": (countries, (
+        "select case n_nationkey % 2 when 0 then lower(n_name) else n_name end as name, (row_number() over (partition by n_regionkey order "
+        "by lower(n_name)))::int place from nation"
+    )),
     "country_names": (
         country_names,
-        "select s_suppkey, case when s_suppkey % 5 = 0 then case s_suppkey % 2 when 0 then 'españa' else 'SPAIN' end when s_suppkey % 2 = 0 then lower(n_name) else n_name end as name, case when s_suppkey % 5 = 0 then '724' else lpad(n_nationkey::varchar, 3, '0') end \"numeric\" from supplier join nation on s_nationkey = n_nationkey",
+        (
+            "select s_suppkey, case when s_suppkey % 5 = 0 then case s_suppkey % 2 when 0 then 'españa' else 'SPAIN' end when s_suppkey % 2 = "
+            "0 then lower(n_name) else n_name end as name, case when s_suppkey % 5 = 0 then '724' else lpad(n_nationkey::varchar, 3, '0') end "
+            "\"numeric\" from supplier join nation on s_nationkey = n_nationkey"
+        ),
     ),
     "clean_pages": (
         clean_pages,
-        "with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x != '') w from documents) select doc_id, md5('Texto' || case when len(w) > 0 then chr(10) else '' end || array_to_string(w, chr(10))) h from l",
+        (
+            "with l as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x != '') w from "
+            "documents) select doc_id, md5('Texto' || case when len(w) > 0 then chr(10) else '' end || array_to_string(w, chr(10))) h from l"
+        ),
     ),
     "without_index": (
         without_index,
@@ -319,7 +336,11 @@ QUERIES = {
     ),
     "indexed_points": (
         indexed_points,
-        f"with {packed_sql(80, 8)} select doc_id document_id, source sha, segment, md5(chunk) h, length(chunk) || ',' || instr(chunk, 'e') || ',' || instr(chunk, 'a') vector from cut join documents using (doc_id) where doc_id not in (select doc_id from cut where chunk like '%zzz%')",
+        (
+            f"with {packed_sql(80, 8)} select doc_id document_id, source sha, segment, md5(chunk) h, length(chunk) || ',' || instr(chunk, 'e') "
+            f"|| ',' || instr(chunk, 'a') vector from cut join documents using (doc_id) where doc_id not in (select doc_id from cut where chunk "
+            f"like '%zzz%')"
+        ),
     ),
     "reindexed_status": (
         reindexed_status,
@@ -347,26 +368,45 @@ QUERIES = {
         """with w as (select o_orderkey id, o_custkey by_, true own from orders where o_orderkey % 3 = 0 union all select o_orderkey, o_custkey + 1, false from orders where o_orderkey % 3 = 0 and o_custkey % 7 = 0)
         select o_orderkey id from orders where o_orderkey not in (select id from w where by_ not in (select by_ from w where not own))""",
     ),
-    "users_deleted": (users_deleted, "select c_custkey user_id, count(event_id) n from customer left join events on c_custkey = user_id where c_nationkey >= 5 group by 1"),
+    "users_deleted": (users_deleted, (
+        "select c_custkey user_id, count(event_id) n from customer left join events on c_custkey = user_id where c_nationkey >= 5 group by "
+        "1"
+    )),
     "usage_scopes": (
         scopes,
-        "with x as (select c_custkey, ['user', 'global', 'own', 'nonsense'][c_custkey % 4 + 1] a, c_nationkey % 2 = 0 adm from customer) select c_custkey, case when a = 'global' then a when adm then 'user' else 'own' end scope from x",
+        (
+            "with x as (select c_custkey, ['user', 'global', 'own', 'nonsense'][c_custkey % 4 + 1] a, c_nationkey % 2 = 0 adm from customer) "
+            "select c_custkey, case when a = 'global' then a when adm then 'user' else 'own' end scope from x"
+        ),
     ),
     "scoped_usage": (scoped_usage, "select event_id from events where user_id = 7"),
     "stored_points": (
         stored_points,
-        "select doc_id, 'model' model, case when doc_id % 3 != 0 then source else '' end as content, case doc_id % 2 when 0 then 1 else 0 end keys, n_chars x, doc_id % 3 != 0 and source != '' has_text from documents",
+        (
+            "select doc_id, 'model' model, case when doc_id % 3 != 0 then source else '' end as content, case doc_id % 2 when 0 then 1 else 0 "
+            "end keys, n_chars x, doc_id % 3 != 0 and source != '' has_text from documents"
+        ),
     ),
     "aliased_metrics": (aliased_metrics, "select doc_id, quality, toxic, quality answer_quality from labels"),
-    "latest_results": (latest_results, "select event_type kind, case event_type when 'error' then '{}' else arg_max(props, ts)->>'k' end k, '{}' summary from events group by 1"),
+    "latest_results": (latest_results, (
+        "select event_type kind, case event_type when 'error' then '{}' else arg_max(props, ts)->>'k' end k, '{}' summary from events "
+        "group by 1"
+    )),
     "named_files": (named_files, "select count(*) n from documents where source = 'src1'"),
     "tender_urls": (
         tender_urls,
-        "with u as (select p_brand tender, 'http://h/' || p_size url, min(p_partkey) k from part where p_size % 4 != 0 group by 1, 2) select p_brand tender, coalesce(any_value(s), '') urls from part left join (select tender, string_agg(url, '|' order by k) s from u group by 1) on tender = p_brand group by 1",
+        (
+            "with u as (select p_brand tender, 'http://h/' || p_size url, min(p_partkey) k from part where p_size % 4 != 0 group by 1, 2) "
+            "select p_brand tender, coalesce(any_value(s), '') urls from part left join (select tender, string_agg(url, '|' order by k) s from "
+            "u group by 1) on tender = p_brand group by 1"
+        ),
     ),
     "details": (
         details,
-        "select p_partkey, 'last' brand, case when p_size % 2 != 0 then p_type end as \"type\", case when p_size % 3 = 0 then p_name end as \"name\", (1 + (p_size % 2 != 0)::int + (p_size % 3 = 0)::int)::int n from part",
+        (
+            "select p_partkey, 'last' brand, case when p_size % 2 != 0 then p_type end as \"type\", case when p_size % 3 = 0 then p_name end "
+            "as \"name\", (1 + (p_size % 2 != 0)::int + (p_size % 3 = 0)::int)::int n from part"
+        ),
     ),
     "json_values": (
         json_values,
@@ -398,10 +438,18 @@ QUERIES = {
     ),
     "file_labels": (
         file_labels,
-        "select p_partkey, p_brand || '__' || p_type || '_' || p_size || '.pdf' as file, '<!-- page ' || p_size || ' could not be converted -->' as page, case p_size % 4 when 0 then 'Technical' when 1 then 'Administrative' when 2 then lower(p_brand) else '-' end as label from part",
+        (
+            "select p_partkey, p_brand || '__' || p_type || '_' || p_size || '.pdf' as file, '<!-- page ' || p_size || ' could not be "
+            "converted -->' as page, case p_size % 4 when 0 then 'Technical' when 1 then 'Administrative' when 2 then lower(p_brand) else '-' "
+            "end as label from part"
+        ),
     ),
     "user_fields": (
         emails,
-        "select c_custkey, lower(c_name) || '@example.com' email, c_custkey % 2 != 0 and regexp_matches(c_name, '[A-Z]') and regexp_matches(c_name, '[a-z]') and regexp_matches(c_name, '[0-9]') strong, case c_custkey % 3 when 0 then 'none' else c_mktsegment end segment from customer",
+        (
+            "select c_custkey, lower(c_name) || '@example.com' email, c_custkey % 2 != 0 and regexp_matches(c_name, '[A-Z]') and "
+            "regexp_matches(c_name, '[a-z]') and regexp_matches(c_name, '[0-9]') strong, case c_custkey % 3 when 0 then 'none' else "
+            "c_mktsegment end segment from customer"
+        ),
     ),
 }

@@ -98,32 +98,77 @@ def top_logins(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "user_filter": (user_filter, "select c_custkey id, c_name as name from customer join nation on c_nationkey = n_nationkey where n_regionkey = 1 and c_acctbal > 0 and c_name like '%1%'"),
+    "user_filter": (user_filter, (
+        "select c_custkey id, c_name as name from customer join nation on c_nationkey = n_nationkey where n_regionkey = 1 and c_acctbal > "
+        "0 and c_name like '%1%'"
+    )),
     "best_or_empty": (
         best_or_empty,
-        "select c_custkey qid, coalesce(o_orderkey, -1) id, coalesce(o_totalprice, 0.0) score from customer left join (select * from orders where o_totalprice > 200000 qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) = 1) on c_custkey = o_custkey",
+        (
+            "select c_custkey qid, coalesce(o_orderkey, -1) id, coalesce(o_totalprice, 0.0) score from customer left join (select * from "
+            "orders where o_totalprice > 200000 qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) = 1) "
+            "on c_custkey = o_custkey"
+        ),
     ),
     "json_numbers": (json_numbers, "select l_orderkey, l_linenumber, case when l_linenumber > 2 then l_tax end tax from lineitem"),
-    "merged_by_question": (merged_by_question, "with l as (select trim(text) q, arg_max(conv_id % 7, conv_id * 1000 + turn) score from conversations group by 1) select conv_id, turn, score from conversations join l on trim(text) = q"),
+    "merged_by_question": (merged_by_question, (
+        "with l as (select trim(text) q, arg_max(conv_id % 7, conv_id * 1000 + turn) score from conversations group by 1) select conv_id, "
+        "turn, score from conversations join l on trim(text) = q"
+    )),
     "payload_fetch": (payload_fetch, "select doc_id::varchar id, lang from documents where doc_id in (select doc_id from labels where quality = 1)"),
-    "home_metrics": (lambda s, d: _dated(X.home_metrics(_log(s, d).withColumn("seconds", F.when(F.col("event_id") % 3 != 0, F.col("seconds"))))), "select user_id, count(*) total, count(distinct event_type) models, count(distinct ts::date) active_days, round(avg(case when event_id % 3 = 0 then 0.0 else value end), 2) avg_seconds, max(ts::date)::varchar last_day from events group by 1"),
+    "home_metrics": (lambda s, d: _dated(X.home_metrics(_log(s, d).withColumn("seconds", F.when(F.col("event_id") % 3 != 0, F.col("seconds"))))), (
+        "select user_id, count(*) total, count(distinct event_type) models, count(distinct ts::date) active_days, round(avg(case when "
+        "event_id % 3 = 0 then 0.0 else value end), 2) avg_seconds, max(ts::date)::varchar last_day from events group by 1"
+    )),
     "evaluation_rows": (
         evaluation_rows,
-        "with x as (select conv_id, list(text order by turn) filter (turn % 2 = 0 and trim(text) != '') c from conversations group by 1) select conv_id, case conv_id % 2 when 0 then 'truth' else 'e' end reference, len(coalesce(c, [])[1:3])::int n, md5(array_to_string(coalesce(c, [])[1:3], '|')) h from x",
+        (
+            "with x as (select conv_id, list(text order by turn) filter (turn % 2 = 0 and trim(text) != '') c from conversations group by 1) "
+            "select conv_id, case conv_id % 2 when 0 then 'truth' else 'e' end reference, len(coalesce(c, [])[1:3])::int n, "
+            "md5(array_to_string(coalesce(c, [])[1:3], '|')) h from x"
+        ),
     ),
-    "stored_fragments": (stored_fragments, "select l_suppkey id, l_partkey::varchar chunk, l_orderkey * 10 + l_linenumber ranking from lineitem qualify row_number() over (partition by l_suppkey order by l_orderkey * 10 + l_linenumber, l_partkey::varchar) <= 10"),
-    "login_counts": (logins, "select c_custkey id, c_nationkey + count(user_id) login_count, max(ts) last_login from customer left join (select * from events where event_type = 'signup') on c_custkey = user_id group by c_custkey, c_nationkey"),
-    "stale_jobs": (stale_jobs, "select event_id, case when event_type in ('view', 'click') and ts < '2024-01-10' then 'failed' when event_type = 'view' then 'running' when event_type = 'click' then 'queued' else 'done' end status from events"),
-    "tab_routes": (routes, "select p_partkey, case when lower(p_type) like '%brass%' or lower(p_type) like '%steel%' then 'metal' when lower(p_type) like '%economy%' then 'cheap' else 'other' end tab from part"),
+    "stored_fragments": (stored_fragments, (
+        "select l_suppkey id, l_partkey::varchar chunk, l_orderkey * 10 + l_linenumber ranking from lineitem qualify row_number() over "
+        "(partition by l_suppkey order by l_orderkey * 10 + l_linenumber, l_partkey::varchar) <= 10"
+    )),
+    "login_counts": (logins, (
+        "select c_custkey id, c_nationkey + count(user_id) login_count, max(ts) last_login from customer left join (select * from events "
+        "where event_type = 'signup') on c_custkey = user_id group by c_custkey, c_nationkey"
+    )),
+    "stale_jobs": (stale_jobs, (
+        "select event_id, case when event_type in ('view', 'click') and ts < '2024-01-10' then 'failed' when event_type = 'view' then "
+        "'running' when event_type = 'click' then 'queued' else 'done' end status from events"
+    )),
+    "tab_routes": (routes, (
+        "select p_partkey, case when lower(p_type) like '%brass%' or lower(p_type) like '%steel%' then 'metal' when lower(p_type) like "
+        "'%economy%' then 'cheap' else 'other' end tab from part"
+    )),
     "json_fallbacks": (
         json_fallbacks,
-        "select event_id, case user_id % 3 when 0 then 'm' || event_id when 1 then 'e' || event_id end detail, case when user_id % 2 = 0 and event_type = 'view' then 'GPU' when user_id % 2 = 0 and event_type = 'click' then 'CPU' else 'unknown' end device from events",
+        (
+            "select event_id, case user_id % 3 when 0 then 'm' || event_id when 1 then 'e' || event_id end detail, case when user_id % 2 = 0 "
+            "and event_type = 'view' then 'GPU' when user_id % 2 = 0 and event_type = 'click' then 'CPU' else 'unknown' end device from events"
+        ),
     ),
-    "joined_pages": (joined_pages, "select conv_id, md5(coalesce(string_agg(text, chr(10) || chr(10) order by turn) filter (turn % 3 != 1 and text != ''), '')) h from conversations group by 1"),
+    "joined_pages": (joined_pages, (
+        "select conv_id, md5(coalesce(string_agg(text, chr(10) || chr(10) order by turn) filter (turn % 3 != 1 and text != ''), '')) h "
+        "from conversations group by 1"
+    )),
     "image_sizes": (
         image_sizes,
-        "with x as (select p_partkey, p_size * 100 w, p_partkey % 3000 + 1 h from part), y as (select *, case when greatest(w, h) > 1600 then 1600 / greatest(w, h) else 1.0::double end z from x) select p_partkey, greatest(1, floor(w * z))::bigint width, greatest(1, floor(h * z))::bigint height from y",
+        (
+            "with x as (select p_partkey, p_size * 100 w, p_partkey % 3000 + 1 h from part), y as (select *, case when greatest(w, h) > 1600 "
+            "then 1600 / greatest(w, h) else 1.0::double end z from x) select p_partkey, greatest(1, floor(w * z))::bigint width, greatest(1, "
+            "floor(h * z))::bigint height from y"
+        ),
     ),
-    "translations": (translations, "select n_name as key, n_nationkey arg, case when n_regionkey = 0 then 'país ' || n_nationkey || ' ' || n_name when n_regionkey < 3 then 'country ' || n_nationkey || ' ' || n_name else n_name end shown from nation"),
-    "top_logins": (top_logins, "select name, n from (select c_name as name, count(user_id) n from customer left join (select * from events where event_type = 'signup') on c_custkey = user_id group by c_custkey, c_name order by n desc, name limit 10) where n > 0"),
+    "translations": (translations, (
+        "select n_name as key, n_nationkey arg, case when n_regionkey = 0 then 'país ' || n_nationkey || ' ' || n_name when n_regionkey < "
+        "3 then 'country ' || n_nationkey || ' ' || n_name else n_name end shown from nation"
+    )),
+    "top_logins": (top_logins, (
+        "select name, n from (select c_name as name, count(user_id) n from customer left join (select * from events where event_type = "
+        "'signup') on c_custkey = user_id group by c_custkey, c_name order by n desc, name limit 10) where n > 0"
+    )),
 }

@@ -74,11 +74,17 @@ QUERIES = {
     "topk_cosine": (topk_cosine, _HITS + "select qid, id, round(score, 6) score, ranking from r where ranking <= 20"),
     "topk_threshold_fallback": (
         topk_threshold_fallback,
-        _HITS + ", t as (select * from r where ranking <= 20), a as (select qid, max(score) > 0.5 as above from t group by qid) select qid, id, round(score, 6) score, ranking from t join a using (qid) where score > 0.5 or not above",
+        _HITS + (
+            ", t as (select * from r where ranking <= 20), a as (select qid, max(score) > 0.5 as above from t group by qid) select qid, id, "
+            "round(score, 6) score, ranking from t join a using (qid) where score > 0.5 or not above"
+        ),
     ),
     "topk_filter_relax": (
         topk_filter_relax,
-        _HITS + ", f as (select * from s where qid % 40 != 0 or ql = el), g as (select *, row_number() over (partition by qid order by score desc, id) k from f) select qid, id, round(score, 6) score, k ranking from g where k <= 10",
+        _HITS + (
+            ", f as (select * from s where qid % 40 != 0 or ql = el), g as (select *, row_number() over (partition by qid order by score desc, "
+            "id) k from f) select qid, id, round(score, 6) score, k ranking from g where k <= 10"
+        ),
     ),
     "topk_best": (topk_best, _HITS + "select qid, id, round(score, 6) score from r where ranking = 1"),
     "context_blocks": (
@@ -87,8 +93,15 @@ QUERIES = {
     ),
     "vector_scroll": (
         vector_scroll,
-        "select vec_id, label, page, min(vec_id) over (partition by label, page) \"cursor\" from (select vec_id, label, ((row_number() over (partition by label order by vec_id) - 1) // 10)::bigint page from embeddings)",
+        (
+            "select vec_id, label, page, min(vec_id) over (partition by label, page) \"cursor\" from (select vec_id, label, ((row_number() "
+            "over (partition by label order by vec_id) - 1) // 10)::bigint page from embeddings)"
+        ),
     ),
     "metadata_filter": (metadata_filter, "select doc_id, n_chars from documents where lang = 'en' and source = 'src0'"),
-    "retrieved_items": (retrieved_items, "select l_orderkey, l_linenumber, case l_linenumber % 2 when 0 then l_suppkey else -1 end::bigint segment, case l_linenumber % 3 when 0 then l_returnflag else '' end \"text\", case when l_linenumber <= 3 then 0.0 else l_discount end::double score from lineitem"),
+    "retrieved_items": (retrieved_items, (
+        "select l_orderkey, l_linenumber, case l_linenumber % 2 when 0 then l_suppkey else -1 end::bigint segment, case l_linenumber % 3 "
+        "when 0 then l_returnflag else '' end \"text\", case when l_linenumber <= 3 then 0.0 else l_discount end::double score from "
+        "lineitem"
+    )),
 }

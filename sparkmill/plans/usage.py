@@ -85,34 +85,70 @@ def shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 _JSON = "(props->>'k')::bigint"
-_LOG = f"(select event_id, user_id, ts, value as seconds, event_type as model, case {_JSON} % 3 when 0 then 'CPU' when 1 then 'GPU' end device, {_JSON} tokens from events)"
+_LOG = (
+    f"(select event_id, user_id, ts, value as seconds, event_type as model, case {_JSON} % 3 when 0 then 'CPU' when 1 then 'GPU' end "
+    f"device, {_JSON} tokens from events)"
+)
 _DAYS = "(select unnest(generate_series((select min(ts)::date from events), (select max(ts)::date from events), interval 1 day))::date as day)"
-_MONTHS = "(select unnest(generate_series((select date_trunc('month', max(o_orderdate)) - interval 11 month from orders), (select date_trunc('month', max(o_orderdate)) from orders), interval 1 month))::date as month)"
+_MONTHS = (
+    "(select unnest(generate_series((select date_trunc('month', max(o_orderdate)) - interval 11 month from orders), (select "
+    "date_trunc('month', max(o_orderdate)) from orders), interval 1 month))::date as month)"
+)
 
 QUERIES = {
-    "usage_summary": (lambda s, d: U.summary(_log(s, d)), "select count(*) total, coalesce(round(avg(value), 2), 0) avg_seconds, count(distinct ts::date) active_days, min(ts) first_ts, max(ts) last_ts from events"),
+    "usage_summary": (lambda s, d: U.summary(_log(s, d)), (
+        "select count(*) total, coalesce(round(avg(value), 2), 0) avg_seconds, count(distinct ts::date) active_days, min(ts) first_ts, "
+        "max(ts) last_ts from events"
+    )),
     "monthly_counts_12m": (
         lambda s, d: _dated(U.by_month(_orders(s, d))),
-        f"select month::varchar as month, coalesce(n, 0) n, coalesce(round(s, 2), 0.0) avg_seconds from {_MONTHS} left join (select date_trunc('month', o_orderdate)::date as month, count(*) n, avg(o_totalprice) s from orders group by 1) using (month)",
-    ),
-    "daily_counts": (lambda s, d: _dated(U.by_day(_log(s, d))), f"select day::varchar as day, coalesce(n, 0) n, coalesce(round(s, 2), 0.0) avg_seconds from {_DAYS} left join (select ts::date as day, count(*) n, avg(value) s from events group by 1) using (day)"),
+        (
+            f"select month::varchar as month, coalesce(n, 0) n, coalesce(round(s, 2), 0.0) avg_seconds from {_MONTHS} left join (select "
+            f"date_trunc('month', o_orderdate)::date as month, count(*) n, avg(o_totalprice) s from orders group by 1) using (month)"
+        ),
+    ),
+    "daily_counts": (lambda s, d: _dated(U.by_day(_log(s, d))), (
+        f"select day::varchar as day, coalesce(n, 0) n, coalesce(round(s, 2), 0.0) avg_seconds from {_DAYS} left join (select ts::date as "
+        f"day, count(*) n, avg(value) s from events group by 1) using (day)"
+    )),
     "day_hour_matrix": (
         lambda s, d: _dated(U.by_day_and_hour(_log(s, d))),
-        f"select day::varchar as day, hour::int as hour, coalesce(n, 0) n from (select day, unnest(generate_series(0, 23)) as hour from {_DAYS}) left join (select ts::date as day, hour(ts) as hour, count(*) n from events group by 1, 2) using (day, hour)",
-    ),
-    "weekday_hist": (lambda s, d: U.histogram(_log(s, d), F.weekday("ts"), 7), "select b::int bucket, coalesce(n, 0) n from (select unnest(generate_series(0, 6)) b) left join (select isodow(ts) - 1 b, count(*) n from events group by 1) using (b)"),
-    "hour_hist": (lambda s, d: U.histogram(_log(s, d), F.hour("ts"), 24), "select b::int bucket, coalesce(n, 0) n from (select unnest(generate_series(0, 23)) b) left join (select hour(ts) b, count(*) n from events group by 1) using (b)"),
+        (
+            f"select day::varchar as day, hour::int as hour, coalesce(n, 0) n from (select day, unnest(generate_series(0, 23)) as hour from "
+            f"{_DAYS}) left join (select ts::date as day, hour(ts) as hour, count(*) n from events group by 1, 2) using (day, hour)"
+        ),
+    ),
+    "weekday_hist": (lambda s, d: U.histogram(_log(s, d), F.weekday("ts"), 7), (
+        "select b::int bucket, coalesce(n, 0) n from (select unnest(generate_series(0, 6)) b) left join (select isodow(ts) - 1 b, count(*) "
+        "n from events group by 1) using (b)"
+    )),
+    "hour_hist": (lambda s, d: U.histogram(_log(s, d), F.hour("ts"), 24), (
+        "select b::int bucket, coalesce(n, 0) n from (select unnest(generate_series(0, 23)) b) left join (select hour(ts) b, count(*) n "
+        "from events group by 1) using (b)"
+    )),
     "counts_zero_filled": (lambda s, d: U.per_user(_log(s, d), _users(s, d)), "select c_custkey id, c_name as name, count(event_id) n from customer left join events on c_custkey = user_id group by 1, 2"),
     "counts_per_user": (lambda s, d: U.per_user(_log(s, d), _users(s, d), zeros=False), "select c_custkey id, c_name as name, count(*) n from customer join events on c_custkey = user_id group by 1, 2"),
     "top10_users": (lambda s, d: U.top_users(_log(s, d), _users(s, d)), "select c_name as name, count(*)::bigint n from customer join events on c_custkey = user_id group by 1 order by 2 desc, 1 limit 10"),
     "user_distribution": (
         lambda s, d: U.distribution(U.per_user(_log(s, d), _users(s, d), zeros=False)),
-        "select round(avg(n), 2) mean, round(median(n), 2) median, coalesce(round(var_samp(n), 2), 0.0) variance from (select user_id, count(*) n from events group by 1)",
-    ),
-    "users_by_country": (users_by_country, "select n_name country, count(*) n, array_to_string(list_sort(list(c_name)), ',') names from customer join nation on c_nationkey = n_nationkey group by 1"),
+        (
+            "select round(avg(n), 2) mean, round(median(n), 2) median, coalesce(round(var_samp(n), 2), 0.0) variance from (select user_id, "
+            "count(*) n from events group by 1)"
+        ),
+    ),
+    "users_by_country": (users_by_country, (
+        "select n_name country, count(*) n, array_to_string(list_sort(list(c_name)), ',') names from customer join nation on c_nationkey = "
+        "n_nationkey group by 1"
+    )),
     "month_calendar": (
         lambda s, d: _dated(U.calendar(_log(s, d))),
-        "with t as (select max(ts)::date today from events), m as (select today, unnest(generate_series(date_trunc('month', today), last_day(today), interval 1 day))::date as day from t), c as (select day, today, coalesce(n, 0) n from m left join (select ts::date as day, count(*) n from events group by 1) using (day)) select day::varchar as day, n, round(n / max(n) over (), 2) intensity, day = today is_today, (isodow(day) - 1)::int as weekday, ((day(day) - 1 + isodow(date_trunc('month', day)) - 1) // 7)::int as week from c",
+        (
+            "with t as (select max(ts)::date today from events), m as (select today, unnest(generate_series(date_trunc('month', today), "
+            "last_day(today), interval 1 day))::date as day from t), c as (select day, today, coalesce(n, 0) n from m left join (select "
+            "ts::date as day, count(*) n from events group by 1) using (day)) select day::varchar as day, n, round(n / max(n) over (), 2) "
+            "intensity, day = today is_today, (isodow(day) - 1)::int as weekday, ((day(day) - 1 + isodow(date_trunc('month', day)) - 1) // "
+            "7)::int as week from c"
+        ),
     ),
     "activity_streak": (
         activity_streak,
@@ -125,23 +161,42 @@ QUERIES = {
     ),
     "model_comparison": (
         lambda s, d: U.models(_log(s, d)),
-        f"select model, count(*) uses, count(distinct user_id) users, sum(tokens)::bigint tokens, round(avg(seconds), 2) avg_seconds, count(*) filter (device = 'CPU') cpu, count(*) filter (device = 'GPU') gpu, count(*) filter (device is null) \"unknown\" from {_LOG} group by 1",
-    ),
-    "model_summary_rollup": (summary_by_rollup, "select coalesce(event_type, '(all)') model, count(*) uses, round(avg(value), 2) avg_seconds from events group by rollup (event_type)"),
-    "model_shares": (shares, "select event_type model, count(*) n, round(count(*) / sum(count(*)) over (), 4) share, round(count(*) / max(count(*)) over (), 4) heat from events group by 1"),
+        (
+            f"select model, count(*) uses, count(distinct user_id) users, sum(tokens)::bigint tokens, round(avg(seconds), 2) avg_seconds, "
+            f"count(*) filter (device = 'CPU') cpu, count(*) filter (device = 'GPU') gpu, count(*) filter (device is null) \"unknown\" from "
+            f"{_LOG} group by 1"
+        ),
+    ),
+    "model_summary_rollup": (summary_by_rollup, (
+        "select coalesce(event_type, '(all)') model, count(*) uses, round(avg(value), 2) avg_seconds from events group by rollup "
+        "(event_type)"
+    )),
+    "model_shares": (shares, (
+        "select event_type model, count(*) n, round(count(*) / sum(count(*)) over (), 4) share, round(count(*) / max(count(*)) over (), 4) "
+        "heat from events group by 1"
+    )),
     "model_month_pivot": (
         lambda s, d: U.model_months(_orders(s, d)),
-        "with t as (select max(date_trunc('month', o_orderdate)) last from orders), o as (select o_orderpriority model, 12 - date_diff('month', o_orderdate, last) nth from orders, t) select model, "
+        (
+            "with t as (select max(date_trunc('month', o_orderdate)) last from orders), o as (select o_orderpriority model, 12 - "
+            "date_diff('month', o_orderdate, last) nth from orders, t) select model, "
+        )
         + ", ".join(f"count(*) filter (nth = {i}) m{i:02}" for i in range(1, 13))
         + " from o where nth > 0 group by 1",
     ),
     "weekly_weighted_avg": (
         lambda s, d: _dated(U.weekly(_log(s, d))),
-        "select date_trunc('week', day)::date::varchar as week, sum(n)::bigint n, round(sum(n * s) / sum(n), 2) avg_seconds from (select ts::date as day, count(*) n, avg(value) s from events group by 1) group by 1",
+        (
+            "select date_trunc('week', day)::date::varchar as week, sum(n)::bigint n, round(sum(n * s) / sum(n), 2) avg_seconds from (select "
+            "ts::date as day, count(*) n, avg(value) s from events group by 1) group by 1"
+        ),
     ),
     "percentiles_by_stage": (
         lambda s, d: U.timings(_log(s, d), "model").select("stage", "n", *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p95"))),
-        "select event_type stage, count(*) n, round(avg(value), 6) mean, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.95), 6) p95 from events group by 1",
+        (
+            "select event_type stage, count(*) n, round(avg(value), 6) mean, round(quantile_cont(value, 0.5), 6) p50, "
+            "round(quantile_cont(value, 0.95), 6) p95 from events group by 1"
+        ),
     ),
     "history_page": (
         history_page,
@@ -150,7 +205,10 @@ QUERIES = {
     ),
     "history_filtered": (
         history_filtered,
-        f"select event_id from {_LOG} v where user_id = 1 and device = 'GPU' and exists (select 1 from {_LOG} p where p.user_id = v.user_id and p.tokens % 10 = v.tokens % 10 and p.model = 'purchase' and p.device = 'CPU')",
+        (
+            f"select event_id from {_LOG} v where user_id = 1 and device = 'GPU' and exists (select 1 from {_LOG} p where p.user_id = v.user_id "
+            f"and p.tokens % 10 = v.tokens % 10 and p.model = 'purchase' and p.device = 'CPU')"
+        ),
     ),
     "history_sorted": (
         history_sorted,
@@ -161,11 +219,17 @@ QUERIES = {
     "query_donut": (lambda s, d: U.donut(_log(s, d), 1), "select count(*) filter (user_id = 1) mine, count(*) filter (user_id != 1) others from events"),
     "latest_match_left_join": (
         latest_match_left_join,
-        "select c_custkey id, coalesce(event_type, '-') model from customer left join (select user_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) on c_custkey = user_id",
+        (
+            "select c_custkey id, coalesce(event_type, '-') model from customer left join (select user_id, event_type from events qualify "
+            "row_number() over (partition by user_id order by ts desc, event_id desc) = 1) on c_custkey = user_id"
+        ),
     ),
     "semi_join_exists_model": (
         semi_join_exists_model,
-        f"select event_id, user_id from {_LOG} v where model = 'view' and exists (select 1 from {_LOG} p where p.user_id = v.user_id and p.tokens % 10 = v.tokens % 10 and p.model = 'purchase' and p.device = 'GPU')",
+        (
+            f"select event_id, user_id from {_LOG} v where model = 'view' and exists (select 1 from {_LOG} p where p.user_id = v.user_id and "
+            f"p.tokens % 10 = v.tokens % 10 and p.model = 'purchase' and p.device = 'GPU')"
+        ),
     ),
     "job_progress": (
         lambda s, d: U.progress(_log(s, d), "user_id", "event_id").select("event_id", "percent"),
@@ -173,6 +237,10 @@ QUERIES = {
     ),
     "axis_ticks": (
         lambda s, d: _dated(U.ticks(U.by_day(_log(s, d)), "day", 8).select("day", "n")),
-        f"select day::varchar as day, n from (select day, coalesce(n, 0) n, row_number() over (order by day) p, count(*) over () c from {_DAYS} left join (select ts::date as day, count(*) n from events group by 1) using (day)) where (p - 1) % ceil(c / 8)::int = 0 or p = c",
+        (
+            f"select day::varchar as day, n from (select day, coalesce(n, 0) n, row_number() over (order by day) p, count(*) over () c from "
+            f"{_DAYS} left join (select ts::date as day, count(*) n from events group by 1) using (day)) where (p - 1) % ceil(c / 8)::int = 0 "
+            f"or p = c"
+        ),
     ),
 }
