@@ -83,12 +83,16 @@ def _noticed(files: DataFrame, model: Model, threshold: float) -> DataFrame:
     return scratch.keep(texts.select("file_id", "repo", "path", "text").withColumn("uid", F.monotonically_increasing_id()), "licence-texts")
 
 
+def _table(spark: SparkSession, model: Model) -> DataFrame:
+    """The terms of the templates: term, weight, share; as large as these."""
+    return spark.createDataFrame([(t, w, s) for t, (w, s) in model.shares.items()], "term string, weight double, share array<double>")
+
+
 def _weighted(texts: DataFrame, model: Model) -> DataFrame:
-    """The terms of texts: uid, at, term, weight, share (in each template; null where it is in none)."""
-    table = texts.sparkSession.createDataFrame([(t, w, s) for t, (w, s) in model.shares.items()], "term string, weight double, share array<double>")  # as large as the templates
+    """The terms of texts: uid, at, weight, share (in each template; null where it is in none)."""
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     terms = texts.select("uid", F.posexplode(F.regexp_extract_all(lowered, F.lit(f"({_TERM})"), 1)).alias("at", "term"))
-    return terms.join(F.broadcast(table), "term", "left").select("uid", "at", "term", F.coalesce("weight", F.lit(model.other)).alias("weight"), "share")
+    return terms.join(F.broadcast(_table(texts.sparkSession, model)), "term", "left").select("uid", "at", F.coalesce("weight", F.lit(model.other)).alias("weight"), "share")
 
 
 def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -97,7 +101,7 @@ def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
     A run has as many terms as the template; a text of fewer is one run. Of equally near templates the first by name
     is taken. Null texts have no terms.
     """
-    model = Model(templates, threshold)
+    model, spark = Model(templates, threshold), files.sparkSession
     texts = _noticed(files, model, threshold)
     terms = _weighted(texts.select("uid", "text").repartition("uid"), model)  # texts move, not their terms
     text = Window.partitionBy("uid")
@@ -116,9 +120,15 @@ def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
         runs.append(F.when(whole & near, F.struct(F.lit(i).alias("template"), F.col(f"n{i}").alias("length"), F.col(f"dot{i}").alias("dot"))))
     runs = found.select("uid", F.col("at").alias("start"), F.explode(F.array(*runs)).alias("r")).where("r is not null").select("uid", "start", "r.*")
     runs = scratch.keep(runs, "licence-runs")
-    places = runs.select("uid", "start", "template", "dot", F.explode(F.sequence(F.col("start"), (F.col("start") + F.col("length") - 1).cast("int"))).alias("at"))
-    own = _weighted(texts.join(runs.select("uid").distinct(), "uid", "left_semi"), model)
-    bag = places.join(own.select("uid", "at", "term", "weight"), ["uid", "at"]).groupBy("uid", "start", "template", "dot", "term").agg((F.count(F.lit(1)) * F.first("weight")).alias("value"))
+    own = runs.groupBy("uid").agg(F.collect_list(F.struct("start", "length", "template", "dot")).alias("runs"))
+    own = scratch.keep(own, "licence-runs-of-texts")
+    if own.count() <= BROADCAST_ROWS:  # else the texts with runs move once more
+        own = F.broadcast(own)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    held = texts.select("uid", "text").join(own, "uid").select("uid", F.regexp_extract_all(lowered, F.lit(f"({_TERM})"), 1).alias("terms"), F.explode("runs").alias("r"))
+    held = held.select("uid", "r.start", "r.template", "r.dot", F.explode(F.slice("terms", F.col("r.start") + 1, F.col("r.length").cast("int"))).alias("term"))
+    bag = held.groupBy("uid", "start", "template", "dot", "term").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(_table(spark, model).drop("share")), "term", "left")
+    bag = bag.withColumn("value", F.col("n") * F.coalesce("weight", F.lit(model.other)))
     scored = bag.groupBy("uid", "start", "template", "dot").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     scored = scored.select("uid", "template", (F.col("dot") / F.col("norm")).alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("uid").agg(F.min(F.struct((-F.round("score", 9)).alias("far"), "template")).alias("best"))
