@@ -139,6 +139,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, clean
     """
     source = docs if clean else docs.select("doc_id", "text", F.lit(0).alias("n_words"), F.lit(0).alias("n_hit"), F.array().cast("array<string>").alias("items"))
     names = source.columns
+    scratch.small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     out = source
     for block, more in _blocks(items):
@@ -170,7 +171,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, clean
                     yield pa.RecordBatch.from_arrays([fields[c] if c in fields else part.column(held.index(c)) for c in to], names=to)
 
         schema = T.StructType([*source.schema.fields, T.StructField(SPANS, T.ArrayType(T.IntegerType()))]) if more else source.schema
-        out = out.mapInArrow(search, schema)
+        out = out.mapInArrow(words.released(search), schema)
         if more:  # the block's work is done before the next one is loaded
             out = scratch.keep(out, "hit-spans", stay=True)
             shared.destroy()

@@ -255,7 +255,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     with scratch.steps(docs.sparkSession):
         involved = scratch.keep(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select("key", "rep"), "involved")
         texts = docs.select(F.col("doc_id").alias("rep"), "text").join(_sized(involved), "rep").select("key", "text")
-        texts = scratch.keep(texts.mapInArrow(_pressed, "key long, text binary, " + ", ".join(f"{c} array<smallint>" for c in _PREFIXES)), "texts")
+        texts = scratch.keep(texts.mapInArrow(words.released(_pressed), "key long, text binary, " + ", ".join(f"{c} array<smallint>" for c in _PREFIXES)), "texts")
         x, y = (texts.select(F.col("key").alias(c), F.struct(*_PREFIXES).alias(s)) for c, s in (("a", "x"), ("b", "y")))
         shared = F.lit(True)
         for c in _PREFIXES:
@@ -263,7 +263,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
         near = scratch.keep(pairs.join(x, "a").join(y, "b").where(shared).select("a", "b").distinct(), "pairs-by-orders")
         left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")).join(_sized(near), "a")
         both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        return scratch.keep(both.mapInArrow(_verify, "u long, v long"), "verified", stay=True)
+        return scratch.keep(both.mapInArrow(words.released(_verify), "u long, v long"), "verified", stay=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -274,13 +274,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     text, empty text and text without words: n_shingles 0, linked with nothing. Equal texts always link. Rows with a
     repeated doc_id each keep their own set; a null doc_id gets the least id of its group, or null.
     """
+    scratch.small_batches(docs.sparkSession)
     with scratch.steps(docs.sparkSession):
         return _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    seen = scratch.keep(docs.mapInArrow(_first_pass, _SETS), "sets", stay=True)
+    seen = scratch.keep(docs.mapInArrow(words.released(_first_pass), _SETS), "sets", stay=True)
     meta = seen.where("not counted")
     tops = seen.where("counted").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
     late = np.array([r["key"] for r in tops], dtype=np.int64).view(np.uint64)
@@ -289,8 +290,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     classes = scratch.keep(meta.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *(F.min(c).alias(c) for c in _BITS)), "classes")
 
     shared = spark.sparkContext.broadcast((late, place))
-    prefixes = docs.where("doc_id is not null").mapInArrow(lambda it: _prefixes(*shared.value)(it), "token long, key long, n int, at int")
-    found = scratch.keep(prefixes.repartition("token").sortWithinPartitions("token", "at", F.xxhash64("key", F.pmod("token", F.lit(LEADERS)))).mapInArrow(_buckets, "a long, b long, token long, n int, at int"), "candidates")
+    prefixes = docs.where("doc_id is not null").mapInArrow(words.released(lambda it: _prefixes(*shared.value)(it)), "token long, key long, n int, at int")
+    found = scratch.keep(prefixes.repartition("token").sortWithinPartitions("token", "at", F.xxhash64("key", F.pmod("token", F.lit(LEADERS)))).mapInArrow(words.released(_buckets), "a long, b long, token long, n int, at int"), "candidates")
     stars = scratch.keep(_fitting(found.where("b is not null").select("a", "b").distinct(), classes), "pairs")
     links = _verified(stars, docs, classes)
     groups = scratch.keep(components(links), "groups")

@@ -130,7 +130,8 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and their unit prototypes, from (text, lang); a null lang teaches nothing."""
-    parts = docs.where("lang is not null").select("text", "lang").mapInArrow(_train, "lang string, v array<bigint>")
+    scratch.small_batches(docs.sparkSession)
+    parts = docs.where("lang is not null").select("text", "lang").mapInArrow(words.released(_train), "lang string, v array<bigint>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("v"))
     rows = sorted((r["lang"], r["v"]) for r in sums.collect())  # a row a language
     vectors = np.array([v for _, v in rows], dtype=np.float64).reshape(len(rows), DIMENSIONS)
@@ -163,7 +164,7 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, len(out)).columns, pa.array(lang, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(words.released(predict), f"{fields}, lang_pred string, score double")
 
 
 def held_out(doc_id) -> F.Column:

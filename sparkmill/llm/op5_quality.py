@@ -146,7 +146,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def gathered(texts: DataFrame) -> DataFrame:
     """All different runs of texts (text, taught): h, context (of ORDER - 1 code points), symbol, n (their count in taught texts)."""
-    parts = texts.select("text", "taught").mapInArrow(_gather, "h long, context long, symbol long, n long")
+    parts = texts.select("text", "taught").mapInArrow(words.released(_gather), "h long, context long, symbol long, n long")
     return parts.groupBy("h", "context", "symbol").agg(F.sum("n").alias("n"))
 
 
@@ -210,7 +210,7 @@ def perplexities(texts: DataFrame, model: DataFrame) -> DataFrame:
 
     Rows with an equal key are one text, of which n counts the characters as often as it stands there.
     """
-    counted = texts.select("row", "text").mapInArrow(_count, "row long, h long, n long")
+    counted = texts.select("row", "text").mapInArrow(words.released(_count), "row long, h long, n long")
     sums = counted.join(_sized(model), "h").groupBy("row").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("log_p")).alias("log_p"))
     return sums.select("row", "n", F.exp(-F.col("log_p") / F.col("n")).alias("perplexity"))
 
@@ -224,6 +224,7 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -
     Null or empty text: n_symbols 0, perplexity null, not kept. Repeated rows each get the same result; those of one
     doc_id with different texts are judged each for itself. Without any trusted text all code points are equally likely.
     """
+    scratch.small_batches(docs.sparkSession)
     with scratch.steps(docs.sparkSession):
         good = scratch.keep(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True)), "trusted")
         own = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("row")).join(_sized(good), "doc_id", "left")

@@ -82,6 +82,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, byte_level: bool = True, e
     shorter first. An empty table gives a file without blocks.
     """
     spark = docs.sparkSession
+    scratch.small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / parts for i in range(1, parts)], 100 * parts)).head()[0] if parts > 1 else []
     from tokenizers import Tokenizer

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import bin_completion, scratch
 from .tokens import coder
-from .words import slices
+from .words import released, slices
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -32,6 +32,7 @@ def pieces(docs: DataFrame, tokenizer: str, byte_level: bool = False, end_id: in
     ``ids`` themselves if asked for, and (task, rank): the how-manieth piece of its length it is in its task.
     Null text: as empty; an empty text is one piece of the end id. Repeated rows are packed each for itself.
     """
+    scratch.small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long" + ", ids array<int>" * with_ids
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = schema.replace("doc_id long", f"doc_id {kind}", 1)
@@ -59,7 +60,7 @@ def pieces(docs: DataFrame, tokenizer: str, byte_level: bool = False, end_id: in
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return docs.select("doc_id", "text").mapInArrow(released(cut), schema)
 
 
 def assign(cut: DataFrame, capacity: int = CAPACITY, nodes: int = 4_000) -> DataFrame:

@@ -10,6 +10,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that go to Python at once where these are texts; a batch is held several times over on either side.
+BATCH_ROWS = 2_000
+
 _LOCAL: list[str] = []
 _open = threading.local()
 #: Tables that results still read when the outermost :func:`steps` ended.
@@ -65,6 +68,13 @@ def keep(df: DataFrame, what: str, codec: str = "snappy", stay: bool = False) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow hand at most ``BATCH_ROWS`` rows to Python at once in this session; less stays less."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def leave(path: str, stay: bool = False) -> None:
     """Have a path of :func:`fresh` removed as one of :func:`keep` is."""
     stack = _stack()[: -1 if stay else None]

@@ -6,7 +6,8 @@ Two different words share a hash with probability 2**-64; sets and windows are c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,18 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return _powers[int(base)][:n]
 
 
+def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task over Arrow batches that gives freed memory back when it ends: its worker goes on to other tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, bytes, offsets)`` of at most ``rows`` consecutive rows holding about ``most`` bytes; null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
