@@ -78,7 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, on the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with scratch.steps(spark):
-        for name, stage in STAGES:
+        for name, stage in STAGES[:-1]:
             with scratch.steps(spark):  # what a stage's result reads goes when the result is written
                 docs = scratch.keep(stage(spark, docs, sf_dir), name, stay=True)
-    return docs
+        name, stage = STAGES[-1]
+        return scratch.keep(stage(spark, docs, sf_dir), name, stay=True)
