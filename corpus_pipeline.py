@@ -20,12 +20,18 @@ def _recounted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+def _beside(docs: DataFrame, names: tuple[str, ...], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``work`` on docs whose own columns of these names, which it uses for itself, are out of its way."""
+    aside = {c: f"__own_{c}" for c in names if c in docs.columns}
+    return work(docs.withColumnsRenamed(aside)).withColumnsRenamed({v: k for k, v in aside.items()})
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those without a letter, or no more like a prototype than unrelated texts, go.
 
     So null and empty texts go; repeated rows stay or go together; an empty table stays empty.
     """
-    return op4_language.recognised(docs).drop("lang_pred", "score")
+    return _beside(docs, ("lang_pred", "score"), lambda own: op4_language.recognised(own).drop("lang_pred", "score"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay; rows equal in doc_id and text are one document and keep what is first in it; null ids
     come before all others.
     """
-    cut = op7_line_dedup.without_repeats(docs).where("n_removed = 0 or trim(translate(text, '\\n', ' ')) != ''").drop("n_removed")
-    return _recounted(cut)
+    left = "n_removed = 0 or trim(translate(text, '\\n', ' ')) != ''"
+    return _recounted(_beside(docs, ("n_removed",), lambda own: op7_line_dedup.without_repeats(own).where(left).drop("n_removed")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
