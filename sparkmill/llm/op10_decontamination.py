@@ -21,7 +21,7 @@ from .fm_index import FMIndex
 #: Words of a window.
 WINDOW = 10
 #: Bytes of text in one index.
-SHARD_BYTES = 1 << 22
+SHARD_BYTES = 1 << 21
 #: Bytes of item texts that go to the tasks at once (their windows some 12 times that); more items take further passes over the documents.
 ITEM_BYTES = 8 << 20
 #: Column of the hit words of earlier blocks of items.
