@@ -17,6 +17,7 @@ from . import (
     op8_token_file as op8,
     op9_packing as op9,
     op10_decontamination as op10,
+    op13_binary_packing as op13,
 )
 
 _OPERATORS = {
@@ -30,6 +31,7 @@ _OPERATORS = {
     "op8_token_file": op8,
     "op9_packing": op9,
     "op10_decontamination": op10,
+    "op13_binary_packing": op13,
 }
 
 
