@@ -17,6 +17,7 @@ from . import (
     op8_token_file as op8,
     op9_packing as op9,
     op10_decontamination as op10,
+    op11_conversation_repair as op11,
     op12_whitening as op12,
     op13_binary_packing as op13,
 )
@@ -32,6 +33,7 @@ _OPERATORS = {
     "op8_token_file": op8,
     "op9_packing": op9,
     "op10_decontamination": op10,
+    "op11_conversation_repair": op11,
     "op12_whitening": op12,
     "op13_binary_packing": op13,
 }
