@@ -236,7 +236,8 @@ def _repaired(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     thin = thin.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id())
     thin = scratch.keep(thin.withColumn("block", F.shiftright("ord", BLOCK)).drop("hash"), "ordered")
 
-    level = thin.select("key", "block", "ord", "kind").repartition("key", "block").sortWithinPartitions("key", "block", "ord").mapInArrow(_advanced(0), _MOVES)
+    parts = int(thin.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work for each
+    level = thin.select("key", "block", "ord", "kind").repartition(parts, "key", "block").sortWithinPartitions("key", "block", "ord").mapInArrow(_advanced(0), _MOVES)
     level = scratch.keep(level, "blocks")
     while not level.groupBy("key").agg((F.max("block") != F.min("block")).alias("several")).where("several").isEmpty():
         at = F.dense_rank().over(Window.partitionBy("key").orderBy("block")) - 1
