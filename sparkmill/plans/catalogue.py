@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import documents, indexing, inputs, lifecycle, records, retrieval, usage
+from . import documents, indexing, inputs, lifecycle, records, reflow, retrieval, usage
 
-_ALL = retrieval.QUERIES | usage.QUERIES | documents.QUERIES | indexing.QUERIES | records.QUERIES | lifecycle.QUERIES | inputs.QUERIES
+_ALL = retrieval.QUERIES | usage.QUERIES | documents.QUERIES | indexing.QUERIES | records.QUERIES | lifecycle.QUERIES | inputs.QUERIES | reflow.QUERIES
 
 
 def queries() -> dict[str, Callable]:

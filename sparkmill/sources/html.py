@@ -93,3 +93,10 @@ def document_rows(pages: DataFrame) -> DataFrame:
         F.when(last != "", _text(last)).otherwise(_text(shown)).alias("doue_date"),
     )
     return out.where(F.coalesce("published", "document", "urls", "doue_sent", "doue_url", "doue_date").isNotNull())
+
+
+def with_publication(rows: DataFrame) -> DataFrame:
+    """2.12j: rows (number, publication) with a number and the address of a publication abroad, trimmed; blank and ``vacío`` are none."""
+    said = strip(F.col("publication"))
+    none = F.coalesce(F.lower(said), F.lit("")).isin("", "vacío", "vacio")
+    return rows.where((F.coalesce("number", F.lit("")) != "") & ~none).withColumn("publication", said)
