@@ -6,13 +6,16 @@ Method:
     the value of random projections, ``TREES`` times over.
 2.  Each round, the neighbours of every node, and those that have it as neighbour, are compared with each other, and
     every node keeps its nearest, until a round adds few edges. A node whose list is full of links (cosine at least
-    THRESHOLD) is saturated; its list doubles in length for the next round. Edges further than twice the threshold's angle lead to no link that a
-    closer path does not, so they are not followed.
-3.  The threshold edges give components. Inside a component every class is then compared with every other in tiles of a
-    bounded size, so a saturated node's links are complete however many they are.
-4.  A bounded sample of vectors is held against all vectors by brute force. While its recall is below ``RECALL``,
-    new projections and rounds are added, with longer lists; the recall is logged, and a search that stays below
-    ``LEAST_RECALL`` ends in an error.
+    THRESHOLD) is saturated; its list doubles, from its own last length, until it holds something else or ``MOST``.
+    Edges further than twice the threshold's angle lead to no link that a closer path does not, so they are not followed.
+3.  The threshold edges give components. A node that is saturated still keeps a second list, of its nearest nodes in
+    other components, which is refined by the same rounds; links found so join components, and this goes on until none
+    does. So nodes of dense groups find links that their own group would hide.
+4.  Inside a component every class is then compared with every other in tiles of a bounded size, so a saturated node's
+    links are complete however many they are.
+5.  A bounded sample of vectors is held against all vectors by brute force. While its recall is below ``RECALL``,
+    new projections and rounds are added, with longer lists; the recall is logged, and a search that stays below ends
+    in an error.
 
 Cosines are computed in double precision from the stored components.
 """
@@ -31,14 +34,14 @@ from . import scratch
 from .components import components
 
 THRESHOLD = 0.95
-#: Length of a neighbour list at first; projections in the first graph; rows compared at once.
-NEIGHBOURS, TREES, BLOCK = 8, 6, 192
+#: Length of a neighbour list at first and at most; projections in the first graph; rows compared at once.
+NEIGHBOURS, MOST, TREES, BLOCK = 8, 64, 6, 192
 #: A round that adds no more than this share of new edges is the last before the audit; at most so many rounds.
 FEW, ROUNDS = 0.01, 6
 #: Classes in a tile at least and at most, between them 4 times the root of the component's, and rows that are multiplied at once.
 LEAST_TILE, TILE, STRIPE = 64, 8192, 1024
-#: Vectors in the audit, the recall it asks for, the least it accepts, and how often the search goes on until it is reached.
-AUDITED, RECALL, LEAST_RECALL, EXTRA = 200, 0.98, 0.9, 6
+#: Vectors in the audit, the recall it asks for, and how often the search goes on until it is reached.
+AUDITED, RECALL, EXTRA = 200, 0.98, 6
 #: Parts into which the edges of a node are dealt before its nearest are chosen.
 PARTS = 64
 
@@ -75,7 +78,9 @@ def _prepare(with_vectors: bool):
     return prepare
 
 
-def _projected(trees: int, seed: int):
+def _projected(trees: int, seed: int, names: list[str]):
+    """Rows (id, size, v and more) with, for each projection, its number, the signs and the value."""
+
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -88,15 +93,17 @@ def _projected(trees: int, seed: int):
                     planes = np.random.default_rng([seed, t, int(n)]).standard_normal((int(n), 13))
                     y = x @ planes
                     code = ((y[:, :12] > 0) @ (1 << np.arange(12))).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(x), t), pa.int32()), pa.array(code), pa.array(y[:, 12])], names=["id", "size", "v", "tree", "code", "at"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(x), t), pa.int32()), pa.array(code), pa.array(y[:, 12])], names=[*names, "tree", "code", "at"])
 
     return project
 
 
-def _near(ids: np.ndarray, x: np.ndarray, floor: float, most: int) -> list[np.ndarray]:
-    """(u, v, cosine) of each row's nearest ``most`` others at ``floor`` or more."""
+def _near(ids: np.ndarray, x: np.ndarray, floor: float, most: int, apart: np.ndarray | None = None) -> list[np.ndarray]:
+    """(u, v, cosine) of each row's nearest ``most`` others at ``floor`` or more; only those with another value of ``apart``."""
     cosine = x @ x.T
     np.fill_diagonal(cosine, -2)
+    if apart is not None:
+        cosine[apart[:, None] == apart[None, :]] = -2
     most = min(most, len(ids) - 1)
     if most < 1:
         return [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -111,8 +118,12 @@ def _edges(u: list, v: list, c: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v)), pa.array(np.concatenate(c))], names=["u", "v", "cosine"])
 
 
+def _apart(t: pa.Table) -> np.ndarray | None:
+    return t.column("component").to_numpy() if "component" in t.column_names else None
+
+
 def _windows(floor: float):
-    """Sorted rows to edges among those within a block; blocks overlap by half."""
+    """Sorted rows to edges among those within a block, between components if the rows have these; blocks overlap by half."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -121,7 +132,7 @@ def _windows(floor: float):
             size = t.column("size").to_numpy()
             for n in np.unique(size):
                 own = t.filter(pa.array(size == n)).combine_chunks()
-                u, v, c = _near(own.column("id").to_numpy(), _unit(_matrix(own.column("v").combine_chunks())), floor, NEIGHBOURS)
+                u, v, c = _near(own.column("id").to_numpy(), _unit(_matrix(own.column("v").combine_chunks())), floor, NEIGHBOURS, _apart(own))
                 yield _edges([u], [v], [c])
 
         for batch in batches:
@@ -137,7 +148,7 @@ def _windows(floor: float):
 
 
 def _joined(floor: float, most: int):
-    """Rows (node, id, size, v) sorted by node: edges among the vectors of each node."""
+    """Rows (node, id, size, v) sorted by node: edges among the vectors of each node, between components if the rows have these."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -147,10 +158,10 @@ def _joined(floor: float, most: int):
             node, ids, size = (t.column(c).to_numpy() for c in ("node", "id", "size"))
             cut = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (size[1:] != size[:-1])))
             out: list[list] = [[], [], []]
-            x = t.column("v").combine_chunks()
+            x, apart = t.column("v").combine_chunks(), _apart(t)
             for a, b in zip(cut, np.append(cut[1:], len(node)), strict=True):
                 if b - a > 1:
-                    for o, y in zip(out, _near(ids[a:b], _unit(_matrix(x.slice(a, b - a))), floor, most), strict=True):
+                    for o, y in zip(out, _near(ids[a:b], _unit(_matrix(x.slice(a, b - a))), floor, most, None if apart is None else apart[a:b]), strict=True):
                         o.append(y)
             if out[0]:
                 yield _edges(*out)
@@ -215,14 +226,14 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _best(edges: DataFrame, lengths: DataFrame | None, length: int) -> DataFrame:
-    """Each node's nearest neighbours: ``length`` of them, or as many as ``lengths`` (u, length) says, at most twice as many.
+    """Each node's nearest neighbours: ``length`` of them, or as many as ``lengths`` (u, length) says, at most ``MOST``.
 
     They are chosen within ``PARTS`` parts of a node's edges first, so that a node with very many is no single task.
     """
     edges = edges.groupBy("u", "v").agg(F.max("cosine").alias("cosine")).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
     for keys in (["u", "part"], ["u"]):
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cosine"), "v"))
-        edges = edges.withColumn("rank", rank).where(F.col("rank") <= (length if lengths is None else 2 * length))
+        edges = edges.withColumn("rank", rank).where(F.col("rank") <= (length if lengths is None else max(length, MOST)))
     if lengths is not None:
         edges = edges.join(lengths, "u", "left").where(F.col("rank") <= F.coalesce("length", F.lit(length)))
     return edges.select("u", "v", "cosine")
@@ -233,20 +244,84 @@ def _both(edges: DataFrame) -> DataFrame:
 
 
 def _first_graph(vectors: DataFrame, seed: int, floor: float) -> DataFrame:
-    kind = vectors.schema["v"].dataType.simpleString()
-    rows = vectors.mapInArrow(_projected(TREES, seed), f"id long, size int, v {kind}, tree int, code int, at double")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields)
+    rows = vectors.mapInArrow(_projected(TREES, seed, vectors.columns), f"{kind}, tree int, code int, at double")
     rows = scratch.keep(rows, "projected")
     rows = rows.repartitionByRange("tree", "code", "at").sortWithinPartitions("tree", "code", "at")
     return rows.mapInArrow(_windows(floor), "u long, v long, cosine double")
 
 
-def _round(vectors: DataFrame, graph: DataFrame, floor: float, length: int) -> DataFrame:
-    """The graph and what its neighbours-of-neighbours joins add."""
+def _around(graph: DataFrame, length: int) -> DataFrame:
+    """(node, id): each node, its neighbours and the nearest of those that have it as neighbour."""
     near = graph.select(F.col("u").alias("node"), F.col("v").alias("id"))
     back = _best(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "cosine"), None, length).select(F.col("u").alias("node"), F.col("v").alias("id"))
-    around = near.union(back).distinct().union(graph.select(F.col("u").alias("node"), F.col("u").alias("id")).distinct())
-    rows = around.join(vectors, "id").select("node", "id", "size", "v").repartition("node").sortWithinPartitions("node", "size")
-    return graph.unionByName(rows.mapInArrow(_joined(floor, 2 * length), "u long, v long, cosine double"))
+    return near.union(back).union(near.select("node", F.col("node").alias("id"))).distinct()
+
+
+def _compared(vectors: DataFrame, around: DataFrame, floor: float, most: int) -> DataFrame:
+    rows = around.join(vectors, "id").select("node", *vectors.columns).repartition("node").sortWithinPartitions("node", "size")
+    return rows.mapInArrow(_joined(floor, most), "u long, v long, cosine double")
+
+
+def _round(vectors: DataFrame, graph: DataFrame, floor: float, length: int) -> DataFrame:
+    """The graph and what its neighbours-of-neighbours joins add."""
+    return graph.unionByName(_compared(vectors, _around(graph, length), floor, 2 * length))
+
+
+def _next(first: DataFrame, then: DataFrame) -> DataFrame:
+    """(node, id): for each node the neighbours in ``then`` of its neighbours in ``first``."""
+    return first.select(F.col("u").alias("node"), F.col("v").alias("u")).join(then.select("u", F.col("v").alias("id")), "u").select("node", "id")
+
+
+def _settled(graph: DataFrame, before: DataFrame) -> bool:
+    return graph.join(before, ["u", "v"], "left_anti").count() <= FEW * before.count()
+
+
+def _bridged(vectors: DataFrame, graph: DataFrame, links: DataFrame, floor: float, seed: int) -> DataFrame:
+    """The components (node, component) of the links and of those that saturated nodes have into other components.
+
+    Nodes with nothing but links in their lists see only their own group. Here each keeps its nearest nodes of other components, refined
+    by rounds over both lists, until these join no components any more. A node asks its own neighbours for theirs, as
+    it need not be in any list itself where others are nearer.
+    """
+    full = graph.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("cosine").alias("least")).where((F.col("n") >= NEIGHBOURS) & (F.col("least") >= THRESHOLD))
+    full = scratch.keep(full.select(F.col("u").alias("id")), "hard")
+    groups = scratch.keep(components(links), "vector-groups")
+    if full.isEmpty():
+        return groups
+    hard = scratch.keep(vectors.join(full, "id", "left_semi"), "hard-vectors")
+    inside = scratch.keep(_best(graph.join(full.withColumnRenamed("id", "u"), "u", "left_semi"), None, NEIGHBOURS), "inside")
+    outside = None
+    while True:
+        named = scratch.keep(hard.join(groups.withColumnRenamed("node", "id"), "id"), "named")
+        fresh = _both(_first_graph(named, seed, floor))
+        if outside is not None:
+            label = groups.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+            still = outside.join(label, "u").join(label.select(F.col("u").alias("v"), F.col("cu").alias("cv")), "v").where("cu != cv")
+            fresh = fresh.unionByName(still.select("u", "v", "cosine"))
+        outside = scratch.keep(_best(fresh, None, NEIGHBOURS), "outside")
+        for _ in range(ROUNDS):
+            before = outside
+            around = _around(outside, NEIGHBOURS).union(_next(inside, outside)).union(_next(outside, inside)).distinct()
+            outside = scratch.keep(_best(_both(outside.unionByName(_compared(named, around, floor, NEIGHBOURS))), None, NEIGHBOURS), "outside")
+            if _settled(outside, before):
+                break
+        found = outside.where(F.col("cosine") >= THRESHOLD).select("u", "v")
+        if found.isEmpty():
+            return groups
+        # a component is a star around its least node; new links join stars
+        links = scratch.keep(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found), "joined-links")
+        groups, seed = scratch.keep(components(links), "vector-groups"), seed + 1
+
+
+def _lengths(graph: DataFrame, lengths: DataFrame | None, length: int) -> DataFrame:
+    """(u, length) of nodes whose list is longer than ``length``: it doubles from its own last length while it is full of links."""
+    links = graph.where(F.col("cosine") >= THRESHOLD).groupBy("u").agg(F.count(F.lit(1)).alias("links"))
+    if lengths is None:
+        return links.where(F.col("links") >= length).select("u", F.lit(min(MOST, 2 * length)).alias("length"))
+    own = F.greatest(F.coalesce("length", F.lit(length)), F.lit(length))
+    both = links.join(lengths, "u", "full_outer").withColumn("length", F.when(F.col("links") >= own, F.least(F.lit(MOST), 2 * own)).otherwise(own))
+    return both.where(F.col("length") > length).select("u", "length")
 
 
 def _recall(vectors: DataFrame, classes: DataFrame, found: DataFrame) -> float:
@@ -300,26 +375,26 @@ def _linked(rows: DataFrame, report: dict[str, float]) -> DataFrame:
     valid = rows.mapInArrow(_prepare(True), f"{fields}, v {kind}").withColumnRenamed("vec_id", "rep")
     valid = valid.join(classes.drop("n"), ["size", "k1", "k2", "rep"]).select("id", "size", "v")
     vectors = scratch.keep(valid.dropDuplicates(["id"]), "vectors")
-    graph, lengths, length = None, None, NEIGHBOURS
+    graph, length = None, NEIGHBOURS
+    lengths = None
     for attempt in range(1 + EXTRA):
         fresh = _first_graph(vectors, attempt, floor)
         graph = scratch.keep(_best(_both(fresh if graph is None else graph.unionByName(fresh)), lengths, length), "graph")
         for _ in range(ROUNDS):
             before = graph
-            full = graph.where(F.col("cosine") >= THRESHOLD).groupBy("u").agg(F.count(F.lit(1)).alias("links")).where(F.col("links") >= length)
-            lengths = scratch.keep(full.select("u", F.lit(2 * length).alias("length")), "saturated")
+            lengths = scratch.keep(_lengths(graph, lengths, length), "lengths")
             graph = scratch.keep(_best(_both(_round(vectors, graph, floor, length)), lengths, length), "graph")
-            if graph.join(before, ["u", "v"], "left_anti").count() <= FEW * before.count():
+            if _settled(graph, before):
                 break
         links = graph.where(F.col("cosine") >= THRESHOLD).select("u", "v")
-        groups = scratch.keep(components(links), "vector-groups")
+        groups = _bridged(vectors, graph, links, floor, 1000 * (attempt + 1))
         found = scratch.keep(_counted(vectors, classes, groups), "linked")
         report |= {"recall": _recall(vectors, classes, found), "searches": attempt + 1}
         _log.info("recall %(recall).4f after %(searches)d searches", report)
         if report["recall"] >= RECALL:
             break
-        length = min(8 * NEIGHBOURS, 2 * length)
-    if report["recall"] < LEAST_RECALL:
+        length = min(MOST, 2 * length)
+    if report["recall"] < RECALL:
         raise RuntimeError(f"recall {report['recall']:.3f} after {report['searches']} searches")
     known = classes.join(found, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
     known = scratch.keep(known.withColumn("component", F.coalesce("component", "id")), "known")

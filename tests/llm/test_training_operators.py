@@ -280,12 +280,52 @@ def test_nn_descent_of_a_hub_and_a_chain(spark, monkeypatch):
     counts = link.sum(axis=1) - 1 + link[:, 7]
     assert sorted(got) == sorted([(i, int(counts[i]), want[i]) for i in range(len(x))] + [(5, int(counts[7]), want[7])])
     assert report["recall"] >= 0.98 and counts[0] >= 300
-    monkeypatch.setattr(op6, "_recall", lambda *_: 0.1)
+    monkeypatch.setattr(op6, "_recall", lambda *_: 0.97)
     monkeypatch.setattr(op6, "EXTRA", 0)
     with pytest.raises(RuntimeError, match="recall"):
         op6.near_duplicates(table)
 
 
+def _turned(centre, towards, degrees):
+    """A unit vector at an angle from a centre, towards another vector."""
+    side = towards - (towards @ centre) * centre
+    angle = np.radians(degrees)
+    return np.cos(angle) * centre + np.sin(angle) * side / np.linalg.norm(side)
+
+
+def _checked_nn_descent(spark, x):
+    """Rows against all pairs."""
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    link = x @ x.T >= 0.95
+    want = groups(range(len(x)), lambda a, b: link[a, b])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    report = {}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op6.near_duplicates(table, report).collect()}
+    assert got == {i: (int(link[i].sum()) - 1, want[i]) for i in range(len(x))}
+    return len(set(want.values()))
+
+
+def test_nn_descent_of_a_bridge_between_dense_groups(spark):
+    """300 vectors around each of two centres that are too far apart, and one vector between them that links with all."""
+    rng = np.random.default_rng(11)
+    a, b = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    b = _turned(a, b, 21.57)
+    near = lambda c: [_turned(c, rng.standard_normal(64), 0.2) for _ in range(300)]
+    assert _checked_nn_descent(spark, np.array([*near(a), *near(b), _turned(a, b, 5)])) == 1
+
+
+def test_nn_descent_of_a_chain_of_dense_groups(spark):
+    """Three groups; each neighbouring two are joined by one pair of vectors only, found among far more that do not link."""
+    rng = np.random.default_rng(12)
+    a, b, c = np.linalg.qr(rng.standard_normal((64, 3)))[0].T
+    b = _turned(a, b, 22)
+    c = _turned(b, c, 22)
+    near = lambda m: [_turned(m, rng.standard_normal(64), 0.2) for _ in range(150)]
+    joins = [_turned(a, b, 2.2), _turned(b, a, 2.2), _turned(b, c, 2.2), _turned(c, b, 2.2)]
+    others = rng.standard_normal((100, 64))
+    assert _checked_nn_descent(spark, np.array([*near(a), *near(b), *near(c), *joins, *others])) == 101
+
+
 def test_line_dedup(spark):
     passage = "\n".join(f"line {i} of a passage that many documents share" for i in range(60))
     texts = [f"a\nb\n{passage}\nc", f"x {1}\n{passage}\ny", f"q\nr\ns\n{passage}", "alone\nhere", None, "", "\n\n", "\n\n", "w " * 60, "w " * 60]
