@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain, islice
+from typing import NamedTuple
 
 import numpy as np
 
@@ -64,8 +66,19 @@ def bound(counts: dict[int, int], capacity: int) -> int:
     return max(-(-int(long[-1]) // capacity), int((big + mid + more).max()))
 
 
-def fillings(counts: dict[int, int], left: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``left``, least waste first, of the first ``most`` that a descent by length meets.
+class Budget:
+    """Steps that a search may take; a step is a node or a filling looked at."""
+
+    def __init__(self, steps: int) -> None:
+        self.left = steps
+
+    def spend(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def fillings(counts: dict[int, int], left: int, budget: Budget) -> Iterator[tuple[int, ...]]:
+    """All undominated ways to fill ``left``, as a descent by length meets them, while the budget lasts.
 
     A filling is dominated if more still fits, or if one piece at hand could stand for one or two of its pieces and
     leave less waste.
@@ -93,57 +106,68 @@ def fillings(counts: dict[int, int], left: int, most: int) -> list[tuple[int, ..
         for n in range(min(counts[size], left // size), -1, -1):
             yield from descend(i + 1, filling + (size,) * n, left - n * size)
 
-    out: list[tuple[int, ...]] = []
-    for seen, (waste, filling) in enumerate(descend(0, (), left)):
-        if seen >= 20 * most or len(out) >= most:
-            break
+    for waste, filling in descend(0, (), left):
+        if not budget.spend():
+            return
         if not dominated(filling, waste):
-            out.append(filling)
-            if not waste:
-                break
-    return sorted(out, key=lambda f: (left - sum(f), f))
+            yield filling
+
 
+class Packing(NamedTuple):
+    """Patterns, how many sequences they fill, the lower bound, and whether the search ran out of steps before it was done."""
 
-def pack(counts: dict[int, int], capacity: int, nodes: int = 4_000, width: int = 6) -> list[Pattern]:
+    patterns: list[Pattern]
+    sequences: int
+    bound: int
+    spent: bool
+
+
+def _branches(open_: dict[int, int], capacity: int, budget: Budget, first: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Around the longest open piece: a whole sequence and how many are filled so, the most that there can be or one.
+
+    Of the first fillings met those with the least waste come first; all others follow as they are met.
+    """
+    longest = max(open_)
+    others = dict(open_)
+    others[longest] -= 1
+    met = fillings(others, capacity - longest, budget)
+    head = sorted(islice(met, first), key=lambda f: (-sum(f), f))
+    for filling in chain(head, met) if head else [()]:
+        whole = (longest, *filling)
+        most = min(open_[k] // whole.count(k) for k in set(whole))
+        for times in dict.fromkeys((most, 1)):
+            yield whole, times
+
+
+def pack(counts: dict[int, int], capacity: int, steps: int = 500_000, first: int = 24) -> Packing:
     """Fewest sequences found for ``counts[length]`` pieces of each length.
 
-    Depth first: around the longest open piece come the undominated fillings, each applied to as many sequences as
-    the counts allow, or to one. A branch ends when its waste leaves no packing better than the incumbent, which at
-    first is the best-fit one. ``nodes`` bounds the search; the incumbent is returned then.
+    Depth first: around the longest open piece come all undominated fillings, lazily. A branch ends when its waste
+    leaves no packing better than the incumbent, which at first is the best-fit one. After ``steps`` the incumbent is
+    returned and said to be ``spent``; else it is the best there is.
     """
     counts = {k: n for k, n in counts.items() if n}
     incumbent = best_fit(counts, capacity)
     fewest, least = sum(n for _, n in incumbent), bound(counts, capacity)
-    total = sum(k * n for k, n in counts.items())
-    # (counts before, what is filled next and how often, sequences and waste after it, all patterns before as a chain)
-    stack: list = [(counts, (), 0, 0, 0, None)] if fewest > least else []
-    while stack and nodes and fewest > least:
-        nodes -= 1
-        before, whole, times, used, waste, chain = stack.pop()
-        if waste > (fewest - 1) * capacity - total:
+    total, budget = sum(k * n for k, n in counts.items()), Budget(steps)
+    # what is still open, how it can be gone on with, sequences and waste so far, and the pattern that led here
+    stack: list = [(counts, _branches(counts, capacity, budget, first), 0, 0, None)] if fewest > least else []
+    while stack and budget.left >= 0 and fewest > least:
+        open_, branches, used, waste, _ = stack[-1]
+        whole, times = next(branches, ((), 0))
+        if not times:
+            stack.pop()
             continue
-        open_ = dict(before)
-        for k in whole:
-            open_[k] -= times
-            if not open_[k]:
-                del open_[k]
-        chain = (whole, times, chain) if times else chain
-        if not open_:
-            if used < fewest:
-                fewest, incumbent = used, []
-                while chain:
-                    incumbent.append(chain[:2])
-                    chain = chain[2]
+        spare = waste + times * (capacity - sum(whole))
+        if not budget.spend() or spare > (fewest - 1) * capacity - total:
             continue
-        longest = max(open_)
-        open_[longest] -= 1
-        found = fillings(open_, capacity - longest, width) or [()]
-        open_[longest] += 1
-        choices = []
-        for filling in found:
-            whole = (longest, *filling)
-            most = min(open_[k] // whole.count(k) for k in set(whole))
-            for times in dict.fromkeys((most, 1)):
-                choices.append((open_, whole, times, used + times, waste + times * (capacity - sum(whole)), chain))
-        stack += reversed(choices)
-    return incumbent
+        left = dict(open_)
+        for k in whole:
+            left[k] -= times
+            if not left[k]:
+                del left[k]
+        if left:
+            stack.append((left, _branches(left, capacity, budget, first), used + times, spare, (whole, times)))
+        elif used + times < fewest:
+            fewest, incumbent = used + times, [step for *_, step in stack if step] + [(whole, times)]
+    return Packing(incumbent, fewest, least, fewest > least and budget.left < 0)

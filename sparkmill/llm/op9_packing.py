@@ -7,6 +7,7 @@ the patterns have for this length. Ranks come from counts by task and length, so
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ from . import bin_completion, scratch
 from .tokens import coder
 from .words import released, slices
 
+_log = logging.getLogger(__name__)
+
 #: Tokens of a sequence.
 CAPACITY = 2048
 #: Id that ends a document.
@@ -63,10 +66,11 @@ def pieces(docs: DataFrame, tokenizer: str, byte_level: bool = False, end_id: in
     return docs.select("doc_id", "text").mapInArrow(released(cut), schema)
 
 
-def assign(cut: DataFrame, capacity: int = CAPACITY, nodes: int = 4_000) -> DataFrame:
+def assign(cut: DataFrame, capacity: int = CAPACITY, steps: int = 500_000, report: dict | None = None) -> DataFrame:
     """Give every piece (length, task, rank and more columns) its sequence_id and its offset there.
 
-    An empty table gives an empty table.
+    ``report`` gets the number of sequences, its lower bound and whether the search ran out of ``steps``; this is logged
+    too. An empty table gives an empty table.
     """
     spark = cut.sparkSession
     by_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
@@ -76,7 +80,11 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, nodes: int = 4_000) -> Data
     places: dict[int, list[tuple[int, int, int]]] = {}
     filled = dict.fromkeys(counts, 0)
     sequence = 0
-    for pattern, times in bin_completion.pack(counts, capacity, nodes):
+    found = bin_completion.pack(counts, capacity, steps)
+    _log.info("%d sequences, no fewer than %d%s", found.sequences, found.bound, ", the search ran out of steps" * found.spent)
+    if report is not None:
+        report |= {"sequences": found.sequences, "bound": found.bound, "spent": found.spent}
+    for pattern, times in found.patterns:
         offset = 0
         for length in pattern:
             places.setdefault(length, []).append((filled[length], sequence, offset))

@@ -99,7 +99,7 @@ def test_bin_completion_is_optimal_on_small_sets():
     rng = random.Random(3)
     for _ in range(60):
         items = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 8))), reverse=True)
-        got = bin_completion.pack(dict(Counter(items)), 20)
+        got = bin_completion.pack(dict(Counter(items)), 20).patterns
         assert sorted((k for p, n in got for k in p for _ in range(n)), reverse=True) == items
         assert all(sum(p) <= 20 for p, _ in got)
         assert sum(n for _, n in got) == fewest(items, 20)
@@ -109,8 +109,19 @@ def test_bin_completion_is_optimal_on_small_sets():
 def test_bin_completion_beats_best_fit():
     counts = dict(Counter([5, 4, 4, 3, 2, 2]))
     assert sum(n for _, n in bin_completion.best_fit(counts, 10)) == 3
-    assert sum(n for _, n in bin_completion.pack(counts, 10)) == 2
-    assert bin_completion.pack({}, 10) == []
+    assert sum(n for _, n in bin_completion.pack(counts, 10).patterns) == 2
+    assert bin_completion.pack({}, 10) == ([], 0, 0, False)
+
+
+def test_bin_completion_says_when_its_steps_ran_out():
+    counts = {20: 1, 21: 1, 27: 1, 28: 1, 31: 1, 32: 2, 35: 2, 44: 2, 45: 1, 47: 2, 51: 1, 58: 1, 61: 2, 62: 2, 65: 1, 69: 1, 71: 1, 72: 1, 76: 1, 78: 1, 82: 2, 83: 1, 84: 3, 85: 3, 87: 1, 90: 1, 97: 1, 100: 1, 103: 1}
+    found = bin_completion.pack(counts, 150)
+    assert found.sequences == sum(n for _, n in found.patterns) and found.bound == 17
+    assert found.sequences == 17 or found.spent
+    short = bin_completion.pack(counts, 150, steps=50)
+    assert short.spent and short.sequences >= found.sequences
+    whole = {k: sum(f.count(k) * n for f, n in found.patterns) for k in counts}
+    assert whole == counts and all(sum(f) <= 150 for f, _ in found.patterns)
 
 
 def test_bitmap_never_excludes_a_link():
