@@ -80,7 +80,7 @@ def _noticed(files: DataFrame, model: Model, threshold: float) -> DataFrame:
     known = F.array_intersect(F.regexp_extract_all(low, F.lit(f"({_TERM})"), 1), F.array(*map(F.lit, model.shares)))
     weighty = F.exists(F.array(*squares), lambda m: F.aggregate(known, F.lit(0.0), lambda a, t: a + F.coalesce(m[t], F.lit(0.0))) >= threshold**2 - 1e-9)
     texts = files.where(low.rlike(f"(?<![a-z0-9])(?:{'|'.join(model.needed)})(?![a-z0-9])")).where(weighty)
-    return scratch.keep(texts.select("file_id", "repo", "path", "text").withColumn("uid", F.monotonically_increasing_id()), "licence-texts")
+    return scratch.keep(texts.select("file_id", "repo", "path", F.md5("text").alias("digest"), "text").withColumn("uid", F.monotonically_increasing_id()), "licence-texts")
 
 
 def _table(spark: SparkSession, model: Model) -> DataFrame:
@@ -96,7 +96,7 @@ def _weighted(texts: DataFrame, model: Model) -> DataFrame:
 
 
 def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Files (file_id, repo, path, text) with a run of terms whose cosine to a template reaches the threshold: file_id, repo, path, licence, score.
+    """Files (file_id, repo, path, text) with a run of terms whose cosine to a template reaches the threshold: file_id, repo, path, digest (md5 of the text), licence, score.
 
     A run has as many terms as the template; a text of fewer is one run. Of equally near templates the first by name
     is taken. Null texts have no terms.
@@ -133,7 +133,7 @@ def notices(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
     scored = scored.select("uid", "template", (F.col("dot") / F.col("norm")).alias("score")).where(F.col("score") >= threshold)
     best = scored.groupBy("uid").agg(F.min(F.struct((-F.round("score", 9)).alias("far"), "template")).alias("best"))
     licence = F.element_at(F.array(*map(F.lit, model.names)), F.col("best.template") + 1)
-    return texts.join(best, "uid").select("file_id", "repo", "path", licence.alias("licence"), (-F.col("best.far")).alias("score"))
+    return texts.join(best, "uid").select("file_id", "repo", "path", "digest", licence.alias("licence"), (-F.col("best.far")).alias("score"))
 
 
 def _best() -> Column:
@@ -156,8 +156,9 @@ def licensed(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
     """
     with scratch.steps(files.sparkSession):
         files = files.select("file_id", "repo", "path", "text")
+        names = ["file_id", "repo", "path", "digest"]  # rows of one name with other texts are files of their own
         found = scratch.keep(notices(files, templates, threshold), "notices")
-        own = scratch.keep(found.groupBy("file_id", "repo", "path").agg(_best().alias("best")), "own-licences", stay=True)
+        own = scratch.keep(found.groupBy(*names).agg(_best().alias("best")), "own-licences", stay=True)
         declared = own.where(F.col("path").rlike(LICENCE_FILE)).select("repo", _directory(F.col("path")).alias("ancestor"), "best.score", "best.licence")
         declared = scratch.keep(declared.groupBy("repo", "ancestor").agg(_best()["licence"].alias("inherited")), "declared")
         if declared.count() <= BROADCAST_ROWS:
@@ -170,11 +171,11 @@ def licensed(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold:
         nearest = scratch.keep(nearest, "inherited", stay=True)
         if nearest.count() <= BROADCAST_ROWS:
             nearest = F.broadcast(nearest)
-        own = own.select(*(F.col(c).alias(f"own_{c}") for c in ("file_id", "repo", "path")), "best")
+        own = own.select(*(F.col(c).alias(f"own_{c}") for c in names), "best")
         same = F.lit(True)
-        for c in ("file_id", "repo", "path"):
+        for c in names:
             same = same & F.col(c).eqNullSafe(F.col(f"own_{c}"))
-        out = files.drop("text").withColumn("directory", _directory(F.col("path"))).join(own, same, "left").join(nearest, ["repo", "directory"], "left")
+        out = files.withColumn("digest", F.md5("text")).drop("text").withColumn("directory", _directory(F.col("path"))).join(own, same, "left").join(nearest, ["repo", "directory"], "left")
         return out.select("file_id", "repo", "path", F.col("best.licence").alias("own"), F.col("best.score").alias("score"), "inherited", F.coalesce("best.licence", "inherited").alias("licence"))
 
 

@@ -105,6 +105,12 @@ def test_license(spark):
     assert op2.licensed(table.limit(0)).count() == 0
 
 
+def test_license_of_rows_with_one_name_and_other_texts(spark):
+    mit = op2.TEMPLATES["MIT"]
+    files = spark.createDataFrame([(1, "r", "a/x.py", mit), (1, "r", "a/x.py", None), (1, "r", "a/x.py", "nothing"), (1, "r", "a/x.py", mit)], "file_id long, repo string, path string, text string")
+    assert sorted(str(r["own"]) for r in op2.licensed(files).collect()) == ["MIT", "MIT", "None", "None"]
+
+
 def test_license_headers_wrapped_and_inside_lines(spark):
     bsd = op2.TEMPLATES["BSD-3-Clause"].split()
     texts = [
