@@ -45,16 +45,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates; of rows with one doc_id all of those that lead a group.
+    """The first document of each group of near duplicates: that of the least doc_id, of rows with one doc_id one of them.
 
-    Rows with a null doc_id stay, as do texts without words.
+    Rows are told apart, not ids, so a repeated or null doc_id is as good as any; null ones come last. Texts without
+    words stay.
     """
-    groups = op3_ngram_join.near_duplicates(docs)
-    leads = groups.where("doc_id is null or component_id is null or doc_id = component_id").select(F.col("doc_id").alias("lead")).distinct()
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())  # docs is a written table, whose rows keep their numbers
+    groups = scratch.keep(op3_ngram_join.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")), "groups-of-rows")
+    known = groups.join(rows.select(F.col("__row").alias("doc_id"), F.col("doc_id").alias("own")), "doc_id")
+    place = F.struct(F.col("own").isNull().alias("none"), "own", "doc_id")
+    leads = known.where("component_id is not null and n_shingles > 0").groupBy("component_id").agg(F.min(place)["doc_id"].alias("__row"))
+    leads = leads.select("__row").unionByName(known.where("component_id is null or n_shingles = 0").select(F.col("doc_id").alias("__row")))
     leads = scratch.keep(leads, "leads")
     if leads.count() <= op3_ngram_join.BROADCAST_ROWS:  # else both sides are shuffled
         leads = F.broadcast(leads)
-    return docs.join(leads, F.col("doc_id").eqNullSafe(F.col("lead")), "left_semi")
+    return rows.join(leads, "__row", "left_semi").drop("__row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

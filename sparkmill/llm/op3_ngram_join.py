@@ -14,9 +14,10 @@ Method:
     tokens, so a pair that differs in too many is not alike. For the classes in candidates that pass, the prefixes under
     further orders (the hashes mixed anew) are taken, as 16 bits of each token; only pairs that share a token in every
     order go on, before any text moves. Those are verified on whole sets; verified links give components.
-4.  What step 2 left open: in larger buckets, pairs of classes that are not in one component yet. All of them that
-    pass the size, position and bitmap filters go on as in step 3, and the components are joined. No link between two
-    components is lost, and links inside a component do not change it.
+4.  What step 2 left open: in larger buckets, pairs of classes that are not in one component yet. A class meets only
+    the bands of sizes that its own size and the token's place allow, and a band of very many classes is met in blocks
+    on both sides. Pairs that pass the size, position and bitmap filters go on as in step 3, and the components are
+    joined. No link between two components is lost, and links inside a component do not change it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import scratch, words
 from .components import components
@@ -45,6 +46,8 @@ FREQUENT = 100_000
 BITMAP = 16
 #: Orders beside the first.
 ORDERS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
+#: Set sizes that are a band of their own; classes of a band that are met at once.
+EXACT, HELD = 32, 4096
 #: Rows of ids up to which a table is broadcast (16 bytes a row); larger ones are shuffled.
 BROADCAST_ROWS = 2_000_000
 _PREFIXES = [f"o{i}" for i in range(len(ORDERS))]
@@ -71,7 +74,7 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
 
 
 _BITS = [f"s{i}" for i in range(BITMAP)]
-_SETS = "counted boolean, doc_id long, key long, n long, " + ", ".join(f"{c} long" for c in _BITS)
+_SETS = "counted boolean, id long, doc_id long, key long, n long, " + ", ".join(f"{c} long" for c in _BITS)
 
 
 def _may_match(x: str, y: str) -> str:
@@ -85,7 +88,7 @@ def _prefix(n: int) -> int:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (false, doc_id, key, n, bitmap) of documents and (true, null, token, count) of shingles that a task met more than twice at once."""
+    """Rows (false, id, doc_id, key, n, bitmap) of documents (id, text, doc_id) and (true, null, null, token, count) of shingles that a task met more than twice at once."""
     held: list[np.ndarray] = []
     size = 0
 
@@ -93,14 +96,14 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, n = np.unique(np.concatenate(held), return_counts=True)
         token, n = token[n > 2], n[n > 2]
         none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), bool)), none, pa.array(token.view(np.int64)), pa.array(n.astype(np.int64)), *[none] * BITMAP], names=["counted", "doc_id", "key", "n", *_BITS])
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), bool)), none, none, pa.array(token.view(np.int64)), pa.array(n.astype(np.int64)), *[none] * BITMAP], names=["counted", "id", "doc_id", "key", "n", *_BITS])
 
     for batch in batches:
         for lo, sets in _sets(batch.column(1)):
             n = np.array([len(s) for s in sets], dtype=np.int64)
             keys = np.array([_key(s) for s in sets], dtype=np.int64)
             bits = np.array([_bitmap(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), bool)), batch.column(0).slice(lo, len(sets)), pa.array(keys), pa.array(n), *(pa.array(b) for b in bits.T)], names=["counted", "doc_id", "key", "n", *_BITS])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), bool)), batch.column(0).slice(lo, len(sets)), batch.column(2).slice(lo, len(sets)), pa.array(keys), pa.array(n), *(pa.array(b) for b in bits.T)], names=["counted", "id", "doc_id", "key", "n", *_BITS])
             held += sets
             size += int(n.sum())
             if size >= COUNTED:
@@ -254,7 +257,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     """Links (u, v) among candidate pairs of class keys; the text of each class is that of its least document."""
     with scratch.steps(docs.sparkSession):
         involved = scratch.keep(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(classes, "key").select("key", "rep"), "involved")
-        texts = docs.select(F.col("doc_id").alias("rep"), "text").join(_sized(involved), "rep").select("key", "text")
+        texts = docs.select(F.col("id").alias("rep"), "text").join(_sized(involved), "rep").select("key", "text")
         texts = scratch.keep(texts.mapInArrow(words.released(_pressed), "key long, text binary, " + ", ".join(f"{c} array<smallint>" for c in _PREFIXES)), "texts")
         x, y = (texts.select(F.col("key").alias(c), F.struct(*_PREFIXES).alias(s)) for c, s in (("a", "x"), ("b", "y")))
         shared = F.lit(True)
@@ -272,11 +275,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Returns per row: doc_id, n_shingles, component_id (the least doc_id that links reach, the row's own included).
     Words are runs of anything but ASCII white space, A-Z lowered; fewer words than a shingle's are one shingle. Null
     text, empty text and text without words: n_shingles 0, linked with nothing. Equal texts always link. Rows with a
-    repeated doc_id each keep their own set; a null doc_id gets the least id of its group, or null.
+    repeated doc_id each keep their own set; a null doc_id is linked as any other and gets the least id of its group, or
+    null where all of that are null.
     """
     scratch.small_batches(docs.sparkSession)
     with scratch.steps(docs.sparkSession):
-        return _grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+        doc_id = F.col("doc_id").cast("long")
+        # texts are found again by this id; rows without one by a hash, and whoever shares it is told apart by its set
+        return _grouped(docs.select(F.coalesce(doc_id, F.xxhash64("text")).alias("id"), "text", doc_id.alias("doc_id")))
+
+
+def _band(n: Column) -> Column:
+    """Bands of set sizes: each of its own up to ``EXACT``, then by a factor of 1.05."""
+    return F.when(n <= EXACT, n.cast("int")).otherwise((EXACT + 1 + F.floor(F.log(n / EXACT) / np.log(1.05))).cast("int"))
+
+
+def _dealt(bucket: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by (token, band, bx, by): the classes outside a bucket's main group, and all of it.
+
+    A class of n tokens, the shared one of which stands at a place, can only be like sets of certain sizes: no fewer
+    than the threshold's share of n, and so few that what comes after the place can reach the overlap asked for. It
+    goes to each of their bands. Either side of a band is dealt to blocks of some ``HELD`` classes, and goes to all blocks of the other.
+    """
+    t = THRESHOLD / 100
+    low, high = F.ceil(F.col("n") * t - 1e-9), F.floor((F.col("n") - F.col("at")) * (1 + t) / t - F.col("n") + 1e-9)
+    few = bucket.where("group != main").withColumn("band", F.explode(F.when(low <= high, F.sequence(_band(low), _band(high))).otherwise(F.array().cast("array<int>"))))
+    all_ = bucket.withColumn("band", _band(F.col("n")))
+    parts = lambda rows, name: rows.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias(name))
+    blocks = scratch.keep(parts(few, "nx").join(parts(all_, "ny"), ["token", "band"]), "bands")
+    block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = few.join(blocks, ["token", "band"]).withColumn("bx", block("nx")).withColumn("by", every("ny"))
+    right = all_.join(blocks, ["token", "band"]).withColumn("by", block("ny")).withColumn("bx", every("nx"))
+    return left, right
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -287,10 +318,10 @@ def _grouped(docs: DataFrame) -> DataFrame:
     late = np.array([r["key"] for r in tops], dtype=np.int64).view(np.uint64)
     by = np.argsort(late)
     late, place = late[by], -by
-    classes = scratch.keep(meta.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *(F.min(c).alias(c) for c in _BITS)), "classes")
+    classes = scratch.keep(meta.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.min("doc_id").alias("least"), F.min("n").alias("n"), *(F.min(c).alias(c) for c in _BITS)), "classes")
 
     shared = spark.sparkContext.broadcast((late, place))
-    prefixes = docs.where("doc_id is not null").mapInArrow(words.released(lambda it: _prefixes(*shared.value)(it)), "token long, key long, n int, at int")
+    prefixes = docs.mapInArrow(words.released(lambda it: _prefixes(*shared.value)(it)), "token long, key long, n int, at int")
     found = scratch.keep(prefixes.repartition("token").sortWithinPartitions("token", "at", F.xxhash64("key", F.pmod("token", F.lit(LEADERS)))).mapInArrow(words.released(_buckets), "a long, b long, token long, n int, at int"), "candidates")
     stars = scratch.keep(_fitting(found.where("b is not null").select("a", "b").distinct(), classes), "pairs")
     links = _verified(stars, docs, classes)
@@ -301,10 +332,9 @@ def _grouped(docs: DataFrame) -> DataFrame:
     size = rest.groupBy("token", "group").agg(F.count(F.lit(1)).alias("n"))
     mixed = scratch.keep(size.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "group"))["group"].alias("main")).where("groups > 1").select("token", "main"), "mixed")
     bucket = scratch.keep(rest.join(mixed, "token").join(classes.select("key", *_BITS), "key"), "mixed-rows")
-    few = bucket.where("group != main")
-    x, y = few.alias("x"), bucket.alias("y")
+    x, y = (side.alias(name) for side, name in zip(_dealt(bucket), "xy", strict=True))
     fits = F.expr(
-        f"x.token = y.token and x.group != y.group and (y.group = y.main or x.key < y.key) and 100 * least(x.n, y.n) >= {THRESHOLD} * greatest(x.n, y.n)"
+        f"x.token = y.token and x.band = y.band and x.bx = y.bx and x.by = y.by and x.group != y.group and (y.group = y.main or x.key < y.key) and 100 * least(x.n, y.n) >= {THRESHOLD} * greatest(x.n, y.n)"
         f" and ({100 + THRESHOLD}) * (1 + least(x.n - x.at - 1, y.n - y.at - 1)) >= {THRESHOLD} * (x.n + y.n)"
         f" and {_may_match('x', 'y')}"
     )
@@ -312,8 +342,8 @@ def _grouped(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         groups = scratch.keep(components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_verified(more, docs, classes))), "groups")
 
-    named = classes.select("key", "rep").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("group"))
-    least = named.groupBy("group").agg(F.min("rep").alias("component_id"))
+    named = classes.select("key", "least").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("component", "key").alias("group"))
+    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
     named = scratch.keep(named.join(scratch.keep(least, "least"), "group").select("key", "component_id"), "named", stay=True)
     out = meta.join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

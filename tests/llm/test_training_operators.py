@@ -179,6 +179,33 @@ def test_ngram_join_of_a_mesh_of_copies(spark):
     assert got == want
 
 
+def test_ngram_join_of_null_ids_and_of_one_id(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, far = text + " more", " ".join(f"v{i}" for i in range(60))
+    rows = [(6, text), (5, near), (None, near + " still"), (None, far), (None, far + " x"), (8, far + " x y"), (8, "other words of a text"), (None, "own words of a text alone"), (None, None), (None, "")]
+    table = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, id int").repartition(3)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in op3.near_duplicates(table).collect()), key=str)
+    assert got == sorted([(6, 56, 5), (5, 57, 5), (None, 58, 5), (None, 56, 8), (None, 57, 8), (8, 58, 8), (8, 1, 8), (None, 2, None), (None, 0, None), (None, 0, None)], key=str)
+
+
+def test_ngram_join_of_unlike_documents_with_common_tokens(spark, monkeypatch):
+    """Tokens in the prefixes of 20,000 unlike documents: few pairs are made of them, and in blocks."""
+    common = "one two three four five six seven"
+    texts = [f"{common} own{i}" for i in range(20_000)] + [f"{common} eight nine ten eleven twelve end{i}" for i in range(40)]
+    table = documents(spark, texts).repartition(4)
+    monkeypatch.setattr(op3, "HELD", 512)
+    seen = {}
+    keep = scratch.keep
+    monkeypatch.setattr(op3.scratch, "keep", lambda df, what, *a, **k: seen.setdefault(what, keep(df, what, *a, **{**k, "stay": True})) if what in ("mixed-rows", "bands") else keep(df, what, *a, **k))
+    got = {r["doc_id"]: r["component_id"] for r in op3.near_duplicates(table).collect()}
+    assert all(got[i] == i for i in range(20_000))
+    assert {got[i] for i in range(20_000, 20_040)} == {20_000}
+    x, y = op3._dealt(seen["mixed-rows"])
+    blocks = x.groupBy("token", "band", "bx", "by").agg(F.count(F.lit(1)).alias("a")).join(y.groupBy("token", "band", "bx", "by").agg(F.count(F.lit(1)).alias("b")), ["token", "band", "bx", "by"])
+    assert (blocks.agg(F.max(F.col("a") * F.col("b"))).head()[0] or 0) <= (2 * 512) ** 2
+    scratch.clear(spark)
+
+
 def test_ngram_join_of_nothing(spark):
     assert op3.near_duplicates(documents(spark, []).limit(0)).count() == 0
     odd = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (None, "a b c d e f"), (2, "A B C D E F")], "doc_id long, text string")
@@ -578,6 +605,15 @@ def test_pipeline_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
 
 
+def test_pipeline_keeps_rows_not_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, text), (5, text + " more"), (5, "quite another text of its own"), (5, "quite another text of its own"), (None, text + " x"), (None, "one without an id"), (7, None), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(3, text), (5, "quite another text of its own"), (None, "one without an id"), (7, None), (7, None)], key=str)
+    scratch.clear(spark)
+
+
 def test_pipeline_stages_on_odd_rows(spark, folder, tmp_path):
     """Nulls in every column, empty and repeated rows, clashing extra columns, and tables without rows."""
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
