@@ -112,9 +112,11 @@ def assign(cut: DataFrame, capacity: int = CAPACITY, steps: int = 500_000, repor
     return numbered.mapInArrow(place, f"{fields}, sequence_id long, offset long").drop("rank")
 
 
-def packed(docs: DataFrame, tokenizer: str, byte_level: bool = False, end_id: int = END, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, byte_level: bool = False, end_id: int = END, capacity: int = CAPACITY, with_ids: bool = False, report: dict | None = None) -> DataFrame:
     """Pack whole documents (doc_id, text): see :func:`pieces` and :func:`assign`. Other columns do not matter."""
-    return assign(scratch.keep(pieces(docs, tokenizer, byte_level, end_id, capacity, with_ids), "pieces", stay=True), capacity)
+    with scratch.steps(docs.sparkSession):
+        cut = scratch.keep(pieces(docs, tokenizer, byte_level, end_id, capacity, with_ids), "pieces", stay=True)
+    return assign(cut, capacity, report=report)
 
 
 def digest(docs: DataFrame) -> DataFrame:

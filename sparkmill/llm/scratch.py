@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import threading
 import uuid
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows that go to Python at once where these are texts; a batch is held several times over on either side.
 BATCH_ROWS = 2_000
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _LOCAL: list[str] = []
 _open = threading.local()
 #: Tables that results still read when the outermost :func:`steps` ended.
@@ -45,14 +47,20 @@ def _stack() -> list[list[str]]:
 
 @contextmanager
 def steps(spark: SparkSession) -> Iterator[None]:
-    """Tables kept inside are removed at the end; those kept with ``stay`` are left to the steps around these, or to :func:`clear`."""
+    """Tables kept inside are removed at the end; those kept with ``stay`` are left to the steps around these, or to :func:`clear`.
+
+    At the end of the outermost steps the session's size of Arrow batches is what it was before.
+    """
     stack = _stack()
+    before = spark.conf.get(_ROWS)
     stack.append([])
     try:
         yield
     finally:
         for path in stack.pop():
             drop(spark, path)
+        if not stack and spark.conf.get(_ROWS) != before:
+            spark.conf.set(_ROWS, before)
 
 
 def keep(df: DataFrame, what: str, codec: str = "snappy", stay: bool = False) -> DataFrame:
@@ -69,10 +77,12 @@ def keep(df: DataFrame, what: str, codec: str = "snappy", stay: bool = False) ->
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have Arrow hand at most ``BATCH_ROWS`` rows to Python at once in this session; less stays less."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Have Arrow hand at most ``BATCH_ROWS`` rows to Python at once in this session; less stays less.
+
+    It holds until the :func:`steps` around this end; without any it stays, for results that are computed later.
+    """
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
 def leave(path: str, stay: bool = False) -> None:
@@ -92,3 +102,11 @@ def clear(spark: SparkSession) -> None:
     """Remove the tables that results still read: call it when these have been written or collected."""
     while _left:
         drop(spark, _left.pop())
+
+
+def _clear_at_exit() -> None:
+    if _left and (spark := SparkSession.getActiveSession()) is not None and spark.sparkContext._jsc is not None:
+        clear(spark)
+
+
+atexit.register(_clear_at_exit)

@@ -430,6 +430,18 @@ def test_shared_folder_is_left_empty(spark, monkeypatch, tmp_path):
         root(Cluster)
 
 
+def test_the_session_keeps_its_batch_size(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7777")
+    docs = documents(spark, ["some words of a text", "x"])
+    op3.near_duplicates(docs).collect()
+    op9.packed(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert spark.conf.get(key) == "7777"
+    spark.conf.set(key, before)
+    scratch.clear(spark)
+
+
 def test_long_words_and_texts_in_parts(monkeypatch):
     data = np.frombuffer(("aB " * 50 + "x" * 300 + " yz").encode(), dtype=np.uint8)
     starts, ends, _ = words.bounds(data, np.array([0, len(data)]), "spaced")
