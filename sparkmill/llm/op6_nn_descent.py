@@ -35,7 +35,7 @@ from .components import components
 
 THRESHOLD = 0.95
 #: Length of a neighbour list at first and at most; projections in the first graph; rows compared at once.
-NEIGHBOURS, MOST, TREES, BLOCK = 8, 64, 6, 192
+NEIGHBOURS, MOST, TREES, BLOCK = 8, 32, 6, 192
 #: A round that adds no more than this share of new edges is the last before the audit; at most so many rounds.
 FEW, ROUNDS = 0.01, 6
 #: Classes in a tile at least and at most, between them 4 times the root of the component's, and rows that are multiplied at once.
