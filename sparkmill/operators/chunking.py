@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkmill.functions.markdown import clean_lines
 
@@ -37,20 +37,36 @@ def words(line: str) -> int:
     return len(line.split())
 
 
-def chunked(docs: DataFrame, most: int = 512, overlap_ratio: float = 0.1, tokens: Callable[[str], int | None] = words) -> DataFrame:
-    """WIN03, WIN11: (doc_id, segment, chunk) of documents (doc_id, text); the budget is four fifths of ``most``.
+def cut_up(docs: DataFrame, source: Column, cut: Callable[[object], list[str]]) -> DataFrame:
+    """The columns of documents but ``text``, with (segment, chunk): what ``cut`` makes of a column, in order.
 
-    Documents stay in their tasks; only clean lines go to Python, a batch at a time.
+    The other columns pass as Arrow arrays, so ids of any type, null ones and large numbers, stay what they are. Names
+    that are there already as segment or chunk are replaced.
     """
-    budget = int(0.8 * most)
-    overlap = max(1, int(budget * overlap_ratio)) if overlap_ratio > 0 else 0
+    kept = [c for c in docs.columns if c not in ("text", "segment", "chunk")]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, c) for i, lines in zip(batch["doc_id"], batch["lines"], strict=True) for k, c in enumerate(packed(list(lines), budget, overlap, tokens))]
-            yield pd.DataFrame(rows, columns=["doc_id", "segment", "chunk"])
+            found = [cut(x) for x in batch.column(len(kept)).to_pylist()]
+            row = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            columns = [c.take(row) for c in batch.columns[:-1]]
+            segment, chunk = pa.array([k for f in found for k in range(len(f))], pa.int32()), pa.array([x for f in found for x in f], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, segment, chunk], names=[*kept, "segment", "chunk"])
+
+    rows = docs.select(*kept, source.alias("__source"))
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(run, f"{fields}{', ' if kept else ''}segment int, chunk string")
+
 
-    return docs.select("doc_id", clean_lines(F.col("text")).alias("lines")).mapInPandas(cut, "doc_id long, segment int, chunk string")
+def chunked(docs: DataFrame, most: int = 512, overlap_ratio: float = 0.1, tokens: Callable[[str], int | None] = words) -> DataFrame:
+    """WIN03, WIN11, CHK03, CHK05: the columns of documents but ``text``, with (segment, chunk); the budget is four fifths of ``most``.
+
+    Documents stay in their tasks; only clean lines go to Python, a batch at a time. A ratio of 0 means no overlap.
+    Null, empty and blank texts have no chunks; every row of a repeated id has its own.
+    """
+    budget = int(0.8 * most)
+    overlap = max(1, int(budget * overlap_ratio)) if overlap_ratio > 0 else 0
+    return cut_up(docs, clean_lines(F.col("text")), lambda lines: packed(lines, budget, overlap, tokens))
 
 
 def windows(tokens, size: int, overlap: int):

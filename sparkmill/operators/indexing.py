@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkmill.functions.text import first_url, strip
+from sparkmill.operators.calls import called
 
 
 def tender_files(tenders: DataFrame) -> DataFrame:
@@ -73,18 +73,15 @@ def merged_metadata(own: Column, other: Column) -> Column:
     return F.map_concat(a, F.map_filter(b, lambda k, v: ~F.array_contains(F.map_keys(a), k)))
 
 
-def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], column: str = "text", batch: int = 32) -> DataFrame:
-    """UDF01, EVA07: rows with ``vector`` of a text from an injected model, ``batch`` texts at once; a blank text is one space."""
-    text = F.when(F.trim(F.coalesce(F.col(column), F.lit(""))) == "", " ").otherwise(F.col(column))
-
-    @F.pandas_udf("array<double>")
-    def vectors(texts: pd.Series) -> pd.Series:
-        out: list[list[float]] = []
-        for a in range(0, len(texts), batch):
-            out += embed(texts.iloc[a : a + batch].tolist())
-        return pd.Series(out, dtype=object)
+def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], column: str = "text", batch: int = 32, fallback: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """UDF01, EVA07: rows with ``vector`` of a text from an injected model, ``batch`` texts at once; a blank text is one space.
 
-    return rows.withColumn("vector", vectors(text))
+    A batch that fails is halved, a single text that fails goes to the ``fallback`` model; without a vector in the end,
+    ``error`` says why. See :func:`.calls.called` for models that must be loaded.
+    """
+    text = F.when(F.trim(F.coalesce(F.col(column), F.lit(""))) == "", " ").otherwise(F.col(column))
+    out = called(rows.withColumn("__text", text), "__text", lambda: embed, "array<double>", batch, fallback and (lambda: fallback))
+    return out.withColumnRenamed("result", "vector").drop("__text")
 
 
 def prompt(template: str, question: Column, context: Column) -> Column:

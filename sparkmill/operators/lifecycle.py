@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkmill.functions.markdown import lines
 from sparkmill.functions.text import bytes_shown, strip
-from sparkmill.operators.chunking import chunked
+from sparkmill.operators.chunking import chunked, cut_up
 
 # What marks a line of an index, a page number at its end, a header, a section title, and the end of a sentence.
 DOTS = r"[.\·•·∙⋅··…]"
@@ -31,31 +30,26 @@ def clean_page(text: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
-def packed_sentences(docs: DataFrame, least: int = 800, most: int = 1200) -> DataFrame:
-    """CHK07: (doc_id, segment, chunk) of documents (doc_id, text): sentences packed to at most ``most`` characters.
-
-    A pack shorter than ``least`` takes the next sentence whatever its length; a short last one is dropped.
-    """
-    end = re.compile(SENTENCE)
+def sentence_packs(text: str, least: int = 800, most: int = 1200) -> list[str]:
+    """CHK07: sentences packed to at most ``most`` characters; a pack shorter than ``least`` takes the next one whatever its length, a short last one is dropped."""
+    out: list[str] = []
+    held: list[str] = []
+    size = 0
+    for sentence in filter(None, map(str.strip, re.split(SENTENCE, text))):
+        if size + len(sentence) > most and size >= least:
+            out.append(" ".join(held))
+            held, size = [], 0
+        held.append(sentence)
+        size += len(sentence) + 1
+    return out + [" ".join(held)] * (size >= least)
 
-    def packs(text: str) -> Iterator[str]:
-        held: list[str] = []
-        size = 0
-        for sentence in filter(None, map(str.strip, end.split(text))):
-            if size + len(sentence) > most and size >= least:
-                yield " ".join(held)
-                held, size = [], 0
-            held.append(sentence)
-            size += len(sentence) + 1
-        if size >= least:
-            yield " ".join(held)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, k, c) for i, text in zip(batch["doc_id"], batch["text"], strict=True) for k, c in enumerate(packs(text or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "segment", "chunk"])
+def packed_sentences(docs: DataFrame, least: int = 800, most: int = 1200) -> DataFrame:
+    """CHK07: the columns of documents (text and any others) but ``text``, with segment and chunk: its :func:`sentence_packs`.
 
-    return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, segment int, chunk string")
+    A null text has none; ids of any type, null and repeated ones, stay as they are.
+    """
+    return cut_up(docs, F.col("text"), lambda text: sentence_packs(text or "", least, most))
 
 
 def index_line(line: Column) -> Column:
@@ -95,12 +89,14 @@ def points(docs: DataFrame, embed: Callable[[Column], Column], most: int = 512)
     """PIP01: points (point_id, document_id, sha, segment, chunk, vector) of documents (doc_id, sha, text).
 
     ``embed`` gives the vector of a chunk, a column of a column. A document of which any chunk has no vector gives no
-    points at all; nor does one without text.
+    points at all; nor does one without text. Rows of one doc_id with other hashes are documents of their own; rows
+    equal in both give the same points, once each.
     """
-    cut = chunked(docs, most).join(docs.select("doc_id", "sha"), "doc_id").withColumn("vector", embed(F.col("chunk")))
-    whole = F.count(F.when(F.col("vector").isNull(), 1)).over(Window.partitionBy("doc_id")) == 0
+    cut = chunked(docs.select("doc_id", "sha", "text"), most).withColumn("vector", embed(F.col("chunk")))
+    whole = F.count(F.when(F.col("vector").isNull(), 1)).over(Window.partitionBy("doc_id", "sha")) == 0
     point = F.sha2(F.concat_ws("/", F.col("doc_id").cast("string"), "sha", F.col("segment").cast("string")), 256)
-    return cut.withColumn("__whole", whole).where("__whole").select(point.alias("point_id"), F.col("doc_id").alias("document_id"), "sha", "segment", "chunk", "vector")
+    once = F.row_number().over(Window.partitionBy("doc_id", "sha", "segment").orderBy("chunk")) == 1
+    return cut.withColumns({"__whole": whole, "__once": once}).where("__whole and __once").select(point.alias("point_id"), F.col("doc_id").alias("document_id"), "sha", "segment", "chunk", "vector")
 
 
 def reindexed(old: DataFrame, docs: DataFrame, embed: Callable[[Column], Column], most: int = 512) -> tuple[DataFrame, DataFrame]:
