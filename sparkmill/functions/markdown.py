@@ -7,6 +7,22 @@ from pyspark.sql import Column, functions as F
 from .text import strip
 
 
+# What marks a line of an index, a page number at its end, and the title of a section.
+DOTS = r"[.\·•·∙⋅··…]"
+INDEX_LINE = rf"^\s*\d*(\.\d+)*\s*[^\d{DOTS}]+?\s{DOTS}{{4,}}\s*\d{{1,4}}\s*$"
+TRAILING_PAGE = rf"{DOTS}{{3,}}\s*\d{{1,4}}\s*$"
+NUMBERED_TITLE = r"^\d+(\.\d+)*\s+[A-ZÁÉÍÓÚÑ0-9].{2,}$"
+NAMED_TITLE = r"(?iU)^(CAP[IÍ]TULO|ANEXO|AP[EÉ]NDICE)\b"
+CAPITALS_TITLE = r"^[A-ZÁÉÍÓÚÑ0-9][A-ZÁÉÍÓÚÑ0-9\s\-–,:;.()]{4,}$"
+
+
+def looks_like_heading(line: Column) -> Column:
+    """CHK09: a line of at most 120 characters that is numbered, names a chapter or an annex, or has several words in capitals; no line of an index."""
+    text = strip(line)
+    title = text.rlike(NUMBERED_TITLE) | text.rlike(NAMED_TITLE) | (text.rlike(CAPITALS_TITLE) & text.contains(" "))
+    return F.when(F.length(text) > 120, False).otherwise(title & ~text.rlike(INDEX_LINE) & ~text.rlike(TRAILING_PAGE))
+
+
 def lines(c: Column) -> Column:
     """Lines; a line break at the end ends the last one, it begins no other."""
     return F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"\R\z", ""), r"\R", -1)

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkmill.functions.markdown import clean_lines
+from sparkmill.functions.markdown import clean_lines, lines, looks_like_heading
+from sparkmill.functions.text import strip
 
 
 def packed(lines: list[str], budget: int, overlap: int, tokens: Callable[[str], int | None]) -> list[str]:
@@ -76,12 +77,16 @@ def windows(tokens, size: int, overlap: int):
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(size)), " "))
 
 
-def sections(docs: DataFrame, heading: str = r"^(#+ |\d+(\.\d+)*\.? +\p{Lu})") -> DataFrame:
-    """CHK09: (doc_id, section, title, text): a heading line begins a section; what stands before the first is the preamble."""
-    lines = clean_lines(F.col("text"))
-    flags = F.transform(lines, lambda x: F.struct(x.alias("line"), x.rlike(heading).cast("int").alias("head")))
-    rows = docs.select("doc_id", F.posexplode(flags).alias("at", "x")).select("doc_id", "at", "x.line", "x.head")
-    rows = rows.withColumn("section", F.sum("head").over(Window.partitionBy("doc_id").orderBy("at")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("at", "line")))), lambda x: x["line"]), "\n")
-    title = F.coalesce(F.max(F.when(F.col("head") == 1, F.col("line"))), F.lit("Preámbulo"))
-    return rows.groupBy("doc_id", "section").agg(title.alias("title"), text.alias("text"))
+def sections(docs: DataFrame, heading: Callable[[Column], Column] = looks_like_heading) -> DataFrame:
+    """CHK09: (doc_id, section, title, text): a heading line begins a section; what stands before the first is the preamble.
+
+    Sections count from 0 or, where the first line is a heading, from 1; those without a text are left out. Rows that
+    share a doc_id, null too, are documents of their own.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", lines(F.col("text")).alias("lines"))
+    rows = rows.select("__row", "doc_id", F.posexplode("lines").alias("at", "line")).withColumn("head", heading(F.col("line")))
+    rows = rows.withColumn("section", F.sum(F.col("head").cast("int")).over(Window.partitionBy("__row").orderBy("at")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("at", "line")))), lambda x: x["line"]), "\n")
+    title = F.coalesce(F.max(F.when(F.col("head"), strip(F.col("line")))), F.lit("Preámbulo"))
+    out = rows.groupBy("__row", "doc_id", "section").agg(title.alias("title"), strip(body).alias("text"))
+    return out.where("text != ''").select("doc_id", "section", "title", "text")

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkmill.functions.markdown import lines
+from sparkmill.functions.markdown import INDEX_LINE, TRAILING_PAGE, lines
 from sparkmill.functions.text import bytes_shown, strip
 from sparkmill.operators.chunking import chunked, cut_up
 
-# What marks a line of an index, a page number at its end, a header, a section title, and the end of a sentence.
-DOTS = r"[.\·•·∙⋅··…]"
-INDEX_LINE = rf"^\s*\d*(\.\d+)*\s*[^\d{DOTS}]+?\s{DOTS}{{4,}}\s*\d{{1,4}}\s*$"
-TRAILING_PAGE = rf"{DOTS}{{3,}}\s*\d{{1,4}}\s*$"
+# What marks a header, a section title, and the end of a sentence.
 HEADER = r"(?iu)^\s*(Página\s+\d+|ÍNDICE|INDEX|CONTENIDOS?)\s*$"
 LEADERS = r"(?:\.\s*){3,}|·{3,}|…{1,}"
 TITLE = r"^\s*(\d+(?:\.\d+)*)[\s\-—:]+(.*\S)\s*$"
@@ -266,21 +264,26 @@ def throttled(events: DataFrame, interval: float) -> DataFrame:
     """WIN09: of each job's progress (job, at in seconds, seq, status, text, done) the records to show: job, at, seq.
 
     A record is shown if its text differs from that of the last one shown and ``interval`` has passed since then, or
-    the job is done; records without a status do not count. One job's records are folded in their order; a job has as
-    many as one download reports.
+    the job is done; records without a status or a text do not count. Jobs are streamed in order, one record at a time,
+    so a job may be of any length. A null job is one.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("at", "seq", "text", "done")))
-    jobs = events.where("coalesce(status, '') != ''").groupBy("job").agg(ordered.alias("records"))
-    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("double").alias("at"), F.array().cast("array<struct<at:double,seq:bigint>>").alias("shown"))
+    rows = events.where("coalesce(status, '') != '' and text is not null").select("job", F.col("at").cast("double").alias("at"), F.col("seq").cast("long").alias("seq"), "text", "done")
+    kind = rows.schema["job"].dataType.simpleString()
 
-    def step(state: Column, x: Column) -> Column:
-        due = state["at"].isNull() | (x["at"] - state["at"] >= interval) | x["done"]
-        one = F.struct(x["at"].cast("double").alias("at"), x["seq"].cast("bigint").alias("seq"))
-        emitted = F.struct(x["text"].alias("text"), x["at"].cast("double").alias("at"), F.concat(state["shown"], F.array(one)).alias("shown"))
-        return F.when((x["text"] != state["text"]) & due, emitted).otherwise(state)
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, text, last = object(), "", None
+        for batch in batches:
+            shown = []
+            for i, (name, at, said, done) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4)), strict=True)):
+                if name != job:
+                    job, text, last = name, "", None
+                due = last is None or done or (at is not None and at - last >= interval)
+                if said != text and due:
+                    text, last = said, at
+                    shown.append(i)
+            yield batch.select([0, 1, 2]).take(pa.array(shown, pa.int64()))
 
-    shown = F.aggregate("records", start, step, lambda state: state["shown"])
-    return jobs.select("job", F.explode(shown).alias("x")).select("job", "x.at", "x.seq")
+    return rows.repartition("job").sortWithinPartitions("job", "at", "seq").mapInArrow(show, f"job {kind}, at double, seq long")
 
 
 def created_at(stamp: Column, now: Column, zone: str = "Europe/Madrid") -> Column:
@@ -300,9 +303,11 @@ def pdf_name(number: Column, title: Column, i: Column) -> Column:
     return F.format_string("%s__%s_%d.pdf", number, title, i)
 
 
-def failed_page(number: Column) -> Column:
-    """STR23: what stands for a page that could not be read."""
-    return F.format_string("<!-- page %d could not be converted -->", number)
+def failed_page(number: Column, total: Column, error: Column) -> Column:
+    """STR23: what stands for a page that could not be read: a comment with the error on one line, and a line that is seen."""
+    message = strip(F.replace(F.coalesce(error, F.lit("")), F.lit("\n"), F.lit(" ")))
+    place = F.concat_ws("/", number.cast("string"), total.cast("string"))
+    return F.concat(F.lit("<!-- OCR failed on page "), place, F.lit(": "), message, F.lit(" -->\n\n> [OCR no disponible para la página "), place, F.lit(". La conversión continuó con el resto del documento.]"))
 
 
 def kind_label(kind: Column, labels: dict[str, str]) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
-def users(table: DataFrame, name: str | None = None, countries: list[str] | None = None, admin: bool | None = None) -> DataFrame:
-    """FLT07, FLT09, SRT08: users by part of their name, country and role, in the order of name and id."""
+def users(table: DataFrame, name: str | None = None, countries: list[str] | DataFrame | None = None, admin: bool | None = None) -> DataFrame:
+    """FLT07, FLT09, SRT08: users by part of their name, country (names, or a table of them) and role, in the order of name and id."""
     if name:
         table = table.where(F.contains(F.lower("name"), F.lit(name.lower())))
-    if countries:
+    if isinstance(countries, DataFrame):
+        table = table.join(countries, "country", "left_semi")
+    elif countries:
         table = table.where(F.col("country").isin(*countries))
     if admin is not None:
         table = table.where(F.col("is_admin") == admin)
@@ -28,10 +30,23 @@ def json_number(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-def json_text(nested: Column) -> Column:
-    """PRJ03: a map of arrays of numbers as JSON text: its keys are text, NaN and infinite numbers null."""
-    safe = F.transform_values(nested, lambda _, v: F.transform(v, json_number))
-    return F.to_json(F.transform_keys(safe, lambda k, _: k.cast("string")))
+def json_safe(value: Column, kind: T.DataType) -> Column:
+    """PRJ03: a value of any nested kind as JSON can hold it: keys of maps as text, NaN and infinite numbers null."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return json_number(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: json_safe(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_keys(F.transform_values(value, lambda _, v: json_safe(v, kind.valueType)), lambda k, _: k.cast("string"))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(json_safe(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return value
+
+
+def json_text(rows: DataFrame, nested: Column) -> Column:
+    """PRJ03: a map, array or struct of rows as JSON text, whatever it holds; null members stay."""
+    kind = rows.select(nested.alias("x")).schema["x"].dataType
+    return F.to_json(json_safe(nested, kind), {"ignoreNullFields": "false"})
 
 
 def merged_by_question(rows: DataFrame, judged: DataFrame) -> DataFrame:

@@ -44,57 +44,68 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, same_tag: bool = False
     The queries go to the corpus in blocks of ``BLOCK``, so what is broadcast has a bound however many there are, and
     the corpus is read once a block. Each task keeps its own k best of each query; Spark ranks those. With ``same_tag``
     both tables have a ``tag`` and only rows of the query's tag count. Zero and null vectors are found by nothing, nor
-    are vectors of another length; ties go to the lower id.
+    are vectors of another length than the query's; a block may hold several lengths. Rows without an id, and queries
+    without one, are left out; ids are numbers or texts. Ties go to the lower id.
     """
     spark = corpus.sparkSession
     tag = F.col("tag").cast("string") if same_tag else F.lit("")
-    asked = queries.select("qid", "q", tag.alias("tag")).where("q is not null")
-    rows = corpus.select("id", "v", tag.alias("tag")).where("v is not null")
+    asked = queries.select("qid", "q", tag.alias("tag")).where("q is not null and qid is not null")
+    rows = corpus.select("id", "v", tag.alias("tag")).where("v is not null and id is not null")
+    of = {c: t.schema[c].dataType.simpleString() for t, c in ((asked, "qid"), (rows, "id"))}
+    last = "\U0010ffff" if of["id"] == "string" else np.iinfo(np.int64).max  # after all others
     blocks = max(1, -(-asked.count() // BLOCK))
     found = None
     for i in range(blocks):
         own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
         block = own.toPandas()
-        shared = spark.sparkContext.broadcast((block["qid"].to_numpy(), _unit(block["q"]), block["tag"].to_numpy()))
+        shared = spark.sparkContext.broadcast((block["qid"].to_numpy(), _by_length(block["q"]), block["tag"].to_numpy()))
 
         def nearest(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qid, q, tags = shared.value
-            ids, scores = np.full((len(qid), k), np.iinfo(np.int64).max), np.full((len(qid), k), -np.inf)
+            qid, by_length, tags = shared.value
+            ids, scores = np.full((len(qid), k), last), np.full((len(qid), k), -np.inf)
             for batch in batches:
                 for at in range(0, len(batch) if len(qid) else 0, ROWS):
                     part = batch.iloc[at : at + ROWS]
-                    part = part[part["v"].map(len) == q.shape[1]]
-                    if len(part):
-                        score = np.nan_to_num(q @ _unit(part["v"]).T, nan=-np.inf)
+                    for n, (there, v) in _by_length(part["v"]).items():
+                        if n not in by_length:
+                            continue
+                        asks, q = by_length[n]
+                        score = np.full((len(qid), len(there)), -np.inf)
+                        score[asks] = np.nan_to_num(q @ v.T, nan=-np.inf)
                         if same_tag:
-                            score[tags[:, None] != part["tag"].to_numpy()[None, :]] = -np.inf
-                        _better(ids, scores, part["id"].to_numpy(), score)
+                            score[tags[:, None] != part["tag"].to_numpy()[there][None, :]] = -np.inf
+                        names = part["id"].to_numpy()[there]
+                        ids = _better(ids, scores, names.astype(str) if isinstance(last, str) else names, score)
             row, col = np.nonzero(scores > -np.inf)
             yield pd.DataFrame({"qid": qid[row], "id": ids[row, col], "score": scores[row, col]})
 
-        part = rows.mapInPandas(nearest, "qid long, id long, score double")
+        part = rows.mapInPandas(nearest, f"qid {of['qid']}, id {of['id']}, score double")
         found = part if found is None else found.unionByName(part)
     return top_k(found, k).drop("ranking")
 
 
-def _better(ids: np.ndarray, scores: np.ndarray, new_ids: np.ndarray, new: np.ndarray) -> None:
-    """Take the new scores (a row a query) that are among its best into ``scores``, best first, and their ids into ``ids``."""
+def _better(ids: np.ndarray, scores: np.ndarray, new_ids: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Take the new scores (a row a query) that are among its best into ``scores``, best first; the ids that go with them are returned."""
     some = np.flatnonzero((new >= scores[:, -1:]).any(axis=1) & (new > -np.inf).any(axis=1))
     if len(some):
         both = np.concatenate([scores[some], new[some]], axis=1)
         names = np.concatenate([ids[some], np.broadcast_to(new_ids, (len(some), len(new_ids)))], axis=1)
         order = np.lexsort((names, -both), axis=1)[:, : ids.shape[1]]
+        ids = ids.astype(names.dtype, copy=False)  # texts may be longer now
         scores[some], ids[some] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+    return ids
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    """Unit rows in double precision, as long as the first; NaN for a zero vector and for one of another length."""
+def _by_length(vectors: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length the places of its vectors and these as unit rows in double precision; NaN for a zero vector."""
     x = [np.asarray(v, dtype=np.float64) for v in vectors]
-    if not x:
-        return np.zeros((0, 0))
-    x = np.stack([v if len(v) == len(x[0]) else np.zeros(len(x[0])) for v in x])
-    norm = np.linalg.norm(x, axis=1)
-    return x / np.where(norm > 0, norm, np.nan)[:, None]
+    out = {}
+    for n in {len(v) for v in x}:
+        there = np.array([i for i, v in enumerate(x) if len(v) == n])
+        rows = np.stack([x[i] for i in there])
+        norm = np.linalg.norm(rows, axis=1)
+        out[n] = there, rows / np.where(norm > 0, norm, np.nan)[:, None]
+    return out
 
 
 def top_k(hits: DataFrame, k: int | Column) -> DataFrame:

@@ -104,17 +104,23 @@ def streaks(active: DataFrame, users: DataFrame) -> DataFrame:
     return users.select("user_id").join(last, "user_id", "left").select("user_id", F.coalesce("streak", F.lit(0)).alias("streak"), "last_day")
 
 
-def models(log: DataFrame) -> DataFrame:
-    """AGG16: uses, users, tokens, mean seconds and devices of each model."""
-    device = F.upper(F.trim(F.coalesce("device", F.lit(""))))
-    return log.groupBy("model").agg(
+def models(log: DataFrame, default: str = "") -> DataFrame:
+    """AGG16: uses, users, tokens, mean seconds and devices of each model, over finished jobs if the log has a status.
+
+    A model's name is trimmed, ``default`` stands for none. A device is a GPU or a CPU if its name holds that in any
+    case, GPU first. The mean is 0 where no time is known.
+    """
+    done = log.where("status = 'done'") if "status" in log.columns else log
+    device = F.upper(F.coalesce("device", F.lit("")))
+    gpu, cpu = device.contains("GPU"), device.contains("CPU")
+    return done.groupBy(F.trim(F.coalesce(F.nullif("model", F.lit("")), F.lit(default))).alias("model")).agg(
         F.count(F.lit(1)).alias("uses"),
         F.countDistinct("user_id").alias("users"),
-        F.sum("tokens").alias("tokens"),
-        F.round(F.avg("seconds"), 2).alias("avg_seconds"),
-        F.count(F.when(device == "CPU", 1)).alias("cpu"),
-        F.count(F.when(device == "GPU", 1)).alias("gpu"),
-        F.count(F.when(~device.isin("CPU", "GPU"), 1)).alias("unknown"),
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.round(F.avg("seconds"), 2), F.lit(0.0)).alias("avg_seconds"),
+        F.count(F.when(gpu, 1)).alias("gpu"),
+        F.count(F.when(~gpu & cpu, 1)).alias("cpu"),
+        F.count(F.when(~gpu & ~cpu, 1)).alias("unknown"),
     )
 
 

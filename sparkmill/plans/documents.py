@@ -167,13 +167,13 @@ def metric_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def cosine_metrics(s: SparkSession, d: str) -> DataFrame:
-    """EVA01 to EVA06: of every 20 vectors the first is the question, the next its answer, truth, evidence, three contexts and the joined ones."""
-    e = _t(s, d, "embeddings").select((F.floor(F.col("vec_id") / 20) * 20).alias("qid"), (F.col("vec_id") % 20).alias("i"), F.col("embedding").cast("array<double>").alias("v")).where("i < 8 and forall(v, x -> x is not null and not isnan(x))")
-    of = e.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m")).where("size(m) = 8")
+    """EVA01 to EVA06: of every 20 vectors the first is the question, the next its answer, truth, evidence, 15 contexts and the joined ones; some are missing."""
+    e = _t(s, d, "embeddings").select((F.floor(F.col("vec_id") / 20) * 20).alias("qid"), (F.col("vec_id") % 20).alias("i"), F.col("embedding").cast("array<double>").alias("v")).where("forall(v, x -> x is not null and not isnan(x))")
+    of = e.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
     v = lambda i: F.col("m")[F.lit(i).cast("long")]
     odd = F.col("qid") % 40 != 0
-    contexts = F.when(F.col("qid") % 60 != 0, F.filter(F.array(v(4), v(5), v(6)), lambda c: c.isNotNull())).otherwise(F.array().cast("array<array<double>>"))
-    rows = of.select("qid", v(0).alias("question"), v(1).alias("answer"), F.when(odd, v(2)).alias("truth"), v(3).alias("evidence"), contexts.alias("contexts"), v(7).alias("joined"))
+    contexts = F.when(F.col("qid") % 60 != 0, F.filter(F.array(*map(v, range(4, 19))), lambda c: c.isNotNull())).otherwise(F.array().cast("array<array<double>>"))
+    rows = of.select("qid", v(0).alias("question"), v(1).alias("answer"), F.when(odd, v(2)).alias("truth"), v(3).alias("evidence"), contexts.alias("contexts"), v(19).alias("joined"))
     return E.cosine_metrics(rows).select("qid", *(F.round(c, 6).alias(c) for c in E.METRICS))
 
 
@@ -196,6 +196,7 @@ _NORM = "trim(regexp_replace(strip_accents(lower({})), '\\s+', ' ', 'g'))"
 _Q = _NORM.format(_ASK + " || text")
 _SCORES = """(select l_orderkey, l_linenumber, l_returnflag metric, case when l_linenumber <= 2 then null else l_discount * 8 end j, case when l_suppkey % 4 = 0 then null else l_tax * 10 end c from lineitem)"""
 _CLAMP = "case when {0} < 0 then 0.0 when {0} > 1 then 1.0 else round({0}, 6) end"
+_COS = "coalesce(round(least(1, greatest(0, list_cosine_similarity({0}, {1}))), 6), 0)"
 _K = "(props->>'k')::bigint"
 
 QUERIES = {
@@ -314,13 +315,13 @@ QUERIES = {
     )),
     "cosine_metrics": (
         cosine_metrics,
-        """with e as (select vec_id // 20 * 20 qid, vec_id % 20 i, embedding::double[] v from embeddings where vec_id % 20 < 8 and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0),
-        m as (select qid, any_value(v) filter (i = 0) q, any_value(v) filter (i = 1) a, any_value(v) filter (i = 2) t0, qid % 40 != 0 has, any_value(v) filter (i = 3) e, any_value(v) filter (i = 7) j,
-            case when qid % 60 != 0 then list(v order by i) filter (i in (4, 5, 6)) else [] end c from e group by 1 having count(*) = 8),
-        s as (select *, list_transform(c, lambda x: round(greatest(0, list_cosine_similarity(q, x)), 6)) cq, list_transform(c, lambda x: round(greatest(0, list_cosine_similarity(a, x)), 6)) ca,
-            list_transform(c, lambda x: round(greatest(0, case when has then list_cosine_similarity(t0, x) else 0 end, list_cosine_similarity(e, x), list_cosine_similarity(q, x)), 6)) cr from m)
-        select qid, coalesce(list_max(ca), 0.0) faithfulness, round(greatest(0, list_cosine_similarity(q, a)), 6) answer_relevancy, case when has then round(greatest(0, list_cosine_similarity(a, t0)), 6) end answer_correctness,
-            round(coalesce(list_avg(cr), 0.0), 6) context_precision, case when len(c) = 0 then 0.0 else round(greatest(0, list_cosine_similarity(j, case when has then t0 else e end)), 6) end context_recall, round(coalesce(list_avg(cq), 0.0), 6) context_relevancy from s""",
+        f"""with e as (select vec_id // 20 * 20 qid, vec_id % 20 i, embedding::double[] v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0),
+        m as (select qid, any_value(v) filter (i = 0) q, any_value(v) filter (i = 1) a, any_value(v) filter (i = 2 and qid % 40 != 0) t0, any_value(v) filter (i = 3) e, any_value(v) filter (i = 19) j,
+            case when qid % 60 != 0 then coalesce(list(v order by i) filter (i between 4 and 18), []) else [] end c from e group by 1),
+        s as (select *, list_transform(c, lambda x: {_COS.format('q', 'x')}) cq, list_transform(c, lambda x: {_COS.format('a', 'x')}) ca,
+            list_transform(c, lambda x: greatest({_COS.format('t0', 'x')}, {_COS.format('e', 'x')}, {_COS.format('q', 'x')})) cr from m)
+        select qid, coalesce(list_max(ca), 0.0) faithfulness, {_COS.format('q', 'a')} answer_relevancy, case when t0 is not null then {_COS.format('a', 't0')} end answer_correctness,
+            round(coalesce(list_avg(cr), 0.0), 6) context_precision, case when len(c) = 0 then 0.0 else {_COS.format('j', 'coalesce(t0, e)')} end context_recall, round(coalesce(list_avg(cq), 0.0), 6) context_relevancy from s""",
     ),
     "column_diagnostics": (lambda s, d: E.diagnostics(_t(s, d, "labels").withColumns({"quality": F.when(F.col("doc_id") % 2 == 0, F.col("quality")), "toxic": F.lit(None).cast("int")})), (
         "select 'doc_id' as \"column\", count(doc_id) filled, null issue from labels union all select 'quality', count(quality) filter "

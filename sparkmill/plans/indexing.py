@@ -64,7 +64,7 @@ def country_lookup(s: SparkSession, d: str) -> DataFrame:
     """JOI17: a dimension of 25 rows, unknown codes to a default."""
     names = _t(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("country"))
     sup = _t(s, d, "supplier").withColumn("k", F.when(F.col("s_suppkey") % 7 == 0, 99).otherwise(F.col("s_nationkey")))
-    return sup.join(F.broadcast(names), "k", "left").select("s_suppkey", F.coalesce("country", F.lit("SPAIN")).alias("country"))
+    return sup.join(names, "k", "left").select("s_suppkey", F.coalesce("country", F.lit("SPAIN")).alias("country"))
 
 
 def active_days(s: SparkSession, d: str) -> DataFrame:

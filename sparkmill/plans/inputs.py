@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T_
 
 from sparkmill.functions import text as T
 from sparkmill.operators import chunking, evaluation as E, indexing as X, records as Q, retrieval as R, usage as U
+from sparkmill.plans.reflow import _CONVERTED, _converted, _lines
 from sparkmill.plans.usage import _MONTHS, _dated, _orders
 from sparkmill.sources import html as H, readers
 
@@ -49,9 +50,18 @@ def file_names(s: SparkSession, d: str) -> DataFrame:
 
 
 def sections(s: SparkSession, d: str) -> DataFrame:
-    """CHK09: documents behind two headings."""
-    docs = _t(s, d, "documents").select("doc_id", F.concat(F.lit("antes\n# Uno\nx\n2.1 Dos\n"), F.regexp_replace("text", r"(?m)^(#+ |\d)", "-$1")).alias("text"))
-    return chunking.sections(docs).select("doc_id", "section", "title", F.md5("text").alias("h"))
+    """CHK09: documents whose lines look like those of a converted file."""
+    docs, text = _converted(s, d)
+    return chunking.sections(docs.select("doc_id", text.alias("text"))).select("doc_id", "section", "title", F.md5("text").alias("h"))
+
+
+def json_arrays(s: SparkSession, d: str) -> DataFrame:
+    """SRC09: orders of a customer as a JSON array, some with a text for a number; some arrays are damaged."""
+    number = F.when(F.col("o_orderkey") % 5 == 0, F.lit('"x"')).otherwise(F.col("o_orderkey").cast("string"))
+    one = F.concat(F.lit('{"n":'), number, F.lit(',"s":"'), F.col("o_orderstatus"), F.lit('","more":[1]}'))
+    whole = F.concat(F.lit("["), F.array_join(F.collect_list(one), ", "), F.when(F.col("o_custkey") % 7 != 0, "]").otherwise(""))
+    texts = _t(s, d, "orders").groupBy("o_custkey").agg(whole.alias("text"))
+    return readers.json_elements(texts, F.col("text"), T_.StructType().add("n", "long").add("s", "string"))
 
 
 def question_lists(s: SparkSession, d: str) -> DataFrame:
@@ -99,11 +109,13 @@ def keyset_page(s: SparkSession, d: str) -> DataFrame:
 
 
 def json_safe(s: SparkSession, d: str) -> DataFrame:
-    """PRJ03: maps of arrays of numbers as JSON, with null for what JSON cannot hold."""
+    """PRJ03: structs with maps of arrays of numbers, and arrays of structs, as JSON, with null for what JSON cannot hold."""
     nan, inf = F.lit(float("nan")), F.lit(float("inf"))
     value = F.when(F.col("p_size") % 3 == 0, nan).when(F.col("p_size") % 3 == 1, inf).otherwise(F.lit(0.5))
-    nested = F.create_map(F.col("p_size"), F.array(value, F.lit(1.5)))
-    return _t(s, d, "part").select("p_partkey", Q.json_text(nested).alias("json"))
+    inner = F.when(F.col("p_size") % 2 == 0, F.struct(value.alias("v"), F.col("p_brand").alias("b")))
+    nested = F.struct(F.create_map(F.col("p_size"), F.array(value, F.lit(1.5))).alias("m"), F.array(inner).alias("a"))
+    parts = _t(s, d, "part")
+    return parts.select("p_partkey", Q.json_text(parts, nested).alias("json"))
 
 
 _KIND = "case p_size % 3 when 0 then 'tecnico' when 1 then 'administrativo' end"
@@ -125,9 +137,14 @@ QUERIES = {
     "file_names": (file_names, f"select p_partkey, case when p_size % 5 != 0 then p_brand end \"number\", {_KIND} kind, replace(p_name, ' ', '_') snake from part"),
     "sections": (
         sections,
-        r"""with l as (select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?m)^(#+ |\d)', '-\1', 'g'), chr(10)), lambda x: trim(x)), lambda x: x != '') w from documents)
-        select doc_id, 0::bigint section, 'Preámbulo' title, md5('antes') h from l union all select doc_id, 1, '# Uno', md5('x') from l union all select doc_id, 2, '2.1 Dos', md5(array_to_string(w, chr(10))) from l""",
+        rf"""with {_CONVERTED}, {_lines('converted', 'sl')}, heads as (
+            select *, length(s) <= 120 and not regexp_matches(s, '^\s*\d*(\.\d+)*\s*[^\d.·•∙⋅…]+?\s[.·•∙⋅…]{{4,}}\s*\d{{1,4}}\s*$') and not regexp_matches(s, '[.·•∙⋅…]{{3,}}\s*\d{{1,4}}\s*$')
+                and (regexp_matches(s, '^\s*\d+(\.\d+)*\s+[A-ZÁÉÍÓÚÑ0-9].{{2,}}$') or regexp_matches(s, '(?i)^(CAP[IÍ]TULO|ANEXO|AP[EÉ]NDICE)\b') or (regexp_matches(s, '^[A-ZÁÉÍÓÚÑ0-9][A-ZÁÉÍÓÚÑ0-9\s\-–,:;.()]{{4,}}$') and contains(s, ' '))) head from sl
+        ), numbered as (select *, count(*) filter (head) over (partition by doc_id order by i) section from heads),
+        bodies as (select doc_id, section, coalesce(max(s) filter (head), 'Preámbulo') title, regexp_replace(coalesce(string_agg(line, chr(10) order by i) filter (not head), ''), '^\s+|\s+$', '', 'g') t from numbered group by 1, 2)
+        select doc_id, section, title, md5(t) h from bodies where t != ''""",
     ),
+    "json_arrays": (json_arrays, "select o_orderkey n, o_orderstatus s from orders where o_orderkey % 5 != 0 and o_custkey % 7 != 0"),
     "question_lists": (question_lists, (
         "select 'q' || conv_id question, null::varchar ground_truth, case conv_id % 3 when 0 then 'e' || turn end evidence from "
         "conversations"
@@ -151,5 +168,6 @@ QUERIES = {
         select day::varchar as day, coalesce(n, 0) n, coalesce(round(s, 2), 0.0) avg_seconds from d left join (select o_orderdate::date as day, count(*) n, avg(o_totalprice) s from orders group by 1) using (day)""",
     ),
     "keyset_page": (keyset_page, "select vec_id from embeddings where vec_id > 100 order by 1 limit 25"),
-    "json_safe": (json_safe, "select p_partkey, '{\"' || p_size || '\":[' || case when p_size % 3 = 2 then '0.5' else 'null' end || ',1.5]}' json from part"),
+    "json_safe": (json_safe, """with x as (select *, case when p_size % 3 = 2 then '0.5' else 'null' end v from part)
+        select p_partkey, '{"m":{"' || p_size || '":[' || v || ',1.5]},"a":[' || case when p_size % 2 = 0 then '{"v":' || v || ',"b":"' || p_brand || '"}' else 'null' end || ']}' json from x"""),
 }

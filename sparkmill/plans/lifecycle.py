@@ -78,7 +78,7 @@ def country_names(s: SparkSession, d: str) -> DataFrame:
     sup = _t(s, d, "supplier").join(_t(s, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), code.alias("own")), "s_nationkey")
     asked = F.when(F.col("s_suppkey") % 5 == 0, " xx").when(F.col("s_suppkey") % 5 == 1, F.lower("own")).otherwise(F.col("own"))
     sup = sup.withColumn("code", F.upper(F.trim(asked)))
-    found = sup.join(F.broadcast(dim), "code", "left_semi").select("s_suppkey", "code").unionByName(sup.join(F.broadcast(dim), "code", "left_anti").select("s_suppkey", F.lit(_DEFAULT).alias("code")))
+    found = sup.join(dim, "code", "left_semi").select("s_suppkey", "code").unionByName(sup.join(dim, "code", "left_anti").select("s_suppkey", F.lit(_DEFAULT).alias("code")))
     return found.join(F.broadcast(dim), "code").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("es")).otherwise(F.col("en")).alias("name"), "numeric")
 
 
@@ -248,7 +248,7 @@ def stamps(s: SparkSession, d: str) -> DataFrame:
 def file_labels(s: SparkSession, d: str) -> DataFrame:
     """STR11, STR23, STR30: names of files, pages that failed, labels of kinds."""
     kind = F.when(F.col("p_size") % 4 == 0, " Tecnico").when(F.col("p_size") % 4 == 1, "administrativo").when(F.col("p_size") % 4 == 2, F.col("p_brand"))
-    return _t(s, d, "part").select("p_partkey", L.pdf_name(F.col("p_brand"), F.col("p_type"), F.col("p_size")).alias("file"), L.failed_page(F.col("p_size")).alias("page"), L.kind_label(kind, {"tecnico": "Technical", "administrativo": "Administrative"}).alias("label"))
+    return _t(s, d, "part").select("p_partkey", L.pdf_name(F.col("p_brand"), F.col("p_type"), F.col("p_size")).alias("file"), L.failed_page(F.col("p_size"), F.lit(50), F.concat(F.lit(" timeout\nof "), "p_type")).alias("page"), L.kind_label(kind, {"tecnico": "Technical", "administrativo": "Administrative"}).alias("label"))
 
 
 def emails(s: SparkSession, d: str) -> DataFrame:
@@ -439,8 +439,8 @@ QUERIES = {
     "file_labels": (
         file_labels,
         (
-            "select p_partkey, p_brand || '__' || p_type || '_' || p_size || '.pdf' as file, '<!-- page ' || p_size || ' could not be "
-            "converted -->' as page, case p_size % 4 when 0 then 'Technical' when 1 then 'Administrative' when 2 then lower(p_brand) else '-' "
+            "select p_partkey, p_brand || '__' || p_type || '_' || p_size || '.pdf' as file, '<!-- OCR failed on page ' || p_size || '/50: timeout of ' || p_type || ' -->' || chr(10) || chr(10) "
+            "|| '> [OCR no disponible para la página ' || p_size || '/50. La conversión continuó con el resto del documento.]' as page, case p_size % 4 when 0 then 'Technical' when 1 then 'Administrative' when 2 then lower(p_brand) else '-' "
             "end as label from part"
         ),
     ),

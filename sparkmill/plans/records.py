@@ -16,8 +16,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 def user_filter(s: SparkSession, d: str) -> DataFrame:
     nation = _t(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("country"))
     c = _t(s, d, "customer").join(nation, "c_nationkey").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "country", (F.col("c_acctbal") > 0).alias("is_admin"))
-    names = [r["n_name"] for r in _t(s, d, "nation").where("n_regionkey = 1").select("n_name").collect()]  # five of 25
-    return X.users(c, "1", names, True).select("id", "name")
+    return X.users(c, "1", nation.join(_t(s, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey")), "c_nationkey").select("country"), True).select("id", "name")
 
 
 def best_or_empty(s: SparkSession, d: str) -> DataFrame:

@@ -16,7 +16,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 #: What stands in place of a document's i-th line, by (i + doc_id) % 17; every other line stays. x is the line.
 _ODD = {
     0: "'II.'", 1: "'OBJETO DEL CONTRATO ' || i % 4", 2: "'1.' || i % 5 || '.'", 3: "i % 9 || '. ' || x", 4: "'Titulo ' || i % 3 || ' ....... ' || i", 5: "'G.2.' || i % 4 || '.'", 6: "'• ' || x",
-    7: "''", 8: "substr(x, 1, 20) || '-'", 9: "'# Titulo ' || i % 3", 10: "'7.'", 11: "'2.' || i % 3 || '. ' || substr(x, 1, 12)", 12: "'- ' || x", 13: "'LOTE ' || i % 3 || ': OBRAS.....' || i", 14: "'3. SOLVENCIA Y MEDIOS'",
+    7: "''", 8: "substr(x, 1, 20) || '-'", 9: "'# Titulo ' || i % 3", 10: "'7.'", 11: "'2.' || i % 3 || '. ' || substr(x, 1, 12)", 12: "'- ' || x", 13: "'LOTE ' || i % 3 || ': OBRAS.....' || i", 14: "'3. SOLVENCIA Y MEDIOS'", 15: "case i % 3 when 0 then 'Anexo ' || i % 5 || ' de obra' when 1 then '4 Plazos ' || i else 'Capítulo' || i end",
 }
 _CASE = "case (i + doc_id) % 17 " + " ".join(f"when {k} then {v}" for k, v in _ODD.items()) + " else x end"
 

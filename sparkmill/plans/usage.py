@@ -13,6 +13,15 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts", F.col("value").alias("seconds"), F.col("event_type").alias("model"), device.alias("device"), k.alias("tokens"))
 
 
+def model_comparison(s: SparkSession, d: str) -> DataFrame:
+    """AGG16: some jobs failed, some models have no name or spaces around it, one has no times, devices have long names."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    model = F.when(k % 11 == 0, F.when(k % 2 == 0, "")).when(k % 11 == 1, F.concat(F.lit(" "), "event_type", F.lit(" "))).otherwise(F.col("event_type"))
+    device = F.when(k % 4 == 0, "cuda Gpu 0 with cpu").when(k % 4 == 1, "Cpu (2 threads)").when(k % 4 == 2, "none")
+    rows = s.read.parquet(f"{d}/events.parquet").select("user_id", model.alias("model"), device.alias("device"), k.alias("tokens"), F.when(F.col("event_type") != "error", F.col("value")).alias("seconds"), F.when(k % 7 == 0, "failed").otherwise("done").alias("status"))
+    return U.models(rows, "default")
+
+
 def _orders(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("seconds"), F.col("o_orderpriority").alias("model"))
 
@@ -160,12 +169,10 @@ QUERIES = {
         select c_custkey user_id, coalesce(streak, 0) streak, last_day::varchar last_day from customer left join s on c_custkey = user_id""",
     ),
     "model_comparison": (
-        lambda s, d: U.models(_log(s, d)),
-        (
-            f"select model, count(*) uses, count(distinct user_id) users, sum(tokens)::bigint tokens, round(avg(seconds), 2) avg_seconds, "
-            f"count(*) filter (device = 'CPU') cpu, count(*) filter (device = 'GPU') gpu, count(*) filter (device is null) \"unknown\" from "
-            f"{_LOG} group by 1"
-        ),
+        model_comparison,
+        """with x as (select *, (props->>'k')::bigint k from events), y as (
+            select user_id, k, case when event_type != 'error' then value end as secs, trim(case k % 11 when 0 then 'default' else event_type end) model from x where k % 7 != 0
+        ) select model, count(*) uses, count(distinct user_id) users, sum(k)::bigint tokens, coalesce(round(avg(secs), 2), 0) avg_seconds, count(*) filter (k % 4 = 0) gpu, count(*) filter (k % 4 = 1) cpu, count(*) filter (k % 4 > 1) "unknown" from y group by 1""",
     ),
     "model_summary_rollup": (summary_by_rollup, (
         "select coalesce(event_type, '(all)') model, count(*) uses, round(avg(value), 2) avg_seconds from events group by rollup "

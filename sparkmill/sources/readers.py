@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -18,10 +19,29 @@ def is_pdf(content: Column) -> Column:
     return F.coalesce(F.substring(content, 1, 5) == F.lit(b"%PDF-"), F.lit(False))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file or folder has this path, which may be a pattern."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return found is not None and len(found) > 0
+
+
 def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """SRC09: rows of a JSON array; what does not parse is left out."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where("_corrupt is null").drop("_corrupt")
+    """SRC09: rows of the JSON arrays in the files of a path; elements that do not fit the schema are left out.
+
+    A file that is damaged or no array gives no rows, nor does a path that is not there. A file is one value of a task.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return json_elements(spark.read.text(path, wholetext=True), F.col("value"), schema)
+
+
+def json_elements(rows: DataFrame, text: Column, schema: T.StructType) -> DataFrame:
+    """SRC09: a row for each element of a text's JSON array that fits the schema; null and damaged texts have none."""
+    elements = rows.select(F.explode(F.from_json(text, "array<string>")).alias("element"))
+    known = T.StructType([*schema.fields, T.StructField("__corrupt", T.StringType())])
+    one = F.from_json("element", known, {"columnNameOfCorruptRecord": "__corrupt"})
+    return elements.select(one.alias("x")).where("x is not null and x.__corrupt is null").select(*(F.col(f"x.`{f.name}`").alias(f.name) for f in schema.fields))
 
 
 def questions(rows: DataFrame, column: str = "value") -> DataFrame:
@@ -52,10 +72,12 @@ def sink_json(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).json(path)
 
 
-def sink_artefacts(folder: str, rows: DataFrame, summary: DataFrame, diagnostics: DataFrame) -> None:
-    """SNK06: the three results of an evaluation, side by side."""
+def sink_artefacts(folder: str, rows: DataFrame, summary: DataFrame, diagnostics: DataFrame, config: dict | None = None) -> None:
+    """SNK06: the three results of an evaluation and its configuration, side by side."""
     for name, table in (("rows", rows), ("summary", summary), ("diagnostics", diagnostics)):
         sink_json(table, f"{folder}/{name}")
+    if config is not None:
+        rows.sparkSession.createDataFrame([(json.dumps(config, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.text(f"{folder}/config")
 
 
 def artefact_folder(root: str, now: datetime) -> str:

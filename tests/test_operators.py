@@ -126,9 +126,33 @@ def test_chunks_of_null_and_empty_texts(spark):
 
 
 def test_sections(spark):
-    docs = spark.createDataFrame([(1, "intro\n# Uno\na\nb\n# Dos\nc")], "doc_id long, text string")
-    got = sorted((r["section"], r["title"], r["text"]) for r in chunking.sections(docs).collect())
-    assert got == [(0, "Preámbulo", "intro"), (1, "# Uno", "a\nb"), (2, "# Dos", "c")]
+    text = "intro\n\nANEXO I\n a\nb \nOBJETO DEL CONTRATO\n1 Objeto ........ 4\nCAPITULOS\nVACIO AQUI\n \n1.2 Plazos\nc\nanexo 2 y fin\nd\n" + "LARGO " * 21 + "\n1.2 x"
+    docs = spark.createDataFrame([(1, text), (1, "1 Uno dos\nx"), (None, "y"), (2, None), (3, "ANEXO I")], "doc_id long, text string").repartition(2)
+    got = sorted(((r["doc_id"], r["section"], r["title"], r["text"]) for r in chunking.sections(docs).collect()), key=str)
+    want = [(1, 0, "Preámbulo", "intro"), (1, 1, "ANEXO I", "a\nb"), (1, 2, "OBJETO DEL CONTRATO", "1 Objeto ........ 4\nCAPITULOS"), (1, 4, "1.2 Plazos", "c"), (1, 5, "anexo 2 y fin", "d\n" + "LARGO " * 21 + "\n1.2 x"), (1, 1, "1 Uno dos", "x"), (None, 0, "Preámbulo", "y")]
+    assert got == sorted(want, key=str)
+
+
+def test_search_of_several_lengths_and_kinds_of_ids(spark):
+    corpus = spark.createDataFrame([("bb", [1.0, 0.0]), ("a", [1.0, 0.0]), (None, [1.0, 0.0]), ("c", [0.0, 1.0, 0.0]), ("a longer name", [0.0, 1.0])], "id string, v array<double>").repartition(2)
+    asked = spark.createDataFrame([("x", [0.0, 1.0, 0.0]), ("y", [1.0, 0.1]), (None, [1.0, 0.0]), ("z", [1.0]), ("w", None)], "qid string, q array<double>")
+    got = sorted((r["qid"], r["id"]) for r in R.search(asked, corpus, 3).collect())
+    assert got == [("x", "c"), ("y", "a"), ("y", "a longer name"), ("y", "bb")]
+    assert sorted((r["qid"], r["id"]) for r in R.search(asked.orderBy(F.desc("qid")), corpus, 2).collect()) == [("x", "c"), ("y", "a"), ("y", "bb")]
+    big = spark.createDataFrame([(2**53 + 1, [1.0, 0.0]), (None, [1.0, 0.0])], "id long, v array<double>")
+    assert [r["id"] for r in R.search(spark.createDataFrame([(2**53 + 3, [1.0, 0.0])], "qid long, q array<double>"), big, 5).collect()] == [2**53 + 1]
+
+
+def test_throttled_progress(spark):
+    rows = [("j", 0.0, 1, "s", "a", False), ("j", 1.0, 2, "s", "b", False), ("j", 5.0, 3, "s", "b", False), ("j", 5.5, 4, "s", "c", True), ("j", 9.0, 5, "", "d", True), ("j", 20.0, 6, "s", None, True), (None, 0.0, 7, "s", "a", False), (None, 9.0, 8, "s", "a", False)]
+    table = spark.createDataFrame(rows, "job string, at double, seq long, status string, text string, done boolean").repartition(3)
+    assert sorted(r["seq"] for r in L.throttled(table, 4.0).collect()) == [1, 3, 4, 7]
+
+
+def test_models_as_they_are_compared(spark):
+    rows = [(" m ", 1, 5, None, "CUDA GPU 0", "done"), ("m", 1, 6, None, "cpu x", "done"), (None, 2, None, 2.0, None, "done"), ("", 3, 1, 4.0, "GPU/CPU", "done"), ("m", 9, 9, 9.0, "CPU", "failed")]
+    got = {r["model"]: tuple(r)[1:] for r in U.models(spark.createDataFrame(rows, "model string, user_id int, tokens long, seconds double, device string, status string"), "none").collect()}
+    assert got == {"m": (2, 1, 11, 0.0, 1, 1, 0), "none": (2, 2, 1, 3.0, 1, 0, 1)}
 
 
 def test_upsert(spark):
@@ -202,6 +226,11 @@ def test_sinks_and_json_arrays(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"q": "one", "n": 1}, {"q": "two", "n": "x"}]')
     got = readers.json_array(spark, str(tmp_path / "a.json"), spark.createDataFrame([], "q string, n int").schema)
     assert [(r["q"], r["n"]) for r in got.collect()] == [("one", 1)]
+    (tmp_path / "b.json").write_text('[{"q": "one", "n"')
+    (tmp_path / "c.json").write_text('{"q": "one"}')
+    (tmp_path / "d.json").write_text('[{"q": "two"}, 7, null, [], {"n": 2, "more": {"x": []}}]')
+    for name, want in (("b", []), ("c", []), ("none", []), ("d", [("two", None), (None, 2)]), ("[bd]", [("two", None), (None, 2)])):
+        assert [(r["q"], r["n"]) for r in readers.json_array(spark, str(tmp_path / f"{name}.json"), got.schema).collect()] == want
 
 
 def test_sentences(spark):
