@@ -14,9 +14,9 @@ Method:
     tokens, so a pair that differs in too many is not alike. For the classes in candidates that pass, the prefixes under
     further orders (the hashes mixed anew) are taken, as 16 bits of each token; only pairs that share a token in every
     order go on, before any text moves. Those are verified on whole sets; verified links give components.
-4.  What step 2 left open: in larger buckets, pairs of classes that are not in one component yet. A class meets only
-    the bands of sizes that its own size and the token's place allow, and a band of very many classes is met in blocks
-    on both sides. Pairs that pass the size, position and bitmap filters go on as in step 3, and the components are
+4.  What step 2 left open: in larger buckets, pairs of classes that are not in one component yet. In buckets of very
+    many classes one meets only the bands of sizes that its own size and the token's place allow, and a band is met in
+    blocks on both sides. Pairs that pass the size, position and bitmap filters go on as in step 3, and the components are
     joined. No link between two components is lost, and links inside a component do not change it.
 """
 
@@ -293,21 +293,24 @@ def _band(n: Column) -> Column:
 def _dealt(bucket: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides of a join by (token, band, bx, by): the classes outside a bucket's main group, and all of it.
 
-    A class of n tokens, the shared one of which stands at a place, can only be like sets of certain sizes: no fewer
-    than the threshold's share of n, and so few that what comes after the place can reach the overlap asked for. It
-    goes to each of their bands. Either side of a band is dealt to blocks of some ``HELD`` classes, and goes to all blocks of the other.
+    A bucket of up to ``HELD`` classes is met whole. In a larger one a class of n tokens, the shared one of which stands
+    at a place, can only be like sets of certain sizes: no fewer than the threshold's share of n, and so few that what
+    comes after the place can reach the overlap asked for. It goes to each of their bands; either side of a band is
+    dealt to blocks of some ``HELD`` classes, and goes to all blocks of the other.
     """
-    t = THRESHOLD / 100
+    t, zero = THRESHOLD / 100, F.lit(0)
+    small = bucket.where(F.col("classes") <= HELD).withColumns({"band": zero, "bx": zero, "by": zero}).drop("classes")
+    large = bucket.where(F.col("classes") > HELD).drop("classes")
     low, high = F.ceil(F.col("n") * t - 1e-9), F.floor((F.col("n") - F.col("at")) * (1 + t) / t - F.col("n") + 1e-9)
-    few = bucket.where("group != main").withColumn("band", F.explode(F.when(low <= high, F.sequence(_band(low), _band(high))).otherwise(F.array().cast("array<int>"))))
-    all_ = bucket.withColumn("band", _band(F.col("n")))
+    few = large.where("group != main").withColumn("band", F.explode(F.when(low <= high, F.sequence(_band(low), _band(high))).otherwise(F.array().cast("array<int>"))))
+    all_ = large.withColumn("band", _band(F.col("n")))
     parts = lambda rows, name: rows.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias(name))
     blocks = scratch.keep(parts(few, "nx").join(parts(all_, "ny"), ["token", "band"]), "bands")
     block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
     left = few.join(blocks, ["token", "band"]).withColumn("bx", block("nx")).withColumn("by", every("ny"))
     right = all_.join(blocks, ["token", "band"]).withColumn("by", block("ny")).withColumn("bx", every("nx"))
-    return left, right
+    return small.where("group != main").unionByName(left.select(small.columns)), small.unionByName(right.select(small.columns))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -330,7 +333,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     rest = found.where("token is not null").select(F.col("a").alias("key"), "token", "n", "at")
     rest = scratch.keep(rest.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "token", "n", "at", F.coalesce("component", "key").alias("group")), "rest")
     size = rest.groupBy("token", "group").agg(F.count(F.lit(1)).alias("n"))
-    mixed = scratch.keep(size.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("n", "group"))["group"].alias("main")).where("groups > 1").select("token", "main"), "mixed")
+    mixed = scratch.keep(size.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("classes"), F.max(F.struct("n", "group"))["group"].alias("main")).where("groups > 1").drop("groups"), "mixed")
     bucket = scratch.keep(rest.join(mixed, "token").join(classes.select("key", *_BITS), "key"), "mixed-rows")
     x, y = (side.alias(name) for side, name in zip(_dealt(bucket), "xy", strict=True))
     fits = F.expr(
