@@ -84,6 +84,36 @@ def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], c
     return out.withColumnRenamed("result", "vector").drop("__text")
 
 
-def prompt(template: str, question: Column, context: Column) -> Column:
+#: What is asked for in an answer, by profile of the question; ``general`` stands for all others.
+PROFILE_TASKS = {
+    "general": "Answer the question directly, then add the details and conditions that matter. Say what the fragments do not tell.",
+    "summary": "Sum up the whole document, section by section, and end with its main points. Name the sections that are missing.",
+    "amounts": "List every amount, percentage and formula, with what it is for, its period or lot, and whether tax is included.",
+    "deadlines": "List every date and period in order, with when it begins, when it ends and what it depends on.",
+    "solvency": "List the economic, technical and professional requirements, their least values and the documents that prove them.",
+    "criteria": "List the award criteria with their weights, apart those that a formula decides and those that are judged.",
+    "guarantees": "List the provisional and final guarantees, their amounts, forms and terms.",
+    "budget": "Give the base budget and the estimated value, how they come about, and what is included.",
+    "duration": "Give the duration of the contract, its start, its possible extensions and their conditions.",
+    "penalties": "List the penalties, breaches and grounds for termination, each with its consequence.",
+    "submission": "Tell how, where and until when an offer is submitted, in which envelopes or files, and with which documents.",
+}
+TEMPLATE = "{task}\nUse nothing but the fragments ({range}).\n\nQuestion:\n{question}\n\nFragments:\n{context}\n"
+
+
+def prompt(template: str | Column, question: Column, context: Column) -> Column:
     """STR17: a template with its ``{question}`` and ``{context}`` filled in."""
-    return F.replace(F.replace(F.lit(template), F.lit("{context}"), context), F.lit("{question}"), question)
+    template = F.lit(template) if isinstance(template, str) else template
+    return F.replace(F.replace(template, F.lit("{context}"), context), F.lit("{question}"), question)
+
+
+def profile_prompt(profile: Column, question: Column, blocks: Column, tasks: dict[str, str] = PROFILE_TASKS, template: str = TEMPLATE) -> Column:
+    """STR17: the prompt of a question of some profile over context blocks; an unknown or null profile is ``general``.
+
+    ``{range}`` becomes the numbers of the blocks, ``CHUNK #1`` to the last, or a dash without any.
+    """
+    names = F.create_map(*(F.lit(x) for p in tasks.items() for x in p))
+    n = F.size(F.coalesce(blocks, F.array().cast("array<string>")))
+    span = F.when(n > 1, F.concat(F.lit("CHUNK #1-"), n.cast("string"))).when(n == 1, "CHUNK #1").otherwise("-")
+    text = F.replace(F.replace(F.lit(template), F.lit("{task}"), F.coalesce(F.try_element_at(names, profile), F.lit(tasks["general"]))), F.lit("{range}"), span)
+    return prompt(text, F.coalesce(question, F.lit("")), F.coalesce(F.array_join(blocks, "\n"), F.lit("")))

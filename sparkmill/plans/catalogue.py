@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import calls, documents, indexing, inputs, lifecycle, records, reflow, retrieval, usage
+from . import calls, documents, indexing, inputs, lifecycle, records, reflow, retrieval, stored, usage
 
-_ALL = retrieval.QUERIES | usage.QUERIES | documents.QUERIES | indexing.QUERIES | records.QUERIES | lifecycle.QUERIES | inputs.QUERIES | reflow.QUERIES | calls.QUERIES
+_ALL = retrieval.QUERIES | usage.QUERIES | documents.QUERIES | indexing.QUERIES | records.QUERIES | lifecycle.QUERIES | inputs.QUERIES | reflow.QUERIES | calls.QUERIES | stored.QUERIES
 
 
 def queries() -> dict[str, Callable]:

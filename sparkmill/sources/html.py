@@ -95,6 +95,22 @@ def document_rows(pages: DataFrame) -> DataFrame:
     return out.where(F.coalesce("published", "document", "urls", "doue_sent", "doue_url", "doue_date").isNotNull())
 
 
+#: Texts of the links to a tender's two specifications. Fixed values.
+LINK_LABELS = ("Pliego Prescripciones Técnicas", "Pliego Cláusulas Administrativas")
+
+
+def labelled_links(pages: DataFrame, labels: tuple[str, ...] = LINK_LABELS) -> DataFrame:
+    """GEN02: (page_id, label, link) of pages (page_id, html): for each label the first link whose text holds it, in any case.
+
+    A label without such a link, and one whose first link has no address, has no row; the address is as it stands.
+    """
+    anchors = F.regexp_extract_all("html", F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), 1)
+    rows = pages.select("page_id", F.explode(F.array(*map(F.lit, labels))).alias("label"), anchors.alias("anchors"))
+    first = F.get(F.filter("anchors", lambda a: F.contains(F.lower(plain(a)), F.lower("label"))), F.lit(0))
+    link = F.regexp_extract(F.regexp_extract(first, r"(?is)^<a\b[^>]*>", 0), r'(?i)\bhref="([^"]*)"', 1)
+    return rows.select("page_id", "label", link.alias("link")).where("link != ''")
+
+
 def with_publication(rows: DataFrame) -> DataFrame:
     """2.12j: rows (number, publication) with a number and the address of a publication abroad, trimmed; blank and ``vacío`` are none."""
     said = strip(F.col("publication"))

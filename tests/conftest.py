@@ -3,7 +3,8 @@ import os
 import pytest
 from pyspark.sql import SparkSession
 
-os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_HERE = os.path.dirname(os.path.abspath(__file__))
+os.environ.setdefault("PYTHONPATH", os.pathsep.join((os.path.dirname(_HERE), _HERE)))
 
 
 @pytest.fixture(scope="session")
