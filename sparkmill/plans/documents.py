@@ -48,7 +48,8 @@ def expediente_resolve(s: SparkSession, d: str) -> DataFrame:
 
 
 def marker(s: SparkSession, d: str) -> DataFrame:
-    x = T.kind_override(F.concat(F.lit("  [DOC_TYPE=Tecnico] "), "text"))
+    mark = F.when(F.col("item_id") % 3 == 0, "  [DOC_TYPE=Tecnico] ").when(F.col("item_id") % 3 == 1, "[doc_type = Administrativo]").otherwise("[doc_type=otro] ")
+    x = T.kind_override(F.concat(mark, "text"))
     return _t(s, d, "benchmark").select("item_id", x["kind"].alias("kind"), F.md5(x["text"]).alias("h"))
 
 
@@ -216,7 +217,7 @@ QUERIES = {
             "o_custkey || '.a' else 'EXP/' || o_custkey || '-a' end resolved from orders left join part on o_custkey = p_partkey"
         ),
     ),
-    "kind_marker": (marker, "select item_id, 'tecnico' kind, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) h from benchmark"),
+    "kind_marker": (marker, "select item_id, case item_id % 3 when 0 then 'tecnico' when 1 then 'administrativo' end kind, md5(regexp_replace(case when item_id % 3 = 2 then '[doc_type=otro] ' else '' end || text, '^\\s+|\\s+$', '', 'g')) h from benchmark"),
     "token_estimate": (token_estimate, r"select doc_id, round(1.33 * len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')))::bigint tokens from documents"),
     "name_functions": (
         names,

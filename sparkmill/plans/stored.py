@@ -86,7 +86,7 @@ def _names(language: str) -> str:
     return "[" + ", ".join(f"'{n[0].upper() + n[1:]}'" for n in T.MONTHS[language]) + "]"
 
 
-_ESCAPE = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(39), '&#39;')"
+_ESCAPE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(39), '&#39;'), chr(34), '&quot;')"
 _TASKS = "case item_id % 12 " + " ".join(f"when {i} then '{t}'" for i, t in enumerate([*X.PROFILE_TASKS.values(), X.PROFILE_TASKS["general"]])) + " end"
 
 QUERIES = {
