@@ -47,19 +47,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates: that of the least doc_id, of rows with one doc_id one of them.
 
-    Rows are told apart, not ids, so a repeated or null doc_id is as good as any; null ones come last. Texts without
-    words stay.
+    Rows are told apart, not ids, by a hash of all their columns; so a repeated or null doc_id is as good as any; null
+    ones come last. Of rows equal in all columns one stays. Texts without words stay.
     """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())  # docs is a written table, whose rows keep their numbers
+    rows = docs.withColumn("__row", F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns)))
     groups = scratch.keep(op3_ngram_join.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")), "groups-of-rows")
-    known = groups.join(rows.select(F.col("__row").alias("doc_id"), F.col("doc_id").alias("own")), "doc_id")
+    known = groups.join(rows.select(F.col("__row").alias("doc_id"), F.col("doc_id").alias("own")).distinct(), "doc_id")
     place = F.struct(F.col("own").isNull().alias("none"), "own", "doc_id")
-    leads = known.where("component_id is not null and n_shingles > 0").groupBy("component_id").agg(F.min(place)["doc_id"].alias("__row"))
-    leads = leads.select("__row").unionByName(known.where("component_id is null or n_shingles = 0").select(F.col("doc_id").alias("__row")))
-    leads = scratch.keep(leads, "leads")
+    leads = known.where("n_shingles > 0").groupBy("component_id").agg(F.min(place)["doc_id"].alias("__row"), F.lit(True).alias("words"))
+    leads = leads.select("__row", "words").unionByName(known.where("n_shingles = 0").select(F.col("doc_id").alias("__row"), F.lit(False).alias("words")).distinct())
+    copies = groups.groupBy(F.col("doc_id").alias("__row")).agg((F.count(F.lit(1)) > 1).alias("copies"))
+    leads = scratch.keep(leads.join(copies, "__row").select("__row", (F.col("words") & F.col("copies")).alias("once")), "leads")
     if leads.count() <= op3_ngram_join.BROADCAST_ROWS:  # else both sides are shuffled
         leads = F.broadcast(leads)
-    return rows.join(leads, "__row", "left_semi").drop("__row")
+    kept = rows.join(leads, "__row")
+    if leads.where("once").isEmpty():
+        return kept.drop("__row", "once")
+    return kept.where("not once").unionByName(kept.where("once").dropDuplicates(["__row"])).drop("__row", "once")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
