@@ -42,8 +42,8 @@ LEADERS = 8
 COUNTED = 1 << 21
 #: Frequent shingles that go to the end of the first order.
 FREQUENT = 100_000
-#: 64-bit words of a bitmap.
-BITMAP = 16
+#: 64-bit words of a bitmap, and how many go along where rows of large buckets meet.
+BITMAP, FIRST_WORDS = 16, 4
 #: Orders beside the first.
 ORDERS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 #: Set sizes that are a band of their own; classes of a band that are met at once.
@@ -77,9 +77,9 @@ _BITS = [f"s{i}" for i in range(BITMAP)]
 _SETS = "counted boolean, id long, doc_id long, key long, n long, " + ", ".join(f"{c} long" for c in _BITS)
 
 
-def _may_match(x: str, y: str) -> str:
-    """SQL: whether the bitmaps of x and y allow the threshold."""
-    differ = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in _BITS)
+def _may_match(x: str, y: str, words: int = BITMAP) -> str:
+    """SQL: whether the bitmaps of x and y, or the first words of them, allow the threshold."""
+    differ = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in _BITS[:words])
     return f"{100 + THRESHOLD} * ({differ}) <= {100 - THRESHOLD} * ({x}.n + {y}.n)"
 
 
@@ -334,14 +334,15 @@ def _grouped(docs: DataFrame) -> DataFrame:
     rest = scratch.keep(rest.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "token", "n", "at", F.coalesce("component", "key").alias("group")), "rest")
     size = rest.groupBy("token", "group").agg(F.count(F.lit(1)).alias("n"))
     mixed = scratch.keep(size.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("classes"), F.max(F.struct("n", "group"))["group"].alias("main")).where("groups > 1").drop("groups"), "mixed")
-    bucket = scratch.keep(rest.join(mixed, "token").join(classes.select("key", *_BITS), "key"), "mixed-rows")
+    bucket = scratch.keep(rest.join(mixed, "token").join(classes.select("key", *_BITS[:FIRST_WORDS]), "key"), "mixed-rows")
     x, y = (side.alias(name) for side, name in zip(_dealt(bucket), "xy", strict=True))
     fits = F.expr(
         f"x.token = y.token and x.band = y.band and x.bx = y.bx and x.by = y.by and x.group != y.group and (y.group = y.main or x.key < y.key) and 100 * least(x.n, y.n) >= {THRESHOLD} * greatest(x.n, y.n)"
         f" and ({100 + THRESHOLD}) * (1 + least(x.n - x.at - 1, y.n - y.at - 1)) >= {THRESHOLD} * (x.n + y.n)"
-        f" and {_may_match('x', 'y')}"
+        f" and {_may_match('x', 'y', FIRST_WORDS)}"
     )
-    more = scratch.keep(x.join(y, fits).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")), ["a", "b"], "left_anti"), "open")
+    pairs = x.join(y, fits).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    more = scratch.keep(_fitting(pairs, classes).join(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")), ["a", "b"], "left_anti"), "open")
     if not more.isEmpty():
         groups = scratch.keep(components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_verified(more, docs, classes))), "groups")
 
