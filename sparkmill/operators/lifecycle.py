@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkmill.functions.markdown import INDEX_LINE, TRAILING_PAGE, lines
-from sparkmill.functions.text import bytes_shown, strip
+from sparkmill.functions.text import bytes_shown, one_decimal, strip
 from sparkmill.operators.chunking import chunked, cut_up
 
 # What marks a header, a section title, and the end of a sentence.
@@ -251,11 +251,12 @@ def token_count(result: Column, question: Column, estimate: Callable[[Column], C
     return F.coalesce(*known, estimate(F.concat(F.coalesce(question, F.lit("")), F.lit(" "), answer)))
 
 
-def progress_shown(model: Column, status: Column, digest: Column, completed: Column, total: Column) -> Column:
-    """JSN05: a download's progress as text: percent within 0 and 100 with one decimal, and the bytes."""
+def progress_shown(model: Column, status: Column, digest: Column, completed: Column, total: Column, largest: str = "TB") -> Column:
+    """JSN05: a download's progress as text: percent within 0 and 100 with one decimal, and the bytes, in units up to ``largest``."""
     percent = F.least(F.lit(100.0), F.greatest(F.lit(0.0), completed * 100.0 / total))
-    of = F.concat(F.format_string(" %.1f%% (", percent), bytes_shown(completed), F.lit(" / "), bytes_shown(total), F.lit(")"))
-    part = F.when(completed.isNotNull() & (total > 0), of).when(completed.isNotNull(), F.concat(F.lit(" ("), bytes_shown(completed), F.lit(")"))).otherwise("")
+    done = bytes_shown(completed, largest)
+    of = F.concat(F.lit(" "), one_decimal(percent), F.lit("% ("), done, F.lit(" / "), bytes_shown(total, largest), F.lit(")"))
+    part = F.when(completed.isNotNull() & (total > 0), of).when(completed.isNotNull(), F.concat(F.lit(" ("), done, F.lit(")"))).otherwise("")
     short = F.coalesce(F.substring(F.trim(digest), 1, 12), F.lit(""))
     return F.trim(F.concat(model, F.lit(": "), F.coalesce(F.nullif(status, F.lit("")), F.lit("descargando")), F.when(short != "", F.concat(F.lit(" "), short)).otherwise(""), part))
 
