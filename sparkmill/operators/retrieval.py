@@ -206,13 +206,32 @@ def found_chunks(items: DataFrame, chunks: DataFrame) -> DataFrame:
     chunks the lowest is taken; items without one stay with null.
     """
     points = chunks.groupBy(F.col("point_id").alias("__p")).agg(F.min("chunk").alias("__by_point"))
-    places = chunks.groupBy(F.col("document_id").alias("__d"), F.col("sha").alias("__s"), F.col("segment").alias("__n")).agg(F.min("chunk").alias("__by_place"))
-    wanted = F.nullif(F.trim("point_id"), F.lit(""))
-    out = items.join(points, wanted == F.col("__p"), "left")
-    out = out.join(places, (F.col("document_id") == F.col("__d")) & (F.nullif("sha", F.lit("")) == F.col("__s")) & (F.col("segment") == F.col("__n")), "left")
+    points = points.withColumn("__of", _deal("__p"))  # dealt once more, so Spark can split a task of a point that very many items name
+    places = chunks.groupBy(_deal("document_id", "sha", "segment").alias("__of"), F.col("document_id").alias("__d"), F.col("sha").alias("__s"), F.col("segment").alias("__n"))
+    places = places.agg(F.min("chunk").alias("__by_place"))
+    out = _looked_up(items.select("item", "point_id", "document_id", "sha", "segment"), points, {"__p": F.nullif(F.trim("point_id"), F.lit(""))})
+    out = _looked_up(out.drop("point_id"), places, {"__d": F.col("document_id"), "__s": F.nullif("sha", F.lit("")), "__n": F.col("segment")})
     return out.select("item", F.coalesce("__by_point", "__by_place").alias("chunk"))
 
 
+def _deal(*columns: Column | str) -> Column:
+    """A small number out of a hash of columns."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 14)).cast("int")
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, wanted: dict[str, Column]) -> DataFrame:
+    """Rows with the other columns of the table's row whose keys are the wanted ones, null where there is none; no two rows of the table share all keys.
+
+    Both sides meet by a hash of the keys as well, ``__of`` of the table. Where a key is missing it is one of the row, so
+    that such rows do not all go to one task.
+    """
+    typed = [c.try_cast(table.schema[k].dataType) for k, c in wanted.items()]
+    whole = reduce(lambda a, b: a & b, (c.isNotNull() for c in typed))
+    asked = rows.withColumn("__at", F.when(whole, _deal(*typed)).otherwise(_deal(*rows.columns)))
+    same = reduce(lambda a, b: a & b, (c == F.col(k) for k, c in wanted.items()), F.col("__at") == F.col("__of"))
+    return asked.join(table, same, "left").drop("__at", "__of", *wanted)
+
+
 def item(hit: dict[str, Column]) -> list[Column]:
     """PRJ01: segment, text and score of a retrieved item with their defaults: -1, empty, 0 for what is not finite."""
     return [F.coalesce(hit["segment"], F.lit(-1)).alias("segment"), F.coalesce(hit["text"], F.lit("")).alias("text"), finite(hit["score"]).alias("score")]

@@ -7,6 +7,7 @@ from compare import connect, plain
 from pyspark.sql import functions as F
 
 from sparkmill.functions import text as T
+from sparkmill.operators import retrieval as R
 from sparkmill.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
@@ -34,3 +35,39 @@ def test_summaries_of_numbered_lines(spark, tmp_path):
     numbered = "4801146876264569 Thing eren ones lyly.\n70.32.29.134 Tioning to, thorea.\n2.5 Apartado\n2.5  Apartados y mas"
     duckdb.sql(f"copy (select * replace (replace(text, chr(10), chr(10) || '{numbered}' || chr(10)) as text) from '{SMALL}/documents.parquet' limit 40) to '{tmp_path}/documents.parquet'".replace("\n", "' || chr(10) || '"))
     same(spark, tmp_path, "section_summaries")
+
+
+def test_items_without_a_key_go_to_many_tasks(spark):
+    chunks = spark.createDataFrame([(7, "p", 1, "a", 0)], "chunk long, point_id string, document_id long, sha string, segment int")
+    rows = spark.range(20_000).withColumn("key", F.when(F.col("id") % 10 == 0, " p ").when(F.col("id") % 10 > 5, " "))
+    items = rows.select(F.col("id").alias("item"), F.col("key").alias("point_id"), F.lit(None).cast("int").alias("document_id"), F.lit("").alias("sha"), F.lit(0).alias("segment"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = R.found_chunks(items, chunks)
+        assert found.where("chunk = 7").count() == 2_000 and found.count() == 20_000
+        assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 8_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_tasks_of_a_hot_point_are_split(spark):
+    """A point that most items name, and keys of another type than the chunks'."""
+    chunks = spark.range(1_000).select(F.col("id").alias("chunk"), F.concat(F.lit("p"), "id").alias("point_id"), F.col("id").alias("document_id"), F.lit("a").alias("sha"), F.lit(0).alias("segment"))
+    items = spark.range(0, 200_000, 1, 8).select(F.col("id").alias("item"), F.when(F.col("id") % 5 != 0, "nowhere").otherwise(F.concat(F.lit("p"), F.col("id") % 1000)).alias("point_id"), (F.col("id") % 1000).cast("int").alias("document_id"), F.lit("a").alias("sha"), F.lit(0).cast("long").alias("segment"))
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "adaptive.advisoryPartitionSizeInBytes": "20k", "adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for k, v in small.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        found = R.found_chunks(items, chunks)
+        assert found.where("chunk = item % 1000").count() == 200_000
+        assert "skew=true" in executed(found)
+    finally:
+        for k in small:
+            spark.conf.unset(f"spark.sql.{k}")
+
+
+def executed(rows):
+    """The plan as it was run."""
+    plan = rows._jdf.queryExecution()
+    plan.executedPlan().executeCollect()
+    return plan.executedPlan().toString()
