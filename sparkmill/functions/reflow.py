@@ -6,6 +6,8 @@ possessive or begin at a fixed place, so a very long line or run costs no more t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .markdown import is_upper, lines
@@ -26,6 +28,11 @@ def _strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What ``body`` makes of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def reflowed(c: Column) -> Column:
     """2.12a: no bullets, words cut by a hyphen at a line's end joined, single breaks to spaces, longer runs to one blank line.
 
@@ -45,19 +52,21 @@ def slug(title: Column) -> Column:
 
 def index_title(line: Column) -> Column:
     """2.12d: the title of a line of an index, which ends with five dots or more and a page number; else null."""
-    line = _strip(line)
-    tail = F.regexp_extract(line, r"(?U)(?<!\.)\.{5,}+\s?+\d++\z", 0)
-    before = F.substring(line, F.lit(1), F.length(line) - F.length(tail))
-    short = F.regexp_replace(before, r"(?U)\s\z", "")
-    return F.when((tail != "") & (before != ""), short).when(tail.startswith("......"), ".")
+
+    def of(text: Column, tail: Column) -> Column:
+        before = F.substring(text, F.lit(1), F.length(text) - F.length(tail))
+        short = F.regexp_replace(before, r"(?U)\s\z", "")
+        return F.when((tail != "") & (before != ""), short).when(tail.startswith("......"), ".")
+
+    found = lambda text: _let(F.regexp_extract(text, r"(?U)(?<!\.)\.{5,}+\s?+\d++\z", 0), lambda tail: of(text, tail))
+    return F.when(F.contains(line, F.lit(".....")), _let(_strip(line), found))
 
 
 def with_index_links(c: Column) -> Column:
     """2.12d: lines of an index as links to the anchors of their titles."""
 
     def one(line: Column) -> Column:
-        title = index_title(line)
-        return F.when(title.isNull(), line).otherwise(F.concat(F.lit("- ["), title, F.lit("](#"), slug(title), F.lit(")")))
+        return _let(index_title(line), lambda title: F.when(title.isNull(), line).otherwise(F.concat(F.lit("- ["), title, F.lit("](#"), slug(title), F.lit(")"))))
 
     return F.array_join(F.transform(lines(c), one), "\n")
 
@@ -72,7 +81,11 @@ def _kind(line: Column, following: Column) -> Column:
 
     ``following`` is null after the last line.
     """
-    text, after = _strip(line), _strip(following)
+    return _let(_strip(line), lambda text: _kind_of(text, following))
+
+
+def _kind_of(text: Column, following: Column) -> Column:
+    after = _strip(following)
     number = text.rlike(r"^[IVXLCDM]+\.$") | text.rlike(r"^\p{Nd}+\.$") | (text.rlike(r"^[A-Z]\.\p{Nd}[\p{Nd}.]*\.$") & _numbers(text))
     several = text.rlike(r"^\p{Nd}[\p{Nd}.]*$") & text.rlike(r"\.\p{Nd}") & _numbers(text)
     subtitle = F.regexp_extract(text, r"(?U)^(\p{Nd}[\p{Nd}.]*\.)\s", 1)
@@ -88,12 +101,17 @@ def _kind(line: Column, following: Column) -> Column:
 
 def _marked(c: Column) -> Column:
     """Per line (line, following, mark): as :func:`_kind`, S for a number that takes the next line, C for that line, M for the main title."""
-    all_ = lines(c)
-    pairs = F.zip_with(all_, F.slice(all_, F.lit(2), F.size(all_)), lambda line, following: F.struct(line.alias("line"), following.alias("following")))
-    kinds = F.array_join(F.transform(pairs, lambda p: _kind(p["line"], p["following"])), "")
-    # from left to right, what takes the next line hides what that would be
-    marks = F.regexp_replace(F.regexp_replace(kinds, "1.", "SC"), rf"^([^T]{{0,{MAIN_WITHIN - 1}}}+)T", "$1M")
-    return F.zip_with(pairs, F.regexp_extract_all(marks, F.lit("."), F.lit(0)), lambda p, m: F.struct(p["line"].alias("line"), p["following"].alias("following"), m.alias("mark")))
+
+    def paired(all_: Column) -> Column:
+        return F.zip_with(all_, F.slice(all_, F.lit(2), F.size(all_)), lambda line, following: F.struct(line.alias("line"), following.alias("following")))
+
+    def marked(pairs: Column) -> Column:
+        kinds = F.array_join(F.transform(pairs, lambda p: _kind(p["line"], p["following"])), "")
+        # from left to right, what takes the next line hides what that would be
+        marks = F.regexp_replace(F.regexp_replace(kinds, "1.", "SC"), rf"^([^T]{{0,{MAIN_WITHIN - 1}}}+)T", "$1M")
+        return F.zip_with(pairs, F.regexp_extract_all(marks, F.lit("."), F.lit(0)), lambda p, m: F.struct(p["line"].alias("line"), p["following"].alias("following"), m.alias("mark")))
+
+    return _let(_let(lines(c), paired), marked)
 
 
 def title_levels(c: Column) -> Column:
