@@ -29,7 +29,9 @@ def _tender(s: SparkSession, d: str) -> DataFrame:
         F.lit('<td><div class="flex"><span>sent '), k, F.lit('</span></div><a href="first">1</a><a href="/doue/'), k, F.lit('">02/02/2024</a></td></tr><tr><td></td><td> </td><td></td><td><span class="outputText">'),
         F.when(F.col("p_size") % 2 == 0, "").otherwise("later"), F.lit("</span></td></tr></tbody></table>"),
     )
-    return _t(s, d, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://h.org/a/b?c=1#d").alias("url"), F.concat(head, F.lit("\n"), table).alias("html"))
+    parts = _t(s, d, "part").select("p_partkey", "p_size", "p_brand", "p_name")
+    parts = parts.repartition(4 * s.sparkContext.defaultParallelism, "p_partkey")  # a page is some twenty times its part, whose file is one task
+    return parts.select(F.col("p_partkey").alias("page_id"), F.lit("https://h.org/a/b?c=1#d").alias("url"), F.concat(head, F.lit("\n"), table).alias("html"))
 
 
 def tender_heads(s: SparkSession, d: str) -> DataFrame:
