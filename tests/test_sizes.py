@@ -6,8 +6,8 @@ import duckdb
 from compare import connect, plain
 from pyspark.sql import functions as F
 
-from sparkmill.functions import text as T
-from sparkmill.operators import retrieval as R
+from sparkmill.functions import reflow as W, text as T
+from sparkmill.operators import anchors, retrieval as R
 from sparkmill.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
@@ -71,3 +71,15 @@ def executed(rows):
     plan = rows._jdf.queryExecution()
     plan.executedPlan().executeCollect()
     return plan.executedPlan().toString()
+
+
+def test_a_text_is_made_once(spark):
+    text = W.processed(F.expr("concat(text, 'made')"))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    assert text._jc.toString().count("'made'") + text._jc.toString().count("made") <= 2
+    plan = anchors.resolved(docs, W.with_titles(W.with_index_links(F.col("text"))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_pages_of_tenders_are_many_tasks(spark):
+    assert catalogue.queries()["tender_documents"](spark, SMALL).rdd.getNumPartitions() >= 16
