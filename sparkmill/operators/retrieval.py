@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkmill.functions.text import kind as kind_of
 
-#: Queries that go to the corpus at once, and rows of it compared with them at once.
-BLOCK, ROWS = 16_384, 512
+#: Queries that go to the corpus at once, and how many of them are compared at once with how many rows of it.
+BLOCK, ASKED, ROWS = 16_384, 1_024, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,7 +42,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, same_tag: bool = False
     """SRT01, JOI10: the k nearest rows (id, v) of the corpus to each query (qid, q): qid, id, score.
 
     The queries go to the corpus in blocks of ``BLOCK``, so what is broadcast has a bound however many there are, and
-    the corpus is read once a block. Each task keeps its own k best of each query; Spark ranks those. With ``same_tag``
+    the corpus is read once a block; inside a task ``ASKED`` of them meet ``ROWS`` rows at once. Each task keeps its own k best of each query; Spark ranks those. With ``same_tag``
     both tables have a ``tag`` and only rows of the query's tag count. Zero and null vectors are found by nothing, nor
     are vectors of another length than the query's; a block may hold several lengths. Rows without an id, and queries
     without one, are left out; ids are numbers or texts. Ties go to the lower id.
@@ -70,12 +70,14 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, same_tag: bool = False
                         if n not in by_length:
                             continue
                         asks, q = by_length[n]
-                        score = np.full((len(qid), len(there)), -np.inf)
-                        score[asks] = np.nan_to_num(q @ v.T, nan=-np.inf)
-                        if same_tag:
-                            score[tags[:, None] != part["tag"].to_numpy()[there][None, :]] = -np.inf
                         names = part["id"].to_numpy()[there]
-                        ids = _better(ids, scores, names.astype(str) if isinstance(last, str) else names, score)
+                        names = names.astype(str) if isinstance(last, str) else names
+                        for lo in range(0, len(asks), ASKED):
+                            own = asks[lo : lo + ASKED]
+                            score = np.nan_to_num(q[lo : lo + ASKED] @ v.T, nan=-np.inf)
+                            if same_tag:
+                                score[tags[own][:, None] != part["tag"].to_numpy()[there][None, :]] = -np.inf
+                            ids = _better(ids, scores, own, names, score)
             row, col = np.nonzero(scores > -np.inf)
             yield pd.DataFrame({"qid": qid[row], "id": ids[row, col], "score": scores[row, col]})
 
@@ -84,15 +86,16 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, same_tag: bool = False
     return top_k(found, k).drop("ranking")
 
 
-def _better(ids: np.ndarray, scores: np.ndarray, new_ids: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Take the new scores (a row a query) that are among its best into ``scores``, best first; the ids that go with them are returned."""
-    some = np.flatnonzero((new >= scores[:, -1:]).any(axis=1) & (new > -np.inf).any(axis=1))
+def _better(ids: np.ndarray, scores: np.ndarray, own: np.ndarray, new_ids: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Take the new scores (a row for each query in ``own``) that are among its best into ``scores``, best first; the ids that go with them are returned."""
+    some = np.flatnonzero((new >= scores[own, -1][:, None]).any(axis=1) & (new > -np.inf).any(axis=1))
     if len(some):
-        both = np.concatenate([scores[some], new[some]], axis=1)
-        names = np.concatenate([ids[some], np.broadcast_to(new_ids, (len(some), len(new_ids)))], axis=1)
+        at = own[some]
+        both = np.concatenate([scores[at], new[some]], axis=1)
+        names = np.concatenate([ids[at], np.broadcast_to(new_ids, (len(some), len(new_ids)))], axis=1)
         order = np.lexsort((names, -both), axis=1)[:, : ids.shape[1]]
         ids = ids.astype(names.dtype, copy=False)  # texts may be longer now
-        scores[some], ids[some] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        scores[at], ids[at] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
     return ids
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
+import pandas as pd
 from compare import connect, plain
 from pyspark.sql import functions as F
 
@@ -83,3 +85,17 @@ def test_a_text_is_made_once(spark):
 
 def test_pages_of_tenders_are_many_tasks(spark):
     assert catalogue.queries()["tender_documents"](spark, SMALL).rdd.getNumPartitions() >= 16
+
+
+def test_scores_of_few_queries_are_held_at_once(spark, monkeypatch):
+    seen, better = [], R._better
+    monkeypatch.setattr(R, "_better", lambda *a: seen.append(a[-1].shape) or better(*a))
+    rows = [pd.DataFrame({"id": range(600), "v": [np.array([1.0, i]) for i in range(600)], "tag": [""] * 600})]
+    asked = spark.range(3_000).select(F.col("id").alias("qid"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("q"))
+    corpus = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<double>")
+    kept = []
+    monkeypatch.setattr(type(corpus), "mapInPandas", lambda self, f, schema: kept.append(f) or spark.createDataFrame([], schema))
+    R.search(asked, corpus, 1)
+    out = next(kept[0](iter(rows)))
+    assert len(out) == 3_000 and max(n for n, _ in seen) <= 1_024
+    assert out[out.qid < 100].eval("qid == id").all()
