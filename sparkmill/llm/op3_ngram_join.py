@@ -11,7 +11,8 @@ Method:
     class in whose order the token stands first: it has the fewest rarer tokens, as the middle of a group of copies
     has. Ties go by one of LEADERS random orders, which the token chooses.
 3.  Every class has a bitmap: bit h(token) flipped for each token. Two bitmaps differ in no more bits than the sets in
-    tokens, so a pair that differs in too many is not alike. For the classes in candidates that pass, the prefixes under
+    tokens, so a pair that differs in too many is not alike. Sets that are too large for it have a wider one, as wide as
+    the set has tokens, which is looked at for the pairs left. For the classes in candidates that pass, the prefixes under
     further orders (the hashes mixed anew) are taken, as 16 bits of each token; only pairs that share a token in every
     order go on, before any text moves. Those are verified on whole sets; verified links give components.
 4.  What step 2 left open: in larger buckets, pairs of classes that are not in one component yet. In buckets of very
@@ -42,7 +43,7 @@ LEADERS = 8
 COUNTED = 1 << 21
 #: Frequent shingles that go to the end of the first order.
 FREQUENT = 100_000
-#: 64-bit words of a bitmap, and how many go along where rows of large buckets meet.
+#: 64-bit words of a bitmap, and how many go along where rows of large buckets meet; sets of more tokens than bits have a wider one.
 BITMAP, FIRST_WORDS = 16, 4
 #: Orders beside the first.
 ORDERS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
@@ -67,14 +68,19 @@ def _key(s: np.ndarray) -> int:
     return int(value.view(np.int64)[0])
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
-    """Parities of how many tokens fall on each bit."""
-    at = (words.mix(s ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(64 * BITMAP - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=64 * BITMAP) & 1).astype(np.uint8)).view(np.int64)
+def _bitmap(s: np.ndarray, bits: int = 64 * BITMAP) -> np.ndarray:
+    """Parities of how many tokens fall on each bit; bits: a power of two."""
+    at = (words.mix(s ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _wide(s: np.ndarray) -> bytes | None:
+    """The bitmap of a set that is too large for ``BITMAP`` words: a bit a token, up to the next power of two."""
+    return _bitmap(s, 1 << (len(s) - 1).bit_length()).tobytes() if len(s) > 64 * BITMAP else None
 
 
 _BITS = [f"s{i}" for i in range(BITMAP)]
-_SETS = "counted boolean, id long, doc_id long, key long, n long, " + ", ".join(f"{c} long" for c in _BITS)
+_SETS = "counted boolean, id long, doc_id long, key long, n long, " + ", ".join(f"{c} long" for c in _BITS) + ", wide binary"
 
 
 def _may_match(x: str, y: str, words: int = BITMAP) -> str:
@@ -88,22 +94,23 @@ def _prefix(n: int) -> int:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (false, id, doc_id, key, n, bitmap) of documents (id, text, doc_id) and (true, null, null, token, count) of shingles that a task met more than twice at once."""
+    """Rows (false, id, doc_id, key, n, bitmaps) of documents (id, text, doc_id) and (true, null, null, token, count) of shingles that a task met more than twice at once."""
     held: list[np.ndarray] = []
     size = 0
+    names = ["counted", "id", "doc_id", "key", "n", *_BITS, "wide"]
 
     def frequent() -> pa.RecordBatch:
         token, n = np.unique(np.concatenate(held), return_counts=True)
         token, n = token[n > 2], n[n > 2]
         none = pa.nulls(len(token), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), bool)), none, none, pa.array(token.view(np.int64)), pa.array(n.astype(np.int64)), *[none] * BITMAP], names=["counted", "id", "doc_id", "key", "n", *_BITS])
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), bool)), none, none, pa.array(token.view(np.int64)), pa.array(n.astype(np.int64)), *[none] * BITMAP, pa.nulls(len(token), pa.binary())], names=names)
 
     for batch in batches:
         for lo, sets in _sets(batch.column(1)):
             n = np.array([len(s) for s in sets], dtype=np.int64)
             keys = np.array([_key(s) for s in sets], dtype=np.int64)
             bits = np.array([_bitmap(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), bool)), batch.column(0).slice(lo, len(sets)), batch.column(2).slice(lo, len(sets)), pa.array(keys), pa.array(n), *(pa.array(b) for b in bits.T)], names=["counted", "id", "doc_id", "key", "n", *_BITS])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), bool)), batch.column(0).slice(lo, len(sets)), batch.column(2).slice(lo, len(sets)), pa.array(keys), pa.array(n), *(pa.array(b) for b in bits.T), pa.array([_wide(s) for s in sets], pa.binary())], names=names)
             held += sets
             size += int(n.sum())
             if size >= COUNTED:
@@ -223,16 +230,34 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(fit, pa.int64())), batch.column(1).take(pa.array(fit, pa.int64()))], names=["u", "v"])
 
 
-def _fitting(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidate pairs whose bitmaps allow the threshold."""
-    x, y = (classes.select(F.col("key").alias(c), F.struct("n", *_BITS).alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").where(F.expr(_may_match("x", "y"))).select("a", "b")
-
-
 def _sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def _wide_match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of those rows (a, b, n, x, y), n the tokens of both, whose wider bitmaps allow the threshold; the wider one is folded to the width of the other."""
+    for batch in batches:
+        fit = []
+        for i, (n, x, y) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
+            both = min(len(x), len(y))
+            x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint8).reshape(-1, both)) for v in (x, y))
+            if (100 + THRESHOLD) * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= (100 - THRESHOLD) * n:
+                fit.append(i)
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(fit, pa.int64())) for c in (0, 1)], names=["a", "b"])
+
+
+def _fitting(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs whose bitmaps allow the threshold. Of wider ones only those move whose pairs the others leave."""
+    x, y = (classes.select(F.col("key").alias(c), F.struct("n", *_BITS).alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    left = pairs.join(x, "a").join(y, "b").where(F.expr(_may_match("x", "y")))
+    left = scratch.keep(left.select("a", "b", F.expr("x.n + y.n").alias("n"), (F.expr("least(x.n, y.n)") > 64 * BITMAP).alias("large")), "pairs-by-bitmaps")
+    large = left.where("large")
+    keys = scratch.keep(large.select(F.col("a").alias("key")).union(large.select("b")).distinct(), "large")
+    wide = scratch.keep(sets.where("wide is not null").select("key", "wide").join(_sized(keys), "key").dropDuplicates(["key"]), "wide")
+    both = large.join(wide.select(F.col("key").alias("a"), F.col("wide").alias("x")), "a").join(wide.select(F.col("key").alias("b"), F.col("wide").alias("y")), "b")
+    return left.where("not large").select("a", "b").unionByName(both.select("a", "b", "n", "x", "y").mapInArrow(words.released(_wide_match), "a long, b long"))
+
+
 def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, text) that belong together: key, the text compressed, and of each further order the prefix, 16 bits a token."""
     press = zstandard.ZstdCompressor(level=3)
@@ -326,7 +351,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((late, place))
     prefixes = docs.mapInArrow(words.released(lambda it: _prefixes(*shared.value)(it)), "token long, key long, n int, at int")
     found = scratch.keep(prefixes.repartition("token").sortWithinPartitions("token", "at", F.xxhash64("key", F.pmod("token", F.lit(LEADERS)))).mapInArrow(words.released(_buckets), "a long, b long, token long, n int, at int"), "candidates")
-    stars = scratch.keep(_fitting(found.where("b is not null").select("a", "b").distinct(), classes), "pairs")
+    stars = scratch.keep(_fitting(found.where("b is not null").select("a", "b").distinct(), classes, meta), "pairs")
     links = _verified(stars, docs, classes)
     groups = scratch.keep(components(links), "groups")
 
@@ -342,7 +367,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
         f" and {_may_match('x', 'y', FIRST_WORDS)}"
     )
     pairs = x.join(y, fits).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    more = scratch.keep(_fitting(pairs, classes).join(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")), ["a", "b"], "left_anti"), "open")
+    more = scratch.keep(_fitting(pairs, classes, meta).join(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")), ["a", "b"], "left_anti"), "open")
     if not more.isEmpty():
         groups = scratch.keep(components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_verified(more, docs, classes))), "groups")
 

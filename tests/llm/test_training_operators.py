@@ -206,6 +206,22 @@ def test_ngram_join_of_unlike_documents_with_common_tokens(spark, monkeypatch):
     scratch.clear(spark)
 
 
+def test_ngram_join_of_long_unlike_documents_moves_no_text(spark, monkeypatch):
+    """Long texts that share phrases only: the bitmaps exclude their pairs, before orders and texts move."""
+    rng = random.Random(3)
+    phrases = [" ".join(f"p{k}x{i}" for i in range(8)) for k in range(200)]
+    texts = [" ".join([*(f"t{d}x{i}" for i in range(3000)), *phrases]) for d in range(7)]
+    copy = texts[0].split(" ")
+    for _ in range(40):
+        copy[rng.randrange(3000)] = f"e{rng.random()}"
+    seen = {}
+    keep = scratch.keep
+    monkeypatch.setattr(op3.scratch, "keep", lambda df, what, *a, **k: (got := keep(df, what, *a, **k), seen.setdefault(what, []).append(got.count()))[0])
+    got = {r["doc_id"]: r["component_id"] for r in op3.near_duplicates(documents(spark, [*texts, " ".join(copy)]).repartition(8)).collect()}
+    assert got == {i: i for i in range(7)} | {7: 0}
+    assert sum(seen["pairs-by-bitmaps"]) > 10 and sum(seen["involved"]) == 2
+
+
 def test_ngram_join_of_nothing(spark):
     assert op3.near_duplicates(documents(spark, []).limit(0)).count() == 0
     odd = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (None, "a b c d e f"), (2, "A B C D E F")], "doc_id long, text string")

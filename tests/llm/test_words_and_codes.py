@@ -136,6 +136,25 @@ def test_bitmap_never_excludes_a_link():
             assert 175 * differ <= 25 * (len(base) + len(other))
 
 
+def test_wider_bitmap_never_excludes_a_link_and_tells_large_sets_apart():
+    rng = np.random.default_rng(6)
+    rows, want = [], []
+    for size in (1100, 2040, 2060, 5000):
+        for kept in (1.0, 0.9, 0.88, 0.87, 0.8, 0.0):
+            base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            other = np.union1d(base[: int(kept * size)], rng.integers(0, 2**63, size // 20 if kept else size, dtype=np.uint64))
+            common = len(np.intersect1d(base, other))
+            want.append((100 * common >= 75 * (len(base) + len(other) - common), common))
+            rows.append((len(base) + len(other), op3._wide(base), op3._wide(other)))
+    assert op3._wide(np.arange(1024, dtype=np.uint64)) is None
+    ids = pa.array(range(len(rows)), pa.int64())
+    n, x, y = zip(*rows, strict=True)
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(n, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["a", "b", "n", "x", "y"])
+    left = {i for out in op3._wide_match(iter([batch])) for i in out.column(0).to_pylist()}
+    assert {i for i, (link, _) in enumerate(want) if link} <= left
+    assert not left & {i for i, (_, common) in enumerate(want) if not common}
+
+
 def brute_kneser_ney(texts: list[str]):
     """Interpolated modified Kneser-Ney over tuples, straight from its definition."""
     top = Counter()
