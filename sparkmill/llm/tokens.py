@@ -1,6 +1,7 @@
 """Ids of whole texts from a public tokenizer file, in tasks that Spark partitions.
 
-A text is cut where the tokenizer never joins the two sides, so each distinct piece is encoded once by the
+A text is cut where the tokenizer never joins the two sides (before white space, and between an ASCII letter and another
+ASCII character, as both tokenizers end a run of letters there), so a word is one piece whatever follows it. Each distinct piece is encoded once by the
 tokenizers library and then looked up by a 64-bit hash of its bytes (two pieces share one with probability 2**-64). The
 look-up table of a worker is emptied when it holds ``PIECES`` pieces. Texts that hold a special token of the tokenizer
 as text, in any case, or rare white space are encoded whole by the library.
@@ -18,6 +19,12 @@ from . import words
 #: Pieces that a worker remembers at most.
 PIECES = 500_000
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+#: ASCII that is neither a letter nor white space.
+_MARK = words.KINDS["spaced"] & ~_LETTER
+_MARK[128:] = False
+
 _coders: dict[tuple[str, bool], Coder] = {}
 
 
@@ -86,16 +93,21 @@ class Coder:
         """The ids of all texts of a slice (see :func:`.words.slices`), each followed by ``end_id``, and how many each has."""
         if len(self.keys) > PIECES:
             self._forget()
+        after = np.flatnonzero(_MARK[data[1:]] & _LETTER[data[:-1]]) + 1
+        after = after[~np.isin(after, offsets)]  # the first of a text begins a piece anyway
         if self.byte_level:
             space = ~words.KINDS["spaced"][data]
             begins = space.copy()
             begins[1:] &= ~space[:-1]
             begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+            begins[after] = True
             starts = np.flatnonzero(begins)
             ends = np.append(starts[1:], len(data)) if len(starts) else starts
             first = np.searchsorted(starts, offsets)
         else:
             starts, ends, first = words.bounds(data, offsets, "spaced")
+            starts, ends = np.sort(np.concatenate([starts, after]), kind="stable"), np.sort(np.concatenate([ends, after]), kind="stable")
+            first = np.searchsorted(starts, offsets)
         h, index, back = np.unique(words.hashes(data, starts, ends, lower=not self.byte_level), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[at] != h) if len(self.keys) else np.arange(len(h))

@@ -13,7 +13,7 @@ from test_words_and_codes import brute_kneser_ney, brute_perplexity
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparkmill.llm import op1_url_filter as op1, op2_license as op2, op3_ngram_join as op3, op4_language as op4, op5_quality as op5, op6_nn_descent as op6, op7_line_dedup as op7, op8_token_file as op8, op9_packing as op9, op10_decontamination as op10, scratch, words
+from sparkmill.llm import op1_url_filter as op1, op2_license as op2, op3_ngram_join as op3, op4_language as op4, op5_quality as op5, op6_nn_descent as op6, op7_line_dedup as op7, op8_token_file as op8, op9_packing as op9, op10_decontamination as op10, scratch, tokens, words
 from sparkmill.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -523,6 +523,22 @@ def test_token_file(spark, tmp_path):
     assert op8.read(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_pieces_end_with_their_letters():
+    """A word is encoded once, whatever follows it; the ids are those of the whole text."""
+    rng = random.Random(9)
+    odd = ["it's", "'sword", "don't.", "x'", "a1b2", "3rd,", "e.g.", "--w--", "é,", "né.e", "a\u0301,", "e\u0301'll", "A'S", "\x00a\x00", "we'll!!", "_a_b"]
+    texts = ["".join(rng.choice([rng.choice(odd), " ", "\n ", "  ", "abc"[: rng.randrange(4)], ",", "'", "9"]) for _ in range(rng.randrange(60))) for _ in range(400)]
+    for name, byte_level in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        model = tokens.Coder(public_tokenizers.path(name), byte_level)
+        for lo, hi, data, offsets in words.slices(pa.array(texts)):
+            ids, n = model.encode(data, offsets, 2)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*model.model.encode(t, add_special_tokens=False).ids, 2] for t in texts[lo:hi]]
+        model = tokens.Coder(public_tokenizers.path(name), byte_level)
+        for *_, data, offsets in words.slices(pa.array([f" {w}{i}" for i in ",.;:!?)" for w in ("one", "two", "three", "four", "five")])):
+            model.encode(data, offsets, 2)
+        assert len(model.keys) == 12  # and not 35
+
+
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = [None, "", "A b\tc\n d", "word " * 5000, "x y z " * 300, "Ünï <|endoftext|> 'll", "<|startoftext|>a<|ENDOFTEXT|> <|endoftext|>", "<|ENDOFTEXT|> <|Startoftext|>", "x y z " * 300]
