@@ -53,14 +53,18 @@ def codes(lengths: np.ndarray) -> np.ndarray:
 def encode(ids: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> tuple[bytes, bytes]:
     """``(bits, checkpoints)``: the packed codes and, for every ``EVERY``-th id, its bit offset as unsigned 64-bit."""
     size = lengths[ids].astype(np.int64)
-    at = np.cumsum(size) - size
-    out = []
+    end = np.cumsum(size)
+    at, bits = end - size, int(end[-1]) if len(ids) else 0
+    units = np.zeros((bits >> 4) + 2, dtype=np.uint32)
     for lo in range(0, len(ids), 1 << 17):
-        part, n = table[ids[lo : lo + (1 << 17)]], size[lo : lo + (1 << 17)]
-        aligned = (part << (LIMIT - n).astype(np.uint32)).astype(">u2")
-        bits = np.unpackbits(aligned.view(np.uint8)).reshape(-1, LIMIT)
-        out.append(bits[np.arange(LIMIT) < n[:, None]])
-    return np.packbits(np.concatenate(out) if out else np.zeros(0, np.uint8)).tobytes(), at[::EVERY].astype("<u8").tobytes()
+        part = slice(lo, lo + (1 << 17))
+        code = table[ids[part]] << (2 * LIMIT - (at[part] & 15) - size[part]).astype(np.uint32)  # a code lies in its unit of 16 bits and the next
+        first = int(at[lo]) >> 4
+        unit = (at[part] >> 4) - first
+        for half, shift in ((code >> LIMIT, 0), (code & ((1 << LIMIT) - 1), 1)):
+            sums = np.bincount(unit, half)  # no two codes share a bit
+            units[first + shift : first + shift + len(sums)] += sums.astype(np.uint32)
+    return units.astype(">u2").tobytes()[: (bits + 7) // 8], at[::EVERY].astype("<u8").tobytes()
 
 
 def decode_table(lengths: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

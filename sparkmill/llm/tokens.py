@@ -1,10 +1,12 @@
 """Ids of whole texts from a public tokenizer file, in tasks that Spark partitions.
 
-A text is cut where the tokenizer never joins the two sides (before white space, and between an ASCII letter and another
-ASCII character, as both tokenizers end a run of letters there), so a word is one piece whatever follows it. Each distinct piece is encoded once by the
-tokenizers library and then looked up by a 64-bit hash of its bytes (two pieces share one with probability 2**-64). The
-look-up table of a worker is emptied when it holds ``PIECES`` pieces. Texts that hold a special token of the tokenizer
-as text, in any case, or rare white space are encoded whole by the library.
+A text is cut where the tokenizer never joins the two sides (before white space, and between a letter and an ASCII
+character that is none, as both tokenizers end a run of letters there), so a word is one piece whatever follows it. Each
+distinct piece is encoded once by the tokenizers library and then looked up by a 64-bit hash of its bytes (two pieces
+share one with probability 2**-64). Most pieces of a byte-level tokenizer are letters after one space or none, which its
+pattern leaves together, so they go to the library's model without the pattern, its most expensive part. The look-up
+table of a worker is emptied when it holds ``PIECES`` pieces. Texts that hold a special token of the tokenizer as text,
+in any case, or rare white space are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -25,9 +27,30 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _MARK = words.KINDS["spaced"] & ~_LETTER
 _MARK[128:] = False
 
+#: First bytes of U+00C0 to U+027F and U+0400 to U+047F, letters but for those below.
+_LEAD = np.zeros(256, dtype=bool)
+_LEAD[0xC3:0xCA] = _LEAD[0xD0:0xD2] = True
+#: Signs of multiplication and division, and the one letter that is two characters in lower case.
+_NO_LETTERS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0))
+
+#: The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else one of those from U+0100.
+_SEEN = np.zeros(256, dtype=bool)
+_SEEN[33:127] = _SEEN[161:173] = _SEEN[174:] = True
+_CHARACTER = np.where(_SEEN, np.arange(256), 255 + np.cumsum(~_SEEN)).astype("<u2")
+
 _coders: dict[tuple[str, bool], Coder] = {}
 
 
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to letters, of ASCII and of ``_LEAD``; other letters are left out."""
+    lead = _LEAD[data]
+    for a, b in _NO_LETTERS:
+        lead[:-1] &= (data[:-1] != a) | (data[1:] != b)
+    out = _LETTER[data] | lead
+    out[1:] |= lead[:-1]
+    return out
+
+
 def _other_spaces(data: np.ndarray) -> np.ndarray:
     """Places of white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000."""
     found = []
@@ -61,8 +84,17 @@ class Coder:
         self.model = Tokenizer.from_file(path)
         self.special = [t.content.lower().encode() for t in self.model.get_added_tokens_decoder().values()]
         self.byte_level = byte_level
+        self.words = self.model.model if byte_level and self._by_letters() else None
         self._forget()
 
+    def _by_letters(self) -> bool:
+        """Whether letters after one space or none are one word to the pattern, and the model alone then gives the ids."""
+        from tokenizers import models, pre_tokenizers
+
+        cut, model = self.model.pre_tokenizer, self.model.model
+        usual = isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        return usual and isinstance(model, models.BPE) and not model.dropout and self.model.normalizer is None and self.model.truncation is None and self.model.padding is None
+
     def _forget(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
         self.place = np.zeros(0, dtype=np.int64)
@@ -70,11 +102,28 @@ class Coder:
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.used = 0
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> list[list[int]]:
+        """The ids of pieces; ``plain`` ones are letters after one space or none."""
+        out: list[list[int]] = [[]] * len(starts)
+        if plain.any():
+            size = (ends - starts)[plain]
+            end = np.cumsum(size)
+            at = np.repeat(starts[plain] - end + size, size) + np.arange(int(end[-1]))
+            text, model = _CHARACTER[data[at]].tobytes().decode("utf-16-le"), self.words
+            for i, a, b in zip(np.flatnonzero(plain).tolist(), (end - size).tolist(), end.tolist(), strict=True):
+                out[i] = [t.id for t in model.tokenize(text[a:b])]
+        rest = np.flatnonzero(~plain).tolist()
+        pieces = [data[starts[i] : ends[i]].tobytes().decode() for i in rest]
+        for i, e in zip(rest, self.model.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> None:
         """New pieces with their sorted keys."""
         n = len(self.keys)
-        for lo in range(0, len(pieces), 20_000):
-            ids = [e.ids for e in self.model.encode_batch_fast(pieces[lo : lo + 20_000], add_special_tokens=False)]
+        for lo in range(0, len(keys), 20_000):
+            chunk = slice(lo, lo + 20_000)
+            ids = self._ids(data, starts[chunk], ends[chunk], plain[chunk])
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             a, b, end = n + lo, n + lo + len(ids), self.used + int(size.sum())
             while end > len(self.flat):
@@ -93,7 +142,8 @@ class Coder:
         """The ids of all texts of a slice (see :func:`.words.slices`), each followed by ``end_id``, and how many each has."""
         if len(self.keys) > PIECES:
             self._forget()
-        after = np.flatnonzero(_MARK[data[1:]] & _LETTER[data[:-1]]) + 1
+        letter = _letters(data)
+        after = np.flatnonzero(_MARK[data[1:]] & letter[:-1]) + 1
         after = after[~np.isin(after, offsets)]  # the first of a text begins a piece anyway
         if self.byte_level:
             space = ~words.KINDS["spaced"][data]
@@ -101,6 +151,8 @@ class Coder:
             begins[1:] &= ~space[:-1]
             begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
             begins[after] = True
+            lone = np.flatnonzero(begins[:-1] & space[:-1] & (data[:-1] != 32) & letter[1:]) + 1  # one line end, say, and letters: two words to the pattern
+            begins[lone] = True
             starts = np.flatnonzero(begins)
             ends = np.append(starts[1:], len(data)) if len(starts) else starts
             first = np.searchsorted(starts, offsets)
@@ -112,8 +164,11 @@ class Coder:
         at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[at] != h) if len(self.keys) else np.arange(len(h))
         if len(new):
-            raw = data.tobytes()
-            self._learn(h[new], [raw[a:b].decode() for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist(), strict=True)])
+            plain = np.zeros(len(new), dtype=bool)
+            if self.words is not None:  # its pieces are all the bytes; all but one space before them are letters
+                spaced = data[starts] == 32
+                plain = ((np.add.reduceat(~letter, starts, dtype=np.int64) == spaced) & (ends - starts > spaced))[index[new]]
+            self._learn(h[new], data, starts[index[new]], ends[index[new]], plain)
             at = np.searchsorted(self.keys, h)
         piece = self.place[at][back] if len(h) else np.zeros(0, dtype=np.int64)
         size = self.size[piece]

@@ -539,6 +539,25 @@ def test_pieces_end_with_their_letters():
         assert len(model.keys) == 12  # and not 35
 
 
+def test_letters_beyond_ascii_are_words_too():
+    """Letters after one space or none go to the library's model alone; the ids are those of the whole text."""
+    rng = random.Random(10)
+    letters = [chr(c) for c in [*range(0xC0, 0x280), *range(0x400, 0x480)]]
+    texts = [f"{c}, {c}{c}\n{c}.\r\n{c}1 \t{c}\n\n{c} \n{c}'s\x0b{c}a{c}- A{c}I{c}\n'{c} {c}" for c in letters]
+    odd = ["×", "÷", "İ", "ŉ", "ǅ", "ß", "a\u0301", "\u0301", "ё", "Й", "\u0482", "\u0483", "ª", "²", "Ω", "\u0300", "漢字", "\U0001F600", "\x85", "\u2028", "\x1c", "'s", "'LL", "<|endoftext|>"]
+    texts += ["".join(rng.choice([rng.choice(odd), rng.choice(letters), " ", "\n", "\r\n", "  ", "\t", "ab", "é", ",", "'", "9"]) for _ in range(rng.randrange(60))) for _ in range(600)]
+    for name, byte_level in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        model = tokens.Coder(public_tokenizers.path(name), byte_level)
+        for lo, hi, data, offsets in words.slices(pa.array(texts)):
+            ids, n = model.encode(data, offsets, 2)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*model.model.encode(t, add_special_tokens=False).ids, 2] for t in texts[lo:hi]]
+        model = tokens.Coder(public_tokenizers.path(name), byte_level)
+        for *_, data, offsets in words.slices(pa.array([f"a\n{w}{i} {w}" for i in ",.;:!?)" for w in ("été", "día", "schön", "её", "né")])):
+            model.encode(data, offsets, 2)
+        assert len(model.keys) == (19 if byte_level else 13)  # each word with and without a space, the seven signs, the others
+        assert (model.words is not None) == byte_level
+
+
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = [None, "", "A b\tc\n d", "word " * 5000, "x y z " * 300, "Ünï <|endoftext|> 'll", "<|startoftext|>a<|ENDOFTEXT|> <|endoftext|>", "<|ENDOFTEXT|> <|Startoftext|>", "x y z " * 300]
