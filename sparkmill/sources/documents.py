@@ -10,6 +10,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from importlib import import_module
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -82,8 +83,19 @@ class DocumentSource(DataSource):
         return DocumentReader(schema, self.options)
 
 
+def _give(spark: SparkSession, module: str) -> None:
+    """A module that is one file of this process to all executors; what is part of a package must be installed there."""
+    try:
+        found = find_spec(module) if module.isidentifier() else None
+    except ValueError:  # one without a file
+        found = None
+    if found and found.has_location and found.origin.endswith(".py") and not found.submodule_search_locations:
+        spark.sparkContext.addPyFile(found.origin)
+
+
 def pages(spark: SparkSession, folder: str, parser: str, pattern: str = "*.pdf", columns: str = SCHEMA) -> DataFrame:
-    """SRC02: pages of the files of a folder; ``columns`` is the part of :data:`SCHEMA` that is wanted."""
+    """SRC02: pages of the files of a folder; ``columns`` is the part of :data:`SCHEMA` that is wanted. The executors get the parser's module."""
+    _give(spark, parser.partition(":")[0])
     spark.dataSource.register(DocumentSource)
     return spark.read.format("documents").schema(columns).option("parser", parser).option("pathGlobFilter", pattern).load(folder)
 

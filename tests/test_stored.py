@@ -111,6 +111,16 @@ def test_document_files(spark, tmp_path):
     assert documents.pages(spark, str(tmp_path), parser, "*.docx").count() == 0
 
 
+def test_parser_that_only_the_driver_finds(spark, tmp_path, monkeypatch):
+    for folder in ("code", "files"):
+        (tmp_path / folder).mkdir()
+    (tmp_path / "code" / "parser_of_driver.py").write_text("def pages(data):\n    return 'T', data.decode().split('|')\n")
+    (tmp_path / "files" / "a.pdf").write_bytes(b"one|two")
+    monkeypatch.syspath_prepend(str(tmp_path / "code"))
+    rows = documents.pages(spark, str(tmp_path / "files"), "parser_of_driver:pages").collect()
+    assert sorted((r["title"], r["page"], r["text"], r["error"]) for r in rows) == [("T", 1, "one", None), ("T", 2, "two", None)]
+
+
 def test_labelled_links(spark):
     page = '<a href="/1">pliego PRESCRIPCIONES  técnicas</a><a href="/2">Pliego Prescripciones Técnicas</a><a>Pliego Cláusulas Administrativas</a><a href="/3">Pliego Cláusulas Administrativas</a>'
     rows = spark.createDataFrame([(1, page), (2, None), (3, ""), (None, '<a href="">Pliego Prescripciones Técnicas</a>')], "page_id long, html string")
