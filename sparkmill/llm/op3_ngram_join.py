@@ -235,10 +235,13 @@ def _sized(table: DataFrame) -> DataFrame:
 
 
 def _wide_match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of those rows (a, b, n, x, y), n the tokens of both, whose wider bitmaps allow the threshold; the wider one is folded to the width of the other."""
+    """(a, b) of those rows (a, b, n, x, y), n the tokens of both, whose wider bitmaps allow the threshold, or that lack one; the wider one is folded to the width of the other."""
     for batch in batches:
         fit = []
         for i, (n, x, y) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)):
+            if x is None or y is None:
+                fit.append(i)
+                continue
             both = min(len(x), len(y))
             x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint8).reshape(-1, both)) for v in (x, y))
             if (100 + THRESHOLD) * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= (100 - THRESHOLD) * n:
